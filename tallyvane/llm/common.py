@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a Python task works on at a time; one longer text is worked on alone.
@@ -48,7 +49,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0), dtype=np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0), dtype=np.int64)
         ends, start = np.cumsum(sizes), 0
         while start < batch.num_rows:
             base = ends[start - 1] if start else 0

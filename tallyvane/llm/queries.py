@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, langid, quality
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,8 +18,20 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), vocabulary, with_ids=False)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = docs.withColumn("held_out", quality.is_held_out(docs.doc_id))
+    return langid.predict(held, langid.fit(docs), keep=["doc_id", "held_out"])
+
+
+def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = docs.withColumn("held_out", quality.is_held_out(docs.doc_id))
+    return quality.score(held, quality.fit(docs, table(spark, sf_dir, "labels")), keep=["doc_id", "held_out"])
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_byte_bpe,)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_language_id, op10_subword_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
