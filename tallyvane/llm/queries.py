@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, quality, simhash
+from . import bpe, langid, quality, recompress, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(held, langid.fit(docs), keep=["doc_id", "held_out"])
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompress.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.link_documents(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_language_id, op5_simhash, op10_subword_quality)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_language_id, op4_substring_dedup, op5_simhash, op10_subword_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
