@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_text, langid, packing, quality, recompress, simhash, topk
+from . import bpe, fingerprint, html_text, langid, packing, quality, recompress, simhash, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op7_iblt_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_versions(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -68,7 +72,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_language_id, op4_substring_dedup, op5_simhash, op6_main_text, op8_exact_topk, op9_best_fit_packing, op10_subword_quality)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_language_id, op4_substring_dedup, op5_simhash, op6_main_text, op7_iblt_fingerprint, op8_exact_topk, op9_best_fit_packing, op10_subword_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
