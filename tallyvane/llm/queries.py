@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprint, html_text, langid, packing, quality, recompress, simhash, topk
+from . import bpe, chat, fingerprint, html_text, langid, packing, quality, recompress, simhash, topk
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(held, langid.fit(docs), keep=["doc_id", "held_out"])
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompress.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,40 @@ def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(held, quality.fit(docs, table(spark, sf_dir, "labels")), keep=["doc_id", "held_out"])
 
 
+OP3_SQL = """
+WITH m AS (
+  SELECT conv_id, turn, text,
+    CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE role END AS role,
+    CASE role WHEN 'user' THEN concat('turn-', turn) WHEN 'assistant' THEN concat('turn-', turn - 1) END AS call_id
+  FROM conversations
+), calls AS (
+  SELECT conv_id, call_id, min(turn) AS turn FROM m WHERE role = 'call' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL
+), results AS (
+  SELECT conv_id, call_id, min({'t': turn, 'x': coalesce(text, '')}) AS first FROM m
+  WHERE role = 'result' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL
+)
+SELECT m.conv_id, m.turn, m.role, m.call_id,
+  CASE
+    WHEN m.role NOT IN ('call', 'result') OR m.role IS NULL THEN 'message'
+    WHEN m.call_id IS NULL OR m.conv_id IS NULL THEN 'unnamed'
+    WHEN m.role = 'call' AND r.call_id IS NULL THEN 'unanswered'
+    WHEN m.role = 'result' AND c.call_id IS NULL THEN 'orphan_result'
+    WHEN m.role = 'result' AND r.first <> {'t': m.turn, 'x': coalesce(m.text, '')} THEN 'repeated_result'
+    ELSE 'linked'
+  END AS status,
+  CASE WHEN m.role = 'call' THEN coalesce(m.text, '') <> '' END AS valid,
+  CASE WHEN m.role = 'call' THEN CASE WHEN coalesce(m.text, '') = '' THEN 'prompt: too short' ELSE '' END END AS errors,
+  m.turn AS order_turn, CAST(0 AS INTEGER) AS order_depth,
+  CASE
+    WHEN m.role = 'call' THEN concat('{"arguments":{"prompt":', CAST(to_json(coalesce(m.text, '')) AS VARCHAR), ',"turn":', m.turn, '},"call_id":"', m.call_id, '","role":"call","tool":"reply"}')
+    ELSE concat('{', CASE WHEN m.call_id IS NOT NULL THEN concat('"call_id":"', m.call_id, '",') ELSE '' END,
+      CASE WHEN m.text IS NOT NULL THEN concat('"content":', CAST(to_json(m.text) AS VARCHAR), ',') ELSE '' END,
+      CASE WHEN m.role IS NOT NULL THEN concat('"role":', CAST(to_json(m.role) AS VARCHAR)) ELSE '' END, '}')
+  END AS message
+FROM m
+LEFT JOIN calls c ON c.conv_id = m.conv_id AND c.call_id = m.call_id
+LEFT JOIN results r ON r.conv_id = m.conv_id AND r.call_id = m.call_id
+"""
 OP8_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
@@ -72,8 +110,8 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_language_id, op4_substring_dedup, op5_simhash, op6_main_text, op7_iblt_fingerprint, op8_exact_topk, op9_best_fit_packing, op10_subword_quality)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_language_id, op3_chat_format, op4_substring_dedup, op5_simhash, op6_main_text, op7_iblt_fingerprint, op8_exact_topk, op9_best_fit_packing, op10_subword_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_topk": OP8_SQL}
+    return {"op3_chat_format": OP3_SQL, "op8_exact_topk": OP8_SQL}
