@@ -8,7 +8,8 @@ symbol, then pairs of a left and a right symbol (each symbol's side follows from
 64-bit mixes of what they stand for, so every task gives equal content the same name and the rounds
 need no dictionary exchange. A cut at a sequence's border spoils a bounded number of words a round, so
 `rounds_for(window)` says how many rounds leave every window a whole, equally named stretch; within any
-such stretch the same symbol (the least of the stretch) becomes an anchor.
+such stretch the same symbol (the least of the stretch) becomes an anchor, named with the words around it
+that every window holding the stretch also holds.
 
 1. Each task names its texts and deals its anchors by name; a task keeps one anchor of a name and marks
    the others as repeated itself, so no name meets in one place more often than there are tasks' chunks.
@@ -42,20 +43,23 @@ _FIRST, _SECOND = Powers(0xC6A4A7935BD1E995), Powers(0x9FB21C651E98DF25)
 NO_ID = -(1 << 63)
 
 
-def rounds_for(window: int) -> tuple[int, int]:
-    """(rounds, stretch): as many rounds as leave every window a stretch of whole symbols, and that stretch in words."""
+def rounds_for(window: int) -> tuple[int, int, int]:
+    """(rounds, lost, stretch): as many rounds as leave every window a stretch of whole symbols, the words lost on
+    either side of it, and its length in words."""
     rounds, lost, span = 0, 0, 1
     while window - 2 * (lost + 2 * (LONG_RUN - 1) * span) >= 2 * (LONG_RUN - 1) * span:
         lost, span, rounds = lost + 2 * (LONG_RUN - 1) * span, 2 * (LONG_RUN - 1) * span, rounds + 1
-    return rounds, window - 2 * lost
+    return rounds, lost, window - 2 * lost
 
 
 def anchors(names: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Anchor names, first words, and the first and last window start that holds each, by word number of the chunk.
 
-    names, doc: hash and text number of each word.
+    names, doc: hash and text number of each word. Every window's own stretch has an anchor with `lost` words of
+    the window on either side; those words join the anchor's name, so that common words alone name nothing.
     """
-    rounds, stretch = rounds_for(window)
+    rounds, lost, stretch = rounds_for(window)
+    hashes = names
     n = len(names)
     start, end, own = np.arange(n), np.arange(1, n + 1), doc
     runs: list[tuple[np.ndarray, ...]] = []
@@ -97,7 +101,14 @@ def anchors(names: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray
     for o in range(stretch):
         chosen[o : n + o] |= (key[o : n + o] == least) & (close[o : n + o] <= bound)
     picked = chosen[start]
-    found = (names[picked], start[picked], end[picked] - window, start[picked])
+    names, start, end = names[picked], start[picked], end[picked]
+    whole = (start >= lost) & (end + lost <= n)
+    whole[whole] = (doc[start[whole] - lost] == doc[start[whole]]) & (doc[end[whole] + lost - 1] == doc[start[whole]])
+    names, start, end = names[whole], start[whole], end[whole]
+    up, down = _FIRST.get(n + 1)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * up[:n], dtype=np.uint64)))
+    around = (total[end + lost] - total[start - lost]) * down[start - lost]
+    found = (mix64(names * _SALT[3] + around), start, end + lost - window, start - lost)
     parts = [found, *runs]
     return tuple(np.concatenate([p[k] for p in parts]) for k in range(4))
 
