@@ -79,59 +79,54 @@ def bit_planes(fps: np.ndarray) -> np.ndarray:
     padded = np.zeros(-(-len(fps) // 64) * 64, np.uint64)
     padded[: len(fps)] = fps
     bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.packbits(bits.T.reshape(64, -1), axis=1, bitorder="little").view(np.uint64)
+    return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").copy("C").view(np.uint64)
 
 
-def within(planes: np.ndarray, probe: int, radius: int, every: int = 16) -> np.ndarray:
-    """Mask words of the fingerprints at most radius bits from the probe.
+def within(planes: np.ndarray, probes: np.ndarray, radius: int, every: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(probe, word, mask): for probes and plane words with any hit, the mask of the 64 lanes at most radius bits away.
 
-    Counters are bit planes too (one word operation adds one bit to 64 distances); a counter that
-    passes the radius stays marked in `over`. Every few planes, words whose 64 distances are all over
-    are abandoned.
+    Counters are bit planes too (one word operation adds one bit to 64 distances), started so that they
+    overflow just when the radius is passed; `over` keeps the lanes that have. Every few planes the blocks
+    (a probe against 64 fingerprints) whose lanes are all over are abandoned.
     """
-    width = radius.bit_length()
-    alive = np.arange(planes.shape[1])
-    over = np.zeros(len(alive), np.uint64)
-    count = np.zeros((width, len(alive)), np.uint64)
-    # start below zero, so that the counter overflows just when the radius is passed
+    width, full = radius.bit_length(), ~np.uint64(0)
+    probe = np.repeat(np.arange(len(probes)), planes.shape[1])
+    word = np.tile(np.arange(planes.shape[1]), len(probes))
+    over = np.zeros(len(probe), np.uint64)
     offset = (1 << width) - 1 - radius
-    for k in range(width):
-        if offset >> k & 1:
-            count[k] = ~np.uint64(0)
-    full = ~np.uint64(0)
+    count = [np.full(len(probe), full if offset >> k & 1 else 0, np.uint64) for k in range(width)]
     for b in range(64):
-        carry = planes[b, alive] ^ (full if probe >> b & 1 else np.uint64(0))
+        bit = np.where(probes >> np.uint64(b) & np.uint64(1), full, np.uint64(0))
+        carry = planes[b][word] ^ bit[probe]
         for k in range(width):
             count[k], carry = count[k] ^ carry, count[k] & carry
         over |= carry
-        if b % every == every - 1 and b < 63:
+        if b % every == every - 1 or b == 63:
             live = over != full
             if not live.all():
-                alive, over, count = alive[live], over[live], count[:, live]
-                if not len(alive):
+                probe, word, over, count = probe[live], word[live], over[live], [c[live] for c in count]
+                if not len(probe):
                     break
-    found = np.zeros(planes.shape[1], np.uint64)
-    found[alive] = ~over
-    return found
+    return probe, word, ~over
 
 
-def neighbours(planes: np.ndarray, n: int, probe: int, radius: int) -> np.ndarray:
-    words = within(planes, probe, radius)
-    hit = np.flatnonzero(words)
-    if not len(hit):
-        return hit
-    bits = np.unpackbits(words[hit].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    at = (hit[:, None] * 64 + np.arange(64))[bits.astype(bool)]
-    return at[at < n]
+def neighbours(planes: np.ndarray, n: int, probes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (place of the probe, place of the fingerprint) at most radius bits apart."""
+    probe, word, mask = within(planes, probes, radius)
+    lanes = np.unpackbits(mask.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
+    at = word[:, None] * 64 + np.arange(64)
+    lanes &= at < n
+    return np.broadcast_to(probe[:, None], at.shape)[lanes], at[lanes]
 
 
-def spanning_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> list[tuple[int, int]]:
+def spanning_links(left: np.ndarray, right: np.ndarray | None, radius: int, batch: int = 128) -> list[tuple[int, int]]:
     """Links that connect what the pairs within radius connect: one for each fingerprint that joins a class, none more.
 
     left alone: its own pairs; with right: pairs across.
     """
     every = left if right is None else np.concatenate((left, right))
-    parent = list(range(len(every)))
+    label = np.arange(len(every))
+    parent = label.tolist()
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -139,18 +134,23 @@ def spanning_links(left: np.ndarray, right: np.ndarray | None, radius: int) -> l
             i = parent[i]
         return i
 
-    links = []
-    target = every if right is None else right
-    base = 0 if right is None else len(left)
-    small = len(target) <= 64
-    planes = None if small else bit_planes(target)
-    for i, probe in enumerate(left.tolist()):
-        found = np.flatnonzero(np.bitwise_count(target ^ np.uint64(probe)) <= radius) if small else neighbours(planes, len(target), probe, radius)
-        for j in (found + base).tolist():
-            a, b = root(i), root(j)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                links.append((int(every[i]), int(every[j])))
+    links: list[tuple[int, int]] = []
+    target, base = (left, 0) if right is None else (right, len(left))
+    planes = bit_planes(target)
+    for i in range(0, len(left), batch):
+        probe, found = neighbours(planes, len(target), left[i : i + batch], radius)
+        probe, found = probe + i, found + base
+        new = label[probe] != label[found]
+        for a, b in zip(probe[new].tolist(), found[new].tolist()):
+            x, y = root(a), root(b)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                links.append((int(every[a]), int(every[b])))
+        if new.any():
+            label = np.array(parent)
+            while (label != label[label]).any():
+                label = label[label]
+            parent = label.tolist()
     return links
 
 
