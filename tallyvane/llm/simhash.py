@@ -25,10 +25,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialise, small_batches, text_bytes, words_of
+from .common import Powers, chunks, materialise, mix64, small_batches, text_bytes, word_hashes, words_of
 from .graph import components
 
-BUCKET = 4096
+BUCKET, SMALL_GROUP = 4096, 64
+#: Near-dedup of whole texts: bits of its fingerprints, bits of a band, and the most differing bits of two linked ones.
+WIDE, BAND, WIDE_RADIUS = 256, 16, 48
+NO_ID = -(1 << 63)
+_SALTS = mix64(np.arange(1, WIDE // 64 + 1, dtype=np.uint64))
+_SHINGLE = Powers(0xC6A4A7935BD1E995)
 
 
 def fingerprint_bits(texts: list[bytes], shingle: int) -> list[int]:
@@ -75,11 +80,11 @@ def fingerprints(docs: DataFrame, keep: list[str], shingle: int = 4) -> DataFram
 
 
 def bit_planes(fps: np.ndarray) -> np.ndarray:
-    """64 planes over the fingerprints, plane b holding bit b of 64 fingerprints a word."""
-    padded = np.zeros(-(-len(fps) // 64) * 64, np.uint64)
-    padded[: len(fps)] = fps
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").copy("C").view(np.uint64)
+    """Planes of fingerprints (rows of 64-bit words): plane b holds bit b of 64 fingerprints a word."""
+    bits = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
+    padded = np.zeros((bits.shape[1], -(-len(fps) // 64) * 64), np.uint8)
+    padded[:, : len(fps)] = bits.T
+    return np.packbits(padded, axis=1, bitorder="little").view(np.uint64)
 
 
 def within(planes: np.ndarray, probes: np.ndarray, radius: int, every: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,13 +100,13 @@ def within(planes: np.ndarray, probes: np.ndarray, radius: int, every: int = 12)
     over = np.zeros(len(probe), np.uint64)
     offset = (1 << width) - 1 - radius
     count = [np.full(len(probe), full if offset >> k & 1 else 0, np.uint64) for k in range(width)]
-    for b in range(64):
-        bit = np.where(probes >> np.uint64(b) & np.uint64(1), full, np.uint64(0))
+    for b in range(len(planes)):
+        bit = np.where(probes[:, b // 64] >> np.uint64(b % 64) & np.uint64(1), full, np.uint64(0))
         carry = planes[b][word] ^ bit[probe]
         for k in range(width):
             count[k], carry = count[k] ^ carry, count[k] & carry
         over |= carry
-        if b % every == every - 1 or b == 63:
+        if b % every == every - 1 or b == len(planes) - 1:
             live = over != full
             if not live.all():
                 probe, word, over, count = probe[live], word[live], over[live], [c[live] for c in count]
@@ -119,39 +124,59 @@ def neighbours(planes: np.ndarray, n: int, probes: np.ndarray, radius: int) -> t
     return np.broadcast_to(probe[:, None], at.shape)[lanes], at[lanes]
 
 
-def spanning_links(left: np.ndarray, right: np.ndarray | None, radius: int, batch: int = 128) -> list[tuple[int, int]]:
-    """Links that connect what the pairs within radius connect: one for each fingerprint that joins a class, none more.
+class Forest:
+    """Union-find over places 0..n-1 that keeps the links which joined two classes."""
 
-    left alone: its own pairs; with right: pairs across.
-    """
-    every = left if right is None else np.concatenate((left, right))
-    label = np.arange(len(every))
-    parent = label.tolist()
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+        self.parent = list(range(n))
+        self.links: list[tuple[int, int]] = []
 
-    def root(i: int) -> int:
+    def root(self, i: int) -> int:
+        parent = self.parent
         while parent[i] != i:
             parent[i] = parent[parent[i]]
             i = parent[i]
         return i
 
-    links: list[tuple[int, int]] = []
-    target, base = (left, 0) if right is None else (right, len(left))
-    planes = bit_planes(target)
-    for i in range(0, len(left), batch):
-        probe, found = neighbours(planes, len(target), left[i : i + batch], radius)
-        probe, found = probe + i, found + base
-        new = label[probe] != label[found]
-        for a, b in zip(probe[new].tolist(), found[new].tolist()):
-            x, y = root(a), root(b)
+    def join(self, left: np.ndarray, right: np.ndarray) -> None:
+        new = self.label[left] != self.label[right]
+        for a, b in zip(left[new].tolist(), right[new].tolist()):
+            x, y = self.root(a), self.root(b)
             if x != y:
-                parent[max(x, y)] = min(x, y)
-                links.append((int(every[a]), int(every[b])))
+                self.parent[max(x, y)] = min(x, y)
+                self.links.append((a, b))
         if new.any():
-            label = np.array(parent)
+            label = np.array(self.parent)
             while (label != label[label]).any():
                 label = label[label]
-            parent = label.tolist()
-    return links
+            self.label, self.parent = label, label.tolist()
+
+
+def spanning_links(left: np.ndarray, right: np.ndarray | None, radius: int, batch: int = 128) -> list[tuple[int, int]]:
+    """Places of links that connect what the pairs within radius connect, one for each row that joins a class.
+
+    left alone: its own pairs; with right (places go on after left's): pairs across.
+    """
+    target, base = (left, 0) if right is None else (right, len(left))
+    forest, planes = Forest(base + len(target)), bit_planes(target)
+    for i in range(0, len(left), batch):
+        probe, found = neighbours(planes, len(target), left[i : i + batch], radius)
+        forest.join(probe + i, found + base)
+    return forest.links
+
+
+def small_group_links(fps: np.ndarray, group: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """The same for many small groups at once: rows are compared with the rows 1, 2, ... places on in their group."""
+    forest, step = Forest(len(fps)), 1
+    left = np.flatnonzero(group[1:] == group[:-1])
+    while len(left):
+        near = np.bitwise_count(fps[left] ^ fps[left + step]).sum(axis=1) <= radius
+        forest.join(left[near], left[near] + step)
+        step += 1
+        left = left[left + step < len(fps)]
+        left = left[group[left + step] == group[left]]
+    return forest.links
 
 
 def bucket_keys(fp: Column, radius: int, blocks: int = 6) -> Column:
@@ -165,63 +190,127 @@ def bucket_keys(fp: Column, radius: int, blocks: int = 6) -> Column:
     return F.array(*keys)
 
 
-def near_links(distinct: DataFrame, radius: int, blocks: int = 6, bucket: int = BUCKET) -> DataFrame:
-    """(a, b): links that span all pairs of distinct fingerprints (column fp) within radius."""
-    keyed = distinct.select("fp", F.explode(bucket_keys(F.col("fp"), radius, blocks)).alias("key")).select("fp", "key.choice", "key.bits")
-    sizes = keyed.groupBy("choice", "bits").count().filter("count > 1").select(F.col("choice").alias("c"), F.col("bits").alias("k"), F.ceil(F.col("count") / bucket).cast("int").alias("slices"))
-    rows = keyed.join(sizes, (keyed.choice == sizes.c) & (keyed.bits == sizes.k)).select("choice", "bits", "fp", "slices", F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int").alias("own"))
-    # a row goes to the task of every pair of slices that has its own
-    pairs = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda s: F.struct(F.least(s, F.col("own")).alias("i"), F.greatest(s, F.col("own")).alias("j")))
-    tasks = rows.select("choice", "bits", "fp", "own", F.explode(pairs).alias("pair"))
-    grouped = tasks.select("fp", "own", "choice", "bits", "pair.i", "pair.j")
-
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        fps = pdf["fp"].to_numpy().view(np.uint64)
-        own, i, j = pdf["own"].to_numpy(), pdf["i"].iloc[0], pdf["j"].iloc[0]
-        found = spanning_links(np.sort(fps), None, radius) if i == j else spanning_links(np.sort(fps[own == i]), np.sort(fps[own == j]), radius)
-        return pd.DataFrame(np.array(found, np.uint64).reshape(-1, 2).view(np.int64), columns=["a", "b"])
-
-    return many_groups(grouped, ["choice", "bits", "i", "j"], link, "a long, b long")
-
-
-def many_groups(df: DataFrame, keys: list[str], function, schema: str) -> DataFrame:
-    """Apply a pandas function to each group, many small groups of a partition in one batch stream.
+def near_links(distinct: DataFrame, radius: int, bucket: int = BUCKET) -> DataFrame:
+    """(a, b): links that span all pairs of rows (node, keys, fp) which share a key and are at most radius bits apart.
 
-    Rows are dealt by the keys and sorted within their partition; a group that spans Arrow batches is
-    carried over, so a task holds one batch and one group (of bounded size here) at a time.
+    node: a long that stands for the fingerprint; keys: array of structs (choice, bits); fp: its words as binary.
+    A task gets whole groups of at most two slices of about `bucket` rows.
     """
-    dealt = df.repartition(*keys).sortWithinPartitions(*keys)
+    keyed = distinct.select("node", "fp", F.explode("keys").alias("key")).select("node", "fp", "key.choice", "key.bits")
+    sizes = keyed.groupBy("choice", "bits").count().filter("count > 1")
+    sizes = sizes.select(F.col("choice").alias("c"), F.col("bits").alias("k"), F.ceil(F.col("count") / bucket).cast("int").alias("slices"))
+    rows = keyed.join(sizes, (keyed.choice == sizes.c) & (keyed.bits == sizes.k)).withColumn("own", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
+    # a row goes to the group of every pair of slices that has its own
+    pairs = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda s: F.struct(F.least(s, F.col("own")).alias("i"), F.greatest(s, F.col("own")).alias("j")))
+    sent = rows.select("node", "fp", "choice", "bits", "own", F.explode(pairs).alias("pair")).select("node", "fp", "own", "choice", "bits", "pair.i", "pair.j")
+    keys = ["choice", "bits", "i", "j"]
+
+    def links(part: pd.DataFrame) -> pd.DataFrame:
+        """Links of the whole groups of a sorted batch."""
+        fps = np.frombuffer(b"".join(part["fp"]), "<u8").reshape(len(part), -1)
+        nodes, own = part["node"].to_numpy(), part["own"].to_numpy()
+        new = np.ones(len(part), bool)
+        new[1:] = np.logical_or.reduce([part[k].to_numpy()[1:] != part[k].to_numpy()[:-1] for k in keys])
+        group = np.cumsum(new)
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], len(part))
+        across = part["i"].to_numpy() != part["j"].to_numpy()
+        large = (ends - starts > SMALL_GROUP) | across[starts]
+        few = ~np.repeat(large, ends - starts)
+        at = np.flatnonzero(few)
+        found = [(int(at[a]), int(at[b])) for a, b in small_group_links(fps[at], group[at], radius)]
+        for a, b in zip(starts[large].tolist(), ends[large].tolist()):
+            here = np.arange(a, b)
+            if across[a]:
+                sides = [here[own[a:b] == part["i"].iloc[a]], here[own[a:b] == part["j"].iloc[a]]]
+                here = np.concatenate(sides)
+                pairs_found = spanning_links(fps[sides[0]], fps[sides[1]], radius)
+            else:
+                pairs_found = spanning_links(fps[here], None, radius)
+            found += [(int(here[x]), int(here[y])) for x, y in pairs_found]
+        ends_of = np.array(found, np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": nodes[ends_of[:, 0]], "b": nodes[ends_of[:, 1]]})
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # a group that spans Arrow batches is carried over: a task holds one batch and one group at a time
         rest = None
         for part in parts:
-            part = part if rest is None or rest.empty else pd.concat([rest, part], ignore_index=True)
+            part = part if rest is None else pd.concat([rest, part], ignore_index=True)
             if part.empty:
                 continue
-            values = [part[k].to_numpy() for k in keys]
-            new = np.flatnonzero(np.logical_or.reduce([v[1:] != v[:-1] for v in values])) + 1
-            cuts = [0, *new.tolist()]
-            out = [function(part.iloc[a:b]) for a, b in zip(cuts, cuts[1:])]
-            rest = part.iloc[cuts[-1] :]
-            if out := [x for x in out if len(x)]:
-                yield pd.concat(out, ignore_index=True)
+            last = np.logical_and.reduce([(part[k] == part[k].iloc[-1]).to_numpy() for k in keys])
+            cut = len(part) - int(last.sum())
+            if cut:
+                yield links(part.iloc[:cut].reset_index(drop=True))
+            rest = part.iloc[cut:]
         if rest is not None and len(rest):
-            yield function(rest)
+            yield links(rest.reset_index(drop=True))
 
-    return dealt.mapInPandas(run, schema)
+    return sent.repartition(*keys).sortWithinPartitions(*keys, "node").mapInPandas(run, "a long, b long")
 
 
-def classes(prints: DataFrame, radius: int) -> DataFrame:
-    """(fp, component_id) of each distinct fingerprint: component_id is the least doc_id reachable. prints: (doc_id, fp)."""
-    folded = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    found = components(near_links(folded, radius), "simhash")
-    rooted = folded.join(found, folded.fp == found.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+def classes(folded: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component_id): component_id is the least doc_id reachable. folded: (node, first), first the least doc_id of the node."""
+    found = components(links, "simhash").withColumnRenamed("node", "n")
+    rooted = folded.join(found, folded.node == found.n, "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "component_id")
+    return rooted.join(least, "root").select("node", "component_id")
 
 
 def link_documents(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row."""
     prints = materialise(fingerprints(docs, ["doc_id"], shingle), "simhash-prints")
-    by_print = classes(prints, radius)
-    return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    folded = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumnRenamed("fp", "node"), "simhash-distinct")
+    words = F.unhex(F.lpad(F.hex("node"), 16, "0"))  # the order of bits is one to distances
+    links = near_links(folded.select("node", bucket_keys(F.col("node"), radius).alias("keys"), words.alias("fp")), radius)
+    by_print = classes(folded, links)
+    return prints.join(by_print, prints.fp == by_print.node).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def wide_prints(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """(_k, node, keys, fp): a WIDE-bit SimHash of the word shingles as fp, and as keys the bands of another one of the distinct words."""
+    small_batches(docs.sparkSession)
+    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_k"), F.col("text").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            shingles, words = wide_bits(text_bytes(batch.column("text")), shingle)
+            yield pa.RecordBatch.from_arrays([batch.column("_k"), pa.array(shingles, pa.binary()), pa.array(words, pa.binary())], names=["_k", "fp", "words"])
+
+    prints = source.mapInArrow(run, "_k long, fp binary, words binary")
+    bands = F.array(*[F.struct(F.lit(n).alias("choice"), F.conv(F.hex(F.substring("words", 1 + n * BAND // 8, BAND // 8)), 16, 10).cast("long").alias("bits")) for n in range(WIDE // BAND)])
+    return prints.select("_k", F.xxhash64("fp", "words").alias("node"), bands.alias("keys"), "fp")
+
+
+def wide_bits(texts: list[bytes], shingle: int) -> tuple[list[bytes], list[bytes]]:
+    """WIDE-bit SimHashes of each text's set of shingles (hashed by prefix sums over word hashes) and set of words."""
+    raw, starts, ends, first = words_of(texts, lower=True)
+    words = word_hashes(raw, starts, ends)
+    up, down = _SHINGLE.get(len(words) + 1)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)], dtype=np.uint64)))
+    out: tuple[list[bytes], list[bytes]] = ([], [])
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+        at = np.arange(a, max(a + 1, b - shingle + 1)) if b > a else np.arange(0)
+        shingles = mix64((total[np.minimum(at + shingle, b)] - total[at]) * down[at])
+        for hashes, found in ((shingles, out[0]), (words[a:b], out[1])):
+            hashes = np.unique(hashes)
+            spread = np.stack([mix64(hashes ^ salt) for salt in _SALTS], axis=1)
+            ones = np.unpackbits(spread.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+            found.append(np.packbits(ones * 2 > len(hashes)).tobytes())
+    return out
+
+
+def one_of_each(docs: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
+    """docs without near-duplicates: of each group of linked documents that with the least doc_id stays.
+
+    Two documents link if the WIDE-bit SimHashes of their five-word shingles differ in at most radius bits, which
+    is where the shingle sets' similarity is 0.8 (a share of acos(2s / (1 + s)) / pi of the bits differs on average,
+    and the radius stands 1.6 deviations above). Candidates share one of the BAND-bit bands of the SimHashes of
+    their words. Rows of one doc_id stay or go together; wordless texts are copies of each other.
+    """
+    prints = materialise(wide_prints(docs), "near-prints")
+    folded = materialise(prints.groupBy("node").agg(F.min("_k").alias("first"), F.first("keys").alias("keys"), F.first("fp").alias("fp")), "near-distinct")
+    by_node = classes(folded.select("node", "first"), near_links(folded, radius))
+    kept = prints.join(by_node, "node").filter("_k = component_id").select("_k").distinct()
+    keyed = docs.withColumn("_k", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    return keyed.join(kept, "_k", "left_semi").select(*docs.columns)
