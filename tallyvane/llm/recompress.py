@@ -203,10 +203,9 @@ def _window_rows(batches: Iterator[pa.RecordBatch], window: int, buckets: int) -
         chunk = Chunk(ids, text_bytes(batch.column("text")))
         _, word, low, high = chunk.anchors(window)
         marked = np.zeros(len(chunk.hashes), bool)
-        for k, marks in enumerate(batch.column("marks").to_pylist()):
-            for m in marks or []:
-                at = np.frombuffer(m, "<u4").astype(np.int64) + chunk.first[k]
-                marked[at[at < chunk.first[k + 1]]] = True
+        for k, mark in enumerate(batch.column("mark").to_pylist()):
+            at = np.frombuffer(mark, "<u4").astype(np.int64) + chunk.first[k]
+            marked[at[at < chunk.first[k + 1]]] = True
         hit = marked[word]
         edges = np.zeros(len(chunk.hashes) + 1, np.int32)
         np.add.at(edges, low[hit], 1)
@@ -222,17 +221,22 @@ def _window_rows(batches: Iterator[pa.RecordBatch], window: int, buckets: int) -
         yield _deal(ids, doc[head], h[head], g[head], place[head], (doc[repeat], place[repeat]), buckets)
 
 
-def _settle(batches: Iterator[pa.RecordBatch], exact: bool) -> Iterator[pa.RecordBatch]:
-    """(doc, marks) from the dealt rows of a partition: all anchors of a repeated name, or all but the first of equal windows."""
+def _settle(batches: Iterator[pa.RecordBatch], exact: bool, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Rows for buckets of documents, from the dealt rows of a partition: the places of all anchors of a repeated name,
+    or of all but the first of equal windows. One row for each bucket, however many documents it has."""
 
     def give(doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-        order = np.argsort(doc, kind="stable")
-        doc, place = doc[order], place[order].astype("<u4")
-        cuts = np.flatnonzero(np.diff(doc)) + 1
-        firsts = np.concatenate(([0], cuts)).astype(int) if len(doc) else np.zeros(0, int)
-        bounds = np.append(firsts, len(doc)) * 4
-        data = place.tobytes()
-        return pa.RecordBatch.from_arrays([pa.array(doc[firsts], pa.int64()), pa.array([data[a:b] for a, b in zip(bounds.tolist(), bounds[1:].tolist())], pa.binary())], names=["_d", "mark"])
+        order = np.lexsort((place, doc))
+        doc, place = doc[order], place[order]
+        bucket = (mix64(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []
+        rows = []
+        for part in parts:
+            at, counts = np.unique(doc[part], return_counts=True)
+            rows.append((int(bucket[part[0]]), at.astype("<i8").tobytes(), counts.astype("<u4").tobytes(), place[part].astype("<u4").tobytes()))
+        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["to", "ids", "counts", "place"])
 
     hs, gs, docs, places = [], [], [], []
     for batch in batches:
@@ -244,7 +248,7 @@ def _settle(batches: Iterator[pa.RecordBatch], exact: bool) -> Iterator[pa.Recor
                 continue
             docs.append(doc)
             places.append(place)
-            hs.append(np.frombuffer(row["h"], "<u8" if exact else "<u4").astype(np.uint64) if exact else np.frombuffer(row["h"], "<u4").astype(np.uint64) | np.uint64(row["bucket"]) << np.uint64(32))
+            hs.append(np.frombuffer(row["h"], "<u8") if exact else np.frombuffer(row["h"], "<u4").astype(np.uint64) | np.uint64(row["bucket"]) << np.uint64(32))
             gs.append(np.frombuffer(row["g"], "<u4"))
     if not hs:
         return
@@ -261,14 +265,30 @@ def _settle(batches: Iterator[pa.RecordBatch], exact: bool) -> Iterator[pa.Recor
     yield give(doc[hit], place[hit])
 
 
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(_d, mark): one row for each document of a partition's document buckets."""
+    docs, places = [np.zeros(0, "<i8")], [np.zeros(0, "<u4")]
+    for batch in batches:
+        for row in batch.to_pylist():
+            docs.append(np.repeat(np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["counts"], "<u4")))
+            places.append(np.frombuffer(row["place"], "<u4"))
+    doc, place = np.concatenate(docs), np.concatenate(places)
+    order = np.argsort(doc, kind="stable")
+    doc, data = doc[order], place[order].astype("<u4").tobytes()
+    firsts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, int)
+    bounds = np.append(firsts, len(doc)) * 4
+    marks = [data[a:b] for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
+    yield pa.RecordBatch.from_arrays([pa.array(doc[firsts], pa.int64()), pa.array(marks, pa.binary())], names=["_d", "mark"])
+
+
 def _marks(rows: DataFrame, exact: bool, buckets: int) -> DataFrame:
     dealt = rows.repartition(buckets, "bucket")
-    marks = dealt.mapInArrow(lambda batches: _settle(batches, exact), "_d long, mark binary")
-    return marks.groupBy("_d").agg(F.collect_list("mark").alias("marks"))
+    settled = dealt.mapInArrow(lambda batches: _settle(batches, exact, buckets), "to int, ids binary, counts binary, place binary")
+    return settled.repartition(buckets, "to").mapInArrow(_gather, "_d long, mark binary")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(_d, marks): for each document number, packed starts of the windows whose sequence starts earlier. docs: (_k, text)."""
+    """(_d, mark): for each document number, packed starts of the windows whose sequence starts earlier. docs: (_k, text)."""
     buckets = shuffle_partitions(docs.sparkSession)
     anchor_rows = docs.mapInArrow(lambda batches: _anchor_rows(batches, window, buckets), _FIELDS)
     marks = _marks(anchor_rows, False, buckets)
@@ -277,10 +297,15 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return _marks(window_rows, True, buckets)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256[, kept]) of every row; kept is the text itself where nothing was removed."""
+def remove_repeats(docs: DataFrame, window: int = WINDOW, keep: list[str] | None = None, with_text: bool = False) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256[, _keep][, kept]) of every row.
+
+    _keep: a struct of the columns named in keep. kept: the text itself where nothing was removed (null where it is
+    null), else the kept words joined by one space.
+    """
     small_batches(docs.sparkSession)
-    source = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("_k"), docs["text"].cast("string").alias("text"))
+    others = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_keep")] if keep else []
+    source = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("_k"), docs["text"].cast("string").alias("text"), *others)
     found = repeated_windows(source, window)
     joined = source.join(found, source["_k"] == found["_d"], "left").drop("_d")
 
@@ -289,24 +314,33 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
             texts = text_bytes(batch.column("text"))
             raw, starts, ends, first = words_of(texts)
             edges = np.zeros(len(starts) + 1 + window, np.int32)
-            for k, marks in enumerate(batch.column("marks").to_pylist()):
-                for m in marks or []:
-                    at = np.frombuffer(m, "<u4").astype(np.int64) + first[k]
+            for k, mark in enumerate(batch.column("mark").to_pylist()):
+                if mark:
+                    at = np.frombuffer(mark, "<u4").astype(np.int64) + first[k]
                     at = at[at + window <= first[k + 1]]
                     np.add.at(edges, at, 1)
                     np.add.at(edges, at + window, -1)
             gone = np.cumsum(edges)[: len(starts)] > 0
-            data, begin, end = raw.tobytes(), starts.tolist(), ends.tolist()
+            data, begin, end, valid = raw.tobytes(), starts.tolist(), ends.tolist(), batch.column("text").is_valid().to_pylist()
             rows = []
             for k in range(len(texts)):
                 a, b = int(first[k]), int(first[k + 1])
                 stay = (np.flatnonzero(~gone[a:b]) + a).tolist()
                 kept = b" ".join([data[begin[i] : end[i]] for i in stay])
-                rows.append((b - a, b - a - len(stay), hashlib.sha256(kept).hexdigest(), texts[k] if len(stay) == b - a else kept))
+                rows.append((b - a, b - a - len(stay), hashlib.sha256(kept).hexdigest(), None if not valid[k] else texts[k] if len(stay) == b - a else kept))
             columns = {"_k": batch.column("_k"), "n_words": pa.array([r[0] for r in rows], pa.int64()), "n_removed": pa.array([r[1] for r in rows], pa.int64()), "kept_sha256": pa.array([r[2] for r in rows], pa.string())}
+            if keep:
+                columns["_keep"] = batch.column("_keep")
             if with_text:
                 columns["kept"] = pa.array([r[3] for r in rows], pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_pydict(columns)
 
-    out = joined.select("_k", "text", "marks").mapInArrow(run, "_k long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
+    kept_type = f", _keep {source.schema['_keep'].dataType.simpleString()}" if keep else ""
+    out = joined.mapInArrow(run, "_k long, n_words long, n_removed long, kept_sha256 string" + kept_type + ", kept string" * with_text)
     return out.select(F.when(F.col("_k") != NO_ID, F.col("_k")).alias("doc_id"), *out.columns[1:])
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs with the repeated words removed from the texts (kept words joined by one space); other texts and columns as they are."""
+    found = remove_repeats(docs, window, [c for c in docs.columns if c != "text"], with_text=True)
+    return found.select(*[F.col("kept").alias("text") if c == "text" else F.col(f"_keep.`{c}`").alias(c) for c in docs.columns])
