@@ -1,6 +1,6 @@
 """Document fingerprints: invertible Bloom lookup sketches of piece digests, in DataFrame and SQL functions only.
 
-A text's pieces (sentences and lines, at most PIECE code points each) are hashed to 64-bit digests. A table
+A text's pieces (lines, or runs of sentences of a line from LEAST to MOST code points) are hashed to 64-bit digests. A table
 has three rows of four cells; each digest is added to one cell of each row: to its count, to the XOR of
 digests and to the XOR of check hashes. Tables of two versions subtract cell by cell, what both hold
 cancels out, and peeling recovers the rest: a cell with one digest left shows it, which clears it from its
@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_partitions
 
-CELLS, ROW, LOAD, RETRIES, PIECE = 12, 4, 8, 2, 256
-#: A piece ends with its sentence, line or text, or else after PIECE code points.
-PIECES = rf"[^\n]{{1,{PIECE}}}?(?:[.!?;:|](?=\s)|(?=\n)|$)|[^\n]{{1,{PIECE}}}"
+CELLS, ROW, LOAD, PEELS, RETRIES = 12, 4, 8, 6, 2
+LEAST, MOST = 64, 256
+#: A piece has LEAST code points or more and ends with its sentence, line or text, or else after MOST.
+PIECES = rf"[^\n]{{{LEAST},{MOST}}}?(?:[.!?;:|](?=\s)|(?=\n)|$)|[^\n]{{1,{MOST}}}"
 NO_ID = -(1 << 63)
 
 
@@ -45,9 +46,12 @@ def _in_cell(key: str, cell: str) -> str:
 
 def sketch_sql(digests: str) -> str:
     """Cells of one table over an array of digests."""
-    own = f"filter({digests}, d -> {_in_cell('d', 'j')})"
     cell = "named_struct('n', size(own), 'k', aggregate(own, 0L, (s, d) -> s ^ d), 'h', aggregate(own, 0L, (s, d) -> s ^ xxhash64(d)))"
-    return f"transform(sequence(0, {CELLS - 1}), j -> {_let(own, 'own', cell)})"
+    rows = []
+    for row in range(CELLS // ROW):
+        own = f"filter({digests}, d -> (shiftright(d, {2 * row}) & {ROW - 1}) = j)"
+        rows.append(f"transform(sequence(0, {ROW - 1}), j -> {_let(own, 'own', cell)})")
+    return f"concat({', '.join(rows)})"
 
 
 def subtract_sql(a: str, b: str) -> str:
@@ -59,7 +63,7 @@ def peel_sql(cells: str) -> str:
     pure = "array_distinct(filter(s.c, x -> abs(x.n) = 1 AND x.h = xxhash64(x.k)))"
     less = f"aggregate(filter(p, y -> {_in_cell('y.k', 'j')}), x, (q, y) -> named_struct('n', q.n - y.n, 'k', q.k ^ y.k, 'h', q.h ^ y.h))"
     step = f"if(size(p) = 0, s, named_struct('c', transform(s.c, (x, j) -> {less}), 'f', s.f + size(p)))"
-    return f"aggregate(sequence(1, {CELLS}), named_struct('c', {cells}, 'f', 0), (s, i) -> {_let(pure, 'p', step)})"
+    return f"aggregate(sequence(1, {PEELS}), named_struct('c', {cells}, 'f', 0), (s, i) -> {_let(pure, 'p', step)})"
 
 
 def difference_sql(a: str, b: str, level: int = 0) -> str:
@@ -76,11 +80,17 @@ def difference_sql(a: str, b: str, level: int = 0) -> str:
 
 
 def recovered_sql(a: str, b: str) -> str:
-    """Digests in one of two digest arrays only, over as many parts as their numbers ask for."""
-    parts = f"greatest(1, cast(ceil((size({a}) + size({b})) / {LOAD}) AS int))"
-    mine = f"filter({{}}, x -> pmod(shiftright(x, 8), {parts}) = part)"
-    each = _let(f"named_struct('a', {mine.format(a)}, 'b', {mine.format(b)})", "u", f"if(u.a = u.b, 0, {difference_sql('u.a', 'u.b')})")
-    return f"if({a} = {b}, 0, aggregate(sequence(0, {parts} - 1), 0, (total, part) -> total + {each}))"
+    """Digests in one of two digest arrays only, over as many parts as their numbers ask for.
+
+    Parts are reached in two steps, groups of parts and then the parts of a group, so that a text of n digests is
+    scanned some root of n times, not n times.
+    """
+    groups = f"greatest(1, cast(ceil(sqrt((size({a}) + size({b})) / {LOAD})) AS int))"
+    of_group = f"filter({{}}, x -> pmod(shiftright(x, 8), {groups}) = grp)"
+    of_part = f"filter({{}}, x -> pmod(shiftright(x, 24), {groups}) = part)"
+    each = _let(f"named_struct('a', {of_part.format('w.a')}, 'b', {of_part.format('w.b')})", "u", f"if(u.a = u.b, 0, {difference_sql('u.a', 'u.b')})")
+    group = _let(f"named_struct('a', {of_group.format(a)}, 'b', {of_group.format(b)})", "w", f"if(w.a = w.b, 0, aggregate(sequence(0, {groups} - 1), 0, (sum, part) -> sum + {each}))")
+    return f"if({a} = {b}, 0, aggregate(sequence(0, {groups} - 1), 0, (total, grp) -> total + {group}))"
 
 
 def likeness_sql(a: str, b: str) -> str:
