@@ -84,11 +84,16 @@ def java_hash(text: Column) -> Column:
     return F.when(total > 0x7FFFFFFF, total - (1 << 32)).otherwise(total).cast("int")
 
 
+def whole(number: Column, by: int) -> Column:
+    """Integer division of a long."""
+    return F.call_function("div", number, F.lit(by))
+
+
 def millis_by_digits(stamp: Column) -> Column:
     """Epoch milliseconds from a number's digits: 19 are nanoseconds, 16 microseconds, 13 milliseconds, else seconds."""
     text = stamp.cast("string")
     number = text.try_cast("long")
-    return F.when(F.length(text) == 19, F.floor(number / 1_000_000)).when(F.length(text) == 16, F.floor(number / 1000)).when(F.length(text) == 13, number).otherwise(number * 1000).cast("long")
+    return F.when(F.length(text) == 19, whole(number, 1_000_000)).when(F.length(text) == 16, whole(number, 1000)).when(F.length(text) == 13, number).otherwise(number * 1000).cast("long")
 
 
 def epoch_millis(ts: Column) -> Column:

@@ -10,12 +10,12 @@ from ..functions import tags as T
 ANY = "struct<stringValue:string,boolValue:boolean,intValue:string,doubleValue:double,bytesValue:string,arrayValue:struct<values:array<struct<stringValue:string,boolValue:boolean,intValue:string,doubleValue:double>>>,kvlistValue:string>"
 ATTRIBUTES = f"array<struct<key:string,value:{ANY}>>"
 NUMBER_POINTS = f"array<struct<attributes:{ATTRIBUTES},timeUnixNano:string,asDouble:double,asInt:string>>"
-HISTOGRAM_POINTS = f"array<struct<attributes:{ATTRIBUTES},timeUnixNano:string,bucketCounts:array<bigint>,explicitBounds:array<double>>>"
+HISTOGRAM_POINTS = f"array<struct<attributes:{ATTRIBUTES},timeUnixNano:string,bucketCounts:array<string>,explicitBounds:array<double>>>"
 EXPONENTIAL_POINTS = (
-    f"array<struct<attributes:{ATTRIBUTES},timeUnixNano:string,scale:int,zeroCount:bigint,"
-    "positive:struct<`offset`:int,bucketCounts:array<bigint>>,negative:struct<`offset`:int,bucketCounts:array<bigint>>>>"
+    f"array<struct<attributes:{ATTRIBUTES},timeUnixNano:string,scale:int,zeroCount:string,"
+    "positive:struct<`offset`:int,bucketCounts:array<string>>,negative:struct<`offset`:int,bucketCounts:array<string>>>>"
 )
-SUMMARY_POINTS = f"array<struct<attributes:{ATTRIBUTES},timeUnixNano:string,`count`:bigint,`sum`:double,quantileValues:array<struct<quantile:double,value:double>>>>"
+SUMMARY_POINTS = f"array<struct<attributes:{ATTRIBUTES},timeUnixNano:string,`count`:string,`sum`:double,quantileValues:array<struct<quantile:double,value:double>>>>"
 METRICS = (
     f"struct<resourceMetrics:array<struct<resource:struct<attributes:{ATTRIBUTES}>,scopeMetrics:array<struct<scope:struct<name:string,version:string>,"
     f"metrics:array<struct<name:string,gauge:struct<dataPoints:{NUMBER_POINTS}>,`sum`:struct<aggregationTemporality:int,dataPoints:{NUMBER_POINTS}>,"
@@ -65,7 +65,7 @@ def _points(metrics: DataFrame, points: str, columns: list[str]) -> DataFrame:
     source, rest = source_and_tags(F.col("_a"), "")
     nanos = F.col("_p.timeUnixNano").try_cast("long")
     source = F.when(source == "", F.col("fallback_source")).otherwise(source)
-    return out.select(*columns, "name", "_p", source.alias("source"), rest.alias("tags"), F.floor(nanos / 1_000_000).cast("long").alias("ts_ms"))
+    return out.select(*columns, "name", "_p", source.alias("source"), rest.alias("tags"), T.whole(nanos, 1_000_000).alias("ts_ms"))
 
 
 def _own(metrics: DataFrame) -> list[str]:
@@ -111,9 +111,9 @@ def exponential_buckets(scale: Column, zero: Column, positive: Column, negative:
     """(counts, bounds) of an exponential histogram, from the lowest bucket up. bounds has one entry more than counts:
     bucket i reaches from bounds[i] to bounds[i + 1]."""
     base = F.pow(F.lit(2.0), F.pow(F.lit(2.0), -scale))
-    longs = lambda side: F.coalesce(side["bucketCounts"], F.array().cast("array<bigint>"))
+    longs = lambda side: F.coalesce(side["bucketCounts"].cast("array<bigint>"), F.array().cast("array<bigint>"))
     edges = lambda side: F.transform(F.sequence(F.lit(0), F.size(longs(side))), lambda i: F.pow(base, i + F.coalesce(side["offset"], F.lit(0))))
-    counts = F.concat(F.reverse(longs(negative)), F.array(F.coalesce(zero, F.lit(0)).cast("bigint")), longs(positive))
+    counts = F.concat(F.reverse(longs(negative)), F.array(F.coalesce(zero.cast("bigint"), F.lit(0).cast("bigint"))), longs(positive))
     bounds = F.concat(F.reverse(F.transform(edges(negative), lambda x: -x)), edges(positive))
     return counts, bounds
 
@@ -144,7 +144,7 @@ def bucket_centroids(counts: Column, bounds: Column) -> Column:
 def _histograms(metrics: DataFrame) -> DataFrame:
     own = _own(metrics)
     explicit = _points(metrics.filter("_m.histogram IS NOT NULL").withColumn("_t", F.col("_m.histogram.aggregationTemporality")), "_m.histogram.dataPoints", [*own, "_t"])
-    counts, bounds = F.col("_p.bucketCounts"), F.coalesce(F.col("_p.explicitBounds"), F.array().cast("array<double>"))
+    counts, bounds = F.col("_p.bucketCounts").cast("array<bigint>"), F.coalesce(F.col("_p.explicitBounds"), F.array().cast("array<double>"))
     base = [*own, "_t", "name", "source", "tags", "ts_ms"]
     explicit = explicit.select(*base, counts.alias("counts"), bounds.alias("uppers"), explicit_centroids(counts, bounds).alias("centroids"), explicit_error(counts, bounds).alias("error"))
     exponential = _points(metrics.filter("_m.exponentialHistogram IS NOT NULL").withColumn("_t", F.col("_m.exponentialHistogram.aggregationTemporality")), "_m.exponentialHistogram.dataPoints", [*own, "_t"])
@@ -196,7 +196,7 @@ def decode_spans(bodies: DataFrame, body: str = "body", default_source: str = "u
     merged = T.merge(attribute_map(F.col("_r.resource.attributes")), attribute_map(F.col("_s.attributes")))
     out = out.withColumn("_a", merged)
     source, rest = source_and_tags(F.col("_a"), default_source)
-    millis = lambda c: F.floor(F.col(c).try_cast("long") / 1_000_000).cast("long")
+    millis = lambda c: T.whole(F.col(c).try_cast("long"), 1_000_000)
     start, end = millis("_s.startTimeUnixNano"), millis("_s.endTimeUnixNano")
     kind = F.get(F.array(*[F.lit(k) for k in KINDS]), F.coalesce("_s.kind", F.lit(0)))
     count = lambda c: F.when(F.col(c) > 0, F.col(c))
@@ -209,7 +209,7 @@ def decode_spans(bodies: DataFrame, body: str = "body", default_source: str = "u
     ]
     annotations = F.concat(T.canonical(rest).cast(T.ANNOTATIONS), F.filter(F.array(*[T.annotation(k, v) for k, v in more]), lambda a: a["value"].isNotNull()))
     fields = lambda e: T.merge(attribute_map(e["attributes"]), F.create_map(F.lit("name"), e["name"]))
-    logs = F.transform("_s.events", lambda e: F.struct(F.floor(e["timeUnixNano"].try_cast("long") / 1000).cast("long").alias("ts_us"), fields(e).alias("fields")))
+    logs = F.transform("_s.events", lambda e: F.struct(T.whole(e["timeUnixNano"].try_cast("long"), 1000).alias("ts_us"), fields(e).alias("fields")))
     return out.filter("_s IS NOT NULL").select(
         *bodies.columns, F.col("_s.name").alias("name"), source.alias("source"), T.uuid_of_hex(F.col("_s.spanId")).alias("span_id"), T.uuid_of_hex(F.col("_s.traceId")).alias("trace_id"),
         start.alias("start_ms"), F.when(end == 0, F.lit(0)).otherwise(end - start).cast("long").alias("duration_ms"), annotations.alias("annotations"), F.when(F.size("_s.events") > 0, logs).alias("logs"),

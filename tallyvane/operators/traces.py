@@ -48,7 +48,7 @@ def decode_jaeger(batches: DataFrame, body: str = "body", defaults: dict[str, st
     logs = F.transform("_s.logs", lambda x: F.struct(x["timestamp"].alias("ts_us"), T.from_pairs(_tag_pairs(x["fields"])).alias("fields")))
     return out.select(
         *batches.columns, F.col("_s.operationName").alias("name"), source.alias("source"), T.uuid_of_hex(F.col("_s.spanId")).alias("span_id"), trace.alias("trace_id"),
-        F.floor(F.col("_s.startTime") / 1000).cast("long").alias("start_ms"), F.floor(F.col("_s.duration") / 1000).cast("long").alias("duration_ms"), annotations.alias("annotations"), logs.alias("logs"),
+        T.whole(F.col("_s.startTime"), 1000).alias("start_ms"), T.whole(F.col("_s.duration"), 1000).alias("duration_ms"), annotations.alias("annotations"), logs.alias("logs"),
     )
 
 
@@ -68,5 +68,5 @@ def decode_zipkin(requests: DataFrame, body: str = "body", defaults: dict[str, s
     logs = F.transform("_s.annotations", lambda x: F.struct(x["timestamp"].alias("ts_us"), F.create_map(F.lit("annotation"), x["value"]).alias("fields")))
     return out.select(
         *requests.columns, F.coalesce("_s.name", F.lit("defaultOperation")).alias("name"), F.coalesce(tags["source"], F.lit(default_source)).alias("source"), T.uuid_of_hex(F.col("_s.id")).alias("span_id"), T.uuid_of_hex(F.col("_s.traceId")).alias("trace_id"),
-        F.floor(F.col("_s.timestamp") / 1000).cast("long").alias("start_ms"), F.floor(F.coalesce("_s.duration", F.lit(0)) / 1000).cast("long").alias("duration_ms"), annotations.alias("annotations"), F.when(F.size("_s.annotations") > 0, logs).alias("logs"),
+        T.whole(F.col("_s.timestamp"), 1000).alias("start_ms"), T.whole(F.coalesce("_s.duration", F.lit(0).cast("bigint")), 1000).alias("duration_ms"), annotations.alias("annotations"), F.when(F.size("_s.annotations") > 0, logs).alias("logs"),
     )

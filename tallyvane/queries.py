@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from .plans import decode_queries
+from .plans.registry import ORACLES, QUERIES, Query
 
-def queries() -> dict:
-    return {}
+_ = decode_queries
 
 
-def oracle_sql() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
