@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import decode_queries
+from .plans import aggregate_queries, decode_queries, rule_queries
 from .plans.registry import ORACLES, QUERIES, Query
 
-_ = decode_queries
+_ = (aggregate_queries, decode_queries, rule_queries)
 
 
 def queries() -> dict[str, Query]:
