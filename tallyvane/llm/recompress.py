@@ -166,7 +166,9 @@ def _deal(ids: np.ndarray, doc: np.ndarray, h: np.ndarray, g: np.ndarray | None,
         name = h[part].astype("<u8") if g is not None else h[part].astype("<u4")
         rows.append((int(bucket[part[0]]), False, *packed, name.tobytes(), g[part].astype("<u4").tobytes() if g is not None else b"", place[part].astype("<u4").tobytes()))
     if len(repeats[0]):
-        rows.append((int(rows[0][0]) if rows else 0, True, *_packed(ids, repeats[0]), b"", b"", repeats[1].astype("<u4").tobytes()))
+        # any bucket will do for these: one by the chunk's first document, so that no bucket gets them all
+        anywhere = int(mix64(ids[repeats[0][:1]].view(np.uint64))[0] % np.uint64(buckets))
+        rows.append((anywhere, True, *_packed(ids, repeats[0]), b"", b"", repeats[1].astype("<u4").tobytes()))
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_SCHEMA)], schema=_SCHEMA)
 
 
