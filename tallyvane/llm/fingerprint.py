@@ -127,7 +127,7 @@ def with_next(docs: DataFrame, ranges: int) -> DataFrame:
 
 def fingerprint_versions(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row."""
-    ranges = shuffle_partitions(docs.sparkSession)
+    ranges = 4 * shuffle_partitions(docs.sparkSession)  # several to a partition, so that partitions are alike in size
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_k"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     paired = with_next(source, ranges).select("_k", "text", F.col("next.text").alias("following"))
     edited = paired.withColumn("n_chars", F.char_length("text").cast("long"))
