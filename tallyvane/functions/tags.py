@@ -48,7 +48,8 @@ def rename(tags: Column, old: str, new: str, when: Column | None = None) -> Colu
 def from_pairs(pairs: Column) -> Column:
     """A map from an array of (key, value) structs; of a key given twice the last value wins."""
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i - 1, F.lit(0))), lambda q: q["key"] == p["key"]))
-    return F.map_from_entries(last)
+    apart = F.size(F.array_distinct(F.transform(pairs, lambda p: p["key"]))) == F.size(pairs)
+    return F.when(apart, F.map_from_entries(pairs)).otherwise(F.map_from_entries(last))
 
 
 def first_value(annotations: Column, key: str | Column) -> Column:
