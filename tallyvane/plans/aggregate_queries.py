@@ -77,13 +77,14 @@ def a7_recompress(spark, sf_dir):
     return out.select("metric", "source", F.aggregate("centroids", F.lit(0).cast("bigint"), lambda s, c: s + c["count"]).alias("n"), (F.size("centroids") <= 40).alias("small"))
 
 
-@query(f"""WITH {POINTS}, b AS (SELECT metric, ts_ms // 3600000 * 3600000 AS bin_start_ms, min(ts_ms) + 500 AS first_ms FROM points GROUP BY ALL), n AS (SELECT max(ts_ms) - 86400000 AS now FROM points)
-  SELECT metric, bin_start_ms FROM b, n WHERE first_ms + 4200000 < now""")
+NOW_MS = 1_705_795_200_000  # 2024-01-21, within the events' days
+
+
+@query(f"""WITH {POINTS}, b AS (SELECT metric, ts_ms // 3600000 * 3600000 AS bin_start_ms, min(ts_ms) + 500 AS first_ms FROM points GROUP BY ALL)
+  SELECT metric, bin_start_ms FROM b WHERE first_ms + 4200000 < {NOW_MS}""")
 def a9_ripe_bins(spark, sf_dir):
-    p = points(spark, sf_dir)
-    bins = p.groupBy("metric", A.bin_start(F.col("ts_ms"), A.HOUR).alias("bin_start_ms")).agg((F.min("ts_ms") + 500).alias("first_ms")).withColumn("duration_ms", F.lit(A.HOUR))
-    now = p.agg((F.max("ts_ms") - A.DAY).alias("now"))
-    return A.ripe(bins.join(F.broadcast(now), F.lit(True)), "first_ms", F.col("now")).select("metric", "bin_start_ms")  # one row
+    bins = points(spark, sf_dir).groupBy("metric", A.bin_start(F.col("ts_ms"), A.HOUR).alias("bin_start_ms")).agg((F.min("ts_ms") + 500).alias("first_ms")).withColumn("duration_ms", F.lit(A.HOUR))
+    return A.ripe(bins, "first_ms", F.lit(NOW_MS)).select("metric", "bin_start_ms")
 
 
 RED = "start_ms // 60000 * 60000 AS minute_ms, source, name AS operation, application, service, 'none' AS cluster, 'none' AS shard, 'none' AS component"
