@@ -87,6 +87,23 @@ def a9_ripe_bins(spark, sf_dir):
     return A.ripe(bins, "first_ms", F.lit(NOW_MS)).select("metric", "bin_start_ms")
 
 
+@query(f"""WITH {POINTS} SELECT metric, source, ts_ms // 60000 * 60000 AS bin_start_ms, value AS mean, CAST(count(*) AS BIGINT) AS count FROM points GROUP BY ALL""")
+def a8_flush_merge(spark, sf_dir):
+    """Bins that were flushed in two parts merge into what one pass would count."""
+    p = points(spark, sf_dir)
+    flushed = A.value_bins(p.filter("seq % 2 = 0")).unionByName(A.value_bins(p.filter("seq % 2 = 1")))
+    return A.merge_histograms(flushed).select("metric", "source", "bin_start_ms", "mean", "count")
+
+
+@query(f"""WITH {POINTS}, b AS (SELECT metric, CASE WHEN seq % 2 = 0 THEN 60000 ELSE 3600000 END AS ms, ts_ms, floor(value) AS mean FROM points)
+  SELECT metric, CAST(ms AS INTEGER) AS duration_ms, ts_ms // ms * ms AS bin_start_ms, mean, CAST(count(*) AS BIGINT) AS count FROM b GROUP BY ALL""")
+def a10_relay_bins(spark, sf_dir):
+    """Relayed distributions merge at their own granularity."""
+    ms = F.when(F.col("seq") % 2 == 0, F.lit(A.MINUTE)).otherwise(F.lit(A.HOUR))
+    rows = points(spark, sf_dir).select("metric", F.lit("all").alias("source"), F.array().cast(T.ANNOTATIONS).alias("tags"), A.bin_start(F.col("ts_ms"), ms).alias("bin_start_ms"), ms.alias("duration_ms"), F.floor("value").cast("double").alias("mean"), F.lit(1).cast("long").alias("count"))
+    return A.merge_histograms(rows).select("metric", "duration_ms", "bin_start_ms", "mean", "count")
+
+
 RED = "start_ms // 60000 * 60000 AS minute_ms, source, name AS operation, application, service, 'none' AS cluster, 'none' AS shard, 'none' AS component"
 
 
@@ -138,6 +155,14 @@ def l2_templates(spark, sf_dir):
     return L.matched(log_lines(spark, sf_dir), m).select("seq", "source", "metric")
 
 
+@query(f"WITH {LOGS} SELECT seq, CASE WHEN k = '7' THEN 'b=' || dc ELSE 'a=' || k || ',b=' || dc END AS tags FROM ops WHERE k <> ''")
+def l3_tags(spark, sf_dir):
+    """Tags of captures by label, sorted; blank ones are left out."""
+    lines = log_lines(spark, sf_dir).withColumn("line", F.regexp_replace("line", "AZ=az7$", "AZ="))
+    m = L.Matcher("operation %{WORD:op} took %{NUMBER:value} seconds in DC=%{NOTSPACE:dc} AZ=(?:az)?%{DATA:az}$", "m", tag_keys=("b", "a"), tag_value_labels=("dc", "az"))
+    return L.matched(lines, m).select("seq", T.tag_text(F.col("tags")).alias("tags"))
+
+
 @query(f"WITH {LOGS} SELECT '∆' || op || '.totalSeconds' AS metric, {TAGS} AS tags, CAST(sum(v) AS BIGINT) AS value FROM ops GROUP BY ALL HAVING sum(v) <> 0 UNION ALL SELECT '∆plainCounter', '', count(*) FROM points WHERE seq % 3 = 1")
 def l4_counter(spark, sf_dir):
     lines = log_lines(spark, sf_dir)
@@ -233,3 +258,10 @@ def r5_batch_split(spark, sf_dir):
 @query(f"WITH {POINTS} SELECT seq, (1 + 0.5) * 2 * pow(2, least(seq % 7, 4)) AS wait, seq % 12 < 10 AS goes_on FROM points")
 def r9_backoff(spark, sf_dir):
     return points(spark, sf_dir).select("seq", S.backoff_seconds(F.col("seq") % 7, 2.0, 2.0, F.lit(0.5)).alias("wait"), S.keep_draining(F.col("seq") % 12).alias("goes_on"))
+
+
+@query(f"WITH {POINTS} SELECT CASE WHEN seq % 5 = 0 THEN 'HISTOGRAM' ELSE 'POINT' END AS entity, CASE WHEN k < '5' THEN 'central' ELSE 'other' END AS tenant, count(*) AS n FROM points GROUP BY ALL")
+def r1_fan_out(spark, sf_dir):
+    """How many rows each folder of the fan-out gets (sinks.delivery.fan_out writes them)."""
+    rows = points(spark, sf_dir).select("seq", F.when(F.col("seq") % 5 == 0, F.lit("HISTOGRAM")).otherwise(F.lit("POINT")).alias("entity"), F.when(F.col("tags")["k"] < "5", F.lit("central")).otherwise(F.lit("other")).alias("tenant"))
+    return rows.groupBy("entity", "tenant").agg(F.count("*").alias("n"))

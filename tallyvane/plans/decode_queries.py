@@ -372,6 +372,13 @@ def d29_id_to_uuid(spark, sf_dir):
 # --- sources -------------------------------------------------------------------------------------------------------
 
 
+@query("SELECT doc_id, CAST(length(l) AS INTEGER) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE length(trim(l)) BETWEEN 1 AND 200 AND l = trim(l)")
+def s2_line_length(spark, sf_dir):
+    """Lines of the documents up to a length; longer ones are left out."""
+    lines = S.body_lines(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body")))
+    return lines.filter(F.char_length("line") <= 200).select("doc_id", F.char_length("line").alias("n"))
+
+
 @query(f"WITH {POINTS} SELECT seq, l AS line FROM (SELECT seq, unnest([metric, source]) AS l FROM points)")
 def s3_body_lines(spark, sf_dir):
     return S.body_lines(_metric_body(spark, sf_dir, F.concat(F.lit(" "), "metric", F.lit(" \n\n  \n"), "source").alias("body"))).select("seq", "line")
