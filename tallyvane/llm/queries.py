@@ -93,6 +93,24 @@ FROM m
 LEFT JOIN calls c ON c.conv_id = m.conv_id AND c.call_id = m.call_id
 LEFT JOIN results r ON r.conv_id = m.conv_id AND r.call_id = m.call_id
 """
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), w AS (
+  SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM d
+), s AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY md5(array_to_string(ws[i:i + 19], ' ')) ORDER BY doc_id, i) > 1 AS again
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM d)
+), c AS (
+  SELECT w.doc_id, w.i, w.word,
+    coalesce(bool_or(s.again) OVER (PARTITION BY w.doc_id ORDER BY w.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), false) AS gone
+  FROM w LEFT JOIN s ON w.doc_id = s.doc_id AND w.i = s.i
+), k AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
 OP8_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
@@ -114,4 +132,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": OP3_SQL, "op8_exact_topk": OP8_SQL}
+    return {"op3_chat_format": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op8_exact_topk": OP8_SQL}
