@@ -26,6 +26,7 @@ from .common import shuffle_partitions
 
 CELLS, ROW, LOAD, PEELS, RETRIES = 12, 4, 8, 6, 2
 LEAST, MOST = 64, 256
+MAX_CUTS = 1000
 #: A piece has LEAST code points or more and ends with its sentence, line or text, or else after MOST.
 PIECES = rf"[^\n]{{{LEAST},{MOST}}}?(?:[.!?;:|](?=\s)|(?=\n)|$)|[^\n]{{1,{MOST}}}"
 NO_ID = -(1 << 63)
@@ -103,24 +104,29 @@ def fingerprint_sql(digests: str) -> str:
 
 
 def with_next(docs: DataFrame, ranges: int) -> DataFrame:
-    """docs (_k, ...) with the columns of the next row in falling _k (of the last: the first) in a struct `next`."""
+    """docs (_k, ...) with the columns of the next row in falling _k (of the last: the first) in a struct `next`.
+
+    Range bounds are at most MAX_CUTS quantiles, each cut in ranges of equal width; what goes over a border is a row a range.
+    """
     columns = [c for c in docs.columns if c != "_k"]
-    cuts = docs.select("_k").stat.approxQuantile("_k", [i / ranges for i in range(1, ranges)], 0.1 / ranges) if ranges > 1 else []
-    cuts = sorted({int(c) for c in cuts})
-    place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col("_k"))) if cuts else F.lit(0)
+    coarse = min(ranges, MAX_CUTS)
+    cuts = sorted({int(c) for c in docs.stat.approxQuantile("_k", [i / coarse for i in range(coarse + 1)], 0.1 / coarse)})
+    place = F.lit(0).cast("long")
+    if len(cuts) > 1:
+        bounds, fine = F.array(*[F.lit(c) for c in cuts]), -(-ranges // coarse)
+        index = F.size(F.filter(F.array(*[F.lit(c) for c in cuts[1:-1]]).cast("array<bigint>"), lambda c: c < F.col("_k")))
+        low, high = F.get(bounds, index).cast("double"), F.get(bounds, index + 1).cast("double")
+        inside = F.greatest(F.lit(0.0), F.least(F.lit(fine - 1.0), F.floor((F.col("_k").cast("double") - low) * fine / (high - low + 1)).cast("double")))
+        place = (index * fine + inside).cast("long")
     placed = docs.withColumn("_range", place)
-    tops = sorted((r["_range"], r["top"]) for r in placed.groupBy("_range").agg(F.max("_k").alias("top")).collect())  # a row for each range
-    to = {top: above for (_, top), (above, _) in zip(tops, tops[1:])}
-    if tops:
-        to_first = {tops[-1][1]: tops[0][0]}
-    ghosts = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("to")) for m in (to, to_first) for k, v in m.items()]) if tops else None
-    if ghosts is None:
-        return docs.withColumn("next", F.struct(*columns))
-    borders = docs.sparkSession.range(1).select(F.inline(ghosts)).groupBy("k").agg(F.collect_list("to").alias("to"))
+    in_order = Window.orderBy("_range")  # a row a range
+    tops = placed.groupBy("_range").agg(F.max("_k").alias("top"))
+    above = F.coalesce(F.lead("_range").over(in_order), F.first("_range").over(in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    borders = tops.select(F.col("top").alias("k"), above.alias("to"))
     sent = placed.join(F.broadcast(borders), placed["_k"] == borders["k"], "left").drop("k")
-    own = F.array(F.struct(F.col("_range").alias("r"), F.lit(False).alias("ghost")))
-    more = F.transform(F.coalesce("to", F.array().cast("array<int>")), lambda r: F.struct(r.alias("r"), F.lit(True).alias("ghost")))
-    rows = sent.withColumn("_at", F.explode(F.concat(own, more)))
+    place_of = lambda r, ghost: F.struct(r.alias("r"), F.lit(ghost).alias("ghost"))
+    own = F.array(place_of(F.col("_range"), False))
+    rows = sent.withColumn("_at", F.explode(F.when(F.col("to").isNull(), own).otherwise(F.concat(own, F.array(place_of(F.col("to"), True))))))
     order = Window.partitionBy("_at.r").orderBy("_at.ghost", F.desc("_k"), columns[0])
     return rows.withColumn("next", F.lead(F.struct(*columns)).over(order)).filter(~F.col("_at.ghost")).select("_k", *columns, "next")
 

@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 VECTOR_BLOCK, QUERY_BLOCK, HEAD = 4096, 1024, 16
+#: Norm levels at most; a level beyond VECTOR_BLOCK rows is cut in blocks by a hash.
+MAX_LEVELS = 1000
 
 
 def _usable(vector: Column) -> Column:
@@ -91,14 +93,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, ve
     dim, blocks = facts[1], -(-facts[0] // vector_block)
     rotation = _rotation(rows, dim)
     # falling norm, by quantile bounds; equal norms are spread by a hash so that no block grows with ties
-    bounds = rows.stat.approxQuantile("norm2", [i / blocks for i in range(1, blocks)], 0.1 / blocks) if blocks > 1 else []
+    levels = min(blocks, MAX_LEVELS)
+    bounds = rows.stat.approxQuantile("norm2", [i / levels for i in range(1, levels)], 0.1 / levels) if levels > 1 else []
     bounds = sorted(set(bounds), reverse=True)
     level = F.lit(0)
     if bounds:
         cuts = F.array(*[F.lit(float(b)) for b in bounds])
         level = F.size(F.filter(cuts, lambda b: b > F.col("norm2")))
     counted = rows.withColumn("level", level)
-    sizes = counted.groupBy("level").agg(F.count("*").alias("n"), F.max("norm2").alias("top")).collect()  # a row for each level, of about vector_block rows
+    sizes = counted.groupBy("level").agg(F.count("*").alias("n"), F.max("norm2").alias("top")).collect()  # a row for each level
     slices = {r["level"]: -(-r["n"] // vector_block) for r in sizes}
     base, at = {}, 0
     for r in sorted(sizes, key=lambda r: r["level"]):
