@@ -207,10 +207,12 @@ def histogram_bins(rows: DataFrame, duration_ms: int = 60_000, ts: str = "ts_ms"
 QUANTILES = {"median": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99, "p999": 0.999}
 
 
-def histogram_statistics(rows: DataFrame) -> DataFrame:
-    """(series with suffix, value): count, min, max, mean and quantiles of a histogram's values."""
+def histogram_statistics(rows: DataFrame, exact: bool = True) -> DataFrame:
+    """(series with suffix, value): count, min, max, mean and quantiles of a histogram's values. Exact quantiles keep a
+    series' distinct values in one task; approximate ones a bounded summary."""
+    quantile = F.percentile if exact else lambda c, q: F.percentile_approx(c, q, 10_000)
     good = _series(rows).withColumn("_v", F.col("value_text").try_cast("double")).filter("_v IS NOT NULL")
-    named = {"count": F.count("_v").cast("double"), "min": F.min("_v"), "max": F.max("_v"), "mean": F.avg("_v")} | {k: F.percentile("_v", q) for k, q in QUANTILES.items()}
+    named = {"count": F.count("_v").cast("double"), "min": F.min("_v"), "max": F.max("_v"), "mean": F.avg("_v")} | {k: quantile("_v", q) for k, q in QUANTILES.items()}
     wide = good.groupBy(*SERIES).agg(*[c.alias(k) for k, c in named.items()])
     parts = F.array(*[F.struct(F.lit(f".{k}").alias("suffix"), F.col(k).alias("value")) for k in named])
     out = wide.select(*SERIES, F.explode(parts).alias("p")).filter("NOT isnan(p.value)")

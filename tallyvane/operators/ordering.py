@@ -1,4 +1,8 @@
-"""Ordering, limits, batches and routing."""
+"""Ordering, limits, batches and routing.
+
+Batches are numbered along a window; give `by` a sender's number (a hash or remainder of the order) beside
+the entity, so that a common entity is many windows.
+"""
 
 from __future__ import annotations
 

@@ -61,12 +61,12 @@ def a5_digest_invariants(spark, sf_dir):
     return out.select("metric", "bin_start_ms", n.alias("n"), F.round(total, 4).alias("total"), (F.array_min(means) <= F.array_max(means)).alias("ordered"), (F.size("centroids") <= 2 * D.EXACT_VALUES).alias("small"))
 
 
-@query(f"""WITH {POINTS}, f AS (SELECT *, CASE WHEN lag(floor(value / 50)) OVER w IS NOT DISTINCT FROM floor(value / 50) THEN 0 ELSE 1 END AS new FROM points WINDOW w AS (PARTITION BY metric ORDER BY seq)),
-  i AS (SELECT *, sum(new) OVER (PARTITION BY metric ORDER BY seq) AS island FROM f)
-  SELECT metric, CAST(island AS BIGINT) AS island, floor(value / 50) AS mean, CAST(count(*) AS BIGINT) AS count FROM i GROUP BY ALL""")
+@query(f"""WITH {POINTS}, f AS (SELECT *, CASE WHEN lag(floor(value / 50)) OVER w IS NOT DISTINCT FROM floor(value / 50) THEN 0 ELSE 1 END AS new FROM points WINDOW w AS (PARTITION BY metric, source ORDER BY seq)),
+  i AS (SELECT *, sum(new) OVER (PARTITION BY metric, source ORDER BY seq) AS island FROM f)
+  SELECT metric, source, CAST(island AS BIGINT) AS island, floor(value / 50) AS mean, CAST(count(*) AS BIGINT) AS count FROM i GROUP BY ALL""")
 def a6_run_length(spark, sf_dir):
-    rows = points(spark, sf_dir).select("metric", "seq", F.floor(F.col("value") / 50).cast("double").alias("mean"), F.lit(1).cast("long").alias("count"))
-    return A.run_length_rows(rows, ["metric"], ["seq"]).select("metric", "island", "mean", "count")
+    rows = points(spark, sf_dir).select("metric", "source", "seq", F.floor(F.col("value") / 50).cast("double").alias("mean"), F.lit(1).cast("long").alias("count"))
+    return A.run_length_rows(rows, ["metric", "source"], ["seq"]).select("metric", "source", "island", "mean", "count")
 
 
 @query(f"WITH {POINTS} SELECT metric, source, CAST(count(*) AS BIGINT) AS n, true AS small FROM points GROUP BY ALL")
@@ -205,11 +205,12 @@ def k2_first_by_precedence(spark, sf_dir):
     return points(spark, sf_dir).select("seq", first_by_precedence(tags, ["a", "b"], F.lit("none")).alias("found"))
 
 
-@query("""WITH r AS (SELECT event_id, event_type, octet_length(encode(props)) AS size, sum(octet_length(encode(props))) OVER (PARTITION BY event_type ORDER BY event_id) AS total FROM events)
-  SELECT event_type, CAST((total - size) // 4096 AS BIGINT) AS batch, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM r GROUP BY ALL""")
+@query("""WITH r AS (SELECT event_id, event_type, event_id % 16 AS sender, octet_length(encode(props)) AS size, sum(octet_length(encode(props))) OVER (PARTITION BY event_type, event_id % 16 ORDER BY event_id) AS total FROM events)
+  SELECT event_type, sender, CAST((total - size) // 256 AS BIGINT) AS batch, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM r GROUP BY ALL""")
 def k3_byte_batches(spark, sf_dir):
-    rows = K.byte_batches(table(spark, sf_dir, "events"), "props", 4096, ["event_type"], ["event_id"])
-    return rows.groupBy("event_type", "batch").agg(F.count("*").alias("n"), F.sum(F.octet_length("props")).alias("bytes"))
+    """Batches by sender: each sender's share is a window of its own."""
+    rows = K.byte_batches(table(spark, sf_dir, "events").withColumn("sender", F.col("event_id") % 16), "props", 256, ["event_type", "sender"], ["event_id"])
+    return rows.groupBy("event_type", "sender", "batch").agg(F.count("*").alias("n"), F.sum(F.octet_length("props")).alias("bytes"))
 
 
 @query(f"WITH {POINTS} SELECT seq, metric FROM points ORDER BY ts_ms, seq LIMIT 250")
@@ -222,17 +223,19 @@ def k5_round_robin(spark, sf_dir):
     return K.round_robin(points(spark, sf_dir), 16).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {POINTS}, b AS (SELECT *, CAST((row_number() OVER (PARTITION BY metric ORDER BY seq) - 1) // 100 AS BIGINT) AS batch FROM points)
-  SELECT metric, batch, string_agg(source, chr(10) ORDER BY seq) AS payload, count(*) AS n FROM b GROUP BY ALL""")
+@query(f"""WITH {POINTS}, b AS (SELECT *, CAST((row_number() OVER (PARTITION BY metric, seq % 16 ORDER BY seq) - 1) // 20 AS BIGINT) AS batch, seq % 16 AS sender FROM points)
+  SELECT metric, sender, batch, string_agg(source, chr(10) ORDER BY seq) AS payload, count(*) AS n FROM b GROUP BY ALL""")
 def r2_line_payloads(spark, sf_dir):
-    return S.line_payloads(K.item_batches(points(spark, sf_dir), 100, ["metric"], ["seq"]), "source", ["metric", "batch"], "seq").select("metric", "batch", "payload", "n")
+    rows = points(spark, sf_dir).withColumn("sender", F.col("seq") % 16)
+    return S.line_payloads(K.item_batches(rows, 20, ["metric", "sender"], ["seq"]), "source", ["metric", "sender", "batch"], "seq").select("metric", "sender", "batch", "payload", "n")
 
 
-@query(f"""WITH {POINTS}, b AS (SELECT *, CAST((row_number() OVER (PARTITION BY metric ORDER BY seq) - 1) // 50 AS BIGINT) AS batch FROM points)
-  SELECT metric, batch, '[' || string_agg('{{"seq":' || seq || ',"source":"' || source || '"}}', ',' ORDER BY seq) || ']' AS payload, count(*) AS n FROM b GROUP BY ALL""")
+@query(f"""WITH {POINTS}, b AS (SELECT *, CAST((row_number() OVER (PARTITION BY metric, seq % 16 ORDER BY seq) - 1) // 50 AS BIGINT) AS batch, seq % 16 AS sender FROM points)
+  SELECT metric, sender, batch, '[' || string_agg('{{"seq":' || seq || ',"source":"' || source || '"}}', ',' ORDER BY seq) || ']' AS payload, count(*) AS n FROM b GROUP BY ALL""")
 def r3_json_payloads(spark, sf_dir):
-    rows = K.item_batches(points(spark, sf_dir), 50, ["metric"], ["seq"]).select("metric", "batch", "seq", "source")
-    return S.json_payloads(rows, ["metric", "batch"], "seq")
+    rows = points(spark, sf_dir).withColumn("sender", F.col("seq") % 16)
+    rows = K.item_batches(rows, 50, ["metric", "sender"], ["seq"]).select("metric", "sender", "batch", "seq", "source")
+    return S.json_payloads(rows, ["metric", "sender", "batch"], "seq")
 
 
 @query(f"""WITH {CHANGES} SELECT source, seq, CASE action WHEN 'SAVE' THEN 'POST' WHEN 'ADD' THEN 'PUT' ELSE 'DELETE' END AS method,
@@ -249,10 +252,11 @@ def r4_response_actions(spark, sf_dir):
     return points(spark, sf_dir).select(S.response_action(status, entity, (F.col("seq") % 20).cast("int")).alias("action")).groupBy("action").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {POINTS}, x AS (SELECT metric, seq, count(*) OVER (PARTITION BY metric) AS c, row_number() OVER (PARTITION BY metric ORDER BY seq) - 1 AS r FROM points)
-  SELECT metric, r // CAST(least(700, ceil(c / 2.0)) AS BIGINT) AS part, count(*) AS n FROM x GROUP BY ALL""")
+@query(f"""WITH {POINTS}, x AS (SELECT metric, seq % 16 AS sender, seq, count(*) OVER (PARTITION BY metric, seq % 16) AS c, row_number() OVER (PARTITION BY metric, seq % 16 ORDER BY seq) - 1 AS r FROM points)
+  SELECT metric, sender, r // CAST(least(40, ceil(c / 2.0)) AS BIGINT) AS part, count(*) AS n FROM x GROUP BY ALL""")
 def r5_batch_split(spark, sf_dir):
-    return K.split_batches(points(spark, sf_dir), 700, ["metric"], ["seq"]).groupBy("metric", "part").agg(F.count("*").alias("n"))
+    rows = points(spark, sf_dir).withColumn("sender", F.col("seq") % 16)
+    return K.split_batches(rows, 40, ["metric", "sender"], ["seq"]).groupBy("metric", "sender", "part").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {POINTS} SELECT seq, (1 + 0.5) * 2 * pow(2, least(seq % 7, 4)) AS wait, seq % 12 < 10 AS goes_on FROM points")

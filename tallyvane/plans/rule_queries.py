@@ -178,7 +178,7 @@ def v6_feature_gate(spark, sf_dir):
 @query(f"""WITH {POINTS} SELECT metric, count(*) AS n, min(1706745600000 - ts_ms) AS lag_ms_min, max(1706745600000 - ts_ms) AS lag_ms_max, quantile_cont(1706745600000 - ts_ms, 0.5) AS lag_ms_p50,
   quantile_cont(1 + length(k), 0.95) AS tag_length_p95, max(length(metric)) AS name_length_max, max(1) AS tag_count_max FROM points GROUP BY 1""")
 def v7_distributions(spark, sf_dir):
-    out = V.size_distributions(points(spark, sf_dir), F.lit(1_706_745_600_000), ["metric"])
+    out = V.size_distributions(points(spark, sf_dir), F.lit(1_706_745_600_000), ["metric"], exact=True)
     return out.select("metric", "n", "lag_ms_min", "lag_ms_max", "lag_ms_p50", "tag_length_p95", "name_length_max", "tag_count_max")
 
 

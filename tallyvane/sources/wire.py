@@ -45,8 +45,8 @@ def cloudwatch_lines(bodies: DataFrame, body: str = "body") -> DataFrame:
     return bodies.withColumn("line", F.explode(F.from_json(F.get_json_object(body, "$.logEvents"), "array<string>")))
 
 
-#: Formats by the value of the request's f or format parameter.
-FORMATS = {"wavefront": "DEFAULT", "histogram": "HISTOGRAM", "trace": "SPAN", "spanLogs": "SPAN_LOG", "logs_json_arr": "LOGS_JSON_ARR", "logs_json_lines": "LOGS_JSON_LINES", "logs_json_cloudwatch": "LOGS_JSON_CLOUDWATCH"}
+#: Formats by the value of the request's f or format parameter; others are the default format.
+FORMATS = {"histogram": "HISTOGRAM", "trace": "SPAN", "spanLogs": "SPAN_LOG", "logs_json_arr": "LOGS_JSON_ARR", "logs_json_lines": "LOGS_JSON_LINES", "logs_json_cloudwatch": "LOGS_JSON_CLOUDWATCH"}
 
 
 def format_of_uri(uri: Column) -> Column:
