@@ -9,7 +9,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task works on at a time; one longer text is worked on alone.
 CHUNK_BYTES = 4_000_000
@@ -129,3 +130,13 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     total[0] = 0
     np.cumsum(_BYTE_CODE[raw] * up[: len(raw)], out=total[1:])
     return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _INV_BITS)
+
+
+def kept(columns: list[str]) -> Column:
+    """The named columns as one struct `_keep`, which carries them past an operator whatever their names."""
+    return (F.struct(*[F.col(f"`{c}`") for c in columns]) if columns else F.struct(F.lit(0).alias("none"))).alias("_keep")
+
+
+def unpacked(df: DataFrame, columns: list[str], *more: str) -> DataFrame:
+    """The columns of `_keep`, then the named ones."""
+    return df.select(*[F.col(f"_keep.`{c}`").alias(c) for c in columns], *more)

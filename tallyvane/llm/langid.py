@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, small_batches, text_bytes
+from .common import chunks, kept, small_batches, text_bytes, unpacked
 from .quality import bounded_sample, is_held_out
 
 WINDOW, EMBED, WIDTHS, FILTERS = 128, 4, (2, 3, 4, 5), 6
@@ -135,18 +135,22 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> ByteConv:
     return train([x.encode() for x in rows["text"].to_pylist()], rows["lang"].to_pylist())
 
 
-def predict(docs: DataFrame, net: ByteConv, keep: list[str] = []) -> DataFrame:  # noqa: B006
-    """The columns named in keep, then lang_pred and score, of every row."""
+def predicted(docs: DataFrame, net: ByteConv, keep: list[str]) -> DataFrame:
+    """(_keep, lang_pred, score) of every row; _keep is a struct of the columns named in keep."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast((net.langs, net.embed, net.bank, net.shift, net.out, net.bias))
-    source = docs.select(*keep, F.col("text").cast("string").alias("_text"))
+    source = docs.select(kept(keep), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = ByteConv(*shared.value)
-        for batch in chunks(batches, "_text"):
-            langs, score = own.predict(text_bytes(batch.column("_text")))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
+        for batch in chunks(batches):
+            langs, score = own.predict(text_bytes(batch.column("text")))
+            yield pa.RecordBatch.from_arrays([batch.column("_keep"), pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=["_keep", "lang_pred", "score"])
+
+    return source.mapInArrow(run, f"_keep {source.schema['_keep'].dataType.simpleString()}, lang_pred string, score double")
 
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema if f.name != "_text")
-    return source.mapInArrow(run, schema + "lang_pred string, score double")
+
+def predict(docs: DataFrame, net: ByteConv, keep: list[str] = []) -> DataFrame:  # noqa: B006
+    """The columns named in keep, then lang_pred and score, of every row."""
+    return unpacked(predicted(docs, net, keep), keep, "lang_pred", "score")

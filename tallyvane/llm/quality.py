@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, small_batches, text_bytes, word_hashes, words_of
+from .common import chunks, kept, small_batches, text_bytes, unpacked, word_hashes, words_of
 
 WORD_BITS, GRAM_BITS, DIM = 17, 17, 8
 TRAIN_ROWS, EPOCHS, RATE, SEED = 3000, 8, 0.5, 17
@@ -116,19 +116,22 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows:
     return train([(x or "").encode() for x in rows["text"].to_pylist()], rows["_label"].to_pylist())
 
 
-def score(docs: DataFrame, model: SubwordModel, keep: list[str] = [], threshold: float = THRESHOLD) -> DataFrame:  # noqa: B006
-    """The columns named in keep, then score and predicted, of every row."""
+def scored(docs: DataFrame, model: SubwordModel, keep: list[str], threshold: float = THRESHOLD) -> DataFrame:
+    """(_keep, score, predicted) of every row; _keep is a struct of the columns named in keep."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast((model.words, model.grams, model.bias))
-    source = docs.select(*keep, F.col("text").cast("string").alias("_text"))
+    source = docs.select(kept(keep), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = SubwordModel(*shared.value)
-        for batch in chunks(batches, "_text"):
-            s = own.score(text_bytes(batch.column("_text")))
-            columns = [batch.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
+        for batch in chunks(batches):
+            s = own.score(text_bytes(batch.column("text")))
+            yield pa.RecordBatch.from_arrays([batch.column("_keep"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["_keep", "score", "predicted"])
+
+    return source.mapInArrow(run, f"_keep {source.schema['_keep'].dataType.simpleString()}, score double, predicted int")
 
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema if f.name != "_text")
-    return source.mapInArrow(run, schema + "score double, predicted int")
+
+def score(docs: DataFrame, model: SubwordModel, keep: list[str] = [], threshold: float = THRESHOLD) -> DataFrame:  # noqa: B006
+    """The columns named in keep, then score and predicted, of every row."""
+    return unpacked(scored(docs, model, keep, threshold), keep, "score", "predicted")

@@ -38,6 +38,7 @@ from .common import Powers, chunks, mix64, shuffle_partitions, small_batches, te
 WINDOW = 20
 #: Runs of so many symbols are anchors by their symbol alone, for a window may cut them anywhere.
 LONG_RUN = 4
+PARTS = 16
 _SALT = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F)]
 _FIRST, _SECOND = Powers(0xC6A4A7935BD1E995), Powers(0x9FB21C651E98DF25)
 NO_ID = -(1 << 63)
@@ -166,9 +167,12 @@ def _deal(ids: np.ndarray, doc: np.ndarray, h: np.ndarray, g: np.ndarray | None,
         name = h[part].astype("<u8") if g is not None else h[part].astype("<u4")
         rows.append((int(bucket[part[0]]), False, *packed, name.tobytes(), g[part].astype("<u4").tobytes() if g is not None else b"", place[part].astype("<u4").tobytes()))
     if len(repeats[0]):
-        # any bucket will do for these: one by the chunk's first document, so that no bucket gets them all
-        anywhere = int(mix64(ids[repeats[0][:1]].view(np.uint64))[0] % np.uint64(buckets))
-        rows.append((anywhere, True, *_packed(ids, repeats[0]), b"", b"", repeats[1].astype("<u4").tobytes()))
+        # any bucket will do for these; in PARTS rows by document, so that no bucket gets a whole chunk's
+        part = (mix64(ids[repeats[0]].view(np.uint64)) >> np.uint64(40)) % np.uint64(PARTS)
+        for k in np.unique(part):
+            doc, at = repeats[0][part == k], repeats[1][part == k]
+            anywhere = int(mix64(ids[doc[:1]].view(np.uint64))[0] % np.uint64(buckets))
+            rows.append((anywhere, True, *_packed(ids, doc), b"", b"", at.astype("<u4").tobytes()))
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_SCHEMA)], schema=_SCHEMA)
 
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Powers, chunks, materialise, mix64, small_batches, text_bytes, word_hashes, words_of
+from .common import Powers, chunks, kept, materialise, mix64, small_batches, text_bytes, unpacked, word_hashes, words_of
 from .graph import components
 
 BUCKET, SMALL_GROUP = 4096, 64
@@ -68,15 +68,14 @@ def fingerprint_bits(texts: list[bytes], shingle: int) -> list[int]:
 def fingerprints(docs: DataFrame, keep: list[str], shingle: int = 4) -> DataFrame:
     """The columns named in keep, then fp (the 64 bits as a signed long)."""
     small_batches(docs.sparkSession)
-    source = docs.select(*keep, F.col("text").cast("string").alias("_text"))
+    source = docs.select(kept(keep), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "_text"):
-            bits = np.array(fingerprint_bits(text_bytes(batch.column("_text")), shingle), np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(bits)], names=[*keep, "fp"])
+        for batch in chunks(batches):
+            bits = np.array(fingerprint_bits(text_bytes(batch.column("text")), shingle), np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("_keep"), pa.array(bits)], names=["_keep", "fp"])
 
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema if f.name != "_text")
-    return source.mapInArrow(run, schema + "fp long")
+    return unpacked(source.mapInArrow(run, f"_keep {source.schema['_keep'].dataType.simpleString()}, fp long"), keep, "fp")
 
 
 def bit_planes(fps: np.ndarray) -> np.ndarray:
@@ -311,6 +310,5 @@ def one_of_each(docs: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
     prints = materialise(wide_prints(docs), "near-prints")
     folded = materialise(prints.groupBy("node").agg(F.min("_k").alias("first"), F.first("keys").alias("keys"), F.first("fp").alias("fp")), "near-distinct")
     by_node = classes(folded.select("node", "first"), near_links(folded, radius))
-    kept = prints.join(by_node, "node").filter("_k = component_id").select("_k").distinct()
-    keyed = docs.withColumn("_k", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    return keyed.join(kept, "_k", "left_semi").select(*docs.columns)
+    stay = prints.join(by_node, "node").filter("_k = component_id").select(F.col("_k").alias("_stay")).distinct()
+    return docs.join(stay, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == stay["_stay"], "left_semi")

@@ -304,6 +304,7 @@ def test_one_of_each(spark):
     rows = [(5, " ".join(words)), (2, " ".join(near)), (3, " ".join(words)), (4, " ".join(far)), (7, None), (8, ""), (None, "alone here"), (9, "short text"), (10, "other text")]
     out = simhash.one_of_each(docs(spark, rows))
     assert sorted((r.doc_id for r in out.collect()), key=repr) == sorted([2, 4, 7, 9, 10, None], key=repr)
+    assert {r["_k"] for r in out.collect()} == {"clash"}
     assert out.columns == docs(spark, EMPTY).columns and simhash.one_of_each(docs(spark, EMPTY)).count() == 0
 
 

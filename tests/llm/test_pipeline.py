@@ -4,6 +4,7 @@ import os
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
@@ -16,12 +17,15 @@ def shingles(text):
 
 def test_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name in ("score", "predicted", "lang_pred", "_keep", "_k", "kept", "fp", "node"):  # names that operators use themselves
+        docs = docs.withColumn(name, F.lit("clash"))
     quality_of = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     columns, seen = docs.columns, {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, SF)
         assert out.columns == columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
         rows = {r.doc_id: r for r in out.collect()}
+        assert all(r["_k"] == r["score"] == "clash" for r in rows.values())
         seen[name] = ({r.doc_id: r for r in docs.collect()}, rows)
         docs = spark.createDataFrame(list(rows.values()), docs.schema)
     before, after = seen["quality classifier"]
