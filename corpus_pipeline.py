@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyvane.llm import langid, packing, quality, recompress, simhash
-from tallyvane.llm.common import materialise, table
+from tallyvane.llm.common import materialise, table, unpacked
 
 #: A document with a lower share of the votes for its likeliest language goes; mixed texts have about a half.
 LEAST_LANGUAGE_SCORE = 0.4
@@ -20,13 +20,13 @@ LEAST_LANGUAGE_SCORE = 0.4
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts as label 1."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, keep=docs.columns).filter("predicted = 1").select(*docs.columns)
+    return unpacked(quality.scored(docs, model, docs.columns).filter("predicted = 1"), docs.columns)
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: not `und`, and not below LEAST_LANGUAGE_SCORE."""
-    found = langid.predict(docs, langid.fit(docs), keep=docs.columns)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    found = langid.predicted(docs, langid.fit(docs), docs.columns)
+    return unpacked(found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
