@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task works on at a time; one longer text is worked on alone.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 1_500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -128,7 +128,9 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     up, down = _BYTE_POWERS.get(len(raw) + 1)
     total = np.empty(len(raw) + 1, np.uint64)
     total[0] = 0
-    np.cumsum(_BYTE_CODE[raw] * up[: len(raw)], out=total[1:])
+    codes = _BYTE_CODE[raw]
+    codes *= up[: len(raw)]
+    np.cumsum(codes, out=total[1:])
     return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _INV_BITS)
 
 

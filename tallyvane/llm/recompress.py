@@ -39,6 +39,8 @@ WINDOW = 20
 #: Runs of so many symbols are anchors by their symbol alone, for a window may cut them anywhere.
 LONG_RUN = 4
 PARTS = 16
+#: Anchors or windows that a task holds before it deals them.
+HELD = 500_000
 _SALT = [np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F)]
 _FIRST, _SECOND = Powers(0xC6A4A7935BD1E995), Powers(0x9FB21C651E98DF25)
 NO_ID = -(1 << 63)
@@ -115,7 +117,7 @@ def anchors(names: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray
 
 
 class Chunk:
-    """Words of some texts, in the order of their document numbers."""
+    """Words of some texts."""
 
     def __init__(self, ids: np.ndarray, texts: list[bytes]):
         self.ids = ids
@@ -140,39 +142,32 @@ class Chunk:
         return found[0], (found[1] >> np.uint64(32)).astype(np.uint32)
 
 
-def _ordered(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray]:
-    ids = batch.column("_k").to_numpy()
-    order = np.argsort(ids, kind="stable")
-    return batch.take(pa.array(order)), ids[order]
-
-
-def _packed(ids: np.ndarray, doc: np.ndarray) -> tuple[bytes, bytes]:
-    """Document numbers that are in doc (rising), and how often each."""
+def _packed(doc: np.ndarray) -> tuple[bytes, bytes]:
+    """The document numbers of a rising array, and how often each stands in it."""
     at, counts = np.unique(doc, return_counts=True)
-    return ids[at].astype("<i8").tobytes(), counts.astype("<u4").tobytes()
+    return at.astype("<i8").tobytes(), counts.astype("<u4").tobytes()
 
 
 _FIELDS = "bucket int, direct boolean, ids binary, counts binary, h binary, g binary, place binary"
 _SCHEMA = pa.schema([("bucket", pa.int32()), ("direct", pa.bool_()), *((c, pa.binary()) for c in ("ids", "counts", "h", "g", "place"))])
 
 
-def _deal(ids: np.ndarray, doc: np.ndarray, h: np.ndarray, g: np.ndarray | None, place: np.ndarray, repeats: tuple[np.ndarray, np.ndarray], buckets: int) -> pa.RecordBatch:
-    """Rows (bucket, arrays) of one chunk: what is dealt by hash, and the repeats that the chunk has settled itself."""
+def _deal(doc: np.ndarray, h: np.ndarray, g: np.ndarray | None, place: np.ndarray, repeats: tuple[np.ndarray, np.ndarray], buckets: int) -> pa.RecordBatch:
+    """Rows (bucket, arrays): what is dealt by hash, and the repeats that the task has settled itself. Both rise by document and place."""
     bucket = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
     rows = []
     for part in np.split(order, cuts) if len(order) else []:
-        packed = _packed(ids, doc[part])
         name = h[part].astype("<u8") if g is not None else h[part].astype("<u4")
-        rows.append((int(bucket[part[0]]), False, *packed, name.tobytes(), g[part].astype("<u4").tobytes() if g is not None else b"", place[part].astype("<u4").tobytes()))
+        rows.append((int(bucket[part[0]]), False, *_packed(doc[part]), name.tobytes(), g[part].astype("<u4").tobytes() if g is not None else b"", place[part].astype("<u4").tobytes()))
     if len(repeats[0]):
-        # any bucket will do for these; in PARTS rows by document, so that no bucket gets a whole chunk's
-        part = (mix64(ids[repeats[0]].view(np.uint64)) >> np.uint64(40)) % np.uint64(PARTS)
+        # any bucket will do for these; in PARTS rows by document, so that no bucket gets all of a task's
+        part = (mix64(repeats[0].view(np.uint64)) >> np.uint64(40)) % np.uint64(PARTS)
         for k in np.unique(part):
-            doc, at = repeats[0][part == k], repeats[1][part == k]
-            anywhere = int(mix64(ids[doc[:1]].view(np.uint64))[0] % np.uint64(buckets))
-            rows.append((anywhere, True, *_packed(ids, doc), b"", b"", at.astype("<u4").tobytes()))
+            of, at = repeats[0][part == k], repeats[1][part == k]
+            anywhere = int(mix64(of[:1].view(np.uint64))[0] % np.uint64(buckets))
+            rows.append((anywhere, True, *_packed(of), b"", b"", at.astype("<u4").tobytes()))
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_SCHEMA)], schema=_SCHEMA)
 
 
@@ -186,45 +181,67 @@ def _firsts(h: np.ndarray, g: np.ndarray | None = None) -> tuple[np.ndarray, np.
     return order, np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch], window: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches):
-        batch, ids = _ordered(batch)
-        chunk = Chunk(ids, text_bytes(batch.column("text")))
-        name, word, _, _ = chunk.anchors(window)
-        order, begin = _firsts(name)
+def _dealt(parts: Iterator[tuple[np.ndarray, ...]], exact: bool, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Deal (doc, place, h[, g]) of chunks, HELD entries or a little more at a time.
+
+    Of entries with one name only the first goes on; the others are repeats already. Of anchors the first is one too.
+    """
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def flush() -> pa.RecordBatch:
+        columns = [np.concatenate([p[k] for p in held]) for k in range(4 if exact else 3)]
+        order = np.lexsort((columns[1], columns[0]))
+        doc, place, h, *rest = (c[order] for c in columns)
+        g = rest[0] if exact else None
+        order, begin = _firsts(h, g)
         head = begin == np.arange(len(order))
-        many = np.diff(np.append(np.flatnonzero(head), len(order)))
-        repeated = np.zeros(len(order), bool)
-        repeated[order] = np.repeat(many > 1, many)
+        if exact:  # rows of one document at one place are the same window
+            repeat = np.sort(order[(doc[order] != doc[order[begin]]) | (place[order] != place[order[begin]])])
+        else:
+            many = np.diff(np.append(np.flatnonzero(head), len(order)))
+            repeat = np.sort(order[np.repeat(many > 1, many)])
         once = np.sort(order[head])
-        once, twice = once[np.argsort(word[once], kind="stable")], np.flatnonzero(repeated)
-        twice = twice[np.argsort(word[twice], kind="stable")]
-        place = word - chunk.first[chunk.doc[word]]
-        yield _deal(ids, chunk.doc[word[once]], name[once], None, place[once], (chunk.doc[word[twice]], place[twice]), buckets)
+        return _deal(doc[once], h[once], g[once] if exact else None, place[once], (doc[repeat], place[repeat]), buckets)
+
+    for part in parts:
+        held.append(part)
+        if sum(len(p[0]) for p in held) >= HELD:
+            yield flush()
+            held.clear()
+    if held:
+        yield flush()
+
+
+def _anchor_rows(batches: Iterator[pa.RecordBatch], window: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    def parts() -> Iterator[tuple[np.ndarray, ...]]:
+        for batch in chunks(batches):
+            chunk = Chunk(batch.column("_k").to_numpy(), text_bytes(batch.column("text")))
+            name, word, _, _ = chunk.anchors(window)
+            doc = chunk.doc[word]
+            yield chunk.ids[doc], word - chunk.first[doc], name
+
+    yield from _dealt(parts(), False, buckets)
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch], window: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches):
-        batch, ids = _ordered(batch)
-        chunk = Chunk(ids, text_bytes(batch.column("text")))
-        _, word, low, high = chunk.anchors(window)
-        marked = np.zeros(len(chunk.hashes), bool)
-        for k, mark in enumerate(batch.column("mark").to_pylist()):
-            at = np.frombuffer(mark, "<u4").astype(np.int64) + chunk.first[k]
-            marked[at[at < chunk.first[k + 1]]] = True
-        hit = marked[word]
-        edges = np.zeros(len(chunk.hashes) + 1, np.int32)
-        np.add.at(edges, low[hit], 1)
-        np.add.at(edges, high[hit] + 1, -1)
-        start = np.flatnonzero(np.cumsum(edges[:-1]) > 0)
-        h, g = chunk.window_hashes(window)
-        h, g, doc = h[start], g[start], chunk.doc[start]
-        order, begin = _firsts(h, g)
-        place = start - chunk.first[doc]
-        later = (ids[doc[order]] != ids[doc[order[begin]]]) | (place[order] != place[order[begin]])  # the same id and place is the same window
-        head = np.sort(order[begin == np.arange(len(order))])
-        repeat = np.sort(order[later])
-        yield _deal(ids, doc[head], h[head], g[head], place[head], (doc[repeat], place[repeat]), buckets)
+    def parts() -> Iterator[tuple[np.ndarray, ...]]:
+        for batch in chunks(batches):
+            chunk = Chunk(batch.column("_k").to_numpy(), text_bytes(batch.column("text")))
+            _, word, low, high = chunk.anchors(window)
+            marked = np.zeros(len(chunk.hashes), bool)
+            for k, mark in enumerate(batch.column("mark").to_pylist()):
+                at = np.frombuffer(mark, "<u4").astype(np.int64) + chunk.first[k]
+                marked[at[at < chunk.first[k + 1]]] = True
+            hit = marked[word]
+            edges = np.zeros(len(chunk.hashes) + 1, np.int32)
+            np.add.at(edges, low[hit], 1)
+            np.add.at(edges, high[hit] + 1, -1)
+            start = np.flatnonzero(np.cumsum(edges[:-1]) > 0)
+            h, g = chunk.window_hashes(window)
+            doc = chunk.doc[start]
+            yield chunk.ids[doc], start - chunk.first[doc], h[start], g[start]
+
+    yield from _dealt(parts(), True, buckets)
 
 
 def _settle(batches: Iterator[pa.RecordBatch], exact: bool, buckets: int) -> Iterator[pa.RecordBatch]:
