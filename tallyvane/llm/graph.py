@@ -11,22 +11,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, remove
 
 
 def components(links: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
     """(node, root): the least node of each linked node's component. links: (a, b) of one ordered type."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b")
-    edges = materialise(both.distinct(), f"{name}-edges")
-    labels = materialise(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), f"{name}-0")
+    paths: list[str] = []
+    edges = materialise(both.distinct(), f"{name}-edges", paths)
+    labels = materialise(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), f"{name}-0", paths)
     for k in range(1, max_rounds + 1):
         near = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("root").alias("m"))
         better = labels.join(near, labels.node == near.a).select("node", F.least("root", "m").alias("root"), F.col("root").alias("was"))
-        better = materialise(better, f"{name}-{k}a")
+        better = materialise(better, f"{name}-{k}a", paths)
         up = better.select(F.col("node").alias("up"), F.col("root").alias("top"))
         jumped = better.join(up, better.root == up.up, "left").select("node", F.least("root", F.coalesce("top", "root")).alias("root"), "was")
-        done = materialise(jumped, f"{name}-{k}b")
+        done = materialise(jumped, f"{name}-{k}b", paths)
         labels = done.select("node", "root")
-        if done.filter("root <> was").isEmpty():
+        settled = done.filter("root <> was").isEmpty()
+        # what later rounds read: the edges and the last labels
+        first_stale = 1 if not settled else 0
+        remove(links.sparkSession, paths[first_stale:-1])
+        paths = [*paths[:first_stale], paths[-1]]
+        if settled:
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
