@@ -192,7 +192,7 @@ def bucket_keys(fp: Column, radius: int, blocks: int = 6) -> Column:
 def near_links(distinct: DataFrame, radius: int, bucket: int = BUCKET) -> DataFrame:
     """(a, b): links that span all pairs of rows (node, keys, fp) which share a key and are at most radius bits apart.
 
-    node: a long that stands for the fingerprint; keys: array of structs (choice, bits); fp: its words as binary.
+    node: a long that stands for the row; keys: array of structs (choice, bits); fp: its words as binary.
     A task gets whole groups of at most two slices of about `bucket` rows.
     """
     keyed = distinct.select("node", "fp", F.explode("keys").alias("key")).select("node", "fp", "key.choice", "key.bits")
@@ -249,21 +249,24 @@ def near_links(distinct: DataFrame, radius: int, bucket: int = BUCKET) -> DataFr
 
 
 def classes(folded: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, component_id): component_id is the least doc_id reachable. folded: (node, first), first the least doc_id of the node."""
-    found = components(links, "simhash").withColumnRenamed("node", "n")
-    rooted = folded.join(found, folded.node == found.n, "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rooted.join(least, "root").select("node", "component_id")
+    """folded (first, ...) with component_id, the least doc_id reachable.
+
+    A fingerprint goes by the least doc_id that has it, so the root of its component is the answer itself and
+    nothing meets by component.
+    """
+    found = components(links, "simhash").withColumnRenamed("node", "_n")
+    return folded.join(found, folded["first"] == found["_n"], "left").withColumn("component_id", F.coalesce("root", "first")).drop("_n", "root")
 
 
 def link_documents(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row."""
-    prints = materialise(fingerprints(docs, ["doc_id"], shingle), "simhash-prints")
-    folded = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumnRenamed("fp", "node"), "simhash-distinct")
-    words = F.unhex(F.lpad(F.hex("node"), 16, "0"))  # the order of bits is one to distances
-    links = near_links(folded.select("node", bucket_keys(F.col("node"), radius).alias("keys"), words.alias("fp")), radius)
-    by_print = classes(folded, links)
-    return prints.join(by_print, prints.fp == by_print.node).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    """(doc_id, fingerprint, component_id) of every row; rows of one doc_id are in one component."""
+    prints = materialise(fingerprints(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ["doc_id"], shingle), "simhash-prints")
+    folded = materialise(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first")), "simhash-distinct")
+    words = F.unhex(F.lpad(F.hex("fp"), 16, "0"))  # the order of bits is one to distances
+    links = near_links(folded.select(F.col("first").alias("node"), bucket_keys(F.col("fp"), radius).alias("keys"), words.alias("fp")), radius)
+    by_print = classes(folded, links).select(F.col("fp").alias("_fp"), "component_id")
+    component = F.when(F.col("component_id") != NO_ID, F.col("component_id"))
+    return prints.join(by_print, prints.fp == by_print["_fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component.alias("component_id"))
 
 
 def wide_prints(docs: DataFrame, shingle: int = 5) -> DataFrame:
@@ -307,8 +310,8 @@ def one_of_each(docs: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
     and the radius stands 1.6 deviations above). Candidates share one of the BAND-bit bands of the SimHashes of
     their words. Rows of one doc_id stay or go together; wordless texts are copies of each other.
     """
-    prints = materialise(wide_prints(docs), "near-prints")
+    prints = wide_prints(docs)
     folded = materialise(prints.groupBy("node").agg(F.min("_k").alias("first"), F.first("keys").alias("keys"), F.first("fp").alias("fp")), "near-distinct")
-    by_node = classes(folded.select("node", "first"), near_links(folded, radius))
-    stay = prints.join(by_node, "node").filter("_k = component_id").select(F.col("_k").alias("_stay")).distinct()
+    links = near_links(folded.select(F.col("first").alias("node"), "keys", "fp"), radius)
+    stay = classes(folded.select("first"), links).select(F.col("component_id").alias("_stay")).distinct()
     return docs.join(stay, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == stay["_stay"], "left_semi")
