@@ -23,8 +23,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import shuffle_partitions
+
 CAPACITY = 1024
-SHARD_PIECES = 8192
+SHARD_PIECES = 2048
 
 
 class Shard:
@@ -104,7 +106,8 @@ def pack(docs: DataFrame, size: Column, source: Column, cluster: Column, capacit
     total = rows.agg(F.sum(whole + 1)).first()[0] or 0
     shards = max(1, -(-int(total) // shard_pieces))
     dealt = pieces.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece", "n_words"), F.lit(shards)).cast("int"))
-    dealt = dealt.repartition(shards, "_shard").sortWithinPartitions("_shard", F.desc("n_words"), "doc_id", "piece")
+    tasks = min(shards, 4 * shuffle_partitions(docs.sparkSession))  # a task takes its shards one after the other
+    dealt = dealt.repartition(tasks, "_shard").sortWithinPartitions("_shard", F.desc("n_words"), "doc_id", "piece")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
