@@ -29,10 +29,14 @@ from .common import Powers, chunks, kept, materialise, mix64, small_batches, tex
 from .graph import components
 
 BUCKET, SMALL_GROUP = 4096, 64
-#: Near-dedup of whole texts: bits of its fingerprints, bits of a band, and the most differing bits of two linked ones.
-WIDE, BAND, WIDE_RADIUS = 256, 16, 48
+#: Near-dedup of whole texts: bits of its fingerprints, and the most differing bits of two linked ones.
+WIDE, WIDE_RADIUS = 256, 48
+#: Bands of MinHashes that name its candidates, and MinHashes in each: at similarity 0.8 a pair is missed with a chance of 5e-8.
+BANDS, ROWS = 32, 4
 NO_ID = -(1 << 63)
 _SALTS = mix64(np.arange(1, WIDE // 64 + 1, dtype=np.uint64))
+_MIN_UP = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) << np.uint64(8)) | np.uint64(1)
+_MIN_ADD = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) << np.uint64(24))
 _SHINGLE = Powers(0xC6A4A7935BD1E995)
 
 
@@ -270,45 +274,58 @@ def link_documents(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFr
 
 
 def wide_prints(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(_k, node, keys, fp): a WIDE-bit SimHash of the word shingles as fp, and as keys the bands of another one of the distinct words."""
+    """(_k, node, keys, fp): a WIDE-bit SimHash of the set of word shingles as fp, as keys the bands of its MinHashes; node stands for the set."""
     small_batches(docs.sparkSession)
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_k"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
-            shingles, words = wide_bits(text_bytes(batch.column("text")), shingle)
-            yield pa.RecordBatch.from_arrays([batch.column("_k"), pa.array(shingles, pa.binary()), pa.array(words, pa.binary())], names=["_k", "fp", "words"])
+            sets = shingle_sets(text_bytes(batch.column("text")), shingle)
+            columns = [[xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [wide_bits(s) for s in sets], [min_bands(s) for s in sets]]
+            yield pa.RecordBatch.from_arrays([batch.column("_k"), pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.list_(pa.int64()))], names=["_k", "node", "fp", "bands"])
 
-    prints = source.mapInArrow(run, "_k long, fp binary, words binary")
-    bands = F.array(*[F.struct(F.lit(n).alias("choice"), F.conv(F.hex(F.substring("words", 1 + n * BAND // 8, BAND // 8)), 16, 10).cast("long").alias("bits")) for n in range(WIDE // BAND)])
-    return prints.select("_k", F.xxhash64("fp", "words").alias("node"), bands.alias("keys"), "fp")
+    prints = source.mapInArrow(run, "_k long, node binary, fp binary, bands array<bigint>")
+    return prints.select("_k", "node", F.transform("bands", lambda x, n: F.struct(n.alias("choice"), x.alias("bits"))).alias("keys"), "fp")
 
 
-def wide_bits(texts: list[bytes], shingle: int) -> tuple[list[bytes], list[bytes]]:
-    """WIDE-bit SimHashes of each text's set of shingles (hashed by prefix sums over word hashes) and set of words."""
+def shingle_sets(texts: list[bytes], shingle: int = 5) -> list[np.ndarray]:
+    """Each text's set of shingles as rising 64-bit hashes (by prefix sums over word hashes); fewer words are one shingle."""
     raw, starts, ends, first = words_of(texts, lower=True)
     words = word_hashes(raw, starts, ends)
     up, down = _SHINGLE.get(len(words) + 1)
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)], dtype=np.uint64)))
-    out: tuple[list[bytes], list[bytes]] = ([], [])
+    out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         at = np.arange(a, max(a + 1, b - shingle + 1)) if b > a else np.arange(0)
-        shingles = mix64((total[np.minimum(at + shingle, b)] - total[at]) * down[at])
-        for hashes, found in ((shingles, out[0]), (words[a:b], out[1])):
-            hashes = np.unique(hashes)
-            spread = np.stack([mix64(hashes ^ salt) for salt in _SALTS], axis=1)
-            ones = np.unpackbits(spread.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
-            found.append(np.packbits(ones * 2 > len(hashes)).tobytes())
+        out.append(np.unique(mix64((total[np.minimum(at + shingle, b)] - total[at]) * down[at])))
     return out
 
 
+def wide_bits(hashes: np.ndarray) -> bytes:
+    """WIDE-bit SimHash of a set."""
+    spread = np.stack([mix64(hashes ^ salt) for salt in _SALTS], axis=1)
+    ones = np.unpackbits(spread.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(hashes)).tobytes()
+
+
+def min_bands(hashes: np.ndarray) -> np.ndarray:
+    """BANDS keys of a set, each a mix of ROWS of its MinHashes: two sets of similarity s share none with chance (1 - s ** ROWS) ** BANDS."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), 1024):
+        np.minimum(least, (hashes[i : i + 1024] * _MIN_UP[:, None] + _MIN_ADD[:, None]).min(axis=1), out=least)
+    key = np.zeros(BANDS, np.uint64)
+    for k in range(ROWS):
+        key = mix64(key * _MIN_UP[0] + least[k::ROWS])
+    return key.view(np.int64)
+
+
 def one_of_each(docs: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
     """docs without near-duplicates: of each group of linked documents that with the least doc_id stays.
 
     Two documents link if the WIDE-bit SimHashes of their five-word shingles differ in at most radius bits, which
     is where the shingle sets' similarity is 0.8 (a share of acos(2s / (1 + s)) / pi of the bits differs on average,
-    and the radius stands 1.6 deviations above). Candidates share one of the BAND-bit bands of the SimHashes of
-    their words. Rows of one doc_id stay or go together; wordless texts are copies of each other.
+    and the radius stands 1.6 deviations above). Candidates share a band of the MinHashes of their shingle sets,
+    whatever edits made them differ. Rows of one doc_id stay or go together; wordless texts are copies of each other.
     """
     prints = wide_prints(docs)
     folded = materialise(prints.groupBy("node").agg(F.min("_k").alias("first"), F.first("keys").alias("keys"), F.first("fp").alias("fp")), "near-distinct")

@@ -1,11 +1,14 @@
 """The corpus pipeline on the smallest tables: stages, columns, and each stage against brute force or its operator's contract."""
 
 import os
+import random
 
 import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
+from tallyvane.llm import simhash
+
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 
@@ -50,3 +53,21 @@ def test_stages(spark):
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.columns == ["doc_id", "piece", "n_words", "bin_id", "bin_offset"] and out.count() > 100
+
+
+def pairs_with_blocks(low, high, n, seed=3):
+    """Rows of n pairs of texts: 2i, and 2i + 1 that has a block appended or its tail cut, their similarity from low to high."""
+    rng, rows = random.Random(seed), []
+    for i in range(n):
+        like = low + (high - low) * i / max(1, n - 1)
+        words = [f"w{rng.randrange(10**9)}" for _ in range(rng.randint(150, 600))]
+        more = int((len(words) - 4) * (1 / like - 1))  # new shingles of an appended block
+        longer = words + [f"v{rng.randrange(10**9)}" for _ in range(more)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(longer))] if i % 2 else [(2 * i, " ".join(longer)), (2 * i + 1, " ".join(words))]
+    return rows
+
+
+def test_near_dedup_finds_block_edits(spark):
+    rows = pairs_with_blocks(0.86, 0.9, 120)
+    out = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in out.collect()) == list(range(0, 240, 2))
