@@ -71,3 +71,19 @@ def test_near_dedup_finds_block_edits(spark):
     rows = pairs_with_blocks(0.86, 0.9, 120)
     out = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in out.collect()) == list(range(0, 240, 2))
+
+
+def test_near_dedup_measures_similarity(spark, monkeypatch):
+    """Groups by brute force: components of the pairs of 0.8 or more, and nothing else goes; also where groups are cut into slices."""
+    rows = pairs_with_blocks(0.8, 0.86, 60) + [(i + 1000, t) for i, t in pairs_with_blocks(0.7, 0.795, 60, seed=4)]
+    rows += [(5000, "a b c d e f g h"), (5001, "a b c d e f g h i"), (5002, "a b c d e f g"), (5003, ""), (5004, None), (6000, "x y z")]
+    sets, root = {i: shingles(t or "") for i, t in rows}, {i: i for i, _ in rows}
+    pairs = [(a, b) for a in sets for b in sets if a < b and sets[a] & sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    for _ in range(4):
+        for a, b in [*pairs, (5003, 5004)]:
+            root[a] = root[b] = min(root[a], root[b])
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.one_of_each(frame).collect()) == sorted({root[i] for i in root})
+    groups = spark.createDataFrame([(i, 0) for i in sets], "node long, root long")
+    found = {tuple(sorted(r)) for r in simhash.verified_links(frame, groups, most=16).collect()}
+    assert found == {(a, b) for a, b in pairs if not (a, b) == (5001, 5002)}
