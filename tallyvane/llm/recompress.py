@@ -9,7 +9,8 @@ symbol, then pairs of a left and a right symbol (each symbol's side follows from
 need no dictionary exchange. A cut at a sequence's border spoils a bounded number of words a round, so
 `rounds_for(window)` says how many rounds leave every window a whole, equally named stretch; within any
 such stretch the same symbol (the least of the stretch) becomes an anchor, named with the words around it
-that every window holding the stretch also holds.
+that every window holding the stretch also holds. Runs of two or three may pair to symbols so long that none
+lies whole in a stretch; then the window itself is an anchor, named by its hash.
 
 1. Each task names its texts and deals its anchors by name; a task keeps one anchor of a name and marks
    the others as repeated itself, so no name meets in one place more often than there are tasks' chunks.
@@ -47,8 +48,8 @@ NO_ID = -(1 << 63)
 
 
 def rounds_for(window: int) -> tuple[int, int, int]:
-    """(rounds, lost, stretch): as many rounds as leave every window a stretch of whole symbols, the words lost on
-    either side of it, and its length in words."""
+    """(rounds, lost, stretch): as many rounds as leave every window a stretch of the longest symbol's length, the words
+    lost on either side of it, and its length in words."""
     rounds, lost, span = 0, 0, 1
     while window - 2 * (lost + 2 * (LONG_RUN - 1) * span) >= 2 * (LONG_RUN - 1) * span:
         lost, span, rounds = lost + 2 * (LONG_RUN - 1) * span, 2 * (LONG_RUN - 1) * span, rounds + 1
@@ -59,13 +60,15 @@ def anchors(names: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray
     """Anchor names, first words, and the first and last window start that holds each, by word number of the chunk.
 
     names, doc: hash and text number of each word. Every window's own stretch has an anchor with `lost` words of
-    the window on either side; those words join the anchor's name, so that common words alone name nothing.
+    the window on either side; those words join the anchor's name, so that common words alone name nothing. A window
+    without one is its own anchor, unless it holds a long run of words.
     """
     rounds, lost, stretch = rounds_for(window)
     hashes = names
     n = len(names)
     start, end, own = np.arange(n), np.arange(1, n + 1), doc
     runs: list[tuple[np.ndarray, ...]] = []
+    covered = np.zeros(n + 1, np.int32)  # steps of the number of long runs of words that a window holds
     for r in range(rounds):
         if not len(names):
             break
@@ -80,6 +83,10 @@ def anchors(names: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray
             run = (mix64(names[a] ^ _SALT[0]), start[a], end[a + LONG_RUN - 1] - window, start[b - LONG_RUN + 1])
             within = end[b] - start[a] > window  # a run that holds equal windows itself counts twice
             runs += [run, tuple(x[within] for x in run)]
+            if r == 0:
+                low, high = np.maximum(run[2], 0), run[3]
+                np.add.at(covered, low[low <= high], 1)
+                np.add.at(covered, high[low <= high] + 1, -1)
         named = np.where(length > 1, mix64(names[head] + length.astype(np.uint64) * _SALT[1]), names[head])
         start, end, own = start[head], end[last], own[head]
         right = (mix64(named ^ (_SALT[2] + np.uint64(r))) & np.uint64(1)).astype(bool)
@@ -101,8 +108,13 @@ def anchors(names: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray
     for o in range(stretch):
         np.minimum(least, np.where(close[o : n + o] <= bound, key[o : n + o], least), out=least)
     chosen = np.zeros(n + stretch, bool)
+    reached = np.zeros(n, bool)
+    for o in range(stretch):
+        reached |= close[o : n + o] <= bound
     for o in range(stretch):
         chosen[o : n + o] |= (key[o : n + o] == least) & (close[o : n + o] <= bound)
+    bare = np.flatnonzero(~reached[lost : n + lost - window + 1]) if n >= window else np.zeros(0, np.int64)
+    bare = bare[(doc[bare] == doc[bare + window - 1]) & (np.cumsum(covered)[bare] <= 0)]
     picked = chosen[start]
     names, start, end = names[picked], start[picked], end[picked]
     whole = (start >= lost) & (end + lost <= n)
@@ -112,7 +124,8 @@ def anchors(names: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * up[:n], dtype=np.uint64)))
     around = (total[end + lost] - total[start - lost]) * down[start - lost]
     found = (mix64(names * _SALT[3] + around), start, end + lost - window, start - lost)
-    parts = [found, *runs]
+    own_name = mix64(mix64((total[bare + window] - total[bare]) * down[bare]) ^ _SALT[2])
+    parts = [found, (own_name, bare, bare, bare), *runs]
     return tuple(np.concatenate([p[k] for p in parts]) for k in range(4))
 
 

@@ -216,6 +216,18 @@ def test_substring_dedup_of_runs(spark, seed):
     assert got == {k: v[:3] for k, v in brute_repeats(rows).items()}
 
 
+@pytest.mark.parametrize("runs", [[2], [3], [2, 3]])
+def test_substring_dedup_of_short_runs(spark, runs):
+    """Fragments of just one window whose runs pair to long symbols."""
+    rng, rows = random.Random(len(runs) + runs[0]), []
+    for k in range(150):
+        words = [w for _ in range(20) for w in [f"w{rng.randrange(10**6)}"] * rng.choice(runs)][:26]
+        fragment = words[(at := rng.randrange(4)) : at + 20]
+        rows += [(2 * k, " ".join([f"a{k}", f"b{k}", *fragment, f"c{k}"])), (2 * k + 1, " ".join([f"d{k}", *fragment, f"e{k}"]))]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in recompress.remove_repeats(docs(spark, rows)).collect()}
+    assert got == {k: v[:3] for k, v in brute_repeats(rows).items()}
+
+
 def test_long_windows_take_more_rounds():
     assert recompress.rounds_for(20) == (1, 6, 8)
     assert recompress.rounds_for(200)[0] == 2
