@@ -3,11 +3,12 @@
 The standard library's parser streams events; a block (paragraph, heading, list item, table row, or
 loose text between them) is a line with its text, its tags and its place. The lines' text-to-tag
 ratios are smoothed by a Gaussian kernel and cut in two clusters by a threshold found by two-means;
-the lines of the upper cluster vote, by length, for the element they stand in. The article (or main
-element, or else the least element that holds nearly all votes) is the content region: every line in
-it is kept whole, whatever its own ratio, but for elements that are boilerplate by kind or by name
-(menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments, hidden
-parts). Where the region is the whole body, leading and trailing lines of mostly link text go too.
+the lines of the upper cluster vote, by length, for the element they stand in. The articles with votes,
+and beside them those not mostly link text (or main elements, or else the least element that holds all votes, with the headings and the lines beside
+it that are not mostly link text) are the content region: every line in it is kept whole, whatever its own ratio, but for elements that are
+boilerplate by kind or by name (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+styles, reader comments, hidden parts). A name counts for nothing on what holds an article or main element
+with lines of the upper cluster, unless such an element stands outside of it. Where the region is the whole body, leading and trailing lines of mostly link text go too.
 
 Null and empty pages, and pages of boilerplate alone, give empty text. Broken markup is read as far as
 it goes; pages of any length are read whole. Repeated rows give equal results.
@@ -38,6 +39,7 @@ GONE_NAMES = frozenset(
     " gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted"
     " promotion recommended related respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NEVER_GONE = frozenset("html body article main".split())
 CLOSES_P = BLOCKS - {"body", "html", "caption", "tbody", "tfoot", "thead", "tr"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -57,7 +59,9 @@ class Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = []  # tag, whether it is gone, number
+        self.stack: list[tuple[str, int, int]] = []  # tag, whether it is gone (by kind 1, by name 2), number
+        self.named: set[int] = set()  # elements gone by name, and those of them that hold an article or main element
+        self.holding: set[int] = set()
         self.gone = self.links = self.made = 0
         self.kinds: dict[int, str] = {}
         self.parts: list[str] = []
@@ -73,8 +77,10 @@ class Lines(HTMLParser):
         self.tags = self.linked = 0
 
     def pop(self) -> None:
+        if self.stack[-1][1]:
+            self.flush()
         tag, gone, _ = self.stack.pop()
-        self.gone -= gone
+        self.gone -= gone == 1
         self.links -= tag == "a"
 
     def close_open(self, tags: frozenset | set, stop: frozenset) -> None:
@@ -102,16 +108,20 @@ class Lines(HTMLParser):
             return
         if tag in ("td", "th"):
             self.parts.append(" ")
-        gone = tag in GONE or (tag not in NEVER_GONE and bool(attrs) and self.named_gone(attrs))
+        gone = 1 if tag in GONE else self.named_gone(attrs) if tag not in NEVER_GONE and attrs else 0
         number = 0
-        if tag in BLOCKS:
+        if tag in ("article", "main") and not self.gone:
+            self.holding.update(n for _, g, n in self.stack if g == 2)
+        if tag in BLOCKS or gone == 2:
             self.made += 1
             number = self.made
             self.kinds[number] = tag
         if gone and not self.gone:
             self.flush()
+        if gone == 2:
+            self.named.add(number)
         self.stack.append((tag, gone, number))
-        self.gone += gone
+        self.gone += gone == 1
         self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -139,17 +149,19 @@ class Lines(HTMLParser):
                 self.linked += len(data)
 
     @staticmethod
-    def named_gone(attrs: list) -> bool:
+    def named_gone(attrs: list) -> int:
+        """1 by role or if hidden, 2 by a class or id, else 0."""
+        named = 0
         for name, value in attrs:
             if name in ("class", "id"):
                 if value and any(x.lower() in GONE_NAMES for x in _TOKENS.findall(value)):
-                    return True
+                    named = 2
             elif name == "role":
                 if (value or "").lower() in GONE_ROLES:
-                    return True
+                    return 1
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and "display:none" in value.replace(" ", "").lower():
-                return True
-        return False
+                return 1
+        return named
 
 
 _KERNEL = [math.exp(-(x * x) / 2) for x in range(-2, 3)]
@@ -179,6 +191,13 @@ def threshold(values: list[float]) -> float:
     return (low + high) / 2
 
 
+def upper(lines: list[Line]) -> list[bool]:
+    """Whether each line is of the upper cluster."""
+    ratios = smoothed_ratios(lines)
+    cut = threshold(ratios) if ratios else 0.0
+    return [r >= cut for r in ratios]
+
+
 def main_text(html: str) -> str:
     parser = Lines()
     try:
@@ -187,27 +206,41 @@ def main_text(html: str) -> str:
     except AssertionError:  # the parser's own checks on broken declarations; what was read stays
         pass
     parser.flush()
-    lines = parser.lines
+    gone = parser.named - parser.holding
+    lines = [x for x in parser.lines if gone.isdisjoint(x.path)]
     if not lines:
         return ""
-    ratios = smoothed_ratios(lines)
-    cut = threshold(ratios)
-    chosen = [r >= cut for r in ratios]
+    chosen = upper(lines)
+    # boilerplate names around an article with lines of the upper cluster say nothing if no such article has fewer of them
+    around = [parser.named.intersection(x.path) for x, ok in zip(lines, chosen) if ok and any(parser.kinds[n] in ("article", "main") for n in x.path)]
+    fewest = min(map(len, around), default=0)
+    low = parser.holding.difference(*[x for x in around if len(x) == fewest])
+    if low:
+        lines = [x for x in lines if low.isdisjoint(x.path)]
+        chosen = upper(lines)
     votes: dict[int, int] = {}
     for line, ok in zip(lines, chosen):
         for n in line.path:
             votes[n] = votes.get(n, 0) + (len(line.text) if ok else 0)
     total = sum(len(x.text) for x, ok in zip(lines, chosen) if ok)
-    region = None
+    region, inside = None, []
     for kind in ("article", "main"):
-        found = [n for n, t in parser.kinds.items() if t == kind and votes.get(n)]
+        found = {n for n, t in parser.kinds.items() if t == kind and votes.get(n)}
         if found:
-            region = max(found, key=lambda n: (votes[n], -n))
+            prose: dict[int, int] = {}
+            for line in lines:
+                for n in line.path:
+                    prose[n] = prose.get(n, 0) + len(line.text) - 2 * line.linked
+            found |= {n for n, t in parser.kinds.items() if t == kind and prose.get(n, -1) >= 0}
+            region = min(found)
+            inside = [k for k, x in enumerate(lines) if not found.isdisjoint(x.path)]
             break
     if region is None:
-        holders = [n for n, v in votes.items() if v >= 0.9 * total and parser.kinds[n] not in ("p", "li", "td", "tr", "pre")]
+        holders = [n for n, v in votes.items() if v == total and parser.kinds[n] in BLOCKS and parser.kinds[n] not in ("p", "li", "td", "tr", "pre")]
         region = max(holders, default=None)  # the last opened of those is the innermost
-    inside = [k for k, x in enumerate(lines) if region is None or region in x.path]
+        around = next((x.path[: x.path.index(region)] for x in lines if region in x.path), ())
+        beside = lambda x: x.path[: len(around)] == around and (2 * x.linked <= len(x.text) or bool(x.path) and parser.kinds[x.path[-1]] in HEADINGS)
+        inside = [k for k, x in enumerate(lines) if region is None or region in x.path or beside(x)]
     if region is None or parser.kinds[region] in ("body", "html"):
         linky = [2 * lines[k].linked > len(lines[k].text) for k in inside]
         while inside and linky[0]:

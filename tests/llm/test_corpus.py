@@ -335,6 +335,22 @@ def test_main_text():
     assert html_text.main_text("<p>a<script>never closed") == "a"
 
 
+def test_main_text_is_whole():
+    intro, body = "An intro of some words here. " * 3, "The body has many more words to read. " * 30
+    flat = f"<body><h1>Title</h1><div><p>{intro}</p></div><div><p>{body}</p></div></body>"
+    assert html_text.main_text(flat) == f"Title\n{intro.strip()}\n{body.strip()}"
+    two = f"<body><nav>x</nav><article><p>{intro}</p></article><article><p>{body}</p></article></body>"
+    assert html_text.main_text(two) == f"{intro.strip()}\n{body.strip()}"
+    for name in ("layout no-sidebar", "has-banner", "content-sidebar-wrap"):
+        page = f'<body><div class="{name}"><article><h1>Title</h1><p>{body}</p></article></div><div class="sidebar"><p>{intro}</p></div></body>'
+        assert html_text.main_text(page) == f"Title\n{body.strip()}"
+    assert html_text.main_text(f'<b><span class="ad">{intro}</b>after') == "after"
+    said = f'<body><article><p>{body}</p></article><div class="comments"><article><p>{body}</p></article></div></body>'
+    assert html_text.main_text(said) == body.strip()
+    cards = f'<body><div class="related"><article><a href=1>More</a></article><article><a href=2>Less</a></article></div><div><p>{body}</p></div></body>'
+    assert html_text.main_text(cards) == body.strip()
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "u", "<p>é x</p>"), (2, None, None), (None, "v", "")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     assert sorted(map(tuple, html_text.extract(df).collect()), key=repr) == sorted([(1, "u", "é x", 3), (2, None, "", 0), (None, "v", "", 0)], key=repr)
