@@ -6,12 +6,17 @@ k(q) = compression * (asin(2q - 1) + pi / 2) / pi. A bin of few values keeps eac
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 COMPRESSION, EXACT_VALUES, ACCURACY = 32, 40, 32
+#: Compression of what is compressed once more.
+FINE = 100
 CENTROIDS = "array<struct<mean:double,count:bigint>>"
 
 
@@ -78,6 +83,12 @@ def recompress_column(rows: DataFrame, column: str = "centroids", accuracy: int
     return rows.withColumn(column, merged).withColumn(column, F.when(F.size(column) > 2 * accuracy, shrink(column)).otherwise(F.col(column)))
 
 
+def recompress_bins(values: DataFrame, keys: list[str], value: str = "value", count: str = "count", accuracy: int = ACCURACY) -> DataFrame:
+    """A6, A7 of all values of a bin: (keys, centroids). Equal values are counted and large bins digested before any
+    array is built, so an array has no more than a digest's centroids."""
+    return recompress_column(digest_bins(values, keys, FINE, value, count), accuracy=accuracy)
+
+
 def digest_bins(values: DataFrame, keys: list[str], compression: int = COMPRESSION, value: str = "value", count: str = "count") -> DataFrame:
     """A5: (keys, centroids) of weighted values.
 
@@ -97,7 +108,8 @@ def digest_bins(values: DataFrame, keys: list[str], compression: int = COMPRESSI
         return pd.DataFrame(head | {"mean": means, "count": counts})
 
     small = salted.groupBy(*keys).agg(F.count("*").alias("_distinct"))
-    sized = salted.join(small, keys)
+    small = small.select(*[F.col(k).alias(f"_key{n}") for n, k in enumerate(keys)], "_distinct")
+    sized = salted.join(small, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_key{n}")) for n, k in enumerate(keys)]))
     exact = sized.filter(F.col("_distinct") <= EXACT_VALUES).select(*keys, F.col("_v").cast("double").alias("mean"), F.col("_n").cast("bigint").alias("count"))
     large = sized.filter(F.col("_distinct") > EXACT_VALUES).withColumn("_salt", F.when(F.col("_distinct") > 100_000, F.col("_salt")).otherwise(0))
     parts = large.groupBy(*keys, "_salt").applyInPandas(lambda pdf: shrink(pdf), out_schema)

@@ -72,8 +72,8 @@ def a6_run_length(spark, sf_dir):
 @query(f"WITH {POINTS} SELECT metric, source, CAST(count(*) AS BIGINT) AS n, true AS small FROM points GROUP BY ALL")
 def a7_recompress(spark, sf_dir):
     """Centroids of each user, merged and compressed: counts stay, sizes are bounded."""
-    h = points(spark, sf_dir).groupBy("metric", "source").agg(F.array_sort(F.collect_list(F.struct(F.floor("value").cast("double").alias("mean"), F.lit(1).cast("long").alias("count")))).alias("centroids"))
-    out = D.recompress_column(h, accuracy=20)
+    rows = points(spark, sf_dir).select("metric", "source", F.floor("value").cast("double").alias("mean"), F.lit(1).cast("long").alias("count"))
+    out = D.recompress_bins(rows, ["metric", "source"], "mean", "count", accuracy=20)
     return out.select("metric", "source", F.aggregate("centroids", F.lit(0).cast("bigint"), lambda s, c: s + c["count"]).alias("n"), (F.size("centroids") <= 40).alias("small"))
 
 

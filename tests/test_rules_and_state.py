@@ -118,6 +118,13 @@ def test_large_bins_are_cut(spark):
     assert sum(x["count"] for x in c) == 5000 and len(c) < 70
 
 
+def test_hot_bins_are_counted_before_arrays(spark):
+    hot = spark.range(60000).select(F.lit("m").alias("metric"), F.when(F.col("id") % 3 > 0, F.lit("hot")).alias("source"), (F.col("id") % 3000).cast("double").alias("mean"), F.lit(1).cast("long").alias("count"))
+    found = {r.source: r.centroids for r in D.recompress_bins(hot, ["metric", "source"], "mean", "count", accuracy=20).collect()}
+    assert {k: sum(c["count"] for c in v) for k, v in found.items()} == {"hot": 40000, None: 20000} and all(len(v) <= 40 for v in found.values())
+    assert all(sum(c["mean"] * c["count"] for c in v) == pytest.approx(sum(i % 3000 for i in range(60000) if (i % 3 > 0) == (k == "hot"))) for k, v in found.items())
+
+
 def test_source_tags(spark):
     changes = [("s", 1, "ADD", "a"), ("s", 2, "ADD", "b"), ("s", 3, "DELETE", "a"), ("t", 1, "ADD", "x"), ("t", 2, "SAVE", "y"), ("t", 2, "SAVE", "z"), ("t", 3, "DELETE", "z"), ("u", 1, "DELETE", "q")]
     df = spark.createDataFrame(changes, "source string, seq long, action string, tag string")
