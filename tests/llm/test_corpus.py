@@ -176,33 +176,75 @@ def test_plain_conversations(spark):
 
 
 def brute_repeats(rows, window=20):
+    """By (doc_id, text): rows in order of doc_id, null first, rows of one doc_id in the order of their results' keys below."""
     seen, out = {}, {}
-    for i, text in sorted(((i, t or "") for i, t in rows), key=lambda x: x[0]):
-        words = WORD.findall(text)
+    for i, text in rows:
+        words = WORD.findall(text or "")
         gone = [False] * len(words)
         for p in range(len(words) - window + 1):
             w = tuple(words[p : p + window])
-            if seen.setdefault(w, (i, p)) != (i, p):
+            if seen.setdefault(w, (i, text, p)) != (i, text, p):
                 gone[p : p + window] = [True] * window
         kept = " ".join(w for w, g in zip(words, gone) if not g)
-        out[i] = (len(words), sum(gone), hashlib.sha256(kept.encode()).hexdigest(), kept)
+        out[i, text] = (len(words), sum(gone), hashlib.sha256(kept.encode()).hexdigest(), kept)
     return out
 
 
+def by_key(spark, rows):
+    """rows in the order of their keys."""
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+    return [rows[r.n] for r in df.withColumn("key", F.hex(recompress.row_key())).orderBy("key", "n").collect()]
+
+
+def repeats_found(spark, rows):
+    """Sorted results of the operator and of brute force, a row each."""
+    got = sorted((repr(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in recompress.remove_repeats(docs(spark, rows)).collect())
+    want = brute_repeats(by_key(spark, rows))
+    return got, sorted((repr(i), *want[i, t][:3]) for i, t in rows)
+
+
 def test_substring_dedup(spark):
-    rows = [r for r in fixture_rows() if r[0] != 10]
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in recompress.remove_repeats(docs(spark, rows)).collect()}
-    assert got == {k: v[:3] for k, v in brute_repeats(rows).items()}
+    got, want = repeats_found(spark, fixture_rows())
+    assert got == want
     assert recompress.remove_repeats(docs(spark, EMPTY)).count() == 0
 
 
 def test_substring_dedup_keeps_other_columns(spark):
-    rows = [r for r in fixture_rows() if r[0] != 10]
-    want = brute_repeats(rows)
+    rows = fixture_rows()
+    want = brute_repeats(by_key(spark, rows))
     out = recompress.without_repeats(docs(spark, rows))
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "_k"]
-    for r in out.collect():
-        assert r.text == (dict(rows)[r.doc_id] if want[r.doc_id][1] == 0 else want[r.doc_id][3]) and r["_k"] == "clash"
+    kept = sorted((r.doc_id, r.text or "") for r in out.collect())
+    assert kept == sorted((i, (t or "") if want[i, t][1] == 0 else want[i, t][3]) for i, t in rows)
+    assert {r["_k"] for r in out.collect()} == {"clash"}
+
+
+def test_equal_names_are_equal_windows():
+    """Popped sequences over few and many words, runs and none: equal just where the words are."""
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        words = np.repeat(rng.integers(0, 1 + seed % 5, 400), rng.integers(1, 2 + seed % 4, 400))
+        words = np.concatenate((words, words[100:200], rng.integers(0, 400, 300)))
+        own = np.sort(rng.integers(0, 6, len(words)))
+        window = (20, 7, 3, 50)[seed % 4]
+        at = np.flatnonzero(own[: len(words) - window + 1] == own[window - 1 :])
+        h, g = recompress.popped_names(recompress.mix64(words.astype(np.uint64)), own, at, window)
+        name, content = {}, {}
+        for a, x, y in zip(at.tolist(), h.tolist(), g.tolist()):
+            w = tuple(words[a : a + window].tolist())
+            assert name.setdefault(w, (x, y)) == (x, y) and content.setdefault((x, y), w) == w
+
+
+def test_rows_under_one_id_with_other_texts(spark):
+    """Repeated and null ids: unique text stays, whatever stands in the other rows of its id."""
+    rng = random.Random(8)
+    text = lambda n: " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
+    passage, alone = text(30), text(30)
+    twice = text(30)
+    rows = [(1, passage), (5, passage), (5, alone), (5, text(25) + " " + passage), (None, twice + " " + twice), (None, text(60)), (None, None), (7, alone + " x"), (7, alone + " x")]
+    got, want = repeats_found(spark, rows)
+    assert got == want
+    assert ("5", 30, 0, hashlib.sha256(alone.encode()).hexdigest()) in got and ("None", 60, 0) in {x[:3] for x in got} and ("None", 60, 30) in {x[:3] for x in got}
 
 
 @pytest.mark.parametrize("seed", range(12))
@@ -212,8 +254,8 @@ def test_substring_dedup_of_runs(spark, seed):
     seq = lambda n: [x for _ in range(n) for x in [rng.choice(letters)] * rng.choice([1, 1, 2, 3, 4, 5, 25])][:n]
     fragment = seq(30)
     rows = [(i, " ".join(seq(rng.randint(0, 60)) + fragment * rng.randint(0, 2))) for i in range(12)]
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in recompress.remove_repeats(docs(spark, rows)).collect()}
-    assert got == {k: v[:3] for k, v in brute_repeats(rows).items()}
+    got, want = repeats_found(spark, rows)
+    assert got == want
 
 
 @pytest.mark.parametrize("runs", [[2], [3], [2, 3]])
@@ -224,8 +266,8 @@ def test_substring_dedup_of_short_runs(spark, runs):
         words = [w for _ in range(20) for w in [f"w{rng.randrange(10**6)}"] * rng.choice(runs)][:26]
         fragment = words[(at := rng.randrange(4)) : at + 20]
         rows += [(2 * k, " ".join([f"a{k}", f"b{k}", *fragment, f"c{k}"])), (2 * k + 1, " ".join([f"d{k}", *fragment, f"e{k}"]))]
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in recompress.remove_repeats(docs(spark, rows)).collect()}
-    assert got == {k: v[:3] for k, v in brute_repeats(rows).items()}
+    got, want = repeats_found(spark, rows)
+    assert got == want
 
 
 def test_long_windows_take_more_rounds():
