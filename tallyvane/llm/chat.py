@@ -9,24 +9,27 @@ Messages (conv_id, turn, role, text, call_id, tool, arguments, after) become one
 * order: a result comes after its call, a call after the results that it names in `after`. A message's order_turn
   is the greatest turn among itself and all it depends on, order_depth its steps behind the last message that set
   that turn; sorting a conversation by (order_turn, order_depth, turn, role, call_id) is topological. Both are
-  found in rounds over the links alone; links that run forward settle at once. Messages on a cycle are `cyclic`.
-* arguments are checked against the tool's schema (types, required, enum, minLength, additionalProperties) and
-  serialised with sorted keys.
-
-Lines are rows, never gathered by conversation, so a conversation of any length is no hot group; joins put only
-the unique calls on one side. Null text is left out of the line; arguments that are not JSON are kept as a string and
+  found over the links alone: each message points at the message it waits for longest, pointers are doubled, and
+  messages choose anew until none has a longer wait, so a chain of n links takes log n rounds. Links that run forward
+  settle at once. Messages on a cycle, or behind one, are `cyclic` and keep their own turn.
+* arguments are checked against the tool's schema (types, required, enum, minLength, additionalProperties; an
+  enum's values by type, 1 and 1.0 alike) and serialised with sorted keys.
+
+Lines are rows, never gathered by conversation, so a conversation of any length is no hot group; calls, results and
+their order are joined by hash, the hashed side having one row for each identifier. Null text is left out of the line; arguments that are not JSON are kept as a string and
 reported; a null conversation or identifier links with nothing. Repeated rows give repeated lines. Extra columns
 are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, remove
 
 COLUMNS = ["conv_id", "turn", "role", "text", "call_id", "tool", "arguments", "after"]
 _TYPES = {
@@ -40,6 +43,18 @@ _TYPES = {
 }
 
 
+def _is_value(at: Column, kind: Column, value: object) -> Column:
+    """Whether a variant is a given JSON value, type and all."""
+    if isinstance(value, bool) or value is None:
+        return (kind == ("VOID" if value is None else "BOOLEAN")) & (F.to_json(at) == json.dumps(value))
+    if isinstance(value, (int, float)):
+        return _TYPES["number"](kind) & (F.try_variant_get(at, "$", "double") == float(value))
+    if isinstance(value, str):
+        return (kind == "STRING") & (F.try_variant_get(at, "$", "string") == value)
+    # members of a variant stand in the order of their names, as sort_keys has them
+    return F.to_json(at) == json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
 def argument_errors(arguments: Column, tool: Column, schemas: dict[str, dict]) -> Column:
     """Sorted messages of what is wrong with a call's arguments (JSON text) under its tool's JSON schema."""
     value = F.try_parse_json(arguments)
@@ -58,7 +73,7 @@ def argument_errors(arguments: Column, tool: Column, schemas: dict[str, dict]) -
                 checks.append(F.when(mine & at.isNotNull() & ~reduce(lambda a, b: a | b, (_TYPES[k](kind) for k in kinds)), F.lit(f"{key}: not {' or '.join(kinds)}")))
             text = F.try_variant_get(value, f"$['{key}']", "string")
             if "enum" in rule:
-                checks.append(F.when(mine & at.isNotNull() & ~F.coalesce(text.isin(*[str(x) for x in rule["enum"]]), F.lit(False)), F.lit(f"{key}: not an allowed value")))
+                checks.append(F.when(mine & at.isNotNull() & ~F.coalesce(reduce(lambda a, b: a | b, (F.coalesce(_is_value(at, kind, x), F.lit(False)) for x in rule["enum"]), F.lit(False)), F.lit(False)), F.lit(f"{key}: not an allowed value")))
             if "minLength" in rule:
                 checks.append(F.when(mine & (kind == "STRING") & (F.char_length(text) < rule["minLength"]), F.lit(f"{key}: too short")))
         if schema.get("additionalProperties") is False:
@@ -76,41 +91,67 @@ def canonical_line(role: Column, text: Column, call_id: Column, tool: Column, ar
     return F.when(value.isNotNull(), F.to_json(parsed)).otherwise(F.to_json(raw))
 
 
-def _order(links: DataFrame, max_rounds: int) -> DataFrame:
-    """(conv_id, node, key, depth, cyclic) of the messages that wait for another one. links: conv_id, node, turn, needs, needs_turn."""
-    edges = materialise(links, "chat-links")
-    state = edges.groupBy("conv_id", "node").agg(F.max("turn").alias("key")).withColumn("depth", F.lit(0)).withColumn("cyclic", F.lit(False))
+def _order(links: DataFrame) -> DataFrame:
+    """(conv_id, node, key, depth, cyclic) of the messages that wait for another one. links: conv_id, node, turn, needs, needs_turn.
+
+    A node's value is (key, depth). It points at the needed node of the greatest value, or at none if its own turn is
+    greater than all; `_chased` gives each node the value at its pointers' end. Values only grow with each new choice
+    and what is on a cycle has no end, so choices settle; no chain is cut.
+    """
+    spark, paths = links.sparkSession, []
+    edges = materialise(links, "chat-links", paths)
     if edges.filter("needs_turn >= turn").isEmpty():
         # every link runs forward in turns: the turns themselves are an order
-        return state
-    for _ in range(max_rounds):
-        state = materialise(state, "chat-order")
-        before = state.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), F.col("key").alias("k"), F.col("depth").alias("d"))
-        met = edges.join(before, (edges.conv_id == before.c) & (edges.needs == before.n), "left")
-        # what is waited for and waits for nothing itself has its own turn and depth 0
-        reached = met.groupBy("conv_id", "node").agg(F.max(F.struct(F.coalesce("k", "needs_turn").alias("k"), (F.coalesce("d", F.lit(0)) + 1).alias("d"))).alias("r"))
-        new = state.join(reached, ["conv_id", "node"]).select(
-            "conv_id", "node", F.greatest("key", "r.k").alias("key"),
-            F.when(F.col("r.k") > F.col("key"), F.col("r.d")).when(F.col("r.k") == F.col("key"), F.greatest("depth", "r.d")).otherwise(F.col("depth")).alias("depth"),
-            ((F.col("r.k") > F.col("key")) | ((F.col("r.k") == F.col("key")) & (F.col("r.d") > F.col("depth")))).alias("cyclic"),
-        )
-        state = materialise(new, "chat-order")
-        if state.filter("cyclic").isEmpty():
-            return state
-    return state
-
-
-def format_messages(messages: DataFrame, schemas: dict[str, dict], max_rounds: int = 64) -> DataFrame:
-    """(conv_id, turn, role, call_id, status, valid, errors, order_turn, order_depth, message) of every message.
-
-    An order deeper than max_rounds links, or a cycle, is reported as status `cyclic`.
+        return edges.groupBy("conv_id", "node").agg(F.max("turn").alias("key")).withColumn("depth", F.lit(0)).withColumn("cyclic", F.lit(False))
+    own = edges.groupBy("conv_id", "node").agg(F.max("turn").alias("turn"))
+    needed = edges.select("conv_id", F.col("needs").alias("node"), F.col("needs_turn").alias("turn"))
+    nodes = materialise(own.unionByName(needed).groupBy("conv_id", "node").agg(F.max("turn").alias("turn")), "chat-nodes", paths)
+    most = nodes.count().bit_length() + 1
+    values = nodes.select("conv_id", "node", F.col("turn").alias("key"), F.lit(0).alias("depth"), F.lit(False).alias("stuck"))
+    while True:
+        old: list[str] = []
+        before = values.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), "stuck", "key", "depth")
+        offer = F.struct("stuck", "key", (F.col("depth") + 1).alias("depth"), F.col("needs").alias("at"))
+        offers = edges.join(before.hint("shuffle_hash"), (edges.conv_id == before.c) & (edges.needs == before.n)).groupBy("conv_id", "node").agg(F.max(offer).alias("o"))
+        met = nodes.join(offers.hint("shuffle_hash"), ["conv_id", "node"], "left")
+        points = materialise(met.select("conv_id", "node", "turn", F.when(F.col("o.stuck") | (F.col("o.key") >= F.col("turn")), F.col("o.at")).alias("at")), "chat-points", old)
+        new = materialise(_chased(points, most), "chat-values", paths)
+        was = values.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), F.struct("stuck", "key", "depth").alias("was"))
+        settled = new.join(was.hint("shuffle_hash"), (new.conv_id == was.c) & (new.node == was.n)).filter(F.struct("stuck", "key", "depth") != F.col("was")).isEmpty()
+        remove(spark, old + paths[2:-1])
+        paths = [*paths[:2], paths[-1]]
+        values = new
+        if settled:
+            waiting = own.join(values.hint("shuffle_hash"), ["conv_id", "node"])
+            return waiting.select("conv_id", "node", F.when(F.col("stuck"), F.col("turn")).otherwise(F.col("key")).alias("key"), F.when(F.col("stuck"), 0).otherwise(F.col("depth")).alias("depth"), F.col("stuck").alias("cyclic"))
+
+
+def _chased(points: DataFrame, most: int) -> DataFrame:
+    """(conv_id, node, key, depth, stuck): the turn at the end of each node's pointers and the steps to it; stuck: they have no end.
+
+    Pointers are doubled up to `most` times, more than a path without a cycle can ask for.
     """
+    spark, old = points.sparkSession, []
+    state = points.select("conv_id", "node", F.col("turn").alias("key"), F.coalesce("at", "node").alias("at"), F.col("at").isNotNull().cast("long").alias("depth"), F.col("at").isNotNull().alias("open"))
+    for _ in range(most):
+        on = state.select(F.col("conv_id").alias("c"), F.col("node").alias("n"), F.col("at").alias("to"), F.col("key").alias("k"), F.col("depth").alias("d"), F.col("open").alias("more"))
+        met = state.join(on.hint("shuffle_hash"), (state.conv_id == on.c) & (state["at"] == on.n))
+        state = materialise(met.select("conv_id", "node", F.col("k").alias("key"), F.col("to").alias("at"), (F.col("depth") + F.col("d")).alias("depth"), F.col("more").alias("open")), "chat-chased", old)
+        remove(spark, old[:-1])
+        old = old[-1:]
+        if state.filter("open").isEmpty():
+            break
+    return state.select("conv_id", "node", F.when(~F.col("open"), F.col("key")).otherwise(F.lit(None)).alias("key"), F.when(~F.col("open"), F.col("depth")).otherwise(0).cast("int").alias("depth"), F.col("open").alias("stuck"))
+
+
+def format_messages(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
+    """(conv_id, turn, role, call_id, status, valid, errors, order_turn, order_depth, message) of every message."""
     rows = messages.select(*COLUMNS)
     named = F.col("call_id").isNotNull() & F.col("conv_id").isNotNull()
     first = F.min(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("arguments", F.lit("")).alias("arguments")))
     calls = rows.filter((F.col("role") == "call") & named).groupBy("conv_id", "call_id").agg(first.alias("call"))
     results = rows.filter((F.col("role") == "result") & named).groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))).alias("result"))
-    pairs = materialise(calls.join(results, ["conv_id", "call_id"], "full"), "chat-pairs")
+    pairs = materialise(calls.join(results.hint("shuffle_hash"), ["conv_id", "call_id"], "full"), "chat-pairs")
     known = pairs.select(F.col("conv_id").alias("c"), F.col("call_id").alias("i"), "call", "result")
     tools = rows.filter(F.col("role").isin("call", "result"))
     node = F.concat_ws(":", "role", "call_id")
@@ -118,13 +159,13 @@ def format_messages(messages: DataFrame, schemas: dict[str, dict], max_rounds: i
         "conv_id", F.concat_ws(":", F.lit("result"), "call_id").alias("node"), F.col("result.turn").alias("turn"), F.concat_ws(":", F.lit("call"), "call_id").alias("needs"), F.col("call.turn").alias("needs_turn")
     )
     wanted = rows.filter((F.col("role") == "call") & named).select("conv_id", "call_id", "turn", F.explode(F.array_distinct("after")).alias("want"))
-    asks = wanted.join(known, (wanted.conv_id == known.c) & (wanted.want == known.i)).filter("result IS NOT NULL").select(
+    asks = wanted.join(known.hint("shuffle_hash"), (wanted.conv_id == known.c) & (wanted.want == known.i)).filter("result IS NOT NULL").select(
         "conv_id", F.concat_ws(":", F.lit("call"), "call_id").alias("node"), "turn", F.concat_ws(":", F.lit("result"), "want").alias("needs"), F.col("result.turn").alias("needs_turn")
     )
-    order = _order(answers.unionByName(asks), max_rounds).select(F.col("conv_id").alias("oc"), F.col("node").alias("on"), "key", "depth", "cyclic")
+    order = _order(answers.unionByName(asks)).select(F.col("conv_id").alias("oc"), F.col("node").alias("on"), "key", "depth", "cyclic")
     linked = rows.withColumn("_node", F.when(F.col("role").isin("call", "result") & named, node))
-    linked = linked.join(known, (linked.conv_id == known.c) & (linked.call_id == known.i), "left")
-    linked = linked.join(order, (linked.conv_id == order.oc) & (linked["_node"] == order.on), "left")
+    linked = linked.join(known.hint("shuffle_hash"), (linked.conv_id == known.c) & (linked.call_id == known.i), "left")
+    linked = linked.join(order.hint("shuffle_hash"), (linked.conv_id == order.oc) & (linked["_node"] == order.on), "left")
     is_call = F.col("call.turn").eqNullSafe(F.col("turn")) & F.col("call.text").eqNullSafe(F.coalesce("text", F.lit("")))
     is_call &= F.col("call.arguments").eqNullSafe(F.coalesce("arguments", F.lit("")))
     is_result = F.col("result.turn").eqNullSafe(F.col("turn")) & F.col("result.text").eqNullSafe(F.coalesce("text", F.lit("")))

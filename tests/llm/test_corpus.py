@@ -152,7 +152,7 @@ def test_tool_calls(spark):
     ]
     schema = "conv_id long, turn long, role string, text string, call_id string, tool string, arguments string, after array<string>"
     df = spark.createDataFrame(rows, schema).withColumn("key", F.lit(1))
-    got = {(r.conv_id, r.turn): r for r in chat.format_messages(df, SCHEMAS, max_rounds=6).collect()}
+    got = {(r.conv_id, r.turn): r for r in chat.format_messages(df, SCHEMAS).collect()}
     assert len(got) == len(rows)
     status = {k: r.status for k, r in got.items() if k[0] != 3}
     assert status == {
@@ -162,10 +162,56 @@ def test_tool_calls(spark):
     assert got[1, 1].message == '{"arguments":{"a":1,"op":"x"},"call_id":"c1","role":"call","tool":"add"}' and got[1, 1].valid
     assert got[1, 3].errors == "a: not integer; unexpected: z" and got[1, 7].errors == "arguments are not JSON" and got[2, 5].errors == "unknown tool"
     assert (got[2, 0].order_turn, got[2, 0].order_depth) == (5, 1) and (got[2, 5].order_turn, got[2, 5].order_depth) == (5, 0)
-    assert "cyclic" in {got[3, 0].status, got[3, 1].status}
+    assert {got[3, 0].status, got[3, 1].status} == {"cyclic"}
     assert chat.format_messages(df.limit(0), SCHEMAS).count() == 0
 
 
+MESSAGES = "conv_id long, turn long, role string, text string, call_id string, tool string, arguments string, after array<string>"
+
+
+def test_long_chains_and_cycles(spark):
+    """A chain of 150 calls in falling turns is an order; cycles and what waits for them are not."""
+    chain = [r for k in range(150) for r in ((1, 2000 - 2 * k, "call", None, f"c{k}", "add", "{}", [f"c{k - 1}"]), (1, 2001 - 2 * k, "result", "x", f"c{k}", None, None, None))]
+    ring = [r for k in range(5) for r in ((2, 10 * k, "call", None, f"r{k}", "add", "{}", [f"r{(k + 1) % 5}", "far"]), (2, 10 * k + 1, "result", "x", f"r{k}", None, None, None))]
+    far = [(2, 900, "call", None, "far", "add", "{}", None), (2, 901, "result", "x", "far", None, None, None), (2, 5, "call", None, "behind", "add", "{}", ["r0"]), (2, 6, "result", "x", "behind", None, None, None)]
+    got = {(r.conv_id, r.role, r.call_id): r for r in chat.format_messages(spark.createDataFrame(chain + ring + far, MESSAGES), SCHEMAS).collect()}
+    assert {r.status for (c, _, _), r in got.items() if c == 1} == {"linked"}
+    for k in range(150):
+        a, b = got[1, "call", f"c{k}"], got[1, "result", f"c{k}"]
+        assert (a.order_turn, a.order_depth, b.order_turn, b.order_depth) == ((2000, 0, 2001, 0) if k == 0 else (2001, 2 * k - 1, 2001, 2 * k))
+    assert {i for (c, _, i), r in got.items() if c == 2 and r.status == "cyclic"} == {"r0", "r1", "r2", "r3", "r4", "behind"}
+    assert got[2, "result", "far"].status == "linked" and got[2, "call", "r0"].order_turn == 0
+
+
+def test_order_is_the_longest_wait(spark):
+    """Random acyclic waits against the values counted one by one."""
+    rng = random.Random(4)
+    for _ in range(1):
+        turns, rows, want = [rng.randrange(50) for _ in range(40)], [], {}
+        after = [sorted(rng.sample(range(k), min(k, rng.randrange(3)))) for k in range(40)]
+        for k, t in enumerate(turns):
+            rows += [(1, t, "call", None, f"c{k}", "add", "{}", [f"c{j}" for j in after[k]]), (1, t, "result", "x", f"c{k}", None, None, None)]
+            key, depth = max([(t, 0), *((want["result", j][0], want["result", j][1] + 1) for j in after[k])])
+            want["call", k] = (key, depth)
+            want["result", k] = max((t, 0), (key, depth + 1))
+        rows += rows[:2]
+        got = {(r.role, int(r.call_id[1:])): (r.order_turn, r.order_depth) for r in chat.format_messages(spark.createDataFrame(rows, MESSAGES), SCHEMAS).collect()}
+        assert got == want
+
+
+def test_enum_values_have_types(spark):
+    schema = {"f": {"properties": {"v": {"enum": [1, "2", True, None, [1, "a"]]}}}}
+    values = {"1": True, "1.0": True, '"1"': False, '"2"': True, "2": False, "true": True, '"true"': False, "null": True, '[1,"a"]': True, '["1","a"]': False}
+    rows = [(1, k, "call", None, f"c{k}", "f", f'{{"v": {v}}}', None) for k, v in enumerate(values)]
+    got = {r.turn: r.valid for r in chat.format_messages(spark.createDataFrame(rows, MESSAGES), schema).collect()}
+    assert [got[k] for k in range(len(values))] == list(values.values())
+
+
+def test_calls_are_joined_by_hash(spark):
+    plan = chat.format_messages(spark.createDataFrame([(1, 0, "call", None, "c", "add", "{}", None)], MESSAGES), SCHEMAS)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_plain_conversations(spark):
     df = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "user", None), (1, 1, "assistant", "b"), (2, 0, "assistant", "x")], "conv_id long, turn long, role string, text string")
     got = sorted((r.conv_id, r.turn, r.status, r.valid) for r in chat.format_conversations(df).collect())
