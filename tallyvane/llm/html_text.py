@@ -1,17 +1,21 @@
 """Main text of web pages: streaming parser events, text-to-tag ratios, Gaussian smoothing, clustering.
 
 The standard library's parser streams events; a block (paragraph, heading, list item, table row, or
-loose text between them) is a line with its text, its tags and its place. The lines' text-to-tag
+loose text between them) is a line with its text, its tags, its linked text and its place. The lines' text-to-tag
 ratios are smoothed by a Gaussian kernel and cut in two clusters by a threshold found by two-means;
-the lines of the upper cluster vote, by length, for the element they stand in. The articles with votes,
-and beside them those not mostly link text (or main elements, or else the least element that holds all votes, with the headings and the lines beside
-it that are not mostly link text) are the content region: every line in it is kept whole, whatever its own ratio, but for elements that are
-boilerplate by kind or by name (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-styles, reader comments, hidden parts). A name counts for nothing on what holds an article or main element
-with lines of the upper cluster, unless such an element stands outside of it. Where the region is the whole body, leading and trailing lines of mostly link text go too.
-
-Null and empty pages, and pages of boilerplate alone, give empty text. Broken markup is read as far as
-it goes; pages of any length are read whole. Repeated rows give equal results.
+the lines of the upper cluster vote, by length, for the elements they stand in. The articles with votes, and beside
+them those not mostly link text, are the content region (or main elements, or else the least element that holds all
+votes, with the headings and the lines beside it that are not mostly link text). Every line of the region is kept
+whole, whatever its own ratio, but for boilerplate: by kind (menus, headers, footers, asides, forms, scripts, styles),
+by role or if hidden, and by name. A class or id all of whose parts name boilerplate or a place of it (`sidebar-left`,
+`comment-list`) takes its element out, unless that holds the article or main element with votes and none
+stands elsewhere. A class or id with such a part among others (`post-header`, `notice-board-history`) is evidence
+only: its element goes if it is mostly link text, or if it stands outside of articles, has no heading and no line of
+the upper cluster. Where the region is the whole body, leading and trailing lines of mostly link text go too.
+
+Elements are numbered as they open and know their parent alone, and open tags are found by name, so time and memory
+follow the page's length, however deep its elements lie. Null and empty pages, and pages of boilerplate alone, give
+empty text. Broken markup is read as far as it goes; pages of any length are read whole. Repeated rows give equal results.
 """
 
 from __future__ import annotations
@@ -39,6 +43,11 @@ GONE_NAMES = frozenset(
     " gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted"
     " promotion recommended related respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
+#: What a name that stands for boilerplate alone may have beside its GONE_NAMES.
+PARTS_OF = frozenset(
+    "area block bottom box btn button center container content footer form global group header icon inner item items js left link links list main"
+    " mobile outer page panel primary reader readers right row secondary section site slot text thread title top unit user wrap wrapper".split()
+)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NEVER_GONE = frozenset("html body article main".split())
 CLOSES_P = BLOCKS - {"body", "html", "caption", "tbody", "tfoot", "thead", "tr"}
@@ -48,22 +57,28 @@ _TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 class Line:
-    __slots__ = ("text", "tags", "linked", "path")
+    __slots__ = ("text", "tags", "linked", "at")
 
-    def __init__(self, text: str, tags: int, linked: int, path: tuple):
-        self.text, self.tags, self.linked, self.path = text, tags, linked, path
+    def __init__(self, text: str, tags: int, linked: int, at: int):
+        self.text, self.tags, self.linked, self.at = text, tags, linked, at
 
 
 class Lines(HTMLParser):
-    """Lines of a page outside of boilerplate elements; a path is the numbers of the open block elements."""
+    """Lines of a page outside of boilerplate by kind. Block elements, and those named as boilerplate, have numbers that
+    rise as they open; a line's place is the number of its innermost one, 0 where there is none."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, int]] = []  # tag, whether it is gone (by kind 1, by name 2), number
-        self.named: set[int] = set()  # elements gone by name, and those of them that hold an article or main element
+        self.stack: list[tuple[str, int, int]] = []  # tag, whether it is gone (by kind 1, by name 2, perhaps 3), number
+        self.where: dict[str, list[int]] = {}  # places of the open elements of a tag in the stack
+        self.blocks: list[int] = []  # those of open block elements
+        self.open = [0]  # numbers of the open numbered elements
+        self.named: set[int] = set()  # elements gone by name, those of them that hold an article or main element, and elements perhaps gone
         self.holding: set[int] = set()
-        self.gone = self.links = self.made = 0
-        self.kinds: dict[int, str] = {}
+        self.perhaps: set[int] = set()
+        self.named_open: list[int] = []
+        self.gone = self.links = 0
+        self.kinds, self.parents = [""], [0]
         self.parts: list[str] = []
         self.tags = self.linked = 0
         self.lines: list[Line] = []
@@ -72,27 +87,37 @@ class Lines(HTMLParser):
         if self.parts:
             text = " ".join("".join(self.parts).split())
             if text:
-                self.lines.append(Line(text, self.tags, self.linked, tuple(n for t, _, n in self.stack if n)))
+                self.lines.append(Line(text, self.tags, self.linked, self.open[-1]))
             self.parts = []
         self.tags = self.linked = 0
 
     def pop(self) -> None:
         if self.stack[-1][1]:
             self.flush()
-        tag, gone, _ = self.stack.pop()
+        tag, gone, number = self.stack.pop()
+        self.where[tag].pop()
+        if tag in BLOCKS:
+            self.blocks.pop()
+        if number:
+            self.open.pop()
+        if gone == 2:
+            self.named_open.pop()
         self.gone -= gone == 1
         self.links -= tag == "a"
 
+    def close_to(self, k: int) -> None:
+        while len(self.stack) > k:
+            self.pop()
+
+    def innermost(self, tags: frozenset | set) -> int:
+        return max((self.where[t][-1] for t in tags if self.where.get(t)), default=-1)
+
     def close_open(self, tags: frozenset | set, stop: frozenset) -> None:
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] in tags:
-                if self.stack[k][2] or self.stack[k][1]:
-                    self.flush()
-                while len(self.stack) > k:
-                    self.pop()
-                return
-            if self.stack[k][0] in stop:
-                return
+        k = self.innermost(tags)
+        if k >= 0 and k >= self.innermost(stop):
+            if self.stack[k][2] or self.stack[k][1]:
+                self.flush()
+            self.close_to(k)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCKS:
@@ -109,17 +134,29 @@ class Lines(HTMLParser):
         if tag in ("td", "th"):
             self.parts.append(" ")
         gone = 1 if tag in GONE else self.named_gone(attrs) if tag not in NEVER_GONE and attrs else 0
+        if gone == 3 and (tag not in BLOCKS or tag in HEADINGS):
+            gone = 0
         number = 0
         if tag in ("article", "main") and not self.gone:
-            self.holding.update(n for _, g, n in self.stack if g == 2)
-        if tag in BLOCKS or gone == 2:
-            self.made += 1
-            number = self.made
-            self.kinds[number] = tag
+            for n in reversed(self.named_open):
+                if n in self.holding:
+                    break
+                self.holding.add(n)
         if gone and not self.gone:
             self.flush()
+        if tag in BLOCKS or gone == 2:
+            number = len(self.kinds)
+            self.kinds.append(tag)
+            self.parents.append(self.open[-1])
+            self.open.append(number)
         if gone == 2:
             self.named.add(number)
+            self.named_open.append(number)
+        elif gone == 3:
+            self.perhaps.add(number)
+        self.where.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.stack))
         self.stack.append((tag, gone, number))
         self.gone += gone == 1
         self.links += tag == "a"
@@ -132,15 +169,12 @@ class Lines(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS or tag in GONE:
             self.flush()
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == tag:
-                if tag not in BLOCKS and any(t in BLOCKS for t, _, _ in self.stack[k + 1 :]):
-                    return  # an inline end tag closes no block
-                if self.stack[k][1]:
-                    self.flush()
-                while len(self.stack) > k:
-                    self.pop()
-                return
+        k = self.innermost({tag})
+        if k < 0 or tag not in BLOCKS and self.blocks and self.blocks[-1] > k:
+            return  # an inline end tag closes no block
+        if self.stack[k][1]:
+            self.flush()
+        self.close_to(k)
 
     def handle_data(self, data: str) -> None:
         if not self.gone:
@@ -150,12 +184,15 @@ class Lines(HTMLParser):
 
     @staticmethod
     def named_gone(attrs: list) -> int:
-        """1 by role or if hidden, 2 by a class or id, else 0."""
+        """1 by role or if hidden, 2 by a class or id all of whose parts name boilerplate, 3 if some do, else 0."""
         named = 0
         for name, value in attrs:
             if name in ("class", "id"):
-                if value and any(x.lower() in GONE_NAMES for x in _TOKENS.findall(value)):
-                    named = 2
+                for word in (value or "").split():
+                    parts = {x.lower() for x in _TOKENS.findall(word)}
+                    if not parts.isdisjoint(GONE_NAMES):
+                        kind = 2 if parts <= GONE_NAMES | PARTS_OF else 3
+                        named = kind if not named else min(named, kind)
             elif name == "role":
                 if (value or "").lower() in GONE_ROLES:
                     return 1
@@ -198,6 +235,24 @@ def upper(lines: list[Line]) -> list[bool]:
     return [r >= cut for r in ratios]
 
 
+def _below(parents: list[int], marked: set[int]) -> list[bool]:
+    """Whether each element is marked or stands in a marked one."""
+    out = [0 in marked] * len(parents)
+    for n in range(1, len(parents)):
+        out[n] = n in marked or out[parents[n]]
+    return out
+
+
+def _sums(parents: list[int], lines: list[Line], values: list[int]) -> list[int]:
+    """The sum of the lines' values in each element."""
+    out = [0] * len(parents)
+    for line, v in zip(lines, values):
+        out[line.at] += v
+    for n in range(len(parents) - 1, 0, -1):
+        out[parents[n]] += out[n]
+    return out
+
+
 def main_text(html: str) -> str:
     parser = Lines()
     try:
@@ -206,48 +261,59 @@ def main_text(html: str) -> str:
     except AssertionError:  # the parser's own checks on broken declarations; what was read stays
         pass
     parser.flush()
-    gone = parser.named - parser.holding
-    lines = [x for x in parser.lines if gone.isdisjoint(x.path)]
+    parents, kinds = parser.parents, parser.kinds
+    content = _below(parents, {n for n, t in enumerate(kinds) if t in ("article", "main")})
+
+    def without(lines: list[Line], elements: set[int]) -> list[Line]:
+        gone = _below(parents, elements)
+        return [x for x in lines if not gone[x.at]]
+
+    lines = without(parser.lines, parser.named - parser.holding)
     if not lines:
         return ""
     chosen = upper(lines)
     # boilerplate names around an article with lines of the upper cluster say nothing if no such article has fewer of them
-    around = [parser.named.intersection(x.path) for x, ok in zip(lines, chosen) if ok and any(parser.kinds[n] in ("article", "main") for n in x.path)]
-    fewest = min(map(len, around), default=0)
-    low = parser.holding.difference(*[x for x in around if len(x) == fewest])
+    deep = [0] * len(parents)
+    for n in range(1, len(parents)):
+        deep[n] = deep[parents[n]] + (n in parser.named)
+    around = [x.at for x, ok in zip(lines, chosen) if ok and content[x.at]]
+    fewest, low, seen = min((deep[n] for n in around), default=0), set(parser.holding), set()
+    for n in (n for n in around if deep[n] == fewest):
+        while n and n not in seen:
+            seen.add(n)
+            low.discard(n)
+            n = parents[n]
     if low:
-        lines = [x for x in lines if low.isdisjoint(x.path)]
+        lines = without(lines, low)
         chosen = upper(lines)
-    votes: dict[int, int] = {}
-    for line, ok in zip(lines, chosen):
-        for n in line.path:
-            votes[n] = votes.get(n, 0) + (len(line.text) if ok else 0)
-    total = sum(len(x.text) for x, ok in zip(lines, chosen) if ok)
+    if parser.perhaps:
+        size, linked, above = (_sums(parents, lines, v) for v in ([len(x.text) for x in lines], [x.linked for x in lines], [int(ok) for ok in chosen]))
+        headed = _sums(parents, lines, [int(kinds[x.at] in HEADINGS) for x in lines])
+        low = {n for n in parser.perhaps if 2 * linked[n] > size[n] or not (content[n] or above[n] or headed[n])}
+        if low:
+            lines = without(lines, low)
+            chosen = upper(lines)
+    votes = _sums(parents, lines, [len(x.text) * ok for x, ok in zip(lines, chosen)])
+    prose = _sums(parents, lines, [len(x.text) - 2 * x.linked for x in lines])
+    some = _sums(parents, lines, [1] * len(lines))
     region, inside = None, []
     for kind in ("article", "main"):
-        found = {n for n, t in parser.kinds.items() if t == kind and votes.get(n)}
+        of_kind = [n for n, t in enumerate(kinds) if t == kind]
+        found = {n for n in of_kind if votes[n]}
         if found:
-            prose: dict[int, int] = {}
-            for line in lines:
-                for n in line.path:
-                    prose[n] = prose.get(n, 0) + len(line.text) - 2 * line.linked
-            found |= {n for n, t in parser.kinds.items() if t == kind and prose.get(n, -1) >= 0}
-            region = min(found)
-            inside = [k for k, x in enumerate(lines) if not found.isdisjoint(x.path)]
+            found |= {n for n in of_kind if some[n] and prose[n] >= 0}
+            region, within = min(found), _below(parents, found)
+            inside = [x for x in lines if within[x.at]]
             break
     if region is None:
-        holders = [n for n, v in votes.items() if v == total and parser.kinds[n] in BLOCKS and parser.kinds[n] not in ("p", "li", "td", "tr", "pre")]
-        region = max(holders, default=None)  # the last opened of those is the innermost
-        around = next((x.path[: x.path.index(region)] for x in lines if region in x.path), ())
-        beside = lambda x: x.path[: len(around)] == around and (2 * x.linked <= len(x.text) or bool(x.path) and parser.kinds[x.path[-1]] in HEADINGS)
-        inside = [k for k, x in enumerate(lines) if region is None or region in x.path or beside(x)]
-    if region is None or parser.kinds[region] in ("body", "html"):
-        linky = [2 * lines[k].linked > len(lines[k].text) for k in inside]
-        while inside and linky[0]:
-            inside, linky = inside[1:], linky[1:]
-        while inside and linky[-1]:
-            inside, linky = inside[:-1], linky[:-1]
-    return "\n".join(lines[k].text for k in inside)
+        holders = [n for n in range(1, len(kinds)) if votes[n] == votes[0] and kinds[n] in BLOCKS and kinds[n] not in ("p", "li", "td", "tr", "pre")]
+        region = max(holders, default=0)  # the last opened of those is the innermost
+        within, near = _below(parents, {region}), _below(parents, {parents[region]})
+        inside = [x for x in lines if within[x.at] or near[x.at] and (2 * x.linked <= len(x.text) or kinds[x.at] in HEADINGS)]
+    if kinds[region] in ("", "body", "html"):
+        plain = [k for k, x in enumerate(inside) if 2 * x.linked <= len(x.text)]
+        inside = inside[plain[0] : plain[-1] + 1] if plain else []
+    return "\n".join(x.text for x in inside)
 
 
 def extract(pages: DataFrame) -> DataFrame:

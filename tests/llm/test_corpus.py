@@ -439,9 +439,44 @@ def test_main_text_is_whole():
     assert html_text.main_text(cards) == body.strip()
 
 
+def test_names_are_evidence_within_articles():
+    body = "The body has many more words to read. " * 20
+    page = f"""<body><nav><a href=1>x</a></nav><article><h1 class="post-header">Title</h1><div class="notice-board-history"><p>{body}</p></div>
+    <div class="content-related"><a href=1>one</a> <a href=2>two</a></div><div class="comments-area"><p>{body}</p></div><p>End.</p></article></body>"""
+    assert html_text.main_text(page) == f"Title\n{body.strip()}\nEnd."
+
+
+def test_generated_pages():
+    """Pages made of known content and boilerplate: the text is the content, block by block."""
+    rng = random.Random(6)
+    say = lambda a, b: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(a, b)))
+    for k in range(150):
+        blocks, html = [], []
+        for _ in range(rng.randint(1, 3)):
+            html.append("<article>")
+            for _ in range(rng.randint(2, 9)):
+                kind, text = rng.choice(["p", "h2", "li", "pre", "div", "aside", "ad"]), say(12, 80)
+                if kind in ("aside", "ad"):
+                    html.append(f"<aside>{text}</aside>" if kind == "aside" else f'<div class="ad-slot"><p>{text}</p></div>')
+                    continue
+                blocks.append(text)
+                html.append(f"<ul><li>{text}</ul>" if kind == "li" else f"<{kind}><b>{text[:5]}</b>{text[5:]}" + ("" if kind == "p" and k % 2 else f"</{kind}>"))
+            html.append("</article>")
+        menu = "".join(f"<li><a href=/{i}>{say(1, 2)}</a>" for i in range(rng.randint(2, 9)))
+        wrap = rng.choice(["", '<div class="layout has-sidebar">', "<main>"])
+        page = f"<html><head><title>t</title></head><body><header>{say(3, 9)}</header><nav><ul>{menu}</ul></nav>{wrap}{' '.join(html)}</div></main><div id=sidebar>{say(5, 60)}</div><footer>{say(3, 30)}</footer>"
+        assert html_text.main_text(page) == "\n".join(blocks), page
+
+
+def test_deep_pages_take_linear_work():
+    for unit in ("<div>words here ", "<b><p>words here </i>", "<span><i>words </div>"):
+        text = html_text.main_text(unit * 100_000)
+        assert len(text) >= 100_000 * len("words") and text.startswith("words")
+
+
 def test_pages(spark):
-    df = spark.createDataFrame([(1, "u", "<p>é x</p>"), (2, None, None), (None, "v", "")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
-    assert sorted(map(tuple, html_text.extract(df).collect()), key=repr) == sorted([(1, "u", "é x", 3), (2, None, "", 0), (None, "v", "", 0)], key=repr)
+    df = spark.createDataFrame([(1, "u", "<p>é x</p>"), (1, "u", "<p>é x</p>"), (2, None, None), (None, "v", "")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    assert sorted(map(tuple, html_text.extract(df).collect()), key=repr) == sorted([(1, "u", "é x", 3), (1, "u", "é x", 3), (2, None, "", 0), (None, "v", "", 0)], key=repr)
     assert html_text.extract(df.limit(0)).count() == 0
 
 
