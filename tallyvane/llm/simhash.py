@@ -3,10 +3,11 @@
 Fingerprints: bit b of a text is 1 if more than half of its word shingles' XXH64 values have bit b.
 Links: equal fingerprints are first folded into one; two fingerprints at most `radius` bits apart
 agree wholly on at least `agree` of `blocks` bit groups, so each fingerprint goes to one bucket for
-each choice of so many groups, and buckets are compared bit-sliced: the bucket's fingerprints stand
-as 64 vertical bit planes, the differing planes are added by carry-save counters over whole machine
-words, and a block of rows is abandoned once all its counters exceed the radius. A bucket beyond
-BUCKET rows is cut into slices whose pairs are compared in separate tasks, so none is dropped.
+each choice of so many groups (more groups, and so finer buckets, the more fingerprints there are), and buckets are
+compared bit-sliced: the fingerprints stand as 64 vertical bit planes, the differing planes are added by carry-save
+counters over whole machine words, and a block of rows is abandoned once all its counters exceed the radius. Buckets of
+SMALL_GROUP rows or fewer stand side by side in the same planes, which are compared with themselves moved on by
+1, 2, ... rows. A bucket beyond BUCKET rows is cut into slices whose pairs are compared in separate tasks, so none is dropped.
 Each task emits only a spanning set of links; components are then found in Spark rounds.
 
 Null, empty and wordless texts have fingerprint zero and link like any other. Repeated rows keep
@@ -169,19 +170,55 @@ def spanning_links(left: np.ndarray, right: np.ndarray | None, radius: int, batc
     return forest.links
 
 
-def small_group_links(fps: np.ndarray, group: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """The same for many small groups at once: rows are compared with the rows 1, 2, ... places on in their group."""
-    forest, step = Forest(len(fps)), 1
-    left = np.flatnonzero(group[1:] == group[:-1])
-    while len(left):
-        near = np.bitwise_count(fps[left] ^ fps[left + step]).sum(axis=1) <= radius
-        forest.join(left[near], left[near] + step)
+def small_group_links(fps: np.ndarray, group: np.ndarray, radius: int, every: int = 12) -> list[tuple[int, int]]:
+    """The same for many small groups at once: the planes of all rows against the same planes 1, 2, ... rows on.
+
+    A word operation compares 64 rows with their partners; lanes whose partner is of another group don't count, and
+    words whose lanes are all over the radius, or don't count, are abandoned.
+    """
+    if not len(fps):
+        return []
+    forest, planes, step = Forest(len(fps)), bit_planes(fps), 1
+    words, full, width = planes.shape[1], ~np.uint64(0), radius.bit_length()
+    padded = np.concatenate((planes, np.zeros((len(planes), 2 + -(-len(fps) // 64)), np.uint64)), axis=1)
+    offset = (1 << width) - 1 - radius
+    while step < len(fps):
+        same = np.zeros(words * 64, np.uint8)
+        same[: len(fps) - step] = group[step:] == group[:-step]
+        lanes = np.packbits(same, bitorder="little").view(np.uint64)
+        at = np.flatnonzero(lanes)
+        if not len(at):
+            break
+        far, shift = divmod(step, 64)
+        over = ~lanes[at]
+        count = [np.full(len(at), full if offset >> k & 1 else 0, np.uint64) for k in range(width)]
+        for b in range(len(planes)):
+            moved = padded[b][at + far]
+            if shift:
+                moved = moved >> np.uint64(shift) | padded[b][at + far + 1] << np.uint64(64 - shift)
+            carry = planes[b][at] ^ moved
+            for k in range(width):
+                count[k], carry = count[k] ^ carry, count[k] & carry
+            over |= carry
+            if b % every == every - 1:
+                live = over != full
+                if not live.all():
+                    at, over, count = at[live], over[live], [c[live] for c in count]
+        found, lane = np.nonzero(np.unpackbits((~over).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+        left = at[found] * 64 + lane
+        forest.join(left, left + step)
         step += 1
-        left = left[left + step < len(fps)]
-        left = left[group[left + step] == group[left]]
     return forest.links
 
 
+def blocks_for(rows: int, radius: int, width: int = 64, full: int = BUCKET) -> int:
+    """Bit groups for so many fingerprints: the least number, from radius + 2 on, with which a bucket of them has `full` / 4 rows or fewer if bits are even."""
+    blocks = radius + 2
+    while blocks < radius + 6 and rows >> width * (blocks - radius) // blocks > full // 4:
+        blocks += 1
+    return blocks
+
+
 def bucket_keys(fp: Column, radius: int, blocks: int = 6) -> Column:
     """One key for each choice of blocks - radius bit groups: any two within radius share at least one."""
     agree = max(1, blocks - radius)
@@ -271,7 +308,8 @@ def link_documents(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFr
     prints = materialise(fingerprints(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ["doc_id"], shingle), "simhash-prints")
     folded = materialise(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first")), "simhash-distinct")
     words = F.unhex(F.lpad(F.hex("fp"), 16, "0"))  # the order of bits is one to distances
-    links = near_links(folded.select(F.col("first").alias("node"), bucket_keys(F.col("fp"), radius).alias("keys"), words.alias("fp")), radius)
+    keys = bucket_keys(F.col("fp"), radius, blocks_for(folded.count(), radius))
+    links = near_links(folded.select(F.col("first").alias("node"), keys.alias("keys"), words.alias("fp")), radius)
     by_print = classes(folded, links).select(F.col("fp").alias("_fp"), "component_id")
     component = F.when(F.col("component_id") != NO_ID, F.col("component_id"))
     return prints.join(by_print, prints.fp == by_print["_fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component.alias("component_id"))

@@ -378,6 +378,36 @@ def test_bit_sliced_distances(words, radius):
     assert set(zip(probe.tolist(), found.tolist())) == want
 
 
+@pytest.mark.parametrize("words,radius,small", [(1, 4, True), (1, 0, True), (4, 60, True), (1, 4, False)])
+def test_planes_of_small_groups(words, radius, small):
+    """Groups side by side in one set of planes give the classes that all pairs give."""
+    rng = np.random.default_rng(words + radius)
+    sizes = rng.integers(1, 9 if small else 150, 60)
+    group = np.repeat(np.arange(60), sizes)
+    fps = rng.integers(0, 1 << 63, (len(group), words), dtype=np.uint64)
+    for i in range(1, len(fps)):
+        if rng.random() < 0.5:
+            fps[i] = fps[i - 1] ^ np.uint64(sum(1 << int(x) for x in set(rng.integers(0, 63, rng.integers(0, 7)).tolist())))
+    forest = simhash.Forest(len(fps))
+    for i in range(len(fps)):
+        j = np.flatnonzero((np.bitwise_count(fps ^ fps[i]).sum(axis=1) <= radius) & (group == group[i]))
+        forest.join(np.full(len(j), i), j)
+    own = simhash.Forest(len(fps))
+    links = np.array(simhash.small_group_links(fps, group, radius)).reshape(-1, 2)
+    own.join(links[:, 0], links[:, 1])
+    assert own.label.tolist() == forest.label.tolist() and len(links) == len(forest.links)
+
+
+def test_finer_buckets_for_more_fingerprints():
+    assert simhash.blocks_for(10**6, 4) == 6 and simhash.blocks_for(10**10, 4) == 7 and simhash.blocks_for(10**12, 4) == 8
+    rng = np.random.default_rng(1)
+    for blocks in (6, 7, 8):
+        edges = [64 * k // blocks for k in range(blocks + 1)]
+        for _ in range(50):
+            flipped = rng.choice(64, 4, replace=False)
+            assert sum(not any(a <= f < b for f in flipped) for a, b in zip(edges, edges[1:])) >= blocks - 4
+
+
 def test_slices_of_a_large_bucket_lose_nothing(spark):
     rng = np.random.default_rng(4)
     values = np.unique(np.int64(7) ^ (1 << rng.integers(0, 20, 300)) ^ (1 << rng.integers(0, 20, 300)))
