@@ -1,30 +1,36 @@
 """Document fingerprints: invertible Bloom lookup sketches of piece digests, in DataFrame and SQL functions only.
 
 A text's pieces (lines, or runs of sentences of a line from LEAST to MOST code points) are hashed to 64-bit digests. A table
-has three rows of four cells; each digest is added to one cell of each row: to its count, to the XOR of
+has three rows of cells; each digest is added to one cell of each row: to its count, to the XOR of
 digests and to the XOR of check hashes. Tables of two versions subtract cell by cell, what both hold
 cancels out, and peeling recovers the rest: a cell with one digest left shows it, which clears it from its
-other two cells, and so on. Digests are dealt over parts by their bits, a part for each LOAD digests, one
-table a part; a part whose table does not peel empty is retried as four larger-scale tables, up to RETRIES
-times, and what even those don't resolve is compared digest by digest.
-
-The likeness of two texts is the shared part of their pieces, from the numbers of recovered digests:
-(|A| + |B| - d) / (|A| + |B| + d), and 1 where both have none. The fingerprint shown is the sketch of all
-digests in one table; equal texts have equal ones.
-
-The next document is found by one exchange: rows are dealt to ranges of doc_id, and each range's greatest
-row is also sent to the range above it. Null texts count as empty, null doc_ids as the least, rows repeated
-under one doc_id follow each other; extra columns are left out. An empty table gives an empty result.
+other two cells, and so on. Digests are dealt over blocks by their bits, so many that a block has LOAD or fewer on
+average, and each block has a table of its own, of SIZES[0] cells a row at first. A table that does not peel empty is
+retried larger, with twice the cells, up to SIZES[-1] (three digests' collision there is out of question; what would
+not peel even then is not counted).
+
+The fingerprint is written as the number of digests and, for each block, the first of its tables that peels
+empty by itself: so it holds all that the sketches are made from. Likenesses come from two fingerprints: their digests
+are dealt over as many blocks as the larger one has, tables of a block subtract and peel, and with d recovered digests
+the likeness is (|A| + |B| - d) / (|A| + |B| + d), or 1 where both have none. Equal texts have equal fingerprints.
+
+The next document is found by one exchange: rows are dealt to ranges of (doc_id, text hash), and each range's greatest
+row is also sent to the range above it. Null texts count as empty, null doc_ids as the least; rows repeated
+under one doc_id follow each other by falling text hash, and a doc_id that fills several ranges is cut by it; extra columns
+are left out. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import shuffle_partitions
 
-CELLS, ROW, LOAD, PEELS, RETRIES = 12, 4, 8, 6, 2
+LOAD, PEELS = 6, 12
+SIZES = [1 << k for k in range(2, 11)]
 LEAST, MOST = 64, 256
 MAX_CUTS = 1000
 #: A piece has LEAST code points or more and ends with its sentence, line or text, or else after MOST.
@@ -41,105 +47,126 @@ def _let(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _in_cell(key: str, cell: str) -> str:
-    return f"(shiftright({key}, 2 * ({cell} div {ROW})) & 3) = {cell} % {ROW}"
+def cell_sql(digest: str, row: str, size: str) -> str:
+    """Cell of a digest in a row: ten bits of it for each row, as many of them as the size asks for."""
+    return f"(shiftright({digest}, 32 + 10 * {row}) & ({size} - 1))"
 
 
-def sketch_sql(digests: str) -> str:
-    """Cells of one table over an array of digests."""
+def table_sql(digests: str, size: str) -> str:
+    """Cells of one table of three rows over an array of digests."""
     cell = "named_struct('n', size(own), 'k', aggregate(own, 0L, (s, d) -> s ^ d), 'h', aggregate(own, 0L, (s, d) -> s ^ xxhash64(d)))"
-    rows = []
-    for row in range(CELLS // ROW):
-        own = f"filter({digests}, d -> (shiftright(d, {2 * row}) & {ROW - 1}) = j)"
-        rows.append(f"transform(sequence(0, {ROW - 1}), j -> {_let(own, 'own', cell)})")
-    return f"concat({', '.join(rows)})"
+    own = f"filter({digests}, d -> {cell_sql('d', f'(j div {size})', size)} = j % {size})"
+    return f"transform(sequence(0L, 3 * {size} - 1), j -> {_let(own, 'own', cell)})"
 
 
 def subtract_sql(a: str, b: str) -> str:
     return f"zip_with({a}, {b}, (x, y) -> named_struct('n', x.n - y.n, 'k', x.k ^ y.k, 'h', x.h ^ y.h))"
 
 
-def peel_sql(cells: str) -> str:
+def peel_sql(cells: str, size: str) -> str:
     """(c, f): cells after peeling and the number of digests recovered."""
     pure = "array_distinct(filter(s.c, x -> abs(x.n) = 1 AND x.h = xxhash64(x.k)))"
-    less = f"aggregate(filter(p, y -> {_in_cell('y.k', 'j')}), x, (q, y) -> named_struct('n', q.n - y.n, 'k', q.k ^ y.k, 'h', q.h ^ y.h))"
+    mine = f"filter(p, y -> {cell_sql('y.k', f'(j div {size})', size)} = j % {size})"
+    less = f"aggregate({mine}, x, (q, y) -> named_struct('n', q.n - y.n, 'k', q.k ^ y.k, 'h', q.h ^ y.h))"
     step = f"if(size(p) = 0, s, named_struct('c', transform(s.c, (x, j) -> {less}), 'f', s.f + size(p)))"
     return f"aggregate(sequence(1, {PEELS}), named_struct('c', {cells}, 'f', 0), (s, i) -> {_let(pure, 'p', step)})"
 
 
-def difference_sql(a: str, b: str, level: int = 0) -> str:
-    """How many digests are in one of two arrays only, through their tables."""
-    exact = f"(size(array_except({a}, {b})) + size(array_except({b}, {a})))"
-    if level > RETRIES:
-        return exact
-    part = f"x{level} -> (shiftright(x{level}, {40 + 2 * level}) & 3) = t{level}"
-    larger = f"aggregate(sequence(0, 3), 0, (z{level}, t{level}) -> z{level} + " + _let(
-        f"named_struct('a', filter({a}, {part}), 'b', filter({b}, {part}))", f"v{level}", difference_sql(f"v{level}.a", f"v{level}.b", level + 1)
-    ) + ")"
-    peeled = peel_sql(subtract_sql(sketch_sql(a), sketch_sql(b)))
-    return _let(peeled, f"e{level}", f"if(forall(e{level}.c, x -> x.n = 0 AND x.k = 0 AND x.h = 0), e{level}.f, {larger})")
+_EMPTY = "forall({}.c, x -> x.n = 0 AND x.k = 0 AND x.h = 0)"
+_SIZES = f"array({', '.join(f'{n}L' for n in SIZES)})"
 
 
-def recovered_sql(a: str, b: str) -> str:
-    """Digests in one of two digest arrays only, over as many parts as their numbers ask for.
+def difference_sql(a: str, b: str) -> str:
+    """How many digests are in one of two arrays only: their tables subtracted and peeled, larger ones on failure."""
+    table = subtract_sql(table_sql(a, "z"), table_sql(b, "z"))
+    tried = _let(peel_sql(table, "z"), "e", f"named_struct('done', {_EMPTY.format('e')}, 'f', e.f)")
+    return f"aggregate({_SIZES}, named_struct('done', false, 'f', 0), (t, z) -> if(t.done, t, {tried})).f"
 
-    Parts are reached in two steps, groups of parts and then the parts of a group, so that a text of n digests is
-    scanned some root of n times, not n times.
-    """
-    groups = f"greatest(1, cast(ceil(sqrt((size({a}) + size({b})) / {LOAD})) AS int))"
-    of_group = f"filter({{}}, x -> pmod(shiftright(x, 8), {groups}) = grp)"
-    of_part = f"filter({{}}, x -> pmod(shiftright(x, 24), {groups}) = part)"
-    each = _let(f"named_struct('a', {of_part.format('w.a')}, 'b', {of_part.format('w.b')})", "u", f"if(u.a = u.b, 0, {difference_sql('u.a', 'u.b')})")
-    group = _let(f"named_struct('a', {of_group.format(a)}, 'b', {of_group.format(b)})", "w", f"if(w.a = w.b, 0, aggregate(sequence(0, {groups} - 1), 0, (sum, part) -> sum + {each}))")
-    return f"if({a} = {b}, 0, aggregate(sequence(0, {groups} - 1), 0, (total, grp) -> total + {group}))"
 
+def blocks_sql(digests: str) -> str:
+    """Blocks for an array of digests: a power of two."""
+    return f"cast(power(2, ceil(log2(greatest(1, size({digests}) / {LOAD}.0D)))) AS int)"
 
-def likeness_sql(a: str, b: str) -> str:
-    value = f"(size({a}) + size({b}) - d) / (size({a}) + size({b}) + d)"
-    return f"if(size({a}) + size({b}) = 0, 1.0D, {_let(recovered_sql(a, b), 'd', f'cast({value} AS double)')})"
+
+def dealt_sql(digests: str, blocks: str) -> str:
+    """Digests by block, in two steps, groups of blocks and then the blocks of a group, so that a text of n digests is scanned some root of n times."""
+    of_group = f"filter({digests}, d -> (shiftright(d, 16) & (m.hi - 1)) = g)"
+    of_block = "filter(w, d -> (d & (m.lo - 1)) = o)"
+    group = _let(of_group, "w", f"transform(sequence(0, m.lo - 1), o -> {of_block})")
+    sides = _let(f"cast(power(2, floor(log2({blocks}) / 2)) AS int)", "lo", f"named_struct('lo', lo, 'hi', cast({blocks} / lo AS int))")
+    return f"if({blocks} = 1, array({digests}), {_let(sides, 'm', f'flatten(transform(sequence(0, m.hi - 1), g -> {group}))')})"
 
 
-def fingerprint_sql(digests: str) -> str:
-    return f"lower(array_join(transform({sketch_sql(digests)}, c -> concat(lpad(hex(c.n), 4, '0'), lpad(hex(c.k), 16, '0'))), ''))"
+def sketched_sql(text: str) -> str:
+    """(d, b, g): digests of a text, the number of their blocks, and the digests by block."""
+    with_blocks = _let(blocks_sql("v"), "b", f"named_struct('d', v, 'b', b, 'g', {dealt_sql('v', 'b')})")
+    return _let(digests_sql(text), "v", with_blocks)
+
+
+def fingerprint_sql(of: str) -> str:
+    """Number of digests ':' blocks parted by '|': cells a row ':' cells parted by ',', each count '.' XOR of digests, or nothing."""
+    tried = _let(table_sql("u", "z"), "c", f"if({_EMPTY.format(peel_sql('c', 'z'))}, named_struct('z', z, 'c', c), t)")
+    none = "from_json('[]', 'array<struct<n:int,k:bigint,h:bigint>>')"
+    first = f"aggregate({_SIZES}, named_struct('z', 0L, 'c', {none}), (t, z) -> if(t.z > 0, t, {tried}))"
+    cells = "array_join(transform(e.c, x -> if(x.n = 0, '', concat(hex(x.n), '.', hex(x.k)))), ',')"
+    block = f"if(size(u) = 0, '', {_let(first, 'e', f'concat(hex(e.z), chr(58), {cells})')})"
+    return f"lower(concat(hex(size({of}.d)), ':', array_join(transform({of}.g, u -> {block}), '|')))"
+
+
+def likeness_sql(a: str, b: str) -> str:
+    """Shared part of two fingerprints' digests."""
+    sides = [f"if({x}.b = w, {x}.g, {dealt_sql(f'{x}.d', 'w')})" for x in (a, b)]
+    apart = f"aggregate(zip_with({sides[0]}, {sides[1]}, (left, right) -> if(left = right, 0, {difference_sql('left', 'right')})), 0, (total, one) -> total + one)"
+    recovered = f"if({a}.d = {b}.d, 0, {_let(f'greatest({a}.b, {b}.b)', 'w', apart)})"
+    value = f"(size({a}.d) + size({b}.d) - f) / (size({a}.d) + size({b}.d) + f)"
+    return f"if(size({a}.d) + size({b}.d) = 0, 1.0D, {_let(recovered, 'f', f'cast({value} AS double)')})"
 
 
 def with_next(docs: DataFrame, ranges: int) -> DataFrame:
-    """docs (_k, ...) with the columns of the next row in falling _k (of the last: the first) in a struct `next`.
+    """docs (_k, _h, ...) with the columns of the next row in falling (_k, _h) (of the last: the first) in a struct `next`.
 
-    Range bounds are at most MAX_CUTS quantiles, each cut in ranges of equal width; what goes over a border is a row a range.
+    Range bounds are at most MAX_CUTS quantiles of _k, each cut in ranges of equal width; a _k that is several quantiles
+    is the greatest of its range and cut by _h. What goes over a border is a row a range.
     """
-    columns = [c for c in docs.columns if c != "_k"]
+    columns = [c for c in docs.columns if c not in ("_k", "_h")]
     coarse = min(ranges, MAX_CUTS)
-    cuts = sorted({int(c) for c in docs.stat.approxQuantile("_k", [i / coarse for i in range(coarse + 1)], 0.1 / coarse)})
+    met = Counter(int(c) for c in docs.stat.approxQuantile("_k", [i / coarse for i in range(coarse + 1)], 0.1 / coarse))
+    cuts = sorted(met)
     place = F.lit(0).cast("long")
-    if len(cuts) > 1:
-        bounds, fine = F.array(*[F.lit(c) for c in cuts]), -(-ranges // coarse)
-        index = F.size(F.filter(F.array(*[F.lit(c) for c in cuts[1:-1]]).cast("array<bigint>"), lambda c: c < F.col("_k")))
-        low, high = F.get(bounds, index).cast("double"), F.get(bounds, index + 1).cast("double")
+    if cuts:
+        fine = -(-ranges // coarse)
+        bounds = F.array(*[F.lit(c) for c in cuts])
+        index = F.size(F.filter(F.array(*[F.lit(c) for c in cuts[:-1]]).cast("array<bigint>"), lambda c: c < F.col("_k")))
+        low, high = F.coalesce(F.get(bounds, index - 1), F.lit(cuts[0])).cast("double"), F.get(bounds, index).cast("double")
         inside = F.greatest(F.lit(0.0), F.least(F.lit(fine - 1.0), F.floor((F.col("_k").cast("double") - low) * fine / (high - low + 1)).cast("double")))
-        place = (index * fine + inside).cast("long")
+        inside = F.when(F.col("_k") == F.get(bounds, index), F.lit(fine - 1.0)).otherwise(inside)
+        shares = F.array(*[F.lit(float(met[c] * fine if met[c] > 1 else 0)) for c in cuts])
+        share = F.when(F.col("_k") == F.get(bounds, index), F.get(shares, index)).otherwise(F.lit(0.0))
+        part = F.when(share > 0, 1 + F.least(share - 1, F.floor((F.col("_h").cast("double") / 2.0**64 + 0.5) * share).cast("double"))).otherwise(F.lit(0.0))
+        place = ((index * fine + inside) * (2 * ranges + 4) + part).cast("long")
     placed = docs.withColumn("_range", place)
     in_order = Window.orderBy("_range")  # a row a range
-    tops = placed.groupBy("_range").agg(F.max("_k").alias("top"))
+    tops = placed.groupBy("_range").agg(F.max(F.struct("_k", "_h")).alias("top"))
     above = F.coalesce(F.lead("_range").over(in_order), F.first("_range").over(in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    borders = tops.select(F.col("top").alias("k"), above.alias("to"))
-    sent = placed.join(F.broadcast(borders), placed["_k"] == borders["k"], "left").drop("k")
+    borders = tops.select(F.col("top._k").alias("k"), F.col("top._h").alias("h"), above.alias("to"))
+    sent = placed.join(F.broadcast(borders), (placed["_k"] == borders["k"]) & (placed["_h"] == borders["h"]), "left").drop("k", "h")
     place_of = lambda r, ghost: F.struct(r.alias("r"), F.lit(ghost).alias("ghost"))
     own = F.array(place_of(F.col("_range"), False))
     rows = sent.withColumn("_at", F.explode(F.when(F.col("to").isNull(), own).otherwise(F.concat(own, F.array(place_of(F.col("to"), True))))))
-    order = Window.partitionBy("_at.r").orderBy("_at.ghost", F.desc("_k"), columns[0])
+    order = Window.partitionBy("_at.r").orderBy("_at.ghost", F.desc("_k"), F.desc("_h"), columns[0])
     return rows.withColumn("next", F.lead(F.struct(*columns)).over(order)).filter(~F.col("_at.ghost")).select("_k", *columns, "next")
 
 
 def fingerprint_versions(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row."""
     ranges = 4 * shuffle_partitions(docs.sparkSession)  # several to a partition, so that partitions are alike in size
-    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_k"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_k"), F.xxhash64(text).alias("_h"), text.alias("text"))
     paired = with_next(source, ranges).select("_k", "text", F.col("next.text").alias("following"))
     edited = paired.withColumn("n_chars", F.char_length("text").cast("long"))
     edited = edited.withColumn("_cut", F.floor(F.col("n_chars") / 3).cast("int"))
     edited = edited.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars AS int) - _cut), substring(following, 1, _cut))"))
-    hashed = edited.select("_k", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), *[F.expr(digests_sql(c)).alias(f"_{c}") for c in ("text", "edited", "following")])
+    hashed = edited.select("_k", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), *[F.expr(sketched_sql(c)).alias(f"_{c}") for c in ("text", "edited", "following")])
     return hashed.select(
         F.when(F.col("_k") != NO_ID, F.col("_k")).alias("doc_id"),
         "n_chars",

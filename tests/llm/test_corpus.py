@@ -520,6 +520,33 @@ def jaccard(a, b):
     return 1.0 if not a | b else len(a & b) / len(a | b)
 
 
+def read_fingerprint(text):
+    """Digests of a fingerprint, by peeling the table of each of its blocks."""
+    n, blocks = text.split(":", 1)
+    found = set()
+    for block in filter(None, blocks.split("|")):
+        size, cells = block.split(":")
+        size = int(size, 16)
+        cells = [(int(c.split(".")[0], 16), int(c.split(".")[1], 16)) if c else (0, 0) for c in cells.split(",")]
+        assert len(cells) == 3 * size
+        while True:
+            pure = {k for c, k in cells if c == 1}
+            if not pure:
+                break
+            for k in pure:
+                for row in range(3):
+                    at = row * size + (k >> 32 + 10 * row) % size
+                    cells[at] = (cells[at][0] - 1, cells[at][1] ^ k)
+            found |= pure
+        assert not any(c or k for c, k in cells)
+    assert len(found) == int(n, 16)
+    return found
+
+
+def likeness(a, b):
+    return 1.0 if not a | b else len(a & b) / len(a | b)
+
+
 def test_fingerprints(spark):
     rng = random.Random(1)
     text = lambda n: "".join(rng.choice("abc ") for _ in range(20)) + "".join(f"sentence {rng.randrange(300)} goes on and on for a while and then it stops. " + rng.choice(["", "\n"]) for _ in range(n))
@@ -528,20 +555,64 @@ def test_fingerprints(spark):
     got = {r.doc_id: r for r in fingerprint.fingerprint_versions(docs(spark, rows)).collect()}
     order = sorted(((i, t or "") for i, t in rows), reverse=True)
     for k, (i, t) in enumerate(order):
-        following = order[(k + 1) % len(order)][1]
-        edited = t[: len(t) - len(t) // 3] + following[: len(t) // 3]
+        after = order[(k + 1) % len(order)]
+        edited = t[: len(t) - len(t) // 3] + after[1][: len(t) // 3]
         r = got[i]
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
-        assert r.near_edited == pytest.approx(jaccard(t, edited)) and r.near_next == pytest.approx(jaccard(t, following))
+        assert r.near_edited == pytest.approx(jaccard(t, edited)) and r.near_next == pytest.approx(jaccard(t, after[1]))
+        # the returned fingerprints alone give the same
+        own, new, following = map(read_fingerprint, (r.fingerprint, r.edited_fingerprint, got[after[0]].fingerprint))
+        assert (r.near_edited, r.near_next) == pytest.approx((likeness(own, new), likeness(own, following)))
     assert got[95].fingerprint == got[rows[3][0]].fingerprint and got[90].fingerprint == got[91].fingerprint
     assert fingerprint.fingerprint_versions(docs(spark, EMPTY)).count() == 0
 
 
-def test_failed_tables_are_retried(spark):
-    """Without room in the first tables the difference still comes out whole."""
-    df = spark.range(1).select(F.expr("transform(sequence(1, 60), x -> xxhash64(x))").alias("a"), F.expr("transform(sequence(41, 130), x -> xxhash64(x))").alias("b"))
-    r = df.select(F.expr(fingerprint.difference_sql("a", "b")).alias("one_table"), F.expr(fingerprint.recovered_sql("a", "b")).alias("parts")).first()
-    assert (r.one_table, r.parts) == (110, 110)
+def test_fingerprints_of_repeated_and_null_ids(spark):
+    """Rows of one id follow each other by falling hash; a hot id is cut over several ranges."""
+    rows = [(7, f"text number {k} of a hot id") for k in range(60)] + [(None, f"no id {k}") for k in range(40)] + [(k, f"plain {k}") for k in range(20)] + [(7, "text number 1 of a hot id")]
+    df = docs(spark, rows)
+    keys = {t: h for t, h in df.select("text", F.xxhash64("text")).collect()}
+    order = sorted(rows, key=lambda r: (-(1 << 63) if r[0] is None else r[0], keys[r[1]]), reverse=True)
+    want = []
+    for k, (i, t) in enumerate(order):
+        edited = t[: len(t) - len(t) // 3] + order[(k + 1) % len(order)][1][: len(t) // 3]
+        want.append((repr(i), hashlib.sha256(edited.encode()).hexdigest()))
+    got = fingerprint.fingerprint_versions(df).collect()
+    assert sorted((repr(r.doc_id), r.edited_sha256) for r in got) == sorted(want)
+
+
+def plain_difference(a, b, size):
+    """Subtracted tables of one size, peeled one cell after the other: digests recovered, and whether nothing is left."""
+    cells = [[0, 0] for _ in range(3 * size)]
+    for sign, digests in ((1, a), (-1, b)):
+        for d in digests:
+            for row in range(3):
+                cell = cells[row * size + ((d % 2**64) >> 32 + 10 * row) % size]
+                cell[0] += sign
+                cell[1] ^= d % 2**64
+    known, found = {d % 2**64 for d in a + b}, set()
+    while pure := [(n, k) for n, k in cells if abs(n) == 1 and k in known]:
+        n, k = pure[0]
+        found.add(k)
+        for row in range(3):
+            cell = cells[row * size + (k >> 32 + 10 * row) % size]
+            cell[0] -= n
+            cell[1] ^= k
+    return len(found), not any(n or k for n, k in cells)
+
+
+def test_failed_tables_are_retried_larger(spark):
+    """The SQL tables recover what plain tables recover, and the difference comes out whole after larger ones."""
+    pairs = [(range(1, 1 + n), range(1 + n - s, 1 + 2 * n - s)) for n, s in ((3, 1), (5, 5), (8, 2), (20, 3), (60, 20))]
+    digest = {r.x: r.d for r in spark.range(1, 200).select(F.col("id").alias("x"), F.xxhash64("id").alias("d")).collect()}
+    df = spark.createDataFrame([([digest[x] for x in a], [digest[x] for x in b]) for a, b in pairs], "a array<bigint>, b array<bigint>")
+    peeled = lambda z: F.expr(fingerprint._let(fingerprint.peel_sql(fingerprint.subtract_sql(fingerprint.table_sql("a", z), fingerprint.table_sql("b", z)), z), "e", f"named_struct('f', e.f, 'done', {fingerprint._EMPTY.format('e')})"))
+    rows = df.select("a", "b", F.expr(fingerprint.difference_sql("a", "b")).alias("d"), peeled("4L").alias("four"), peeled("32L").alias("more")).collect()
+    assert not all(r.four.done for r in rows)
+    for r in rows:
+        assert r.d == len(set(r.a) ^ set(r.b))
+        for size, e in ((4, r.four), (32, r.more)):
+            assert (e.f, e.done) == plain_difference(r.a, r.b, size)
 
 
 # --- top-k ---
