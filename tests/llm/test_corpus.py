@@ -638,6 +638,28 @@ def test_topk(spark):
     assert [r["rank"] for r in few] == [1, 2, 3, 4]
 
 
+def test_topk_of_repeated_rows(spark):
+    """A repeated candidate stands twice, a repeated query asks once; vectors of all zeros and negative scores count."""
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [0.5, 0.0]), (1, [0.5, 0.0]), (2, [-3.0, 0.0]), (3, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for block in (1, 2, 100):
+        got = [tuple(r) for r in topk.top_k(df, F.col("vec_id") == 0, k=3, vector_block=block).orderBy("rank").collect()]
+        assert got == [(0, 1, 1, 2048), (0, 2, 1, 2048), (0, 3, 3, 0)]
+
+
+def test_topk_sends_live_blocks_only(spark):
+    """Short vectors are never sent to queries whose thresholds are out of their reach; the plan has no all-pairs join."""
+    rng = np.random.default_rng(3)
+    long, short = rng.normal(size=(100, 8)) * 50, rng.normal(size=(900, 8)) * 0.01
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.concatenate((np.abs(long), short)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, (F.col("vec_id") % 20 == 0) & (F.col("vec_id") < 100), k=5, vector_block=50).collect()
+    m = np.floor(64 * np.array([v for _, v in rows]))
+    for q in range(0, 100, 20):
+        want = sorted(((-int(m[q] @ m[i]), i) for i in range(1000) if i != q))[:5]
+        assert [(-s, i) for s, i in want] == [(r.score, r.vec_id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])]
+
+
 # --- packing ---
 
 
@@ -671,6 +693,35 @@ def test_packing(spark):
     assert packing.pack_documents(docs(spark, EMPTY)).count() == 0
 
 
+def test_best_fit_is_brute_force_best_fit():
+    """Every piece goes to a bin of the least residual among all that fit and don't conflict; a new one only if there is none."""
+    rng = random.Random(12)
+    for _ in range(30):
+        n = 120
+        size = np.array(sorted((rng.randint(0, 60) for _ in range(n)), reverse=True))
+        source = [rng.choice(["a", "b", "c", "d", "e", "f", None]) for _ in range(n)]
+        cluster = [rng.choice([1, 2, 3, *range(10, 200)]) for _ in range(n)]
+        bins, offsets = packing.pack_shard(size, source, cluster, 100)
+        left, held = {}, {}
+        for k in range(n):
+            can = [b for b in left if left[b] >= size[k] and not any(s == source[k] and s is not None or c == cluster[k] for s, c in held[b])]
+            b = int(bins[k])
+            assert (b in can and left[b] == min(left[x] for x in can)) if can else b not in left
+            assert offsets[k] == 100 - left.setdefault(b, 100)
+            left[b] -= int(size[k])
+            held.setdefault(b, []).append((source[k], cluster[k]))
+
+
+def test_packing_of_repeated_rows(spark):
+    """Rows that hash to one shard are packed in bounded runs: all stand, none shares a bin with its copy."""
+    rows = [(5, "the same words again")] * 90 + [(None, f"no id {k}") for k in range(40)]
+    df = docs(spark, rows).withColumn("source", F.lit(None).cast("string"))
+    out = packing.pack(df, packing.word_count(F.col("text")), F.col("source"), packing.text_cluster(F.col("text")), capacity=10, shard_pieces=8).collect()
+    assert len(out) == 130 and sum(r.n_words for r in out) == 90 * 4 + 40 * 3
+    same = [r.bin_id for r in out if r.doc_id == 5]
+    assert len(set(same)) == 90
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     size = np.array([60, 70, 35, 30, 28])
     bins, offsets = packing.pack_shard(size, ["a", "b", "b", "c", "a"], [1, 2, 3, 4, 1], 100)
