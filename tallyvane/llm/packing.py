@@ -3,12 +3,13 @@
 A text longer than a bin is cut into pieces of a whole bin and a rest. Pieces are dealt to shards by a
 hash of document and piece (so no source, cluster or document makes a shard large), and each shard is
 packed in falling size. Bins stand in residual order and carry two bitmaps, of their sources and of
-their duplicate clusters. A piece takes the tightest bin that fits and holds neither its cluster nor
-`per_source` pieces' worth of its source bit; successor search goes on to the next larger residual
-until one is compatible, else a bin is opened. Bins of one residual are kept by source bitmap, so a
+their duplicate clusters. A piece takes the tightest bin that fits and holds neither its source nor its cluster;
+successor search goes on to the next larger residual until one is compatible, else a bin is opened. Bins of one residual are kept by source bitmap, so a
 residual whose bins all hold a common source costs one step for each distinct bitmap, not for each bin.
 
-The shard count follows the number of pieces, so a shard's work is the same at every input size.
+The shard count follows the number of pieces, so a shard's work is the same at every input size. Rows without a doc_id
+are dealt by where they were read, not by their id; a task holds two shards' worth of pieces at most, whatever repeats.
+Texts are read once, for their sizes and keys, which are written to the shared folder.
 Null and wordless texts take one piece of no words, which any compatible bin holds. A null source or
 cluster conflicts with nothing. Rows repeated with the same id are packed each by itself and, being of
 one cluster, never share a bin. An empty table gives an empty result.
@@ -23,9 +24,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from .common import materialise, shuffle_partitions
 
 CAPACITY = 1024
+#: Pieces of a shard on average; 4096 or fewer, as bin_id has 13 bits for the bins of twice as many.
 SHARD_PIECES = 2048
 
 
@@ -99,42 +101,44 @@ def text_cluster(text: Column) -> Column:
 
 def pack(docs: DataFrame, size: Column, source: Column, cluster: Column, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """(doc_id, piece, n_words, bin_id, bin_offset) of every piece; only sizes and keys are shuffled, never texts."""
-    rows = docs.select("doc_id", size.cast("long").alias("_n"), source.cast("string").alias("_s"), F.xxhash64(cluster).alias("_c"), cluster.isNull().alias("_free"))
+    rows = docs.select("doc_id", size.cast("long").alias("_n"), source.cast("string").alias("_s"), F.when(cluster.isNotNull(), F.xxhash64(cluster)).alias("_c"), F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("_at"))
+    rows = materialise(rows, "packing-sizes")
     whole = F.when(F.col("_n") > capacity, F.floor((F.col("_n") - 1) / capacity)).otherwise(0)
     pieces = rows.select("*", F.explode(F.sequence(F.lit(0), whole.cast("int"))).alias("piece"))
-    pieces = pieces.select("doc_id", "piece", F.least(F.lit(capacity), F.col("_n") - F.col("piece") * capacity).cast("int").alias("n_words"), "_s", F.when(~F.col("_free"), F.col("_c")).alias("_c"))
+    pieces = pieces.select("doc_id", "_at", "piece", F.least(F.lit(capacity), F.col("_n") - F.col("piece") * capacity).cast("int").alias("n_words"), "_s", "_c")
     total = rows.agg(F.sum(whole + 1)).first()[0] or 0
     shards = max(1, -(-int(total) // shard_pieces))
-    dealt = pieces.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece", "n_words"), F.lit(shards)).cast("int"))
+    dealt = pieces.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "_at", "piece", "n_words"), F.lit(shards)).cast("int")).drop("_at")
     tasks = min(shards, 4 * shuffle_partitions(docs.sparkSession))  # a task takes its shards one after the other
-    dealt = dealt.repartition(tasks, "_shard").sortWithinPartitions("_shard", F.desc("n_words"), "doc_id", "piece")
+    dealt = dealt.repartition(tasks, "_shard").sortWithinPartitions("_shard", F.desc("n_words"), "doc_id", "piece", "_s", "_c")
+    most = 2 * shard_pieces
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-
-        def finish(group: pd.DataFrame) -> pd.DataFrame:
-            # heavy repeats of one row hash alike: a shard beyond its size is packed in runs of shard_pieces
-            out = []
-            for k, i in enumerate(range(0, len(group), 2 * shard_pieces)):
-                part = group.iloc[i : i + 2 * shard_pieces]
-                source = [x if isinstance(x, str) else None for x in part["_s"]]
-                cluster = [None if pd.isna(x) else int(x) for x in part["_c"].array]
-                bins, offsets = pack_shard(part["n_words"].to_numpy(), source, cluster, capacity)
-                bin_id = (np.int64(part["_shard"].iloc[0]) << np.int64(40)) + (np.int64(k) << np.int64(24)) + bins
-                out.append(part[["doc_id", "piece", "n_words"]].assign(bin_id=bin_id, bin_offset=offsets))
-            return pd.concat(out)
+    def finish(shard: int, run_of: int, part: pd.DataFrame) -> pd.DataFrame:
+        source = [x if isinstance(x, str) else None for x in part["_s"]]
+        cluster = [None if pd.isna(x) else int(x) for x in part["_c"].array]
+        bins, offsets = pack_shard(part["n_words"].to_numpy(), source, cluster, capacity)
+        bin_id = (np.int64(shard) << np.int64(36)) + (np.int64(run_of) << np.int64(13)) + bins  # a run has fewer than 2 ** 13 bins
+        return part[["doc_id", "piece", "n_words"]].assign(bin_id=bin_id, bin_offset=offsets)
 
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Shards of sorted batches; one beyond its size, of rows that hash alike, is packed in runs of `most` pieces."""
+        held, rows_held, shard, run_of = [], 0, -1, 0
         for part in parts:
             while len(part):
-                shard = part["_shard"].to_numpy()
-                if held and held[0]["_shard"].iloc[0] != shard[0]:
-                    yield finish(pd.concat(held))
-                    held = []
-                cut = int(np.searchsorted(shard != shard[0], True))
+                shards_of = part["_shard"].to_numpy()
+                if rows_held and (shards_of[0] != shard or rows_held == most):
+                    yield finish(shard, run_of, pd.concat(held))
+                    run_of = run_of + 1 if shards_of[0] == shard else 0
+                    held, rows_held = [], 0
+                elif shards_of[0] != shard:
+                    run_of = 0
+                shard = shards_of[0]
+                cut = min(int(np.searchsorted(shards_of != shard, True)), most - rows_held)
                 held.append(part.iloc[:cut])
+                rows_held += cut
                 part = part.iloc[cut:]
-        if held:
-            yield finish(pd.concat(held))
+        if rows_held:
+            yield finish(shard, run_of, pd.concat(held))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return dealt.mapInPandas(run, f"doc_id {kind}, piece int, n_words int, bin_id long, bin_offset long")
