@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyvane.llm import langid, packing, quality, recompress, simhash
-from tallyvane.llm.common import materialise, table, unpacked
+from tallyvane.llm.common import materialise, remove, table, unpacked
 
 #: A document with a lower share of the votes for its likeliest language goes; mixed texts have about a half.
 LEAST_LANGUAGE_SCORE = 0.4
@@ -57,7 +57,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, done = table(spark, sf_dir, "documents"), []
     for k, (_, stage) in enumerate(STAGES):
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{k}")
+        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{k}", done)
+        remove(spark, done[:-1])  # the last stage's rows are all that is read from here on
+        done = done[-1:]
     return docs

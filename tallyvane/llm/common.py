@@ -21,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; only a local master gets a local one where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.gettempdir()}/tallyvane-shared"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -50,8 +52,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of long texts small: a batch holds so many bytes, whatever the rows' lengths."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """Keep Arrow batches of long texts small: a batch holds so many bytes, whatever the rows' lengths. A setting of the
+    session, since plans read it when they run; one that is smaller already stays."""
+    name, most = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > most:
+        spark.conf.set(name, str(most))
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .common import materialise, remove
 
 
-def components(links: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
-    """(node, root): the least node of each linked node's component. links: (a, b) of one ordered type."""
+def components(links: DataFrame, name: str = "components", max_rounds: int = 60, kept: list[str] | None = None) -> DataFrame:
+    """(node, root): the least node of each linked node's component. links: (a, b) of one ordered type. kept: gets the path of the table returned."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b")
     paths: list[str] = []
     edges = materialise(both.distinct(), f"{name}-edges", paths)
@@ -34,5 +34,7 @@ def components(links: DataFrame, name: str = "components", max_rounds: int = 60)
         remove(links.sparkSession, paths[first_stale:-1])
         paths = [*paths[:first_stale], paths[-1]]
         if settled:
+            if kept is not None:
+                kept.append(paths[-1])
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

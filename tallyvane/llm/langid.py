@@ -129,9 +129,9 @@ def train(texts: list[bytes], langs_of: list[str], epochs: int = EPOCHS) -> Byte
 
 
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> ByteConv:
-    """Learn from at most about train_rows documents with a language, none of them held out."""
+    """Learn from at most train_rows documents with a language, none of them held out."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
-    rows = bounded_sample(known, F.col("doc_id"), train_rows).toArrow().sort_by("doc_id")
+    rows = bounded_sample(known, F.xxhash64("doc_id", "text", "lang"), train_rows).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     return train([x.encode() for x in rows["text"].to_pylist()], rows["lang"].to_pylist())
 
 

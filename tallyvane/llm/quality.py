@@ -34,9 +34,8 @@ def is_held_out(doc_id):
 
 
 def bounded_sample(rows: DataFrame, key, limit: int) -> DataFrame:
-    """About `limit` rows at most, chosen by a hash of the key: the same rows on every run, at every partitioning."""
-    share = min(1.0, limit / max(1, rows.count()))
-    return rows if share == 1.0 else rows.filter(F.pmod(F.xxhash64(key, F.lit(SEED)), F.lit(1_000_000)) < int(1_000_000 * share))
+    """The `limit` rows with the least hashes of the key: the same on every run, at every partitioning."""
+    return rows.orderBy(F.xxhash64(key, F.lit(SEED)), key).limit(limit)
 
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -109,10 +108,11 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS) -> Subwor
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows: int = TRAIN_ROWS) -> SubwordModel:
-    """Learn from at most about train_rows labelled documents, none of them held out."""
+    """Learn from at most train_rows labelled documents, none of them held out."""
     known = labels.filter(F.col(label).isin(0, 1) & ~is_held_out(F.col("doc_id"))).select("doc_id", F.col(label).alias("_label"))
     sample = bounded_sample(known, F.col("doc_id"), train_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "_label").toArrow().sort_by("doc_id")
+    met = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "_label")
+    rows = bounded_sample(met, F.xxhash64("doc_id", "text", "_label"), train_rows).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])  # ids may repeat
     return train([(x or "").encode() for x in rows["text"].to_pylist()], rows["_label"].to_pylist())
 
 

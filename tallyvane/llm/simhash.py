@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Powers, chunks, kept, materialise, mix64, small_batches, text_bytes, unpacked, word_hashes, words_of
+from .common import Powers, chunks, kept, materialise, mix64, remove, small_batches, text_bytes, unpacked, word_hashes, words_of
 from .graph import components
 
 BUCKET, SMALL_GROUP = 4096, 64
@@ -293,26 +293,30 @@ def near_links(distinct: DataFrame, radius: int, bucket: int = BUCKET) -> DataFr
     return sent.repartition(*keys).sortWithinPartitions(*keys, "node").mapInPandas(lambda parts: whole_groups(parts, keys, links), "a long, b long")
 
 
-def classes(folded: DataFrame, links: DataFrame) -> DataFrame:
+def classes(folded: DataFrame, links: DataFrame, old: list[str]) -> DataFrame:
     """folded (first, ...) with component_id, the least doc_id reachable.
 
     A fingerprint goes by the least doc_id that has it, so the root of its component is the answer itself and
-    nothing meets by component.
+    nothing meets by component. old: gets the path of a table that the result reads.
     """
-    found = components(links, "simhash").withColumnRenamed("node", "_n")
+    found = components(links, "simhash", kept=old).withColumnRenamed("node", "_n")
     return folded.join(found, folded["first"] == found["_n"], "left").withColumn("component_id", F.coalesce("root", "first")).drop("_n", "root")
 
 
 def link_documents(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row; rows of one doc_id are in one component."""
-    prints = materialise(fingerprints(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ["doc_id"], shingle), "simhash-prints")
-    folded = materialise(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first")), "simhash-distinct")
+    spark, old = docs.sparkSession, []
+    prints = materialise(fingerprints(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ["doc_id"], shingle), "simhash-prints", old)
+    folded = materialise(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first")), "simhash-distinct", old)
     words = F.unhex(F.lpad(F.hex("fp"), 16, "0"))  # the order of bits is one to distances
     keys = bucket_keys(F.col("fp"), radius, blocks_for(folded.count(), radius))
     links = near_links(folded.select(F.col("first").alias("node"), keys.alias("keys"), words.alias("fp")), radius)
-    by_print = classes(folded, links).select(F.col("fp").alias("_fp"), "component_id")
+    by_print = classes(folded, links, old).select(F.col("fp").alias("_fp"), "component_id")
     component = F.when(F.col("component_id") != NO_ID, F.col("component_id"))
-    return prints.join(by_print, prints.fp == by_print["_fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component.alias("component_id"))
+    found = prints.join(by_print, prints.fp == by_print["_fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component.alias("component_id"))
+    found = materialise(found, "simhash")
+    remove(spark, old)
+    return found
 
 
 def wide_prints(docs: DataFrame, shingle: int = 5) -> DataFrame:
@@ -385,7 +389,7 @@ def alike_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | No
     return [(int(at[a]), int(at[b])) for a, b in forest.links]
 
 
-def verified_links(docs: DataFrame, candidates: DataFrame, shingle: int = 5, most: int = 1024, most_bytes: int = 8 << 20) -> DataFrame:
+def verified_links(docs: DataFrame, candidates: DataFrame, old: list[str], shingle: int = 5, most: int = 1024, most_bytes: int = 8 << 20) -> DataFrame:
     """(a, b): links that span all pairs of documents of one candidate group whose shingle sets are alike by LIKE, from the sets themselves.
 
     candidates: (node, root). A group beyond `most` rows or `most_bytes` of sets is cut into slices whose pairs are
@@ -399,7 +403,7 @@ def verified_links(docs: DataFrame, candidates: DataFrame, shingle: int = 5, mos
             sets = [s.astype("<u8").tobytes() for s in shingle_sets(text_bytes(batch.column("text")), shingle)]
             yield pa.RecordBatch.from_arrays([batch.column("root"), batch.column("node"), pa.array(sets, pa.binary())], names=["root", "node", "hashes"])
 
-    rows = materialise(texts.mapInArrow(read, "root long, node long, hashes binary"), "near-sets")
+    rows = materialise(texts.mapInArrow(read, "root long, node long, hashes binary"), "near-sets", old)
     slices = F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum(F.length("hashes")) / most_bytes)).cast("int")
     sizes = rows.groupBy(F.col("root").alias("_r")).agg(slices.alias("slices"))
     rows = rows.join(sizes, rows["root"] == sizes["_r"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
@@ -430,9 +434,11 @@ def one_of_each(docs: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
     average, at worst 48 with deviation 6) is compared so: all pairs of each group that such candidates connect.
     Rows of one doc_id stay or go together; wordless texts are copies of each other.
     """
+    old: list[str] = []
     prints = wide_prints(docs)
-    folded = materialise(prints.groupBy("node").agg(F.min("_k").alias("first"), F.first("keys").alias("keys"), F.first("fp").alias("fp")), "near-distinct")
+    folded = materialise(prints.groupBy("node").agg(F.min("_k").alias("first"), F.first("keys").alias("keys"), F.first("fp").alias("fp")), "near-distinct", old)
     links = near_links(folded.select(F.col("first").alias("node"), "keys", "fp"), radius)
-    links = verified_links(docs, components(links, "near-groups"))
-    stay = classes(folded.select("first"), links).select(F.col("component_id").alias("_stay")).distinct()
+    links = verified_links(docs, components(links, "near-groups", kept=old), old)
+    stay = materialise(classes(folded.select("first"), links, old).select(F.col("component_id").alias("_stay")).distinct(), "near-stay")
+    remove(docs.sparkSession, old)
     return docs.join(stay, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == stay["_stay"], "left_semi")

@@ -129,6 +129,58 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.predict(df.drop("score"), untaught).collect()} == {"und"}
 
 
+def test_language_network_is_its_plain_loops():
+    """Convolutions, max pooling and softmax against loops over filters, places and bytes."""
+    rng = np.random.default_rng(0)
+    net = langid.train([b"ab" * 90, b"xyz" * 70], ["a", "b"], epochs=1)
+    texts = [bytes(rng.integers(1, 256, n).tolist()) for n in (1, 127, 128, 129, 300)]
+    windows, of = langid.windows_of(texts)
+    got = net.probabilities(windows)
+    for k, window in enumerate(windows):
+        e, hidden = net.embed[window].astype(float), []
+        for f in range(net.bank.shape[1]):
+            width = langid.WIDTHS[f // langid.FILTERS]
+            kernel = net.bank[:, f].astype(float).reshape(langid.SPAN, langid.EMBED)
+            assert not kernel[width:].any()
+            maps = [sum(e[i + j] @ kernel[j] for j in range(width)) for i in range(langid.WINDOW - langid.SPAN + 1)]
+            hidden.append(max(0.0, max(maps) + float(net.shift[f])))
+        z = np.array(hidden) @ net.out.astype(float) + net.bias
+        want = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert got[k] == pytest.approx(want, abs=1e-4)
+    letters = [t.decode("utf-8", "replace") for t in texts]
+    mean = net.predict([t.encode() for t in letters])[1]
+    assert len(mean) == len(texts)
+
+
+def test_quality_score_is_its_plain_average():
+    """Bucket vectors averaged over words and byte n-grams, one text after the other."""
+    rng = np.random.default_rng(1)
+    model = quality.SubwordModel(rng.normal(size=1 << quality.WORD_BITS).astype(np.float32), rng.normal(size=1 << quality.GRAM_BITS).astype(np.float32), 0.3)
+    texts = ["", "ab", "a bc  bc déf", "one two two three " * 20, "x" * 500]
+    for text, got in zip(texts, model.score([t.encode() for t in texts])):
+        seen, last = [], None
+        for word in WORD.findall(text):
+            seen.append(model.words[quality.REPEAT if word == last else quality.features([word.encode()])[0][0]])
+            last = word
+        raw = text.encode()
+        for i in range(max(0, len(raw) - 3)):
+            three, four = (int.from_bytes(raw[i : i + n], "little") for n in (3, 4))
+            seen.append(model.grams[(three * 0x9E3779B1 % 2**32) >> 32 - quality.GRAM_BITS + 1])
+            seen.append(model.grams[((four * 0x85EBCA6B % 2**32) >> 32 - quality.GRAM_BITS + 1) + (1 << quality.GRAM_BITS - 1)])
+        assert got == pytest.approx(1 / (1 + np.exp(-(sum(map(float, seen)) / max(1, len(seen)) + 0.3))), abs=1e-6)
+
+
+def test_classifiers_of_repeated_and_long_rows(spark):
+    """Repeated ids and texts are learned from within the bound; long texts are read whole."""
+    rows = [(1, "word " * 200_000, "en")] * 3 + [(k, f"der Hund {k}", "de") for k in range(3, 30)] + [(1, "the cat", "en"), (None, "the dog", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.predict(df, langid.fit(df, train_rows=10), keep=["doc_id"]).collect()
+    assert len(got) == len(rows) and len({(r.lang_pred, r.score) for r in got if r.doc_id == 1}) <= 2
+    labels = spark.createDataFrame([(1, 1), (1, 1), (3, 0), (4, 0)], "doc_id long, quality int")
+    model = quality.fit(df, labels, train_rows=3)
+    assert quality.score(df, model).count() == len(rows)
+
+
 # --- chat formatting ---
 
 SCHEMAS = {"add": {"properties": {"a": {"type": "integer"}, "op": {"type": "string", "enum": ["x", "y"]}}, "required": ["a"], "additionalProperties": False}}
