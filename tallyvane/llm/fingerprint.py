@@ -47,16 +47,17 @@ def _let(value: str, name: str, body: str) -> str:
     return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def cell_sql(digest: str, row: str, size: str) -> str:
-    """Cell of a digest in a row: ten bits of it for each row, as many of them as the size asks for."""
-    return f"(shiftright({digest}, 32 + 10 * {row}) & ({size} - 1))"
+def placed_sql(digests: str, size: str) -> str:
+    """Digests with their check hashes and their cell in each of three rows: ten bits for each row, as many of them as the size asks for."""
+    cells = ", ".join(f"'{name}', {row} * {size} + (shiftright(d, {32 + 10 * row}) & ({size} - 1))" for row, name in enumerate("pqr"))
+    return f"transform({digests}, d -> named_struct('k', d, 'h', xxhash64(d), {cells}))"
 
 
 def table_sql(digests: str, size: str) -> str:
     """Cells of one table of three rows over an array of digests."""
-    cell = "named_struct('n', size(own), 'k', aggregate(own, 0L, (s, d) -> s ^ d), 'h', aggregate(own, 0L, (s, d) -> s ^ xxhash64(d)))"
-    own = f"filter({digests}, d -> {cell_sql('d', f'(j div {size})', size)} = j % {size})"
-    return f"transform(sequence(0L, 3 * {size} - 1), j -> {_let(own, 'own', cell)})"
+    cell = "if(size(own) = 0, named_struct('n', 0, 'k', 0L, 'h', 0L), named_struct('n', size(own), 'k', aggregate(own, 0L, (s, x) -> s ^ x.k), 'h', aggregate(own, 0L, (s, x) -> s ^ x.h)))"
+    rows = [f"transform(sequence({row} * {size}, {row + 1} * {size} - 1), j -> {_let(f'filter(placed, x -> x.{name} = j)', 'own', cell)})" for row, name in enumerate("pqr")]
+    return _let(placed_sql(digests, size), "placed", f"concat({', '.join(rows)})")
 
 
 def subtract_sql(a: str, b: str) -> str:
@@ -64,23 +65,31 @@ def subtract_sql(a: str, b: str) -> str:
 
 
 def peel_sql(cells: str, size: str) -> str:
-    """(c, f): cells after peeling and the number of digests recovered."""
-    pure = "array_distinct(filter(s.c, x -> abs(x.n) = 1 AND x.h = xxhash64(x.k)))"
-    mine = f"filter(p, y -> {cell_sql('y.k', f'(j div {size})', size)} = j % {size})"
-    less = f"aggregate({mine}, x, (q, y) -> named_struct('n', q.n - y.n, 'k', q.k ^ y.k, 'h', q.h ^ y.h))"
-    step = f"if(size(p) = 0, s, named_struct('c', transform(s.c, (x, j) -> {less}), 'f', s.f + size(p)))"
-    return f"aggregate(sequence(1, {PEELS}), named_struct('c', {cells}, 'f', 0), (s, i) -> {_let(pure, 'p', step)})"
+    """(c, f): cells after peeling and the number of digests recovered. Each step clears what the step before showed."""
+
+    def shown(c: str) -> str:
+        pure = f"filter({c}, x -> abs(x.n) = 1 AND x.h = xxhash64(x.k))"
+        at = ", ".join(f"'{name}', {row} * {size} + (shiftright(x.k, {32 + 10 * row}) & ({size} - 1))" for row, name in enumerate("pqr"))
+        return f"array_distinct(transform({pure}, x -> named_struct('n', x.n, 'k', x.k, 'h', x.h, {at})))"
+
+    less = "aggregate(filter(s.p, y -> y.p = j OR y.q = j OR y.r = j), x, (q, y) -> named_struct('n', q.n - y.n, 'k', q.k ^ y.k, 'h', q.h ^ y.h))"
+    step = _let(f"transform(s.c, (x, j) -> {less})", "after", f"named_struct('c', after, 'f', s.f + size(s.p), 'p', {shown('after')})")
+    start = _let(cells, "before", f"named_struct('c', before, 'f', 0, 'p', {shown('before')})")
+    return f"aggregate(sequence(1, {PEELS}), {start}, (s, i) -> if(size(s.p) = 0, s, {step}))"
 
 
 _EMPTY = "forall({}.c, x -> x.n = 0 AND x.k = 0 AND x.h = 0)"
-_SIZES = f"array({', '.join(f'{n}L' for n in SIZES)})"
 
 
-def difference_sql(a: str, b: str) -> str:
+def _sizes(least: int = SIZES[0]) -> str:
+    return f"array({', '.join(f'{n}L' for n in SIZES if n >= least)})"
+
+
+def difference_sql(a: str, b: str, least: int = SIZES[0]) -> str:
     """How many digests are in one of two arrays only: their tables subtracted and peeled, larger ones on failure."""
     table = subtract_sql(table_sql(a, "z"), table_sql(b, "z"))
     tried = _let(peel_sql(table, "z"), "e", f"named_struct('done', {_EMPTY.format('e')}, 'f', e.f)")
-    return f"aggregate({_SIZES}, named_struct('done', false, 'f', 0), (t, z) -> if(t.done, t, {tried})).f"
+    return f"aggregate({_sizes(least)}, named_struct('done', false, 'f', 0), (t, z) -> if(t.done, t, {tried})).f"
 
 
 def blocks_sql(digests: str) -> str:
@@ -97,26 +106,25 @@ def dealt_sql(digests: str, blocks: str) -> str:
     return f"if({blocks} = 1, array({digests}), {_let(sides, 'm', f'flatten(transform(sequence(0, m.hi - 1), g -> {group}))')})"
 
 
-def sketched_sql(text: str) -> str:
+def sketched_sql(digests: str) -> str:
     """(d, b, g): digests of a text, the number of their blocks, and the digests by block."""
-    with_blocks = _let(blocks_sql("v"), "b", f"named_struct('d', v, 'b', b, 'g', {dealt_sql('v', 'b')})")
-    return _let(digests_sql(text), "v", with_blocks)
+    return _let(blocks_sql(digests), "b", f"named_struct('d', {digests}, 'b', b, 'g', {dealt_sql(digests, 'b')})")
 
 
 def fingerprint_sql(of: str) -> str:
     """Number of digests ':' blocks parted by '|': cells a row ':' cells parted by ',', each count '.' XOR of digests, or nothing."""
     tried = _let(table_sql("u", "z"), "c", f"if({_EMPTY.format(peel_sql('c', 'z'))}, named_struct('z', z, 'c', c), t)")
-    none = "from_json('[]', 'array<struct<n:int,k:bigint,h:bigint>>')"
-    first = f"aggregate({_SIZES}, named_struct('z', 0L, 'c', {none}), (t, z) -> if(t.z > 0, t, {tried}))"
+    none = "filter(array(named_struct('n', 0, 'k', 0L, 'h', 0L)), x -> false)"
+    first = f"aggregate({_sizes()}, named_struct('z', 0L, 'c', {none}), (t, z) -> if(t.z > 0, t, {tried}))"
     cells = "array_join(transform(e.c, x -> if(x.n = 0, '', concat(hex(x.n), '.', hex(x.k)))), ',')"
     block = f"if(size(u) = 0, '', {_let(first, 'e', f'concat(hex(e.z), chr(58), {cells})')})"
     return f"lower(concat(hex(size({of}.d)), ':', array_join(transform({of}.g, u -> {block}), '|')))"
 
 
-def likeness_sql(a: str, b: str) -> str:
-    """Shared part of two fingerprints' digests."""
+def likeness_sql(a: str, b: str, least: int = SIZES[0]) -> str:
+    """Shared part of two fingerprints' digests. least: the first tables' cells a row, larger where much is expected to differ."""
     sides = [f"if({x}.b = w, {x}.g, {dealt_sql(f'{x}.d', 'w')})" for x in (a, b)]
-    apart = f"aggregate(zip_with({sides[0]}, {sides[1]}, (left, right) -> if(left = right, 0, {difference_sql('left', 'right')})), 0, (total, one) -> total + one)"
+    apart = f"aggregate(zip_with({sides[0]}, {sides[1]}, (left, right) -> if(left = right, 0, {difference_sql('left', 'right', least)})), 0, (total, one) -> total + one)"
     recovered = f"if({a}.d = {b}.d, 0, {_let(f'greatest({a}.b, {b}.b)', 'w', apart)})"
     value = f"(size({a}.d) + size({b}.d) - f) / (size({a}.d) + size({b}.d) + f)"
     return f"if(size({a}.d) + size({b}.d) = 0, 1.0D, {_let(recovered, 'f', f'cast({value} AS double)')})"
@@ -162,11 +170,14 @@ def fingerprint_versions(docs: DataFrame) -> DataFrame:
     ranges = 4 * shuffle_partitions(docs.sparkSession)  # several to a partition, so that partitions are alike in size
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_k"), F.xxhash64(text).alias("_h"), text.alias("text"))
-    paired = with_next(source, ranges).select("_k", "text", F.col("next.text").alias("following"))
+    # digests go with their text, so that a text is cut into pieces once though it is also the next one's
+    source = source.withColumn("digests", F.expr(digests_sql("text")))
+    paired = with_next(source, ranges).select("_k", "text", "digests", F.col("next.text").alias("following"), F.col("next.digests").alias("next_digests"))
     edited = paired.withColumn("n_chars", F.char_length("text").cast("long"))
     edited = edited.withColumn("_cut", F.floor(F.col("n_chars") / 3).cast("int"))
     edited = edited.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars AS int) - _cut), substring(following, 1, _cut))"))
-    hashed = edited.select("_k", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), *[F.expr(sketched_sql(c)).alias(f"_{c}") for c in ("text", "edited", "following")])
+    edited = edited.select("_k", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "digests", "next_digests", F.expr(digests_sql("edited")).alias("edited_digests"))
+    hashed = edited.select("_k", "n_chars", "edited_sha256", *[F.expr(sketched_sql(c)).alias(name) for c, name in (("digests", "_text"), ("edited_digests", "_edited"), ("next_digests", "_following"))])
     return hashed.select(
         F.when(F.col("_k") != NO_ID, F.col("_k")).alias("doc_id"),
         "n_chars",
@@ -174,5 +185,5 @@ def fingerprint_versions(docs: DataFrame) -> DataFrame:
         F.expr(fingerprint_sql("_text")).alias("fingerprint"),
         F.expr(fingerprint_sql("_edited")).alias("edited_fingerprint"),
         F.expr(likeness_sql("_text", "_edited")).alias("near_edited"),
-        F.expr(likeness_sql("_text", "_following")).alias("near_next"),
+        F.expr(likeness_sql("_text", "_following", 2 * SIZES[0])).alias("near_next"),
     )
