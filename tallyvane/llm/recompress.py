@@ -49,8 +49,6 @@ WINDOW = 20
 LONG_RUN = 4
 #: Rounds of naming that a window's popped sequence goes through; any number is exact, more leave fewer symbols at the top.
 LEVELS = 3
-#: Buckets of names for each shuffle partition; a task holds one of them at a time.
-SPREAD = 8
 PARTS = 16
 #: Anchors or windows that a task holds before it deals them.
 HELD = 500_000
@@ -418,9 +416,8 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _marks(rows: DataFrame, exact: bool, partitions: int) -> DataFrame:
-    targets = SPREAD * partitions
     dealt = rows.repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    settled = dealt.mapInArrow(lambda batches: _settle(batches, exact, targets), "to int, ids binary, counts binary, place binary")
+    settled = dealt.mapInArrow(lambda batches: _settle(batches, exact, partitions), "to int, ids binary, counts binary, place binary")
     return settled.repartition(partitions, "to").sortWithinPartitions("to").mapInArrow(_gather, "_d binary, mark binary")
 
 
@@ -433,8 +430,7 @@ def row_key() -> Column:
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(_d, mark): for each document's key, packed starts of the windows whose sequence starts earlier. docs: (_k, text)."""
-    partitions = shuffle_partitions(docs.sparkSession)
-    buckets = SPREAD * partitions
+    partitions = buckets = shuffle_partitions(docs.sparkSession)
     anchor_rows = docs.mapInArrow(lambda batches: _anchor_rows(batches, window, buckets), _FIELDS)
     marks = _marks(anchor_rows, False, partitions)
     marked = docs.join(marks, docs["_k"] == marks["_d"]).drop("_d")
