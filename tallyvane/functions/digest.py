@@ -83,6 +83,9 @@ def recompress_column(rows: DataFrame, column: str = "centroids", accuracy: int
     return rows.withColumn(column, merged).withColumn(column, F.when(F.size(column) > 2 * accuracy, shrink(column)).otherwise(F.col(column)))
 
 
+RANGE_VALUES, MAX_RANGES = 16_384, 1000
+
+
 def recompress_bins(values: DataFrame, keys: list[str], value: str = "value", count: str = "count", accuracy: int = ACCURACY) -> DataFrame:
     """A6, A7 of all values of a bin: (keys, centroids). Equal values are counted and large bins digested before any
     array is built, so an array has no more than a digest's centroids."""
@@ -92,12 +95,12 @@ def recompress_bins(values: DataFrame, keys: list[str], value: str = "value", co
 def digest_bins(values: DataFrame, keys: list[str], compression: int = COMPRESSION, value: str = "value", count: str = "count") -> DataFrame:
     """A5: (keys, centroids) of weighted values.
 
-    Equal values of a bin are counted before they are shuffled; a bin that is still large is cut into ranges of
-    values that are compressed by themselves, so that no task gets a whole hot bin, and the ranges' centroids
-    (at most some hundred each) are compressed again.
+    Equal values of a bin are counted before they are shuffled. A bin of more than EXACT_VALUES distinct values is cut by
+    its quantiles into ranges of values, one for each RANGE_VALUES of them (MAX_RANGES at most), that are compressed by
+    themselves, so that no task gets a whole hot bin, and the ranges' centroids (at most some hundred each) are
+    compressed again.
     """
     counted = values.groupBy(*keys, F.col(value).alias("_v")).agg(F.sum(count).alias("_n"))
-    salted = counted.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(16)))
     kinds = {f.name: f.dataType for f in values.schema}
     out_schema = ", ".join(f"`{k}` {kinds[k].simpleString()}" for k in keys) + ", mean double, count bigint"
 
@@ -107,11 +110,18 @@ def digest_bins(values: DataFrame, keys: list[str], compression: int = COMPRESSI
         head = {k: [pdf[k].iloc[0]] * len(means) for k in keys}
         return pd.DataFrame(head | {"mean": means, "count": counts})
 
-    small = salted.groupBy(*keys).agg(F.count("*").alias("_distinct"))
-    small = small.select(*[F.col(k).alias(f"_key{n}") for n, k in enumerate(keys)], "_distinct")
-    sized = salted.join(small, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_key{n}")) for n, k in enumerate(keys)]))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_key{n}")) for n, k in enumerate(keys)])
+    bins = counted.groupBy(*keys).agg(F.count("*").alias("_distinct"))
+    most = bins.agg(F.max("_distinct")).first()[0] or 0
+    ranges = min(MAX_RANGES, -(-most // RANGE_VALUES))
+    cuts = F.percentile_approx(F.col("_v").cast("double"), [i / ranges for i in range(1, ranges)], 10 * ranges) if ranges > 1 else F.lit(None).cast("array<double>")
+    facts = counted.groupBy(*keys).agg(F.count("*").alias("_distinct"), (cuts if ranges > 1 else F.first(cuts)).alias("_cuts"))
+    facts = facts.select(*[F.col(k).alias(f"_key{n}") for n, k in enumerate(keys)], "_distinct", F.when(F.col("_distinct") > RANGE_VALUES, F.col("_cuts")).alias("_cuts"))
+    sized = counted.join(facts, same)
     exact = sized.filter(F.col("_distinct") <= EXACT_VALUES).select(*keys, F.col("_v").cast("double").alias("mean"), F.col("_n").cast("bigint").alias("count"))
-    large = sized.filter(F.col("_distinct") > EXACT_VALUES).withColumn("_salt", F.when(F.col("_distinct") > 100_000, F.col("_salt")).otherwise(0))
+    wanted = F.ceil(F.col("_distinct") / RANGE_VALUES)
+    at = F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda c: c < F.col("_v").cast("double")))
+    large = sized.filter(F.col("_distinct") > EXACT_VALUES).select(*keys, "_v", "_n", F.floor(at * F.least(wanted, F.lit(ranges)) / max(1, ranges)).alias("_salt"))
     parts = large.groupBy(*keys, "_salt").applyInPandas(lambda pdf: shrink(pdf), out_schema)
     again = parts.select(*keys, F.col("mean").alias("_v"), F.col("count").alias("_n")).groupBy(*keys).applyInPandas(lambda pdf: shrink(pdf), out_schema)
     rows = exact.unionByName(again)

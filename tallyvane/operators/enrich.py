@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tags as T
+from .lines import decode_spans
 
 
 def fill_source(rows: DataFrame, hosts: DataFrame, address: str, tag_keys: tuple[str, ...] = ("source", "host")) -> DataFrame:
@@ -55,13 +57,23 @@ def multicast(rows: DataFrame, tenants: DataFrame, tag: str = "multicastingTenan
     return rows.withColumn("tenant", F.lit(central)).unionByName(copies)
 
 
-def span_logs_with_decision(logs: DataFrame, spans: DataFrame) -> DataFrame:
-    """Span logs of the spans that stay (keep, policy by trace_id and span_id). The log's span text names the policy, or
-    NONE; logs without an embedded span line are reported as they are."""
-    decided = spans.select(F.col("trace_id").alias("_t"), F.col("span_id").alias("_s"), "keep", "policy")
-    out = logs.join(decided, (logs.trace_id == decided["_t"]) & (logs.span_id == decided["_s"]), "left")
+def span_logs_with_decision(logs: DataFrame, sampled: Callable[[DataFrame], DataFrame], ruled: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Span logs (span: the embedded span line) whose span stays, each decided by its own line and so without a shuffle.
+
+    The line is decoded, changed by `ruled` (which may set a status and a reason) and decided by `sampled` (which adds
+    keep and policy). The log's span text then names the policy, or NONE. Logs without an embedded line are reported as they
+    are; one whose line can't be decoded, or that a rule took out, stays with the error.
+    """
+    held = logs.select(F.struct(*logs.columns).alias("_log"), F.col("span").alias("_line"))
+    spans = decode_spans(held, "_line").withColumnRenamed("error", "_error")
+    spans = spans.withColumns({"status": F.lit(None).cast("string"), "reason": F.lit(None).cast("string")})
+    out = sampled(ruled(spans) if ruled else spans)
+    given = F.col("_line").isNotNull()
+    error = F.when(given, F.coalesce("_error", F.when(F.col("status").isNotNull(), F.coalesce("reason", "status"))))
     label = F.concat(F.lit("_sampledByPolicy="), F.coalesce("policy", F.lit("NONE")))
-    return out.filter(F.col("span").isNull() | F.coalesce("keep", F.lit(False))).withColumn("span", F.when(F.col("span").isNotNull(), label)).drop("_t", "_s", "keep", "policy")
+    stays = out.withColumn("_why", error).filter(~given | F.col("_why").isNotNull() | F.coalesce("keep", F.lit(False)))
+    columns = [F.col(f"_log.`{c}`").alias(c) for c in logs.columns if c != "span"]
+    return stays.select(*columns, F.when(given & F.col("_why").isNull(), label).otherwise(F.col("_line")).alias("span"), F.col("_why").alias("error"))
 
 
 def first_by_precedence(tags: Column, keys: list[str], default: Column) -> Column:

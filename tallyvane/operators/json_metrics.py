@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,36 +41,55 @@ def decode_opentsdb_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     return out.withColumn("error", F.when(~F.col(line).rlike(shape), F.lit("not a put line")).when(F.col("value").isNull(), F.lit("no value")))
 
 
-def decode_nested_json(bodies: DataFrame, body: str = "body", prefix: str = "", query: str | None = None, max_depth: int = 8) -> DataFrame:
+def _flat(body: str | None) -> list[dict]:
+    """Numbers of one nested JSON object: path, value as text and the tags of an object with `value`; or an error."""
+
+    def text(x: object) -> str | None:
+        return x if isinstance(x, str) or x is None else json.dumps(x)
+
+    try:
+        root = json.loads(body, parse_float=str, parse_int=str) if body else None
+    except (ValueError, RecursionError) as e:
+        return [{"path": [], "value": None, "tags": {}, "error": f"not JSON: {e}"}]
+    if not isinstance(root, dict):
+        return [{"path": [], "value": None, "tags": {}, "error": "not a JSON object"}]
+    out, waiting = [], [([], root)]
+    while waiting:
+        path, node = waiting.pop()
+        if node.get("value") is not None and not isinstance(node["value"], dict):
+            tags = node.get("tags")
+            own = {k: text(v) for k, v in tags.items() if v is not None} if isinstance(tags, dict) else {}
+            out.append({"path": path, "value": text(node["value"]), "tags": own, "error": None})
+            continue
+        for key, x in node.items():
+            if isinstance(x, dict):
+                waiting.append(([*path, key], x))
+            elif isinstance(x, str):
+                out.append({"path": [*path, key], "value": x, "tags": {}, "error": None})
+    return out
+
+
+def decode_nested_json(bodies: DataFrame, body: str = "body", prefix: str = "", query: str | None = None) -> DataFrame:
     """One point for each number in nested JSON, named by its dotted path; an object with `value` is one point.
 
     query: a column with the request's parameters as a map; h, p, d and t are reserved (host, prefix, time, unused),
-    others are tags under those of the body. Objects deeper than max_depth levels are reported as errors.
+    others are tags under those of the body. A body is read once, however deep it nests; one that is no JSON object
+    is reported as an error.
     """
+
+    @F.pandas_udf("array<struct<path:array<string>,value:string,tags:map<string,string>,error:string>>")
+    def flattened(bodies: pd.Series) -> pd.Series:
+        return pd.Series([_flat(x) for x in bodies], dtype=object)
+
     params = F.col(query) if query else T.empty_tags()
-    base = bodies.withColumn("_q", F.coalesce(params, T.empty_tags())).withColumn("_path", F.array().cast("array<string>")).withColumn("_json", F.col(body))
-    levels = []
-    keep = [*bodies.columns, "_q", "_path"]
-    for depth in range(max_depth + 1):
-        parsed = base.withColumn("_m", F.from_json("_json", TEXT_MAP))
-        is_point = F.col("_m")["value"].isNotNull() & ~F.col("_m")["value"].startswith("{")
-        tags = F.coalesce(F.from_json(F.col("_m")["tags"], TEXT_MAP), T.empty_tags())
-        levels.append(parsed.filter(is_point).select(*keep, F.col("_m")["value"].alias("_v"), tags.alias("_tags"), F.lit(None).cast("string").alias("error")))
-        inner = parsed.filter(~F.coalesce(is_point, F.lit(False))).select(*keep, F.explode("_m").alias("_k", "_json"))
-        inner = inner.withColumn("_path", F.concat("_path", F.array("_k"))).drop("_k")
-        is_object = F.ltrim("_json").startswith("{")
-        leaves = inner.filter(~is_object & F.col("_json").try_cast("double").isNotNull())
-        levels.append(leaves.select(*keep, F.col("_json").alias("_v"), T.empty_tags().alias("_tags"), F.lit(None).cast("string").alias("error")))
-        base = inner.filter(is_object)
-    levels.append(base.select(*keep, F.lit(None).cast("string").alias("_v"), T.empty_tags().alias("_tags"), F.lit("nested too deeply").alias("error")))
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    names = F.concat(F.filter(F.array(F.lit(prefix), F.coalesce(F.col("_q")["p"], F.lit(""))), lambda x: x != ""), F.col("_path"))
-    return out.select(
+    rows = bodies.withColumn("_q", F.coalesce(params, T.empty_tags())).withColumn("_f", F.explode(flattened(F.col(body).cast("string"))))
+    rows = rows.filter(F.col("_f.error").isNotNull() | F.col("_f.value").try_cast("double").isNotNull() | (F.size("_f.tags") > 0))
+    names = F.concat(F.filter(F.array(F.lit(prefix), F.coalesce(F.col("_q")["p"], F.lit(""))), lambda x: x != ""), F.col("_f.path"))
+    value = F.col("_f.value").try_cast("double")
+    return rows.select(
         *bodies.columns, F.array_join(names, ".").alias("metric"), F.col("_q")["h"].alias("source"),
-        F.coalesce(F.col("_q")["d"].try_cast("long"), F.unix_millis(F.current_timestamp())).alias("ts_ms"), F.col("_v").try_cast("double").alias("value"),
-        T.merge(T.drop(F.col("_q"), ["h", "p", "d", "t"]), F.col("_tags")).alias("tags"), "error",
+        F.coalesce(F.col("_q")["d"].try_cast("long"), F.unix_millis(F.current_timestamp())).alias("ts_ms"), value.alias("value"),
+        T.merge(T.drop(F.col("_q"), ["h", "p", "d", "t"]), F.col("_f.tags")).alias("tags"), F.col("_f.error").alias("error"),
     )
 
 

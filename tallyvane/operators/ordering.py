@@ -6,15 +6,36 @@ the entity, so that a common entity is many windows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def byte_batches(rows: DataFrame, payload: str, cap_bytes: int, by: list[str], order: list[str]) -> DataFrame:
-    """K3: rows with batch: a log batch ends once it has cap_bytes. Batches are counted on the running total, by key."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    size = F.octet_length(payload)
-    return rows.withColumn("batch", F.floor((F.sum(size).over(w) - size) / cap_bytes).cast("long"))
+    """K3: rows with batch: a log batch ends before it would pass cap_bytes and the next starts anew; a longer payload is a batch of its own.
+
+    A fold over each key's rows in order: a task streams its sorted rows and holds one batch of them.
+    """
+    keyed = rows.withColumn("_key", F.xxhash64(*by)).withColumn("_size", F.coalesce(F.octet_length(payload), F.lit(0)))
+    dealt = keyed.repartition(*by).sortWithinPartitions("_key", *by, *order)
+
+    def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, number, filled = None, 0, 0
+        for part in parts:
+            numbers = []
+            for key, size in zip(part.column("_key").to_pylist(), part.column("_size").to_pylist()):
+                if key != now:
+                    now, number, filled = key, 0, 0
+                elif filled + size > cap_bytes:
+                    number, filled = number + 1, 0
+                filled += size
+                numbers.append(number)
+            yield part.drop_columns(["_key", "_size"]).append_column("batch", pa.array(numbers, pa.int64()))
+
+    return dealt.mapInArrow(fold, StructType([*rows.schema.fields, StructField("batch", LongType())]))
 
 
 def batch_limit(buffered: Column, rate: Column, batch_size: Column) -> Column:

@@ -58,8 +58,8 @@ def decode_metrics(bodies: DataFrame, body: str = "body", default_source: str =
     return out.select(*bodies.columns, F.col("_m.name").alias("name"), own.alias("resource"), F.coalesce(*[resource[k] for k in SOURCE_KEYS], F.lit(default_source)).alias("fallback_source"), "_m")
 
 
-def _points(metrics: DataFrame, points: str, columns: list[str]) -> DataFrame:
-    out = metrics.withColumn("_p", F.explode(points))
+def _points(metrics: DataFrame, points: str, columns: list[str], outer: bool = False) -> DataFrame:
+    out = metrics.withColumn("_p", (F.explode_outer if outer else F.explode)(points))
     attributes = T.merge(F.col("resource"), attribute_map(F.col("_p.attributes")))
     out = out.withColumn("_a", attributes)
     source, rest = source_and_tags(F.col("_a"), "")
@@ -73,22 +73,17 @@ def _own(metrics: DataFrame) -> list[str]:
 
 
 def numbers(metrics: DataFrame) -> DataFrame:
-    """Points of gauges and sums; a delta sum gets the delta prefix, one of another temporality is an error."""
+    """Points of gauges and sums, in one pass; a delta sum gets the delta prefix, one of another temporality is an error."""
     own = _own(metrics)
-    kinds = []
-    for kind in ("gauge", "sum"):
-        temporality = F.lit(CUMULATIVE) if kind == "gauge" else F.col("_m.sum.aggregationTemporality")
-        some = metrics.filter(F.col(f"_m.{kind}").isNotNull()).withColumn("_t", temporality)
-        empty = some.filter(F.size(F.coalesce(F.col(f"_m.{kind}.dataPoints"), F.array().cast(NUMBER_POINTS))) == 0)
-        kinds.append(empty.select(*own, F.col("name").alias("metric"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("long").alias("ts_ms"), F.lit(None).cast("double").alias("value"), T.empty_tags().alias("tags"), F.lit("no data points").alias("error")))
-        p = _points(some, f"_m.{kind}.dataPoints", [*own, "_t"])
-        name = F.when(F.col("_t") == DELTA, F.concat(F.lit(DELTA_PREFIX), "name")).otherwise(F.col("name"))
-        value = F.coalesce(F.col("_p.asDouble"), F.col("_p.asInt").try_cast("double"))
-        kinds.append(p.select(*own, name.alias("metric"), "source", "ts_ms", value.alias("value"), "tags", F.when(~F.coalesce(F.col("_t").isin(DELTA, CUMULATIVE), F.lit(False)), F.lit("unsupported temporality")).alias("error")))
-    out = kinds[0]
-    for kind in kinds[1:]:
-        out = out.unionByName(kind)
-    return out
+    kind = lambda k, t: F.when(F.col(f"_m.{k}").isNotNull(), F.struct(t.alias("t"), F.coalesce(F.col(f"_m.{k}.dataPoints"), F.array().cast(NUMBER_POINTS)).alias("points")))
+    kinds = F.array(kind("gauge", F.lit(CUMULATIVE)), kind("sum", F.col("_m.sum.aggregationTemporality")))
+    rows = metrics.withColumn("_k", F.explode(F.filter(kinds, lambda x: x.isNotNull()))).withColumn("_t", F.col("_k.t"))
+    p = _points(rows, "_k.points", [*own, "_t"], outer=True)
+    some = F.col("_p").isNotNull()
+    name = F.when(some & (F.col("_t") == DELTA), F.concat(F.lit(DELTA_PREFIX), "name")).otherwise(F.col("name"))
+    value = F.coalesce(F.col("_p.asDouble"), F.col("_p.asInt").try_cast("double"))
+    error = F.when(~some, F.lit("no data points")).when(~F.coalesce(F.col("_t").isin(DELTA, CUMULATIVE), F.lit(False)), F.lit("unsupported temporality"))
+    return p.select(*own, name.alias("metric"), F.when(some, F.col("source")).alias("source"), "ts_ms", value.alias("value"), F.when(some, F.col("tags")).otherwise(T.empty_tags()).alias("tags"), error.alias("error"))
 
 
 def _renamed(tags: Column, key: str) -> Column:

@@ -12,7 +12,7 @@ from ..operators import ordering as K
 from ..operators import rules as R
 from ..sinks import delivery as S
 from .registry import query
-from .views import CHANGES, POINTS, SPANS, deltas, log_lines, points, source_tag_changes, spans, table
+from .views import CHANGES, POINTS, SPANS, deltas, log_lines, points, scratch, source_tag_changes, spans, table
 
 
 def _entries() -> F.Column:
@@ -50,15 +50,23 @@ def a4_hour_day_rollup(spark, sf_dir):
     return A.roll_up(points(spark, sf_dir)).select("metric", "source", _entries(), "bin_start_ms", "duration_ms", "mean", "count")
 
 
-@query(f"""WITH {POINTS} SELECT metric, ts_ms // 86400000 * 86400000 AS bin_start_ms, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total, min(value) <= max(value) AS ordered, true AS small FROM points GROUP BY ALL""")
+@query(f"""WITH {POINTS} SELECT metric, ts_ms // 86400000 * 86400000 AS bin_start_ms, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total, true AS close, true AS small FROM points GROUP BY ALL""")
 def a5_digest_invariants(spark, sf_dir):
-    """Centroids of day bins keep count and sum, and stay few."""
+    """Centroids of day bins keep count and sum, their quantiles lie near the exact ones in rank, and they stay few."""
     rows = points(spark, sf_dir).select("metric", A.bin_start(F.col("ts_ms"), A.DAY).alias("bin_start_ms"), "value", F.lit(1).alias("count"))
     out = D.digest_bins(rows, ["metric", "bin_start_ms"])
     total = F.aggregate("centroids", F.lit(0.0), lambda s, c: s + c["mean"] * c["count"])
     n = F.aggregate("centroids", F.lit(0).cast("bigint"), lambda s, c: s + c["count"])
-    means = F.transform("centroids", lambda c: c["mean"])
-    return out.select("metric", "bin_start_ms", n.alias("n"), F.round(total, 4).alias("total"), (F.array_min(means) <= F.array_max(means)).alias("ordered"), (F.size("centroids") <= 2 * D.EXACT_VALUES).alias("small"))
+    # the share of the count up to a centroid (half of its own) against the share of values below its mean, at most 2 % apart
+    own = F.posexplode(F.transform("centroids", lambda c: c["mean"]))
+    marks = out.select("metric", "bin_start_ms", "centroids", own.alias("i", "mean"))
+    below = F.aggregate(F.slice("centroids", 1, F.col("i")), F.lit(0.0), lambda s, c: s + c["count"]) + F.get("centroids", F.col("i"))["count"] / 2
+    marks = marks.select(F.col("metric").alias("m"), F.col("bin_start_ms").alias("b"), "mean", below.alias("below"))
+    values = rows.groupBy("metric", "bin_start_ms").agg(F.count("*").alias("of"), F.array_sort(F.collect_list("value")).alias("vs"))
+    rank = F.size(F.filter("vs", lambda v: v < F.col("mean"))) + F.size(F.filter("vs", lambda v: v == F.col("mean"))) / 2
+    close = values.join(marks, (values.metric == marks.m) & (values["bin_start_ms"] == marks.b)).groupBy("metric", "bin_start_ms").agg((F.max(F.abs(rank - F.col("below")) / F.col("of")) <= 0.02).alias("close"))
+    found = out.select("metric", "bin_start_ms", n.alias("n"), F.round(total, 4).alias("total"), (F.size("centroids") <= 2 * D.EXACT_VALUES).alias("small"))
+    return found.join(close, ["metric", "bin_start_ms"])
 
 
 @query(f"""WITH {POINTS}, f AS (SELECT *, CASE WHEN lag(floor(value / 50)) OVER w IS NOT DISTINCT FROM floor(value / 50) THEN 0 ELSE 1 END AS new FROM points WINDOW w AS (PARTITION BY metric, source ORDER BY seq)),
@@ -205,8 +213,11 @@ def k2_first_by_precedence(spark, sf_dir):
     return points(spark, sf_dir).select("seq", first_by_precedence(tags, ["a", "b"], F.lit("none")).alias("found"))
 
 
-@query("""WITH r AS (SELECT event_id, event_type, event_id % 16 AS sender, octet_length(encode(props)) AS size, sum(octet_length(encode(props))) OVER (PARTITION BY event_type, event_id % 16 ORDER BY event_id) AS total FROM events)
-  SELECT event_type, sender, CAST((total - size) // 256 AS BIGINT) AS batch, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM r GROUP BY ALL""")
+@query("""WITH g AS (SELECT event_type, event_id % 16 AS sender, list({'bytes': CAST(octet_length(encode(props)) AS BIGINT), 'n': 1::BIGINT, 'done': []::STRUCT(n BIGINT, bytes BIGINT)[]} ORDER BY event_id) AS l FROM events GROUP BY ALL),
+  f AS (SELECT event_type, sender, list_reduce(l, lambda a, x: CASE WHEN a.bytes + x.bytes > 256
+    THEN {'bytes': x.bytes, 'n': 1::BIGINT, 'done': list_append(a.done, {'n': a.n, 'bytes': a.bytes})} ELSE {'bytes': a.bytes + x.bytes, 'n': a.n + 1, 'done': a.done} END) AS r FROM g),
+  b AS (SELECT event_type, sender, list_append(r.done, {'n': r.n, 'bytes': r.bytes}) AS l FROM f)
+  SELECT event_type, sender, CAST(i - 1 AS BIGINT) AS batch, l[i].n AS n, l[i].bytes AS bytes FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM b)""")
 def k3_byte_batches(spark, sf_dir):
     """Batches by sender: each sender's share is a window of its own."""
     rows = K.byte_batches(table(spark, sf_dir, "events").withColumn("sender", F.col("event_id") % 16), "props", 256, ["event_type", "sender"], ["event_id"])
@@ -218,9 +229,13 @@ def k4_dispatch_limit(spark, sf_dir):
     return K.dispatch_limit(points(spark, sf_dir), [F.col("ts_ms"), F.col("seq")], 250).select("seq", "metric")
 
 
-@query(f"WITH {POINTS} SELECT count(*) AS n FROM points")
+@query(f"WITH {POINTS} SELECT CAST(count(*) AS BIGINT) AS n, CAST(16 AS BIGINT) AS senders, true AS even FROM points")
 def k5_round_robin(spark, sf_dir):
-    return K.round_robin(points(spark, sf_dir), 16).agg(F.count("*").alias("n"))
+    """Rows of each sender partition: none has more than another by more than a row for each partition read."""
+    rows = points(spark, sf_dir)
+    read = rows.rdd.getNumPartitions()
+    sent = K.round_robin(rows.select("seq"), 16).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n"))
+    return sent.agg(F.sum("n").alias("n"), F.count("*").alias("senders"), (F.max("n") - F.min("n") <= read).alias("even"))
 
 
 @query(f"""WITH {POINTS}, b AS (SELECT *, CAST((row_number() OVER (PARTITION BY metric, seq % 16 ORDER BY seq) - 1) // 20 AS BIGINT) AS batch, seq % 16 AS sender FROM points)
@@ -266,6 +281,17 @@ def r9_backoff(spark, sf_dir):
 
 @query(f"WITH {POINTS} SELECT CASE WHEN seq % 5 = 0 THEN 'HISTOGRAM' ELSE 'POINT' END AS entity, CASE WHEN k < '5' THEN 'central' ELSE 'other' END AS tenant, count(*) AS n FROM points GROUP BY ALL")
 def r1_fan_out(spark, sf_dir):
-    """How many rows each folder of the fan-out gets (sinks.delivery.fan_out writes them)."""
+    """Rows are written to a folder for each entity and tenant; what each folder holds is read back."""
     rows = points(spark, sf_dir).select("seq", F.when(F.col("seq") % 5 == 0, F.lit("HISTOGRAM")).otherwise(F.lit("POINT")).alias("entity"), F.when(F.col("tags")["k"] < "5", F.lit("central")).otherwise(F.lit("other")).alias("tenant"))
-    return rows.groupBy("entity", "tenant").agg(F.count("*").alias("n"))
+    path = scratch(spark, "fan-out")
+    S.fan_out(rows, path)
+    return spark.read.schema("seq long, entity string, tenant string").parquet(path).groupBy("entity", "tenant").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {POINTS} SELECT CASE WHEN seq % 5 = 0 THEN 'HISTOGRAM' ELSE 'POINT' END AS entity, metric || ' ' || source AS line FROM points")
+def r11_export(spark, sf_dir):
+    """The spool as text, read back by entity."""
+    path = scratch(spark, "export")
+    entity = F.when(F.col("seq") % 5 == 0, F.lit("HISTOGRAM")).otherwise(F.lit("POINT"))
+    S.export_lines(points(spark, sf_dir).select(entity.alias("entity"), F.concat_ws(" ", "metric", "source").alias("line")), path)
+    return spark.read.schema("value string, entity string").text(path).select("entity", F.col("value").alias("line"))

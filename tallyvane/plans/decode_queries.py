@@ -435,8 +435,27 @@ def s16_datadog_routes(spark, sf_dir):
     return _metric_body(spark, sf_dir, S.datadog_route(path).alias("route")).groupBy("route").agg(F.count("*").alias("n"))
 
 
-@query("SELECT r_name AS region, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
-def s0_dimension_scan(spark, sf_dir):
-    """A plain scan of the dimension tables."""
-    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    return n.join(r, n.n_regionkey == r.r_regionkey).groupBy(F.col("r_name").alias("region")).agg(F.count("*").alias("n"))
+@query(f"""WITH {POINTS} SELECT metric || '.' || k AS metric, ts_ms // 1000 * 1000 AS ts_ms, CAST(seq AS DOUBLE) AS value, NULL AS error FROM points WHERE seq % 10 <> 3
+  UNION ALL SELECT NULL, NULL, NULL, 'frame of 64 bytes ends after 1' FROM points WHERE seq % 10 = 3""")
+def s8_pickle(spark, sf_dir):
+    """Points pickled by protocol 0, which is text; one payload in ten is cut short."""
+    rows = points(spark, sf_dir)
+    text = F.concat(F.lit("(lp0\n(V"), "metric", F.lit("."), F.col("tags")["k"], F.lit("\np1\n(L"), F.floor(F.col("ts_ms") / 1000).cast("string"), F.lit("L\nF"), F.col("seq").cast("double").cast("string"), F.lit("\ntp2\ntp3\na."))
+    frame = F.concat(F.unhex(F.lpad(F.hex(F.octet_length(text)), 8, "0")), text.cast("binary"))
+    short = F.concat(F.unhex(F.lit("00000040")), F.lit("x").cast("binary"))
+    return S.decode_pickles(rows.select(F.when(F.col("seq") % 10 == 3, short).otherwise(frame).alias("content")))
+
+
+@query(f"""WITH {POINTS} SELECT seq, CASE WHEN seq % 3 = 0 THEN 'not JSON' WHEN seq % 3 = 1 THEN 'not a JSON object' END AS error, CASE WHEN seq % 3 = 2 THEN 'a.b.c.d.e.f.g.h.i.j.k' END AS metric FROM points""")
+def d9_rejects(spark, sf_dir):
+    """Bodies that are no JSON objects are reported; ten levels of nesting are not."""
+    deep = '{"a":{"b":{"c":{"d":{"e":{"f":{"g":{"h":{"i":{"j":{"k":1}}}}}}}}}}}'
+    body = F.when(F.col("seq") % 3 == 0, F.lit('{"a":')).when(F.col("seq") % 3 == 1, F.lit("[1]")).otherwise(F.lit(deep))
+    out = J.decode_nested_json(_metric_body(spark, sf_dir, body.alias("body")))
+    return out.select("seq", F.substring_index("error", ":", 1).alias("error"), F.when(F.col("error").isNull(), F.col("metric")).alias("metric"))
+
+
+@query(f"""WITH {POINTS} SELECT seq, 'no value' AS error FROM points WHERE seq % 2 = 0 UNION ALL SELECT seq, 'not a put line' FROM points WHERE seq % 2 = 1""")
+def d8_rejects(spark, sf_dir):
+    line = F.when(F.col("seq") % 2 == 0, F.concat(F.lit("put m "), _second().cast("string"), F.lit(" one host=h"))).otherwise(F.concat(F.lit("set m "), _second().cast("string"), F.lit(" 1")))
+    return J.decode_opentsdb_lines(_metric_body(spark, sf_dir, line.alias("line"))).select("seq", "error")

@@ -242,14 +242,15 @@ SAMPLED = f"""sampled AS (SELECT *, debug OR CASE WHEN policy IS NULL THEN true
   CASE WHEN NOT debug THEN policy END AS chosen FROM (SELECT *, {BEST} AS policy, {LOW} FROM spans))"""
 
 
-@query(f"""WITH {SPANS}, {SAMPLED} SELECT l.trace_id, l.span_id, CASE WHEN NOT l.error THEN '_sampledByPolicy=' || coalesce(s.chosen, 'NONE') END AS span
-  FROM spans l LEFT JOIN sampled s ON l.trace_id = s.trace_id AND l.span_id = s.span_id WHERE l.error OR s.keep""")
+@query(f"""WITH {SPANS}, {SAMPLED} SELECT trace_id, span_id, CASE WHEN NOT error THEN '_sampledByPolicy=' || coalesce(chosen, 'NONE') END AS span FROM sampled WHERE error OR keep""")
 def e6_span_logs(spark, sf_dir):
+    """Logs with their span's line in them, decided by what is read from the line; the SQL has the spans' own columns."""
     s = spans(spark, sf_dir)
-    sampled = X.sample_spans(s, _policies())
     has_error = F.coalesce(T.first_value(F.col("annotations"), "error") == "true", F.lit(False))
-    logs = s.select("trace_id", "span_id", F.when(~has_error, F.lit("line")).alias("span"))
-    return E.span_logs_with_decision(logs, sampled).select("trace_id", "span_id", "span")
+    debug = F.when(X.is_debug(F.col("annotations")), F.lit(' debug="true"')).otherwise(F.lit(""))
+    line = F.concat(F.lit('"'), "name", F.lit('" source="'), "source", F.lit('" spanId='), "span_id", F.lit(" traceId="), "trace_id", debug, F.lit(" 1700000000000 "), (1_700_000_000_000 + F.col("duration_ms")).cast("string"))
+    logs = s.select("trace_id", "span_id", F.when(~has_error, line).alias("span"))
+    return E.span_logs_with_decision(logs, lambda x: X.sample_spans(x, _policies())).filter("error IS NULL").select("trace_id", "span_id", "span")
 
 
 # --- sampling ------------------------------------------------------------------------------------------------------

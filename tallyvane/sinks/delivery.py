@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -57,34 +59,49 @@ def keep_draining(failures: Column) -> Column:
     return failures < 10
 
 
-def deliver(payloads: DataFrame, post: Callable[[str], int], dead_letters: str, entity: str = "entity", attempts: int = 3) -> DataFrame:
-    """Post payloads from the executors; what is not delivered goes to the dead-letter table and is returned.
+def _action(status: int, entity: str, tried: int, attempts: int) -> str:
+    """R4 of one answer, by the same tables as response_action."""
+    if 200 <= status < 300:
+        return "delivered"
+    if status == 429 and entity in LOG_ENTITIES:
+        return "dropped"
+    action = ACTIONS.get(status, "retry")
+    return "removed" if action in ("retry", "pushback") and tried >= min(attempts, RETRY_LIMIT.get(entity, attempts)) else action
 
-    post(payload) returns a status; it is called at least once for each payload, again after a lost task.
+
+def deliver(payloads: DataFrame, post: Callable[[str], int], dead_letters: str, entity: str = "entity", attempts: int = 3, wait_seconds: float = 0.0) -> DataFrame:
+    """Post payloads from the executors by the actions of their answers; those given up go to a folder of this call
+    in the dead-letter table and are returned, with the last status and the action. Refused logs are dropped.
+
+    post(payload) returns a status; it is called at least once for each payload, again after a lost task. wait_seconds: the
+    interval that a retry's wait grows from.
     """
-    actions = {**ACTIONS}
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
             for row in part.itertuples(index=False):
-                pending, status, tried = [row.payload], 0, 0
-                while pending and tried < attempts:
-                    text, tried = pending.pop(0), tried + 1
+                kind, waiting = getattr(row, entity), [(row.payload, 0)]
+                while waiting:
+                    text, tried = waiting.pop()
+                    if tried and wait_seconds:
+                        time.sleep(wait_seconds * 2 ** min(tried, 4))
                     status = post(text)
-                    if actions.get(status) == "split" and "\n" in text:
+                    action = _action(status, kind, tried + 1, attempts)
+                    if action == "split" and "\n" in text:
                         lines = text.split("\n")
                         half = -(-len(lines) // 2)
-                        pending += ["\n".join(lines[:half]), "\n".join(lines[half:])]
-                        tried = 0
-                    elif not 200 <= status < 300 and actions.get(status) != "removed":
-                        pending.insert(0, text)
-                rows += [(getattr(row, entity), p, status) for p in pending]
-            yield pd.DataFrame(rows, columns=[entity, "payload", "last_status"])
-
-    failed = payloads.select(entity, "payload").mapInPandas(run, f"{entity} string, payload string, last_status int")
-    failed.write.mode("append").parquet(dead_letters)
-    return payloads.sparkSession.read.parquet(dead_letters)
+                        waiting += [("\n".join(lines[half:]), 0), ("\n".join(lines[:half]), 0)]
+                    elif action in ("retry", "pushback"):
+                        waiting.append((text, tried + 1))
+                    elif action not in ("delivered", "dropped"):
+                        rows.append((kind, text, status, "removed" if action == "split" else action))
+            yield pd.DataFrame(rows, columns=[entity, "payload", "last_status", "action"])
+
+    failed = payloads.select(entity, "payload").mapInPandas(run, f"{entity} string, payload string, last_status int, action string")
+    path = f"{dead_letters.rstrip('/')}/delivery={uuid.uuid4().hex}"
+    failed.write.parquet(path)
+    return payloads.sparkSession.read.schema(failed.schema).parquet(path)
 
 
 def export_lines(spool: DataFrame, path: str, entity: str = "entity", line: str = "line") -> None:

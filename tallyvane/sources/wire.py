@@ -36,7 +36,10 @@ def json_array_lines(bodies: DataFrame, body: str = "body") -> DataFrame:
 
 def json_lines(bodies: DataFrame, body: str = "body") -> DataFrame:
     """One line for each of a body's JSON values, on lines of their own or just one after the other."""
-    cut = F.regexp_replace(body, r"\}\s*\{", "}\n{")
+    # quotes part the body into what is outside of strings (even places) and inside; escapes stand aside meanwhile
+    aside = F.replace(F.replace(F.col(body), F.lit("\\\\"), F.lit("\x01")), F.lit('\\"'), F.lit("\x02"))
+    pieces = F.transform(F.split(aside, '"'), lambda x, n: F.when(n % 2 == 0, F.regexp_replace(x, r"\}\s*\{", "}\n{")).otherwise(x))
+    cut = F.replace(F.replace(F.array_join(pieces, '"'), F.lit("\x02"), F.lit('\\"')), F.lit("\x01"), F.lit("\\\\"))
     return body_lines(bodies.withColumn(body, cut), body)
 
 
@@ -86,29 +89,40 @@ class _Plain(pickle.Unpickler):
         raise pickle.UnpicklingError(f"{module}.{name} is not allowed")
 
 
-def pickled_points(payload: bytes, max_size: int = 16 << 20) -> Iterator[tuple[str, int, float]]:
-    """(name, seconds, value) of frames with a 4-byte big-endian length, each a pickled list of (name, (time, value))."""
+def pickled_points(payload: bytes, max_size: int = 16 << 20) -> Iterator[tuple[str | None, int | None, float | None, str | None]]:
+    """(name, seconds, value, error) of frames with a 4-byte big-endian length, each a pickled list of (name, (time, value)).
+
+    A frame that is too large, can't be read or ends early gives one row with an error; the frames after it are read.
+    """
     at = 0
-    while at + 4 <= len(payload):
+    while at < len(payload):
+        if at + 4 > len(payload):
+            yield None, None, None, "payload ends within a length"
+            return
         (size,) = struct.unpack_from(">I", payload, at)
-        if size > max_size or at + 4 + size > len(payload):
+        frame = payload[at + 4 : at + 4 + size]
+        at += 4 + size
+        if len(frame) < size:
+            yield None, None, None, f"frame of {size} bytes ends after {len(frame)}"
             return
+        if size > max_size:
+            yield None, None, None, f"frame of {size} bytes is longer than {max_size}"
+            continue
         try:
-            points = _Plain(io.BytesIO(payload[at + 4 : at + 4 + size])).load()
-            rows = [(str(name), int(ts), float(value)) for name, (ts, value) in points]
-        except (pickle.UnpicklingError, ValueError, TypeError, EOFError, IndexError, AttributeError, KeyError):
-            rows = []
+            rows = [(str(name), int(ts), float(value), None) for name, (ts, value) in _Plain(io.BytesIO(frame)).load()]
+        except (pickle.UnpicklingError, ValueError, TypeError, EOFError, IndexError, AttributeError, KeyError, OverflowError) as e:
+            rows = [(None, None, None, f"frame can't be read: {e}")]
         yield from rows
-        at += 4 + size
 
 
 def decode_pickles(files: DataFrame, content: str = "content") -> DataFrame:
-    """Points of pickle payloads, such as spark.read.format('binaryFile') gives."""
+    """Points of pickle payloads, such as spark.read.format('binaryFile') gives, and an error for each frame that is none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for payload in batch.column(0).to_pylist():
                 rows = list(pickled_points(payload or b""))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] * 1000 for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.float64())], names=["metric", "ts_ms", "value"])
+                columns = [pa.array([r[0] for r in rows], pa.string()), pa.array([None if r[1] is None else r[1] * 1000 for r in rows], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([r[2] for r in rows], pa.float64()), pa.array([r[3] for r in rows], pa.string())], names=["metric", "ts_ms", "value", "error"])
 
-    return files.select(content).mapInArrow(run, "metric string, ts_ms long, value double")
+    return files.select(content).mapInArrow(run, "metric string, ts_ms long, value double, error string")

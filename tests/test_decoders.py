@@ -120,18 +120,24 @@ def test_identifiers_and_units(spark):
 
 def test_pickles_import_nothing(spark):
     good = pickle.dumps([("a.b", (1700000000, 1.5)), ("c", (1700000001, 2))], protocol=2)
-    evil = pickle.dumps(print)
-    payload = b"".join(struct.pack(">I", len(p)) + p for p in (evil, good)) + b"\x00\x00"
-    assert list(S.pickled_points(payload)) == [("a.b", 1700000000, 1.5), ("c", 1700000001, 2.0)]
+    evil, long = pickle.dumps(print), b"x" * 200
+    payload = b"".join(struct.pack(">I", len(p)) + p for p in (evil, long, good)) + b"\x00\x00"
+    rows = list(S.pickled_points(payload, max_size=150))
+    assert [r[:3] for r in rows if r[3] is None] == [("a.b", 1700000000, 1.5), ("c", 1700000001, 2.0)]
+    assert [r[3].split(":")[0] for r in rows if r[3]] == ["frame can't be read", "frame of 200 bytes is longer than 150", "payload ends within a length"]
     df = spark.createDataFrame([(bytearray(payload),), (None,)], "content binary")
-    assert [tuple(r) for r in S.decode_pickles(df).orderBy("metric").collect()] == [("a.b", 1_700_000_000_000, 1.5), ("c", 1_700_000_001_000, 2.0)]
+    assert [tuple(r)[:3] for r in S.decode_pickles(df).filter("error IS NULL").orderBy("metric").collect()] == [("a.b", 1_700_000_000_000, 1.5), ("c", 1_700_000_001_000, 2.0)]
+    assert S.decode_pickles(df).filter("error IS NOT NULL").count() == 3
 
 
 def test_bodies(spark):
     assert [r.line for r in S.cloudwatch_lines(lines(spark, '{"someKey":1,"logEvents":[{"a":1},{"b":2}]}', name="body")).collect()] == ['{"a":1}', '{"b":2}']
     assert [r.line for r in S.json_lines(lines(spark, '{"a":1}{"b":2}\n{"c":3}', name="body")).collect()] == ['{"a":1}', '{"b":2}', '{"c":3}']
-    deep = J.decode_nested_json(lines(spark, '{"a":{"b":{"c":1}}}', name="body"), max_depth=1).collect()
-    assert [r.error for r in deep] == ["nested too deeply"]
+    tricky = '{"a":"x}{y \\\\"}{"b":"q\\" } {"}  {"c":{"d":1}}'
+    assert [r.line for r in S.json_lines(lines(spark, tricky, name="body")).collect()] == ['{"a":"x}{y \\\\"}', '{"b":"q\\" } {"}', '{"c":{"d":1}}']
+    deep = '{"a":' * 200 + "1" + "}" * 200
+    got = J.decode_nested_json(lines(spark, deep, "[1]", "{", None, name="body")).collect()
+    assert [(r.metric, r.value) for r in got if not r.error] == [(".".join("a" * 200), 1.0)] and len([r for r in got if r.error]) == 3
 
 
 def test_read_text(spark, tmp_path):

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from tallyvane.functions import digest as D
 from tallyvane.functions import tags as T
 from tallyvane.operators import aggregate as A
+from tallyvane.operators import enrich as E
 from tallyvane.operators import logs as L
+from tallyvane.operators import ordering as K
 from tallyvane.operators import rules as R
 from tallyvane.operators import sample as P
 from tallyvane.sinks import delivery as S
@@ -160,11 +162,55 @@ def test_histogram_statistics(spark):
     assert (got["h.count"], got["h.min"], got["h.max"], got["h.mean"], got["h.median"]) == (100, 1, 100, 50.5, 50.5)
 
 
+def test_grok_library(spark):
+    """Every name of the library compiles; addresses are told from times."""
+    java = spark.sparkContext._jvm.java.util.regex.Pattern
+    for name in L.PATTERNS:
+        regex, groups = L.compile_grok(f"%{{{name}:x}}")
+        assert java.compile(regex).matcher("").groupCount() >= groups["x"] >= 1
+    texts = ["from 2001:db8::ff00:42:8329 now", "at 12:34:56 now", "from ::1"]
+    df = spark.createDataFrame([(t,) for t in texts], "line string")
+    got = L.matched(df, L.Matcher("from %{IPV6:value}", "m")).collect()
+    assert [r.value_text for r in got] == ["2001:db8::ff00:42:8329", "::1"]
+    both = L.matched_all(df, [L.Matcher("at %{TIME:value}", "time"), L.Matcher("%{WORD:value} now", "word"), L.Matcher("nothing", "none")]).collect()
+    assert sorted((r.matcher, r.metric, r.value_text) for r in both) == [(0, "time", "12:34:56"), (1, "word", "56"), (1, "word", "8329")]
+
+
+def test_byte_batches_never_pass_the_cap(spark):
+    rows = [(1, n, "x" * size) for n, size in enumerate([200, 200, 56, 300, 10, 246, 1])] + [(2, 0, "y" * 500), (2, 1, None)]
+    got = K.byte_batches(spark.createDataFrame(rows, "k int, n int, p string"), "p", 256, ["k"], ["n"]).orderBy("k", "n").collect()
+    assert [r.batch for r in got] == [0, 1, 1, 2, 3, 3, 4, 0, 1]
+
+
+def test_span_logs_are_decided_by_their_own_line(spark):
+    line = '"op" source="s" spanId=00000000-0000-0000-0000-000000000001 traceId=00000000-0000-0000-0000-000000000002 1700000000000 1700000000050'
+    df = spark.createDataFrame([("a", line), ("b", None), ("c", "no line"), ("d", line.replace("op", "blocked"))], "trace_id string, span string")
+    ruled = lambda s: s.withColumn("status", F.when(F.col("name") == "blocked", F.lit("blocked")))
+    got = {r.trace_id: (r.span, r.error) for r in E.span_logs_with_decision(df, lambda s: P.sample_spans(s, [("all", F.col("duration_ms") == 50, 100)]), ruled).collect()}
+    assert got["a"] == ("_sampledByPolicy=all", None) and got["b"] == (None, None) and got["c"][1] == "not a span line" and got["d"][1] == "blocked"
+    none = E.span_logs_with_decision(df.filter("trace_id = 'a'"), lambda s: P.sample_spans(s, [], rate=0.0)).collect()
+    assert none == []
+
+
+def test_large_bins_are_cut_by_values(spark, monkeypatch):
+    monkeypatch.setattr(D, "RANGE_VALUES", 500)
+    df = spark.range(5000).select((F.col("id") % 2).alias("k"), F.col("id").cast("double").alias("value"), F.lit(1).alias("count"))
+    for r in D.digest_bins(df, ["k"]).collect():
+        assert sum(c["count"] for c in r.centroids) == 2500 and len(r.centroids) < 200
+        below = 0
+        for c in r.centroids:  # values are 0, 2, 4, ...: a mean's rank is half of it
+            assert abs(below + c["count"] / 2 - c["mean"] / 2) <= 25
+            below += c["count"]
+
+
 def test_delivery(spark, tmp_path):
     df = spark.createDataFrame([("POINT", "a\nb\nc"), ("POINT", "ok"), ("LOGS", "down")], "entity string, payload string")
     post = lambda text: 413 if text.count("\n") >= 2 else 500 if text == "down" else 202
     left = S.deliver(df, post, str(tmp_path / "dead")).collect()
-    assert [(r.entity, r.payload, r.last_status) for r in left] == [("LOGS", "down", 500)]
+    assert [(r.entity, r.payload, r.last_status, r.action) for r in left] == [("LOGS", "down", 500, "removed")]
+    refused = S.deliver(df, lambda text: 429, str(tmp_path / "dead")).collect()
+    assert sorted((r.entity, r.action) for r in refused) == [("POINT", "removed"), ("POINT", "removed")]  # refused logs are dropped; earlier letters are not returned
+    assert spark.read.parquet(str(tmp_path / "dead")).count() == 3
     S.export_lines(df.withColumnRenamed("payload", "line"), str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).count() == 5
     S.fan_out(df.withColumn("tenant", F.lit("central")), str(tmp_path / "fan"))
