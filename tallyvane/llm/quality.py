@@ -34,8 +34,13 @@ def is_held_out(doc_id):
 
 
 def bounded_sample(rows: DataFrame, key, limit: int) -> DataFrame:
-    """The `limit` rows with the least hashes of the key: the same on every run, at every partitioning."""
-    return rows.orderBy(F.xxhash64(key, F.lit(SEED)), key).limit(limit)
+    """The `limit` rows with the least hashes of the key: the same on every run, at every partitioning.
+
+    Only hashes below a bound that about twice as many have go on to be ordered, however many tasks there are.
+    """
+    hashed, share = F.xxhash64(key, F.lit(SEED)), 2 * limit / max(1, rows.count())
+    some = rows if share >= 1 else rows.filter(hashed < int((share - 0.5) * 2.0**64))
+    return some.orderBy(hashed, key).limit(limit)
 
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -112,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows:
     known = labels.filter(F.col(label).isin(0, 1) & ~is_held_out(F.col("doc_id"))).select("doc_id", F.col(label).alias("_label"))
     sample = bounded_sample(known, F.col("doc_id"), train_rows)
     met = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "_label")
-    rows = bounded_sample(met, F.xxhash64("doc_id", "text", "_label"), train_rows).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])  # ids may repeat
+    rows = met.orderBy(F.xxhash64("doc_id", "text", "_label")).limit(train_rows).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])  # ids may repeat
     return train([(x or "").encode() for x in rows["text"].to_pylist()], rows["_label"].to_pylist())
 
 
