@@ -389,11 +389,12 @@ def alike_links(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | No
     return [(int(at[a]), int(at[b])) for a, b in forest.links]
 
 
-def verified_links(docs: DataFrame, candidates: DataFrame, old: list[str], shingle: int = 5, most: int = 1024, most_bytes: int = 8 << 20) -> DataFrame:
+def verified_links(docs: DataFrame, candidates: DataFrame, shingle: int = 5, most: int = 1024, most_bytes: int = 8 << 20, old: list[str] | None = None) -> DataFrame:
     """(a, b): links that span all pairs of documents of one candidate group whose shingle sets are alike by LIKE, from the sets themselves.
 
     candidates: (node, root). A group beyond `most` rows or `most_bytes` of sets is cut into slices whose pairs are
-    compared in separate tasks, so every pair of a group is compared and only spanning links leave a task.
+    compared in separate tasks, so every pair of a group is compared and only spanning links leave a task. old: gets the
+    path of a table that the result reads.
     """
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_k"), F.col("text").cast("string").alias("text"))
     texts = texts.join(candidates, texts["_k"] == candidates["node"]).select("root", "node", "text")
@@ -438,7 +439,7 @@ def one_of_each(docs: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
     prints = wide_prints(docs)
     folded = materialise(prints.groupBy("node").agg(F.min("_k").alias("first"), F.first("keys").alias("keys"), F.first("fp").alias("fp")), "near-distinct", old)
     links = near_links(folded.select(F.col("first").alias("node"), "keys", "fp"), radius)
-    links = verified_links(docs, components(links, "near-groups", kept=old), old)
+    links = verified_links(docs, components(links, "near-groups", kept=old), old=old)
     stay = materialise(classes(folded.select("first"), links, old).select(F.col("component_id").alias("_stay")).distinct(), "near-stay")
     remove(docs.sparkSession, old)
     return docs.join(stay, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == stay["_stay"], "left_semi")
