@@ -208,6 +208,19 @@ def parse_config(raw: dict) -> dict[str, list[Matcher]]:
     return out
 
 
+def decode_logs(lines: DataFrame, line: str = "line", message_keys: tuple[str, ...] = ("message", "text"), time_keys: tuple[str, ...] = ("timestamp", "log_timestamp"), source_keys: tuple[str, ...] = ("source", "host", "hostname"), default_source: str = "unknown") -> DataFrame:
+    """Logs of JSON objects: name (the message), source, ts_ms and annotations of what else the object has, sorted by key, and
+    error for what is no object. The first of each list of keys that is there counts; no time is the time of reading."""
+    out = lines.withColumn("_m", F.when(F.ltrim(line).startswith("{"), F.from_json(line, "map<string,string>")))
+    first = lambda keys: F.coalesce(*[F.col("_m")[k] for k in keys])
+    stamp = F.when(first(time_keys).rlike(r"^\d+$"), T.millis_by_digits(first(time_keys)))
+    rest = T.canonical(F.map_filter("_m", lambda k, v: ~k.isin(*message_keys, *time_keys, *source_keys) & v.isNotNull()))
+    return out.select(
+        *lines.columns, first(message_keys).alias("name"), F.coalesce(first(source_keys), F.lit(default_source)).alias("source"), F.coalesce(stamp, F.unix_millis(F.current_timestamp())).alias("ts_ms"),
+        F.coalesce(rest.cast(T.ANNOTATIONS), F.array().cast(T.ANNOTATIONS)).alias("tags"), F.when(F.col("_m").isNull(), F.lit("not a JSON object")).alias("error"),
+    )
+
+
 def filebeat_lines(messages: DataFrame, body: str = "body", fallback_host: str = "unknown") -> DataFrame:
     """(line, ts_ms, source, error) of shipped log messages; the host comes from beat.hostname, host.name or agent.hostname."""
     get = lambda path: F.get_json_object(F.col(body), path)

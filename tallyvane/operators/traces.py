@@ -16,6 +16,14 @@ ZIPKIN = (
     "array<struct<traceId:string,id:string,parentId:string,name:string,kind:string,timestamp:bigint,duration:bigint,debug:boolean,shared:boolean,"
     "localEndpoint:struct<serviceName:string,ipv4:string>,tags:map<string,string>,annotations:array<struct<timestamp:bigint,value:string>>>>"
 )
+ZIPKIN_V1 = (
+    "array<struct<traceId:string,id:string,parentId:string,name:string,timestamp:bigint,duration:bigint,debug:boolean,annotations:array<struct<timestamp:bigint,value:string,endpoint:struct<serviceName:string,ipv4:string>>>,"
+    "binaryAnnotations:array<struct<key:string,value:string,endpoint:struct<serviceName:string,ipv4:string>>>>>"
+)
+#: Span kinds by the first version's core annotations that start and end them.
+V1_KINDS = {"CLIENT": ("cs", "cr"), "SERVER": ("sr", "ss"), "PRODUCER": ("ms", "ws"), "CONSUMER": ("wr", "mr")}
+V1_CORE = [x for pair in V1_KINDS.values() for x in pair]
+V1_ADDRESSES = ("ca", "sa", "ma")
 PLACES = ("application", "cluster", "shard")
 
 
@@ -33,8 +41,10 @@ def _default_tags(pairs: Column, process: Column, defaults: dict[str, str]) -> l
 
 
 def decode_jaeger(batches: DataFrame, body: str = "body", defaults: dict[str, str] | None = None, default_source: str = "jaeger") -> DataFrame:
-    """Spans of Jaeger batches. CHILD_OF references also give a follows-from tag, as the wire port does."""
-    out = batches.withColumn("_b", F.from_json(body, JAEGER)).withColumn("_s", F.explode("_b.spans"))
+    """Spans of Jaeger batches, and a row with the error for what is none. CHILD_OF references also give a follows-from tag,
+    as the wire port does."""
+    parsed = batches.withColumn("_b", F.from_json(body, JAEGER))
+    out = parsed.withColumn("_bad", F.col("_b.spans").isNull() & F.col("_b.process").isNull() | F.col("_b").isNull()).withColumn("_s", F.explode_outer("_b.spans")).filter("_s IS NOT NULL OR _bad")
     out = out.withColumn("_tags", _tag_pairs(F.col("_s.tags"))).withColumn("_process", _tag_pairs(F.col("_b.process.tags")))
     own, process = F.col("_tags"), F.col("_process")
     source = F.coalesce(T.first_value(own, "source"), T.first_value(process, "source"), T.first_value(process, "hostname"), F.lit(default_source))
@@ -49,13 +59,47 @@ def decode_jaeger(batches: DataFrame, body: str = "body", defaults: dict[str, st
     return out.select(
         *batches.columns, F.col("_s.operationName").alias("name"), source.alias("source"), T.uuid_of_hex(F.col("_s.spanId")).alias("span_id"), trace.alias("trace_id"),
         T.whole(F.col("_s.startTime"), 1000).alias("start_ms"), T.whole(F.col("_s.duration"), 1000).alias("duration_ms"), annotations.alias("annotations"), logs.alias("logs"),
+        F.when(F.col("_bad"), F.lit("not a Jaeger batch")).alias("error"),
     )
 
 
+def _of_v1(span: Column) -> Column:
+    """The spans of the second version that a span of the first stands for: one for each kind its core annotations name (a
+    client and a server that share it are two), or one without a kind. What has a service goes to the span of that service."""
+    notes, pairs = F.coalesce(span["annotations"], F.array()), F.coalesce(span["binaryAnnotations"], F.array())
+    first = lambda values: F.get(F.filter(notes, lambda a: a["value"].isin(*values)), F.lit(0))
+    kinds = F.filter(F.array(*[F.when(F.exists(notes, lambda a: a["value"].isin(*v)), F.lit(k)) for k, v in V1_KINDS.items()]), lambda k: k.isNotNull())
+    start_of = first(["cs", "sr", "ms", "wr"])["timestamp"]
+
+    def one(kind: Column, n: Column) -> Column:
+        pick = lambda i: F.coalesce(*[F.when(kind == k, first([v[i]])["timestamp"]) for k, v in V1_KINDS.items()])
+        core = F.get(F.filter(notes, lambda a: F.coalesce(*[F.when(kind == k, a["value"].isin(*v)) for k, v in V1_KINDS.items()], F.lit(False))), F.lit(0))["endpoint"]
+        any_of = F.coalesce(F.get(F.filter(F.transform(pairs, lambda b: F.when(b["key"] == "lc", b["endpoint"])), lambda e: e.isNotNull()), F.lit(0)), F.get(F.filter(F.concat(F.transform(notes, lambda a: a["endpoint"]), F.transform(F.filter(pairs, lambda b: ~b["key"].isin(*V1_ADDRESSES)), lambda b: b["endpoint"])), lambda e: e.isNotNull()), F.lit(0)))
+        local, shared = F.coalesce(core, any_of), F.size(kinds) > 1
+        mine = lambda x: ~shared | (x["endpoint"]["serviceName"] == local["serviceName"]) | (x["endpoint"].isNull() & (n == 0))
+        tags = F.transform(F.filter(pairs, lambda b: ~b["key"].isin("lc", *V1_ADDRESSES) & F.coalesce(mine(b), F.lit(False))), lambda b: F.struct(b["key"].alias("key"), b["value"].alias("value")))
+        own = F.transform(F.filter(notes, lambda a: ~a["value"].isin(*V1_CORE) & F.coalesce(mine(a), F.lit(False))), lambda a: F.struct(a["timestamp"].alias("timestamp"), a["value"].alias("value")))
+        began, ended = pick(0), pick(1)
+        timestamp = F.when(shared & (n > 0), began).otherwise(F.coalesce(span["timestamp"], began, start_of))
+        duration = F.when(shared & (n > 0), ended - began).otherwise(F.coalesce(span["duration"], ended - began))
+        return F.struct(
+            span["traceId"].alias("traceId"), span["id"].alias("id"), span["parentId"].alias("parentId"), span["name"].alias("name"), kind.alias("kind"), timestamp.alias("timestamp"), duration.alias("duration"), span["debug"].alias("debug"),
+            (shared & (n > 0)).alias("shared"), F.struct(local["serviceName"].alias("serviceName"), local["ipv4"].alias("ipv4")).alias("localEndpoint"), T.from_pairs(tags).alias("tags"), own.alias("annotations"),
+        )
+
+    return F.transform(F.when(F.size(kinds) > 0, kinds).otherwise(F.array(F.lit(None).cast("string"))), one)
+
+
 def decode_zipkin(requests: DataFrame, body: str = "body", defaults: dict[str, str] | None = None, default_source: str = "zipkin") -> DataFrame:
-    """Spans of Zipkin v2 span lists. Any value of an error tag marks an error."""
+    """Spans of Zipkin span lists, and a row with the error for what is none. Any value of an error tag marks an error.
+
+    A list with tags or a local or remote endpoint is of the second version, any other of the first.
+    """
     fallback = {"application": "Zipkin", "cluster": "none", "shard": "none"} | (defaults or {})
-    out = requests.withColumn("_s", F.explode(F.from_json(body, ZIPKIN))).withColumn("_tags", F.coalesce("_s.tags", T.empty_tags()))
+    second = F.col(body).rlike('Endpoint"|"tags"')
+    spans = F.when(second, F.from_json(body, ZIPKIN)).otherwise(F.flatten(F.transform(F.from_json(body, ZIPKIN_V1), _of_v1)).cast(ZIPKIN))
+    listed = requests.withColumn("_l", F.when(F.ltrim(body).startswith("["), spans)).withColumn("_bad", F.col("_l").isNull())
+    out = listed.withColumn("_s", F.explode_outer("_l")).filter("_s IS NOT NULL OR _bad").withColumn("_tags", F.coalesce("_s.tags", T.empty_tags()))
     tags = F.col("_tags")
     set_tags = [
         ("zipkinSpanId", F.col("_s.id")), ("zipkinTraceId", F.col("_s.traceId")), ("parent", F.when(F.col("_s.parentId").isNotNull() & (F.col("_s.parentId") != F.col("_s.id")), T.uuid_of_hex(F.col("_s.parentId")))),
@@ -69,4 +113,5 @@ def decode_zipkin(requests: DataFrame, body: str = "body", defaults: dict[str, s
     return out.select(
         *requests.columns, F.coalesce("_s.name", F.lit("defaultOperation")).alias("name"), F.coalesce(tags["source"], F.lit(default_source)).alias("source"), T.uuid_of_hex(F.col("_s.id")).alias("span_id"), T.uuid_of_hex(F.col("_s.traceId")).alias("trace_id"),
         T.whole(F.col("_s.timestamp"), 1000).alias("start_ms"), T.whole(F.coalesce("_s.duration", F.lit(0).cast("bigint")), 1000).alias("duration_ms"), annotations.alias("annotations"), F.when(F.size("_s.annotations") > 0, logs).alias("logs"),
+        F.when(F.col("_bad"), F.lit("not a span list")).alias("error"),
     )

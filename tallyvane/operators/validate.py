@@ -38,6 +38,19 @@ def point_error(metric: Column, source: Column, tags: Column, max_metric: int =
     )
 
 
+def annotations_error(name: Column, source: Column, annotations: Column, what: str, max_name: int = 1024, max_source: int = 1024, max_value: int = 1024) -> Column:
+    """V1 of spans and logs (what: the name's meaning, such as `span name` or `message`): why it is not valid, or null."""
+    some = F.coalesce(annotations, F.array())
+    return (
+        F.when(source.isNull() | (source == ""), F.lit("WF-406: source is empty"))
+        .when(F.char_length(source) > max_source, F.lit("WF-407: source is too long"))
+        .when(name.isNull() | (name == ""), F.lit(f"{what} is empty"))
+        .when(F.char_length(name) > max_name, F.lit(f"{what} is too long"))
+        .when(F.exists(some, lambda a: ~F.coalesce(a["key"].rlike(TAG_KEY_CHARS), F.lit(False))), F.lit("illegal character in annotation key"))
+        .when(F.exists(some, lambda a: F.char_length(a["value"]) > max_value), F.lit("annotation is too long"))
+    )
+
+
 def status_counts(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     """V3: received, blocked and rejected; a reject counts as blocked too."""
     blocked, rejected = F.count_if(F.col("status") != "accepted"), F.count_if(F.col("status") == "rejected")

@@ -1,5 +1,6 @@
 """Golden payloads of the decoders."""
 
+import json
 import pickle
 import struct
 
@@ -111,6 +112,21 @@ def test_jaeger_child_of_also_follows(spark):
     assert keys["followsFrom"].endswith("00000000000c") and "sampler.p" not in keys
 
 
+def test_zipkin_of_the_first_version(spark):
+    place = lambda s: {"serviceName": s, "ipv4": "10.0.0.1"}
+    shared = {"traceId": "a", "id": "b", "name": "get", "timestamp": 5000, "duration": 4000, "annotations": [{"timestamp": 5000, "value": "cs", "endpoint": place("web")}, {"timestamp": 6000, "value": "sr", "endpoint": place("db")},
+        {"timestamp": 7000, "value": "cached", "endpoint": place("db")}, {"timestamp": 8000, "value": "ss", "endpoint": place("db")}], "binaryAnnotations": [{"key": "path", "value": "/x", "endpoint": place("web")}, {"key": "sa", "value": True, "endpoint": place("db")}]}
+    local = {"traceId": "a", "id": "c", "parentId": "b", "name": "in", "timestamp": 1000, "duration": 1000, "binaryAnnotations": [{"key": "lc", "value": "", "endpoint": place("web")}, {"key": "error", "value": "x"}]}
+    df = lines(spark, json.dumps([shared, local]), "[{", "{}", None, "[]", '[{"traceId":"a","id":"d","localEndpoint":{"serviceName":"v2"}}]', name="body")
+    got = X.decode_zipkin(df).collect()
+    tags = [{a.key: a.value for a in r.annotations} for r in got]
+    assert [r.error for r in got] == [None] * 3 + ["not a span list"] * 3 + [None]
+    assert [(r.name, r.start_ms, r.duration_ms) for r in got[:3]] == [("get", 5, 4), ("get", 6, 2), ("in", 1, 1)]
+    assert [(t["service"], t.get("span.kind"), t.get("path"), t.get("error")) for t in tags[:3]] == [("web", "client", "/x", None), ("db", "server", None, None), ("web", None, None, "true")]
+    assert [[x.fields for x in r.logs or []] for r in got[:3]] == [[], [{"annotation": "cached"}], []] and tags[6]["service"] == "v2"
+    assert [r.error for r in X.decode_jaeger(lines(spark, "{", '{"process":{"serviceName":"s"}}', None, name="body")).collect()] == ["not a Jaeger batch"] * 2
+
+
 def test_identifiers_and_units(spark):
     df = lines(spark, "5b8efff798038103d269b633813fc60c", "1", "ab")
     assert [r[0] for r in df.select(T.uuid_of_hex(F.col("line"))).collect()] == ["5b8efff7-9803-8103-d269-b633813fc60c", "00000000-0000-0000-0000-000000000001", "00000000-0000-0000-0000-0000000000ab"]

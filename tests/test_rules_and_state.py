@@ -83,6 +83,13 @@ def test_expression_conditions(spark):
     assert met('{{metricName}} startsWith "some" and not {{sourceName}} contains "x"')
     assert met("{{k}}.hashCode() % 10 = 2", tags={"k": "hello"}) and met("1 = 1") and not met('{{missing}} = "x"')
     assert met('time("10 minutes ago") < time("1 second ago")')
+    assert met('{{k}} = "$value {{x}} it\'s"', tags={"k": "$value {{x}} it's"}) and met("({{metricName}} startsWith 'some') and ($value = 1)")
+    assert met('not {{debug}} = "true"') and met('{{k}}.hashCode() = 1772899', tags={"k": "\U0001f600"})
+    for bad in ("current_user() = 'x'", "{{k}} = ", "startsWith 'x'", "$other > 1", "{{k}} contains )", '{{k}} = "x"; drop', ""):
+        with pytest.raises(R.RuleError):
+            R.condition_sql(bad, "point")
+    with pytest.raises(R.RuleError):
+        R.parse({"rule": "r", "action": "count", "if": "java_method('a', 'b')"})
 
 
 def test_sampling(spark):
