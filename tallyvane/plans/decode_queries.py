@@ -12,6 +12,7 @@ from ..operators import otlp as O
 from ..operators import traces as X
 from ..operators.logs import filebeat_lines
 from ..sources import wire as S
+from ..streaming import ingest
 from .registry import query
 from .views import POINTS, points, table
 
@@ -459,3 +460,42 @@ def d9_rejects(spark, sf_dir):
 def d8_rejects(spark, sf_dir):
     line = F.when(F.col("seq") % 2 == 0, F.concat(F.lit("put m "), _second().cast("string"), F.lit(" one host=h"))).otherwise(F.concat(F.lit("set m "), _second().cast("string"), F.lit(" 1")))
     return J.decode_opentsdb_lines(_metric_body(spark, sf_dir, line.alias("line"))).select("seq", "error")
+
+
+@query(f"""WITH {POINTS}, k AS (SELECT seq, metric, ts_ms, k, unnest(CASE seq % 3 WHEN 0 THEN ['client', 'server'] WHEN 1 THEN ['server'] ELSE [NULL] END) AS kind FROM points)
+  SELECT seq, metric AS name, kind, CASE WHEN seq % 3 = 0 AND kind = 'server' THEN ts_ms + 2 ELSE ts_ms END AS start_ms, CASE WHEN seq % 3 = 0 AND kind = 'server' THEN 3 ELSE 9 END AS duration_ms,
+    CASE WHEN seq % 3 = 0 AND kind = 'client' THEN 'web' ELSE 'db' END AS service, CASE WHEN seq % 3 > 0 OR kind = 'client' THEN k END AS k FROM k""")
+def s15_zipkin_v1(spark, sf_dir):
+    """Span lists of the first version: a shared span is a client and a server, and tags go to the service they name."""
+    rows, third = points(spark, sf_dir), F.col("seq") % 3
+    hexes, service = F.md5(F.col("seq").cast("string").cast("binary")), F.when(third == 0, F.lit("web")).otherwise(F.lit("db"))
+    note = lambda value, after, place: F.struct((F.col("ts_ms") * 1000 + after).alias("timestamp"), F.lit(value).alias("value"), F.struct(F.lit(place).alias("serviceName")).alias("endpoint"))
+    server = [note("sr", 2000, "db"), note("ss", 5000, "db")]
+    notes = F.when(third == 0, F.array(note("cs", 0, "web"), *server)).when(third == 1, F.array(*server)).otherwise(F.array().cast("array<struct<timestamp:bigint,value:string,endpoint:struct<serviceName:string>>>"))
+    pairs = F.array(F.struct(F.lit("k").alias("key"), F.col("tags")["k"].alias("value"), F.struct(service.alias("serviceName")).alias("endpoint")))
+    span = F.struct(hexes.alias("traceId"), F.substring(hexes, 1, 16).alias("id"), F.col("metric").alias("name"), (F.col("ts_ms") * 1000).alias("timestamp"), F.lit(9000).alias("duration"), notes.alias("annotations"), pairs.alias("binaryAnnotations"))
+    out = X.decode_zipkin(rows.select("seq", F.to_json(F.array(span)).alias("body")))
+    value = lambda key: T.first_value(F.col("annotations"), key)
+    return out.select("seq", "name", value("span.kind").alias("kind"), "start_ms", "duration_ms", value("service").alias("service"), value("k").alias("k"))
+
+
+@query(f"""WITH {POINTS} SELECT seq, CASE WHEN seq % 4 < 2 THEN 'not a span list' END AS error, CASE WHEN seq % 4 = 3 THEN metric END AS name FROM points WHERE seq % 4 <> 2""")
+def d28_rejects(spark, sf_dir):
+    """What is no span list is reported; an empty list is nothing."""
+    n = F.col("seq") % 4
+    body = F.when(n == 0, F.lit('[{"id":')).when(n == 1, F.lit("{}")).when(n == 2, F.lit("[]")).otherwise(F.to_json(F.array(F.struct(F.lit("a").alias("traceId"), F.lit("b").alias("id"), F.col("metric").alias("name")))))
+    return X.decode_zipkin(_metric_body(spark, sf_dir, body.alias("body"))).select("seq", "error", F.when(F.col("error").isNull(), F.col("name")).alias("name"))
+
+
+@query(f"""WITH {POINTS}, e AS (SELECT CASE seq % 7 WHEN 0 THEN 'SOURCE_TAG' WHEN 1 THEN 'EVENT' WHEN 2 THEN 'SPAN_LOG' WHEN 3 THEN 'HISTOGRAM' WHEN 4 THEN 'LOG' ELSE 'POINT' END AS entity,
+    CASE seq % 7 WHEN 2 THEN 'not a span log' WHEN 4 THEN 'not a JSON object' WHEN 5 THEN 'not a point line' WHEN 6 THEN CASE WHEN metric = 'event.error' THEN 'no errors' END END AS reason FROM points)
+  SELECT entity, CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS status, reason, count(*) AS n FROM e GROUP BY ALL""")
+def s1_ingest_entities(spark, sf_dir):
+    """A port's mixed lines by entity: every line is accepted or rejected with its reason."""
+    some = ingest.dispatched(_mixed(spark, sf_dir).select("line"))
+    rules = [{"rule": "no errors", "action": "block", "scope": "pointLine", "match": ".*event.error.*"}]
+    found = [ingest.rows_of_entity(some, rules, e).select(F.lit(e).alias("entity"), "status", "reason") for e in ingest.COLUMNS]
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out.groupBy("entity", "status", "reason").agg(F.count("*").alias("n"))

@@ -119,6 +119,13 @@ def p14_predicate_expression(spark, sf_dir):
     return _rules(spark, sf_dir, {"action": "allow", "if": condition})
 
 
+@query(_sql(where="NOT k = '3' AND (contains(source, '1') OR value >= 120 AND epoch_ms(ts_ms) < TIMESTAMP '2100-01-01')"))
+def p14_missing_tags_and_literals(spark, sf_dir):
+    """A missing tag is an empty text, and what looks like a field within a literal stays as it is."""
+    condition = """not {{k}} = '3' and not {{debug}} = "true" and {{debug}} != "$value {{k}}" and ({{sourceName}} contains "1" or $value >= 120 and $timestamp < 4102444800000)"""
+    return _rules(spark, sf_dir, {"action": "allow", "if": condition})
+
+
 NOW_MS = 1_704_931_200_000  # 2024-01-11, within the events' days
 
 
@@ -141,6 +148,15 @@ def v1_point_validation(spark, sf_dir):
     return rows.select(V.point_error(F.col("metric"), F.col("source"), F.col("tags")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {SPANS}, s AS (SELECT *, duration_ms % 5 AS d FROM spans) SELECT CASE d WHEN 0 THEN 'WF-406: source is empty' WHEN 1 THEN 'span name is empty' WHEN 2 THEN 'illegal character in annotation key'
+  WHEN 3 THEN 'annotation is too long' END AS reason, count(*) AS n FROM s GROUP BY 1""")
+def v1_span_validation(spark, sf_dir):
+    d = F.col("duration_ms") % 5
+    odd = F.when(d == 2, F.array(T.annotation("bad key", F.lit("v")))).when(d == 3, F.array(T.annotation("long", F.repeat(F.lit("x"), 1100)))).otherwise(F.array().cast(T.ANNOTATIONS))
+    rows = spans(spark, sf_dir).select(F.when(d != 0, F.col("source")).alias("source"), F.when(d != 1, F.col("name")).alias("name"), F.concat("annotations", odd).alias("annotations"))
+    return rows.select(V.annotations_error(F.col("name"), F.col("source"), F.col("annotations"), "span name").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
 def _judged(spark, sf_dir) -> DataFrame:
     rejected = F.when(F.col("value") < 10, F.lit("too small"))
     return V.with_status(points(spark, sf_dir), rejected, F.col("metric") == "event.error")
