@@ -183,14 +183,15 @@ def decode_datadog_series(bodies: DataFrame, body: str = "body", version: int =
 
 
 def decode_datadog_checks(bodies: DataFrame, body: str = "body") -> DataFrame:
-    """Status points of service checks (an object or an array); checks without a status are ignored."""
+    """Status points of service checks (an object or an array), and an error for a body that is neither; checks without a status are ignored."""
     schema = "array<struct<check:string,host_name:string,timestamp:double,status:double,tags:array<string>>>"
     as_array = F.when(F.ltrim(body).startswith("{"), F.concat(F.lit("["), F.col(body), F.lit("]"))).otherwise(F.col(body))
-    out = bodies.withColumn("_c", F.explode(F.from_json(as_array, schema))).filter("_c.status IS NOT NULL")
+    parsed = bodies.withColumn("_l", F.when(F.ltrim(as_array).startswith("["), F.from_json(as_array, schema))).withColumn("_bad", F.col("_l").isNull())
+    out = parsed.withColumn("_c", F.explode_outer("_l")).filter("_c.status IS NOT NULL OR _bad")
     return out.select(
         *bodies.columns, clean_metric(F.col("_c.check")).alias("metric"), F.coalesce(F.lower("_c.host_name"), F.lit("unknown")).alias("source"),
         (F.col("_c.timestamp") * 1000).cast("long").alias("ts_ms"), F.col("_c.status").alias("value"),
-        tags_of_list(F.coalesce(F.col("_c.tags"), F.array().cast("array<string>"))).alias("tags"), F.when(F.col("_c.check").isNull(), F.lit("no check")).alias("error"),
+        tags_of_list(F.coalesce(F.col("_c.tags"), F.array().cast("array<string>"))).alias("tags"), F.when(F.col("_bad"), F.lit("malformed request")).when(F.col("_c.check").isNull(), F.lit("no check")).alias("error"),
     )
 
 
@@ -202,8 +203,10 @@ def datadog_host_tags(bodies: DataFrame, body: str = "body") -> DataFrame:
 
 
 def decode_datadog_intake(bodies: DataFrame, body: str = "body") -> DataFrame:
-    """Points of intake payloads: ioStats by device, every `system.*` member, and the renamed system metrics."""
-    out = bodies.withColumn("_m", F.from_json(body, TEXT_MAP)).filter("_m['internalHostname'] IS NOT NULL AND _m['collection_timestamp'] IS NOT NULL")
+    """Points of intake payloads: ioStats by device, every `system.*` member, and the renamed system metrics; an error
+    for a body that is no object. Payloads without a host name or a time are ignored."""
+    parsed = bodies.withColumn("_m", F.when(F.ltrim(body).startswith("{"), F.from_json(body, TEXT_MAP))).withColumn("_bad", F.col("_m").isNull())
+    out = parsed.filter("_bad OR _m['internalHostname'] IS NOT NULL AND _m['collection_timestamp'] IS NOT NULL")
     entry = "array<struct<metric:string,device:string,v:string>>"
     row = lambda name, device, value: F.struct(name.alias("metric"), device.cast("string").alias("device"), value.alias("v"))
     io = F.coalesce(F.from_json(F.col("_m")["ioStats"], "map<string,map<string,string>>"), F.from_json(F.lit("{}"), "map<string,map<string,string>>"))
@@ -211,9 +214,9 @@ def decode_datadog_intake(bodies: DataFrame, body: str = "body") -> DataFrame:
     by_device = F.flatten(F.transform(F.map_entries(io), lambda d: F.transform(F.map_entries(d["value"]), lambda e: row(io_name(e["key"]), d["key"], e["value"]))))
     own = F.transform(F.map_entries(F.map_filter("_m", lambda k, _: k.startswith("system."))), lambda e: row(e["key"], F.lit(None), e["value"]))
     renamed = F.array(*[row(F.lit(k), F.lit(None), F.col("_m")[v]) for k, v in SYSTEM_METRICS.items()])
-    out = out.withColumn("_p", F.explode(F.concat(by_device.cast(entry), own.cast(entry), renamed.cast(entry)))).withColumn("value", coerce_value(F.col("_p.v"))).filter("value IS NOT NULL")
+    out = out.withColumn("_p", F.explode_outer(F.when(~F.col("_bad"), F.concat(by_device.cast(entry), own.cast(entry), renamed.cast(entry))))).withColumn("value", coerce_value(F.col("_p.v"))).filter("value IS NOT NULL OR _bad")
     system = F.coalesce(tags_of_list(F.from_json(F.get_json_object(F.col(body), "$['host-tags'].system"), "array<string>")), T.empty_tags())
     return out.select(
         *bodies.columns, F.col("_p.metric").alias("metric"), F.lower(F.col("_m")["internalHostname"]).alias("source"), (F.col("_m")["collection_timestamp"].try_cast("long") * 1000).alias("ts_ms"),
-        "value", T.put(system, "device", F.col("_p.device")).alias("tags"), F.lit(None).cast("string").alias("error"),
+        "value", T.put(system, "device", F.col("_p.device")).alias("tags"), F.when(F.col("_bad"), F.lit("malformed request")).alias("error"),
     )

@@ -77,6 +77,14 @@ def test_datadog(spark):
     assert (h.source, h.system_tags) == ("testhost", {"app": "closedstack", "role": "control"})
 
 
+def test_datadog_rejects(spark):
+    check = '{"check":"c","timestamp":1,"status":2}'
+    got = J.decode_datadog_checks(lines(spark, check, f"[{check},{check}]", '{"check":"none"}', "{", "x", None, name="body")).collect()
+    assert [(r.metric, r.value, r.error) for r in got] == [("c", 2.0, None)] * 3 + [(None, None, "malformed request")] * 3
+    got = J.decode_datadog_intake(lines(spark, '{"internalHostname":"H","collection_timestamp":1,"cpuIdle":5}', '{"internalHostname":"H"}', "{", "[1]", None, name="body")).collect()
+    assert [(r.metric, r.value, r.error) for r in got] == [("system.cpu.idle", 5.0, None)] + [(None, None, "malformed request")] * 3
+
+
 def test_collectd_rejects(spark):
     good = '[{"values":[1.5,2],"dsnames":["read","write"],"time":1,"host":"h","plugin":"disk","plugin_instance":"sda","type":"disk_octets","type_instance":""}]'
     rows = J.decode_collectd(lines(spark, good, '[{"dsnames":["x"],"plugin":"p","type":"t"}]', '[{"values":[1],"type":"t"}]', name="body")).collect()
