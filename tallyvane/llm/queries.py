@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, html_text, langid, packing, quality, recompress, simhash, topk
+from . import bpe, chat, fingerprint, html_text, langid, packing, quality, recompress, runs, simhash, topk, vector_codes
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,37 @@ def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(held, quality.fit(docs, table(spark, sf_dir, "labels")), keep=["doc_id", "held_out"])
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"), ["vec_id", "label"])
+    low_bytes = F.regexp_replace(F.lower(F.hex("codes")), "(..)..", "$1")
+    by_label = coded.groupBy("label").agg(F.sum("error").alias("label_error")).withColumnRenamed("label", "_label")
+    joined = coded.join(by_label, F.col("label").eqNullSafe(F.col("_label")))
+    return joined.select("vec_id", low_bytes.alias("code"), "error", "label_error", F.lit(books.sha256() if books else None).cast("string").alias("codebooks_sha256"))
+
+
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """documents, of which those with a tenth of all checksums of doc_id have, from some word on, a stretch of words over and over."""
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    h, n = F.crc32(F.col("doc_id").cast("string").cast("binary")), F.size("_words")
+    g = F.floor(h / 10)
+    rows = docs.withColumn("_words", F.when(h % 10 == 0, words)).withColumn("_a", F.when(n > 0, g % n))
+    period = 1 + F.floor((n - F.col("_a")) / (3 + g % 8))
+    source = lambda i: F.when(i < F.col("_a"), i).otherwise(F.col("_a") + (i - F.col("_a")) % period)
+    again = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.element_at("_words", source(i).cast("int") + 1))
+    return rows.withColumn("text", F.when(n > 0, F.array_join(again, " ")).otherwise(F.col("text"))).drop("_words", "_a")
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(planted_periods(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    listed = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    best = found.withColumn("best", runs.strongest(F.col("runs")))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), F.col("best.length").alias("length"), F.col("best.period").alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 OP3_SQL = """
 WITH m AS (
   SELECT conv_id, turn, text,
@@ -126,10 +157,78 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
+OP12_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), part AS (
+  SELECT r, vec_id, k.k AS part, v[k.k * len(v) // 16 + 1 : (k.k + 1) * len(v) // 16] AS x FROM v, (SELECT unnest(range(16)) AS k) k
+), b0 AS (
+  SELECT part, CAST(row_number() OVER (PARTITION BY part ORDER BY vec_id, x) - 1 AS BIGINT) AS entry, x FROM part
+  QUALIFY row_number() OVER (PARTITION BY part ORDER BY vec_id, x) <= 64
+), a1 AS (
+  SELECT p.r, p.part, any_value(p.x) AS x, min({'d': CAST(list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), 'e': b.entry}).e AS entry
+  FROM part p JOIN b0 b USING (part) GROUP BY p.r, p.part
+), m1 AS (
+  SELECT part, entry, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS x
+  FROM (SELECT part, entry, i, sum(c) AS s, count(*) AS n FROM (SELECT part, entry, unnest(x) AS c, unnest(range(len(x))) AS i FROM a1) GROUP BY ALL) GROUP BY part, entry
+), b1 AS (
+  SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM b0 b LEFT JOIN m1 m USING (part, entry)
+), a2 AS (
+  SELECT p.r, p.part, any_value(p.x) AS x, min({'d': CAST(list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), 'e': b.entry}).e AS entry
+  FROM part p JOIN b1 b USING (part) GROUP BY p.r, p.part
+), m2 AS (
+  SELECT part, entry, list(CAST(floor(s / n) AS BIGINT) ORDER BY i) AS x
+  FROM (SELECT part, entry, i, sum(c) AS s, count(*) AS n FROM (SELECT part, entry, unnest(x) AS c, unnest(range(len(x))) AS i FROM a2) GROUP BY ALL) GROUP BY part, entry
+), b2 AS (
+  SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM b1 b LEFT JOIN m2 m USING (part, entry)
+), a3 AS (
+  SELECT p.r, p.part, min({'d': CAST(list_sum(list_transform(list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), 'e': b.entry}) AS best
+  FROM part p JOIN b2 b USING (part) GROUP BY p.r, p.part
+), coded AS (
+  SELECT r, string_agg(format('{:02x}', best.e), '' ORDER BY part) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM a3 GROUP BY r
+), books AS (
+  SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b2
+)
+SELECT v.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY v.label) AS BIGINT) AS label_error, codebooks_sha256
+FROM v JOIN coded ON v.r = coded.r, books
+"""
+OP13_SQL = r"""
+WITH o AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+    xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS UBIGINT))),
+      lambda s, c: list_reduce([xor(s, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, (x & 1) * 3988292384::UBIGINT)))) AS h
+  FROM documents
+), a AS (
+  SELECT *, CAST(h // 10 AS BIGINT) AS g, CAST(len(ws) AS BIGINT) AS n, CAST(CASE WHEN len(ws) > 0 THEN (h // 10) % len(ws) END AS BIGINT) AS a FROM o
+), d AS (
+  SELECT doc_id, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) ELSE ws END AS ws FROM a
+), w AS (
+  SELECT doc_id, unnest(ws) AS word, unnest(range(len(ws))) AS i, len(ws) AS n FROM d
+), pairs AS (
+  SELECT x.doc_id, x.i, y.i - x.i AS q FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 3 * (y.i - x.i) <= x.n
+), islands AS (
+  SELECT doc_id, q, min(i) AS start, count(*) + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM pairs) GROUP BY doc_id, q, k
+), runs AS (
+  SELECT doc_id, start, CAST(length AS BIGINT) AS length, CAST(min(q) AS BIGINT) AS period FROM islands WHERE length >= greatest(24, 3 * q) GROUP BY doc_id, start, length
+), per AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS listed FROM runs GROUP BY doc_id
+), best AS (
+  SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) = 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs
+), collapsed AS (
+  SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.i) AS text FROM w ANTI JOIN gone ON w.doc_id = gone.doc_id AND w.i = gone.i GROUP BY w.doc_id
+)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM d LEFT JOIN per USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN collapsed USING (doc_id)
+"""
+
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_language_id, op3_chat_format, op4_substring_dedup, op5_simhash, op6_main_text, op7_iblt_fingerprint, op8_exact_topk, op9_best_fit_packing, op10_subword_quality)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_language_id, op3_chat_format, op4_substring_dedup, op5_simhash, op6_main_text, op7_iblt_fingerprint, op8_exact_topk, op9_best_fit_packing, op10_subword_quality, op12_vector_codes, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op8_exact_topk": OP8_SQL}
+    return {"op3_chat_format": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op8_exact_topk": OP8_SQL, "op12_vector_codes": OP12_SQL, "op13_periodic_runs": OP13_SQL}
