@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, html_text, langid, packing, quality, recompress, runs, simhash, topk, vector_codes
+from . import bpe, chat, fingerprint, html_text, langid, packing, quality, recompress, runs, simhash, suffix_dedup, topk, vector_codes
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,10 @@ def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(held, quality.fit(docs, table(spark, sf_dir, "labels")), keep=["doc_id", "held_out"])
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"), ["vec_id", "label"])
     low_bytes = F.regexp_replace(F.lower(F.hex("codes")), "(..)..", "$1")
@@ -157,6 +161,31 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
+OP11_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), w AS (
+  SELECT r, unnest(range(len(x) // 2 - 399)) AS i, x FROM d WHERE len(x) >= 800
+), s AS (
+  SELECT r, i, count(*) OVER (PARTITION BY md5(substring(x, 2 * i + 1, 800))) > 1 AS again FROM w
+), e AS (
+  SELECT r, i, i + 400 AS j, max(i + 400) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s WHERE again
+), g AS (
+  SELECT r, i, j, sum(CASE WHEN before IS NULL OR i > before THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY i) AS k FROM e
+), spans AS (
+  SELECT r, k, min(i) AS a, max(j) AS b FROM g GROUP BY r, k
+), gaps AS (
+  SELECT r, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS a, a AS b FROM spans
+  UNION ALL
+  SELECT r, max(b), NULL FROM spans GROUP BY r
+), t AS (
+  SELECT gaps.r, string_agg(CASE WHEN b IS NULL THEN substring(x, 2 * a + 1) ELSE substring(x, 2 * a + 1, 2 * (b - a)) END, '' ORDER BY a) AS x FROM gaps JOIN d USING (r) GROUP BY gaps.r
+), n AS (
+  SELECT r, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM spans GROUP BY r
+)
+SELECT d.doc_id, CAST(len(d.x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(t.x, d.x))) AS kept_sha256
+FROM d LEFT JOIN n USING (r) LEFT JOIN t USING (r)
+"""
 OP12_SQL = """
 WITH v AS (
   SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
@@ -227,8 +256,8 @@ FROM d LEFT JOIN per USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN coll
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_language_id, op3_chat_format, op4_substring_dedup, op5_simhash, op6_main_text, op7_iblt_fingerprint, op8_exact_topk, op9_best_fit_packing, op10_subword_quality, op12_vector_codes, op13_periodic_runs)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_language_id, op3_chat_format, op4_substring_dedup, op5_simhash, op6_main_text, op7_iblt_fingerprint, op8_exact_topk, op9_best_fit_packing, op10_subword_quality, op11_suffix_dedup, op12_vector_codes, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op8_exact_topk": OP8_SQL, "op12_vector_codes": OP12_SQL, "op13_periodic_runs": OP13_SQL}
+    return {"op3_chat_format": OP3_SQL, "op4_substring_dedup": OP4_SQL, "op8_exact_topk": OP8_SQL, "op11_suffix_dedup": OP11_SQL, "op12_vector_codes": OP12_SQL, "op13_periodic_runs": OP13_SQL}
