@@ -15,7 +15,10 @@ the upper cluster. Where the region is the whole body, leading and trailing line
 
 Elements are numbered as they open and know their parent alone, and open tags are found by name, so time and memory
 follow the page's length, however deep its elements lie. Null and empty pages, and pages of boilerplate alone, give
-empty text. Broken markup is read as far as it goes; pages of any length are read whole. Repeated rows give equal results.
+empty text. Broken markup is read as far as it goes: what stands after the last `>` is text, and so is the head of a comment, a marked
+section or a tag that nothing ends. That no end of a kind lies ahead is found once a page; start tags that end nowhere (quotes that
+never close) are looked for until they cost RESCANS readings of the page, and are text to the next `>` from then on. Pages of any
+length are read whole. Repeated rows give equal results.
 """
 
 from __future__ import annotations
@@ -53,6 +56,8 @@ NEVER_GONE = frozenset("html body article main".split())
 CLOSES_P = BLOCKS - {"body", "html", "caption", "tbody", "tfoot", "thead", "tr"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SAME_STOP = frozenset("ul ol dl table body html article section div select".split())
+#: Readings of a page that start tags without an end may cost.
+RESCANS = 8
 _TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -77,12 +82,38 @@ class Lines(HTMLParser):
         self.holding: set[int] = set()
         self.perhaps: set[int] = set()
         self.named_open: list[int] = []
+        self.spent = 0  # characters read for start tags that nothing ends
+        self.open_ended: set[str | bool] = set()  # kinds of markup of which no end lies ahead
         self.gone = self.links = 0
         self.kinds, self.parents = [""], [0]
         self.parts: list[str] = []
         self.tags = self.linked = 0
         self.lines: list[Line] = []
 
+    def check_for_whole_start_tag(self, i: int) -> int:
+        if self.spent > RESCANS * len(self.rawdata):
+            return -1
+        end = super().check_for_whole_start_tag(i)
+        if end < 0:
+            self.spent += len(self.rawdata) - i
+        return end
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        end = -1 if "comment" in self.open_ended else super().parse_comment(i, report)
+        if end < 0:
+            self.open_ended.add("comment")
+        return end
+
+    def parse_marked_section(self, i: int, report: bool = True) -> int:
+        kind = self.rawdata[i + 3 : i + 11].lower().startswith(("if", "else", "endif"))
+        try:
+            end = -1 if kind in self.open_ended else super().parse_marked_section(i, report)
+        except AssertionError:  # of no known kind
+            return self.parse_bogus_comment(i)
+        if end < 0:
+            self.open_ended.add(kind)
+        return end
+
     def flush(self) -> None:
         if self.parts:
             text = " ".join("".join(self.parts).split())
@@ -255,8 +286,9 @@ def _sums(parents: list[int], lines: list[Line], values: list[int]) -> list[int]
 
 def main_text(html: str) -> str:
     parser = Lines()
+    last = html.rfind(">") + 1
     try:
-        parser.feed(html)
+        parser.feed(html[:last] + html[last:].replace("<", "&lt;"))
         parser.close()
     except AssertionError:  # the parser's own checks on broken declarations; what was read stays
         pass

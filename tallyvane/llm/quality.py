@@ -8,7 +8,7 @@ whole texts without a shuffle.
 
 Null, empty and wordless texts get the score of the learned bias alone; repeated rows get equal
 scores; extra columns are ignored. Without labelled rows of both classes the score is the share of
-label 1 (0.5 without any label).
+label 1 (0.5 without any label). Labels without a doc_id are left aside.
 """
 
 from __future__ import annotations
@@ -114,7 +114,7 @@ def train(texts: list[bytes], labels: list[int], epochs: int = EPOCHS) -> Subwor
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows: int = TRAIN_ROWS) -> SubwordModel:
     """Learn from at most train_rows labelled documents, none of them held out."""
-    known = labels.filter(F.col(label).isin(0, 1) & ~is_held_out(F.col("doc_id"))).select("doc_id", F.col(label).alias("_label"))
+    known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id"))).select("doc_id", F.col(label).alias("_label"))
     sample = bounded_sample(known, F.col("doc_id"), train_rows)
     met = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "_label")
     rows = met.orderBy(F.xxhash64("doc_id", "text", "_label")).limit(train_rows).toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])  # ids may repeat

@@ -164,10 +164,12 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 OP11_SQL = """
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), c AS (
+  SELECT r, k, substring(x, 500 * k + 1, 1298) AS x FROM (SELECT r, x, unnest(range((len(x) // 2 - 400) // 250 + 1)) AS k FROM d WHERE len(x) >= 800)
 ), w AS (
-  SELECT r, unnest(range(len(x) // 2 - 399)) AS i, x FROM d WHERE len(x) >= 800
+  SELECT r, 250 * k + i AS i, md5(substring(x, 2 * i + 1, 800)) AS h FROM (SELECT r, k, x, unnest(range(least(250, len(x) // 2 - 399))) AS i FROM c)
 ), s AS (
-  SELECT r, i, count(*) OVER (PARTITION BY md5(substring(x, 2 * i + 1, 800))) > 1 AS again FROM w
+  SELECT r, i, n > 1 AS again FROM w JOIN (SELECT h, count(*) AS n FROM w GROUP BY h) c ON w.h = c.h
 ), e AS (
   SELECT r, i, i + 400 AS j, max(i + 400) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM s WHERE again
 ), g AS (

@@ -11,7 +11,7 @@ a block only vectors whose partial sum over the leading coordinates, plus the pr
 lengths, can reach the threshold get an exact score. Bounds are widened by the rounding error.
 
 Each pair of a query block and a live vector block is one row of one task and returns at most k rows a query. Null
-vectors and vectors with null or non-finite components take no part; shorter vectors count as ended by zeros. Ties go to
+vectors, vectors with null or non-finite components and rows without a vec_id take no part; shorter vectors count as ended by zeros. Ties go to
 the smaller vec_id; candidates repeated under one vec_id stand as often as they occur; a query repeated with its
 vector is one query, and one of several vectors has the best of them all. An empty table, or one without
 queries, gives an empty result.
@@ -42,7 +42,7 @@ def _usable(vector: Column) -> Column:
 def integer_vectors(vectors: DataFrame, scale: int = 64) -> DataFrame:
     """(_q, vec_id, v, norm2) of the usable rows, v the integers as array<long>."""
     doubles = F.col("embedding").cast("array<double>")
-    rows = vectors.filter(_usable(doubles)).select("_q", F.col("vec_id").cast("long").alias("vec_id"), F.transform(doubles, lambda x: F.floor(x * scale)).alias("v"))
+    rows = vectors.filter(_usable(doubles) & F.col("vec_id").isNotNull()).select("_q", F.col("vec_id").cast("long").alias("vec_id"), F.transform(doubles, lambda x: F.floor(x * scale)).alias("v"))
     return rows.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
@@ -122,7 +122,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, ve
         return spark.createDataFrame([], schema)
     dim, blocks = facts[1], -(-facts[0] // vector_block)
     rotation = _rotation(rows, dim)
-    # levels of falling norm by quantile bounds; a level beyond a block's size is cut by a hash, so no block grows with ties
+    # levels of falling norm by quantile bounds; a level beyond a block's size is cut by a hash of the row, so no block grows with ties or one vec_id
     levels = min(blocks, MAX_LEVELS)
     bounds = rows.stat.approxQuantile("norm2", [i / levels for i in range(1, levels)], 0.1 / levels) if levels > 1 else []
     cuts = F.array(*[F.lit(float(b)) for b in sorted(set(bounds), reverse=True)]).cast("array<double>")
@@ -132,7 +132,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, ve
     ends = np.cumsum(slices).tolist()
     number = {r["level"]: n for n, r in enumerate(sizes)}
     of = lambda values: F.get(F.array(*[F.lit(int(x)) for x in values]), F.element_at(F.create_map(*[F.lit(x) for kv in number.items() for x in kv]), F.col("level")))
-    block = of([0, *ends[:-1]]) + F.pmod(F.xxhash64("vec_id"), of(slices)).cast("int")
+    block = of([0, *ends[:-1]]) + F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), of(slices)).cast("int")
     placed = counted.select("vec_id", "v", block.cast("int").alias("block"))
     packed = materialise(placed.groupBy("block").agg(F.collect_list("vec_id").alias("ids"), F.collect_list("v").alias("vs")), "topk-blocks", old)
     longest = packed.filter("block = 0").select("ids", "vs").toArrow()  # about vector_block rows, whatever the table's size
