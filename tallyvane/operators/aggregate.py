@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,12 +138,51 @@ def source_tag_state(changes: DataFrame) -> DataFrame:
     return out.select("source", "tag")
 
 
-def traffic_limits(rows: DataFrame, ts: str, by: list[str], history: int = 600, least: int = 60, headroom: float = 1.15, change: float = 0.05) -> DataFrame:
-    """For each second with traffic, 10 + headroom times the mean of the last seconds' counts, once `least` are known,
-    and whether it differs from the one before by more than `change`."""
-    seconds = rows.withColumn("second", F.unix_seconds(F.col(ts).cast("timestamp"))).groupBy(*by, "second").agg(F.count("*").alias("n"))
-    back = Window.partitionBy(*by).orderBy("second").rowsBetween(1 - history, 0)
-    known, mean = F.count("n").over(back), F.avg("n").over(back)
-    out = seconds.withColumn("rate_limit", F.when(known >= least, 10 + mean * headroom))
-    last = F.lag("rate_limit").over(Window.partitionBy(*by).orderBy("second"))
-    return out.withColumn("applied", F.when(F.col("rate_limit").isNotNull(), last.isNull() | (F.abs(F.col("rate_limit") - last) > change * last)))
+#: What a limit is above the mean, and the rate before any limit: a setting that stands for none.
+LEAST_LIMIT, UNLIMITED = 10, 10_000_000.0
+
+
+def _held(batches: Iterator[pd.DataFrame], by: list[str], change: float, start: float) -> Iterator[pd.DataFrame]:
+    """applied and held of suggested limits, which come by key and second. Between two changes the rows are compared at once."""
+    key: tuple | None = None
+    rate = start
+    for batch in batches:
+        limits, applied, held = batch["rate_limit"].to_numpy(), np.zeros(len(batch), bool), np.empty(len(batch))
+        keys = list(zip(*(batch[c].astype(object).where(batch[c].notna(), None) for c in by)))
+        cuts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a < b and keys[a] != key:
+                key, rate = keys[a], start
+            while a < b:
+                far = np.flatnonzero(np.abs(limits[a:b] - rate) > change * rate)
+                stop = a + int(far[0]) if len(far) else b
+                held[a:stop] = rate
+                if stop < b:
+                    rate = held[stop] = limits[stop]
+                    applied[stop] = True
+                a = stop + 1
+        yield batch.assign(applied=applied, held=held)
+
+
+def traffic_limits(rows: DataFrame, ts: str, by: list[str], history: int = 600, least: int = 60, headroom: float = 1.15, change: float = 0.05, start: float = UNLIMITED) -> DataFrame:
+    """(by, second, n, rate_limit, applied, held): LEAST_LIMIT + headroom times the mean count of the last `history` seconds, quiet ones
+    from the first traffic on as zeros, once `least` are known; it is applied if it is off the rate that is held by more than `change` of that.
+
+    Suggestions change only while the history fills, with a second's traffic, and when that leaves the history; there is a row for
+    those seconds up to the key's last traffic, and none else. So rows follow seconds with traffic, however long the quiet
+    between. The held rate is carried over a key's seconds in their order, one row at a time in memory.
+    """
+    seconds = rows.withColumn("second", F.unix_seconds(F.col(ts).cast("timestamp"))).filter("second IS NOT NULL").groupBy(*by, "second").agg(F.count("*").alias("n"))
+    bounds = seconds.groupBy(*by).agg(F.min("second").alias("_first"), F.max("second").alias("_last"))
+    fills = bounds.select(*by, F.explode(F.sequence("_first", F.least(F.col("_first") + history - 1, "_last"))).alias("second"), F.lit(0).cast("long").alias("n"))
+    leaves = seconds.select(*by, (F.col("second") + history).alias("second"), F.lit(0).cast("long").alias("n"))
+    known = seconds.unionByName(fills).unionByName(leaves).groupBy(*by, "second").agg(F.sum("n").alias("n"))
+    own = [bounds[c].eqNullSafe(known[c]) for c in by]
+    inside = known.join(bounds, reduce(lambda a, b: a & b, own), "inner").select(*[known[c] for c in by], "second", "n", "_first", "_last")
+    inside = inside.filter("second <= _last")
+    total = F.sum("n").over(Window.partitionBy(*by).orderBy("second").rangeBetween(1 - history, 0))
+    size = F.least(F.col("second") - F.col("_first") + 1, F.lit(history))
+    limits = inside.withColumn("rate_limit", LEAST_LIMIT + total / size * headroom).filter(size >= least).select(*by, "second", "n", "rate_limit")
+    dealt = limits.repartition(*by).sortWithinPartitions(*by, "second")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in limits.schema) + ", applied boolean, held double"
+    return dealt.mapInPandas(lambda batches: _held(batches, by, change, start), schema)

@@ -163,22 +163,27 @@ def tags_of_list(tag_list: Column) -> Column:
     return T.from_pairs(F.transform(good, lambda t: F.struct(F.when(key(t) == "source", F.lit("_source")).otherwise(key(t)).alias("key"), value(t).alias("value"))))
 
 
+SERIES_V2 = "series:array<struct<metric:string,type:string,device:string,interval:double,tags:array<string>,resources:array<struct<type:string,name:string>>,points:array<struct<timestamp:double,value:double>>>>"
+
+
 def decode_datadog_series(bodies: DataFrame, body: str = "body", version: int = 1) -> DataFrame:
-    """Points of /api/v1/series or /api/v2/series. A rate becomes a count by its interval."""
+    """Points of /api/v1/series or /api/v2/series, whose body may be what sources.protobuf read. A rate becomes a count by its interval."""
     if version == 1:
         schema = "series array<struct<metric:string,type:string,host:string,device:string,interval:double,tags:array<string>,points:array<array<double>>>>"
         stamp, value, host = "_pt[0]", "_pt[1]", F.lower("_s.host")
     else:
-        schema = "series array<struct<metric:string,type:string,device:string,interval:double,tags:array<string>,resources:array<struct<type:string,name:string>>,points:array<struct<timestamp:double,value:double>>>>"
+        schema = f"struct<{SERIES_V2}>"
         stamp, value = "_pt.timestamp", "_pt.value"
         host = F.get(F.transform(F.filter("_s.resources", lambda r: r["type"] == "host"), lambda r: r["name"]), F.lit(0))
-    out = bodies.withColumn("_s", F.explode_outer(F.from_json(body, schema)["series"])).withColumn("_pt", F.explode_outer("_s.points"))
+    binary = dict(bodies.dtypes)[body] != "string"
+    series, unread = (F.col(body)["message"]["series"], F.col(body)["error"]) if binary else (F.from_json(body, schema)["series"], F.lit(None).cast("string"))
+    out = bodies.withColumn("_unread", unread).withColumn("_s", F.explode_outer(series)).withColumn("_pt", F.explode_outer("_s.points"))
     tags = T.put(tags_of_list(F.coalesce(F.col("_s.tags"), F.array().cast("array<string>"))), "device", F.col("_s.device"))
     rate = F.when(F.lower("_s.type").isin("rate", "2") & F.col("_s.interval").isNotNull(), F.col("_s.interval")).otherwise(1.0)
     return out.select(
         *bodies.columns, clean_metric(F.col("_s.metric")).alias("metric"), F.coalesce(host, F.lit("unknown")).alias("source"),
         (F.expr(stamp) * 1000).cast("long").alias("ts_ms"), (F.expr(value) * rate).alias("value"), tags.alias("tags"),
-        F.when(F.col("_s.metric").isNull(), F.lit("no metric")).when(F.expr(value).isNull() | F.expr(stamp).isNull(), F.lit("bad point")).alias("error"),
+        F.when(F.col("_unread").isNotNull(), F.col("_unread")).when(F.col("_s.metric").isNull(), F.lit("no metric")).when(F.expr(value).isNull() | F.expr(stamp).isNull(), F.lit("bad point")).alias("error"),
     )
 
 

@@ -1,4 +1,4 @@
-"""OTLP metrics and traces from their JSON form."""
+"""OTLP metrics and traces, from JSON bodies or from what sources.protobuf reads of binary ones."""
 
 from __future__ import annotations
 
@@ -50,56 +50,78 @@ def source_and_tags(attributes: Column, default_source: str) -> tuple[Column, Co
     return found, T.rename(rest, "service.name", "service", ~F.array_contains(F.map_keys(rest), "service"))
 
 
+METRIC_KINDS = ("gauge", "sum", "histogram", "exponentialHistogram", "summary")
+
+
+def _unread(body: str, held: Column, what: str) -> Column:
+    """An error for a body that holds nothing and is no empty request. held: its list, null where there is none."""
+    return F.when(held.isNull() & ~F.coalesce(F.col(body).rlike(r"^\s*\{\s*\}\s*$"), F.lit(False)), F.lit(f"not an OTLP {what} request"))
+
+
 def decode_metrics(bodies: DataFrame, body: str = "body", default_source: str = "unknown", resource_attributes: bool = True) -> DataFrame:
-    """One row for each metric: its name, kinds' points, and the resource's attributes (empty unless included)."""
-    out = bodies.withColumn("_r", F.explode_outer(F.from_json(body, METRICS)["resourceMetrics"])).withColumn("_s", F.explode_outer("_r.scopeMetrics")).withColumn("_m", F.explode_outer("_s.metrics"))
+    """One row for each metric: its name, kinds' points, and the resource's attributes (empty unless included). `_bad` is the error of a
+    body that is no request, which has a row of its own, and of a metric of no known kind.
+
+    The body is JSON, or a struct of METRICS with an error beside it, as sources.protobuf reads it.
+    """
+    if dict(bodies.dtypes)[body] == "string":
+        read = bodies.withColumn("_q", F.from_json(body, METRICS)["resourceMetrics"]).withColumn("_unread", _unread(body, F.col("_q"), "metrics"))
+    else:
+        read = bodies.withColumn("_q", F.col(body)["message"]["resourceMetrics"]).withColumn("_unread", F.col(body)["error"])
+    out = read.withColumn("_r", F.explode_outer("_q")).withColumn("_s", F.explode_outer("_r.scopeMetrics")).withColumn("_m", F.explode_outer("_s.metrics"))
     resource = attribute_map(F.col("_r.resource.attributes"))
     own = T.empty_tags() if not resource_attributes else resource
-    return out.select(*bodies.columns, F.col("_m.name").alias("name"), own.alias("resource"), F.coalesce(*[resource[k] for k in SOURCE_KEYS], F.lit(default_source)).alias("fallback_source"), "_m")
+    unknown = F.col("_m").isNotNull() & F.coalesce(*[F.when(F.col(f"_m.{k}").isNotNull(), F.lit(False)) for k in METRIC_KINDS], F.lit(True))
+    bad = F.coalesce(F.col("_unread"), F.when(unknown, F.lit("unsupported metric type")))
+    return out.filter("_m IS NOT NULL OR _unread IS NOT NULL").select(*bodies.columns, F.col("_m.name").alias("name"), own.alias("resource"), F.coalesce(*[resource[k] for k in SOURCE_KEYS], F.lit(default_source)).alias("fallback_source"), "_m", bad.alias("_bad"))
 
 
-def _points(metrics: DataFrame, points: str, columns: list[str], outer: bool = False) -> DataFrame:
-    out = metrics.withColumn("_p", (F.explode_outer if outer else F.explode)(points))
+def _points(metrics: DataFrame, kinds: Column, columns: list[str], errors: bool) -> DataFrame:
+    """A row for each point of the kinds, an array of structs t and points that may hold nulls; for a kind without points one with
+    a null point; and, with errors, for what is bad."""
+    out = metrics.withColumn("_k", F.explode_outer(F.when(F.col("_bad").isNull(), F.filter(kinds, lambda x: x.isNotNull()))))
+    out = out.filter(F.col("_k").isNotNull() | (F.col("_bad").isNotNull() if errors else F.lit(False))).withColumn("_t", F.col("_k.t")).withColumn("_p", F.explode_outer("_k.points"))
     attributes = T.merge(F.col("resource"), attribute_map(F.col("_p.attributes")))
     out = out.withColumn("_a", attributes)
     source, rest = source_and_tags(F.col("_a"), "")
     nanos = F.col("_p.timeUnixNano").try_cast("long")
     source = F.when(source == "", F.col("fallback_source")).otherwise(source)
-    return out.select(*columns, "name", "_p", source.alias("source"), rest.alias("tags"), T.whole(nanos, 1_000_000).alias("ts_ms"))
+    some = F.col("_p").isNotNull()
+    return out.select(*columns, "_bad", "_t", "name", "_p", F.when(some, source).alias("source"), F.when(some, rest).otherwise(T.empty_tags()).alias("tags"), T.whole(nanos, 1_000_000).alias("ts_ms"))
 
 
 def _own(metrics: DataFrame) -> list[str]:
-    return [c for c in metrics.columns if c not in ("name", "resource", "fallback_source", "_m")]
+    return [c for c in metrics.columns if c not in ("name", "resource", "fallback_source", "_m", "_bad")]
 
 
-def numbers(metrics: DataFrame) -> DataFrame:
-    """Points of gauges and sums, in one pass; a delta sum gets the delta prefix, one of another temporality is an error."""
+def numbers(metrics: DataFrame, errors: bool = True) -> DataFrame:
+    """Points of gauges and sums, in one pass; a delta sum gets the delta prefix, one of another temporality is an error. errors:
+    whether bodies and metrics that nothing decodes come out with theirs (one of the decoders has to say so)."""
     own = _own(metrics)
     kind = lambda k, t: F.when(F.col(f"_m.{k}").isNotNull(), F.struct(t.alias("t"), F.coalesce(F.col(f"_m.{k}.dataPoints"), F.array().cast(NUMBER_POINTS)).alias("points")))
-    kinds = F.array(kind("gauge", F.lit(CUMULATIVE)), kind("sum", F.col("_m.sum.aggregationTemporality")))
-    rows = metrics.withColumn("_k", F.explode(F.filter(kinds, lambda x: x.isNotNull()))).withColumn("_t", F.col("_k.t"))
-    p = _points(rows, "_k.points", [*own, "_t"], outer=True)
+    p = _points(metrics, F.array(kind("gauge", F.lit(CUMULATIVE)), kind("sum", F.col("_m.sum.aggregationTemporality"))), own, errors)
     some = F.col("_p").isNotNull()
     name = F.when(some & (F.col("_t") == DELTA), F.concat(F.lit(DELTA_PREFIX), "name")).otherwise(F.col("name"))
     value = F.coalesce(F.col("_p.asDouble"), F.col("_p.asInt").try_cast("double"))
-    error = F.when(~some, F.lit("no data points")).when(~F.coalesce(F.col("_t").isin(DELTA, CUMULATIVE), F.lit(False)), F.lit("unsupported temporality"))
-    return p.select(*own, name.alias("metric"), F.when(some, F.col("source")).alias("source"), "ts_ms", value.alias("value"), F.when(some, F.col("tags")).otherwise(T.empty_tags()).alias("tags"), error.alias("error"))
+    error = F.coalesce(F.col("_bad"), F.when(~some, F.lit("no data points")).when(~F.coalesce(F.col("_t").isin(DELTA, CUMULATIVE), F.lit(False)), F.lit("unsupported temporality")))
+    return p.select(*own, name.alias("metric"), "source", "ts_ms", value.alias("value"), "tags", error.alias("error"))
 
 
 def _renamed(tags: Column, key: str) -> Column:
     return T.rename(tags, key, f"_{key}")
 
 
-def summaries(metrics: DataFrame) -> DataFrame:
-    """`_sum`, `_count` and one point for each quantile, tagged with it."""
+def summaries(metrics: DataFrame, errors: bool = True) -> DataFrame:
+    """`_sum`, `_count` and one point for each quantile, tagged with it. errors: as of numbers()."""
     own = _own(metrics)
-    p = _points(metrics.filter("_m.summary IS NOT NULL"), "_m.summary.dataPoints", own)
+    kinds = F.array(F.when(F.col("_m.summary").isNotNull(), F.struct(F.lit(None).cast("int").alias("t"), F.col("_m.summary.dataPoints").alias("points"))))
+    p = _points(metrics, kinds, own, errors).filter("_p IS NOT NULL OR _bad IS NOT NULL")
     row = lambda suffix, value, q: F.struct(F.lit(suffix).alias("suffix"), value.cast("double").alias("value"), q.cast("string").alias("q"))
-    quantiles = F.transform(F.coalesce("_p.quantileValues", F.array().cast("array<struct<quantile:double,value:double>>")), lambda x: row("", x["value"], x["quantile"]))
-    rows = F.concat(F.array(row("_sum", F.col("_p.sum"), F.lit(None)), row("_count", F.col("_p.count"), F.lit(None))), quantiles)
-    out = p.withColumn("_x", F.explode(rows))
+    quantiles = F.transform(F.coalesce("_p.quantileValues", F.array().cast("array<struct<quantile:double,value:double>>")), lambda x: row("", F.coalesce(x["value"], F.lit(0.0)), F.coalesce(x["quantile"], F.lit(0.0))))
+    rows = F.concat(F.array(row("_sum", F.coalesce("_p.sum", F.lit(0.0)), F.lit(None)), row("_count", F.coalesce(F.col("_p.count").try_cast("double"), F.lit(0.0)), F.lit(None))), quantiles)
+    out = p.withColumn("_x", F.explode_outer(F.when(F.col("_p").isNotNull(), rows)))
     tags = T.put(_renamed(F.col("tags"), "quantile"), "quantile", F.col("_x.q"))
-    return out.select(*own, F.concat("name", "_x.suffix").alias("metric"), "source", "ts_ms", F.col("_x.value").alias("value"), F.when(F.col("_x.q").isNull(), F.col("tags")).otherwise(tags).alias("tags"))
+    return out.select(*own, F.concat("name", F.coalesce("_x.suffix", F.lit(""))).alias("metric"), "source", "ts_ms", F.col("_x.value").alias("value"), F.when(F.col("_x.q").isNull(), F.col("tags")).otherwise(tags).alias("tags"), F.col("_bad").alias("error"))
 
 
 def exponential_buckets(scale: Column, zero: Column, positive: Column, negative: Column) -> tuple[Column, Column]:
@@ -120,7 +142,8 @@ def explicit_error(counts: Column, bounds: Column) -> Column:
 
 def cumulative_rows(counts: Column, uppers: Column) -> Column:
     """(le, value) of running bucket sums; le is text, the last one +Inf."""
-    running = F.transform(F.sequence(F.lit(1), F.size(counts)), lambda n: F.aggregate(F.slice(counts, 1, n), F.lit(0).cast("bigint"), lambda s, x: s + x))
+    none = F.array().cast("array<bigint>")
+    running = F.aggregate(counts, none, lambda sums, x: F.array_append(sums, F.coalesce(F.try_element_at(sums, F.lit(-1)), F.lit(0).cast("bigint")) + x))
     return F.transform(running, lambda v, i: F.struct(F.coalesce(F.get(uppers, i).cast("string"), F.lit("+Inf")).alias("le"), v.cast("double").alias("value")))
 
 
@@ -136,36 +159,39 @@ def bucket_centroids(counts: Column, bounds: Column) -> Column:
     return F.filter(F.transform(counts, lambda c, i: F.struct(((F.get(bounds, i) + F.get(bounds, i + 1)) / 2).alias("mean"), c.cast("int").alias("count"))), lambda x: x["count"] > 0)
 
 
-def _histograms(metrics: DataFrame) -> DataFrame:
+def _histograms(metrics: DataFrame, errors: bool) -> DataFrame:
+    """Points of both kinds of histograms, the body read once."""
     own = _own(metrics)
-    explicit = _points(metrics.filter("_m.histogram IS NOT NULL").withColumn("_t", F.col("_m.histogram.aggregationTemporality")), "_m.histogram.dataPoints", [*own, "_t"])
-    counts, bounds = F.col("_p.bucketCounts").cast("array<bigint>"), F.coalesce(F.col("_p.explicitBounds"), F.array().cast("array<double>"))
-    base = [*own, "_t", "name", "source", "tags", "ts_ms"]
-    explicit = explicit.select(*base, counts.alias("counts"), bounds.alias("uppers"), explicit_centroids(counts, bounds).alias("centroids"), explicit_error(counts, bounds).alias("error"))
-    exponential = _points(metrics.filter("_m.exponentialHistogram IS NOT NULL").withColumn("_t", F.col("_m.exponentialHistogram.aggregationTemporality")), "_m.exponentialHistogram.dataPoints", [*own, "_t"])
-    counts, bounds = exponential_buckets(F.col("_p.scale"), F.col("_p.zeroCount"), F.col("_p.positive"), F.col("_p.negative"))
-    exponential = exponential.select(
-        *base, F.concat(counts, F.array(F.lit(0).cast("bigint"))).alias("counts"), F.slice(bounds, 2, F.size(bounds) - 1).alias("uppers"), bucket_centroids(counts, bounds).alias("centroids"), F.lit(None).cast("string").alias("error")
+    types = {"histogram": HISTOGRAM_POINTS.removeprefix("array<").removesuffix(">"), "exponentialHistogram": EXPONENTIAL_POINTS.removeprefix("array<").removesuffix(">")}
+    one = lambda p, k: F.struct(p["attributes"].alias("attributes"), p["timeUnixNano"].alias("timeUnixNano"), *[(p if k == j else F.lit(None).cast(types[j])).alias(j) for j in types])
+    kind = lambda k: F.when(F.col(f"_m.{k}").isNotNull(), F.struct(F.col(f"_m.{k}.aggregationTemporality").alias("t"), F.transform(f"_m.{k}.dataPoints", lambda p: one(p, k)).alias("points")))
+    p = _points(metrics, F.array(*[kind(k) for k in types]), own, errors).filter("_p IS NOT NULL OR _bad IS NOT NULL")
+    e, x = F.col("_p.histogram"), F.col("_p.exponentialHistogram")
+    counts, bounds = exponential_buckets(F.coalesce(x["scale"], F.lit(0)), x["zeroCount"], x["positive"], x["negative"])
+    p = p.withColumns({"_explicit": e.isNotNull(), "_c": F.when(e.isNotNull(), e["bucketCounts"].cast("array<bigint>")).when(x.isNotNull(), counts), "_b": F.when(e.isNotNull(), F.coalesce(e["explicitBounds"], F.array().cast("array<double>"))).when(x.isNotNull(), bounds)})
+    c, b, plain = F.col("_c"), F.col("_b"), F.col("_explicit")
+    return p.select(
+        *own, "_t", "name", "source", "tags", "ts_ms", F.when(plain, c).otherwise(F.concat(c, F.array(F.lit(0).cast("bigint")))).alias("counts"), F.when(plain, b).otherwise(F.slice(b, 2, F.greatest(F.size(b) - 1, F.lit(0)))).alias("uppers"),
+        F.when(plain, explicit_centroids(c, b)).otherwise(bucket_centroids(c, b)).alias("centroids"), F.coalesce("_bad", F.when(plain, explicit_error(c, b))).alias("error"), "_bad",
     )
-    return explicit.unionByName(exponential)
 
 
-def histogram_points(metrics: DataFrame) -> DataFrame:
-    """Points of cumulative histograms, tagged `le`; errors of histograms of no known temporality."""
-    h = _histograms(metrics).filter(~F.coalesce(F.col("_t") == DELTA, F.lit(False)))
+def histogram_points(metrics: DataFrame, errors: bool = True) -> DataFrame:
+    """Points of cumulative histograms, tagged `le`; errors of histograms of no known temporality. errors: as of numbers()."""
+    h = _histograms(metrics, errors).filter(~F.coalesce(F.col("_t") == DELTA, F.lit(False)))
     error = F.coalesce("error", F.when(~F.coalesce(F.col("_t") == CUMULATIVE, F.lit(False)), F.lit("unsupported temporality")))
     out = h.withColumn("error", error).withColumn("_x", F.explode_outer(F.when(error.isNull(), cumulative_rows(F.col("counts"), F.col("uppers")))))
     return out.select(*_own_of(h), F.col("name").alias("metric"), "source", "ts_ms", F.col("_x.value").alias("value"), T.put(_renamed(F.col("tags"), "le"), "le", F.col("_x.le")).alias("tags"), "error")
 
 
 def _own_of(h: DataFrame) -> list[str]:
-    return [c for c in h.columns if c not in ("_t", "name", "source", "tags", "ts_ms", "counts", "uppers", "centroids", "error")]
+    return [c for c in h.columns if c not in ("_t", "name", "source", "tags", "ts_ms", "counts", "uppers", "centroids", "error", "_bad")]
 
 
-def histogram_bins(metrics: DataFrame) -> DataFrame:
-    """Each delta histogram as three, of a minute, an hour and a day."""
-    h = _histograms(metrics).filter(F.col("_t") == DELTA)
-    out = h.withColumn("duration_ms", F.explode(F.array(*[F.lit(d) for d in DURATIONS_MS])))
+def histogram_bins(metrics: DataFrame, errors: bool = True) -> DataFrame:
+    """Each delta histogram as three, of a minute, an hour and a day. errors: as of numbers()."""
+    h = _histograms(metrics, errors).filter(F.coalesce(F.col("_t") == DELTA, F.col("_bad").isNotNull()))
+    out = h.withColumn("duration_ms", F.explode(F.when(F.col("_bad").isNull(), F.array(*[F.lit(d) for d in DURATIONS_MS])).otherwise(F.array(F.lit(None).cast("int")))))
     start = F.floor(F.col("ts_ms") / F.col("duration_ms")) * F.col("duration_ms")
     return out.select(*_own_of(h), F.col("name").alias("metric"), "source", start.cast("long").alias("bin_start_ms"), "duration_ms", F.when(F.col("error").isNull(), F.col("centroids")).alias("centroids"), "tags", "error")
 
@@ -185,9 +211,13 @@ REQUIRED = {"service": "defaultService", "application": "defaultApplication", "c
 
 
 def decode_spans(bodies: DataFrame, body: str = "body", default_source: str = "unknown") -> DataFrame:
-    """Spans with annotations and span logs of OTLP trace requests. Required tags are added by with_required_tags
-    after the rules."""
-    out = bodies.withColumn("_r", F.explode_outer(F.from_json(body, TRACES)["resourceSpans"])).withColumn("_c", F.explode_outer("_r.scopeSpans")).withColumn("_s", F.explode_outer("_c.spans"))
+    """Spans with annotations and span logs of OTLP trace requests, and a row with the error for a body that is none.
+    Required tags are added by with_required_tags after the rules. The body is JSON, or a struct of TRACES with an error beside it."""
+    if dict(bodies.dtypes)[body] == "string":
+        read = bodies.withColumn("_q", F.from_json(body, TRACES)["resourceSpans"]).withColumn("_unread", _unread(body, F.col("_q"), "trace"))
+    else:
+        read = bodies.withColumn("_q", F.col(body)["message"]["resourceSpans"]).withColumn("_unread", F.col(body)["error"])
+    out = read.withColumn("_r", F.explode_outer("_q")).withColumn("_c", F.explode_outer("_r.scopeSpans")).withColumn("_s", F.explode_outer("_c.spans"))
     merged = T.merge(attribute_map(F.col("_r.resource.attributes")), attribute_map(F.col("_s.attributes")))
     out = out.withColumn("_a", merged)
     source, rest = source_and_tags(F.col("_a"), default_source)
@@ -205,9 +235,10 @@ def decode_spans(bodies: DataFrame, body: str = "body", default_source: str = "u
     annotations = F.concat(T.canonical(rest).cast(T.ANNOTATIONS), F.filter(F.array(*[T.annotation(k, v) for k, v in more]), lambda a: a["value"].isNotNull()))
     fields = lambda e: T.merge(attribute_map(e["attributes"]), F.create_map(F.lit("name"), e["name"]))
     logs = F.transform("_s.events", lambda e: F.struct(T.whole(e["timeUnixNano"].try_cast("long"), 1000).alias("ts_us"), fields(e).alias("fields")))
-    return out.filter("_s IS NOT NULL").select(
+    return out.filter("_s IS NOT NULL OR _unread IS NOT NULL").select(
         *bodies.columns, F.col("_s.name").alias("name"), source.alias("source"), T.uuid_of_hex(F.col("_s.spanId")).alias("span_id"), T.uuid_of_hex(F.col("_s.traceId")).alias("trace_id"),
         start.alias("start_ms"), F.when(end == 0, F.lit(0)).otherwise(end - start).cast("long").alias("duration_ms"), annotations.alias("annotations"), F.when(F.size("_s.events") > 0, logs).alias("logs"),
+        F.col("_unread").alias("error"),
     )
 
 

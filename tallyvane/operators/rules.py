@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tags as T
+from . import conditions
 
 KINDS = ("point", "span", "log")
 SCOPES = {"metricName": "name", "spanName": "name", "message": "name", "sourceName": "source", "pointLine": "line", "inputText": "line", "spanLine": "line", "logLine": "line"}
@@ -110,10 +111,17 @@ def parse(raw: dict) -> Rule:
     if isinstance(condition, dict):
         predicate_tree(condition, lambda _: F.lit(""), check_only=True)
     elif condition is not None:
-        condition_sql(str(condition), kind)
+        _condition(name, str(condition))
     return Rule(name, kind, plain, given, condition)
 
 
+def _condition(rule: str, text: str) -> None:
+    try:
+        conditions.read(text)
+    except conditions.ConditionError as e:
+        raise RuleError(f"{rule}: condition: {e}") from e
+
+
 def predicate_tree(tree: dict, scope: Callable[[str], Column] | None, check_only: bool = False) -> Column | None:
     """All / any / none / ignore over comparisons with one value or a list of values."""
     if len(tree) != 1:
@@ -137,69 +145,6 @@ def predicate_tree(tree: dict, scope: Callable[[str], Column] | None, check_only
     return F.coalesce(reduce(lambda a, b: a | b, (COMPARE[op](column, str(v)) for v in values)), F.lit(False))
 
 
-#: What a condition may be made of; anything else is an error, so nothing but these parts reaches Spark SQL.
-CONDITION_PARTS = re.compile(
-    r"""\s*(?:time\(\s*["'](?P<ago>\d+)\ (?P<unit>second|minute|hour|day|week)s?\ ago["']\s*\)|"(?P<text>(?:[^"\\]|\\.)*)"|'(?P<text1>(?:[^'\\]|\\.)*)'|\{\{(?P<scope>[^}]+)\}\}
-    |(?P<hash>\.hashCode\(\))|(?P<number>\d+(?:\.\d+)?)|(?P<field>\$\w+)|(?P<word>[A-Za-z]+)|(?P<sign>!=|<=|>=|[=<>%+*/()-]))""",
-    re.VERBOSE,
-)
-CONDITION_FIELDS = {"$value": "value", "$timestamp": "ts_ms", "$startMillis": "start_ms", "$duration": "duration_ms"}
-UNIT_MS = {"second": 1000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000, "week": 604_800_000}
-JAVA_HASH = (
-    "aggregate(flatten(transform(filter(split({0}, ''), c -> c != ''), c -> if(ascii(c) > 65535, array(55232 + shiftright(ascii(c), 10), 56320 + (ascii(c) & 1023)), array(ascii(c))))), "
-    "0L, (h, u) -> (h * 31 + u) & 4294967295L, h -> if(h > 2147483647L, h - 4294967296L, h))"
-)
-
-
-def _literal(text: str) -> str:
-    return "'" + re.sub(r"\\(.)", r"\1", text).replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def condition_sql(text: str, kind: str) -> str:
-    """The SQL of a condition, put together from known parts; texts and tag keys only ever stand in it as literals."""
-    tag = "tags[{}]" if kind == "point" else "get(filter(tags, a -> a.key = {}), 0).value"
-    names = {"metricName": "name", "spanName": "name", "sourceName": "source", "message": "name"}
-    parts, pending, at, text = [], None, 0, text.rstrip()
-    while at < len(text):
-        m = CONDITION_PARTS.match(text, at)
-        if not m:
-            raise RuleError(f"condition: {text[at:at + 20]!r} is not known")
-        at, kind_of = m.end(), m.lastgroup
-        if kind_of == "hash" or kind_of == "word" and m["word"].lower() in ("startswith", "endswith", "contains"):
-            if not parts or parts[-1] in OPERATORS:
-                raise RuleError(f"condition: nothing stands before {m[0].strip()}")
-            if kind_of == "hash":
-                parts[-1] = JAVA_HASH.format(parts[-1])
-            else:
-                pending = (m["word"].lower(), parts.pop())
-            continue
-        if kind_of == "word" and m["word"].lower() not in ("and", "or", "not", "true", "false"):
-            raise RuleError(f"condition: {m['word']} is not known")
-        if kind_of == "field" and m["field"] not in CONDITION_FIELDS:
-            raise RuleError(f"condition: {m['field']} is not known")
-        part = {
-            "unit": lambda: f"(unix_millis(current_timestamp()) - {int(m['ago'] or 0) * UNIT_MS.get(m['unit'], 0)}L)", "text": lambda: _literal(m["text"]), "text1": lambda: _literal(m["text1"]),
-            "scope": lambda: f"coalesce({names.get(m['scope']) or tag.format(_literal(m['scope']))}, '')", "number": lambda: m["number"], "field": lambda: CONDITION_FIELDS[m["field"]], "word": lambda: m["word"].lower(), "sign": lambda: m["sign"],
-        }[kind_of]()
-        if pending:
-            if part in OPERATORS:
-                raise RuleError(f"condition: {pending[0]} needs a text")
-            part, pending = f"{pending[0]}({pending[1]}, {part})", None
-        parts.append(part)
-    if pending or not parts or parts[-1] in OPERATORS - {")"} or parts.count("(") != parts.count(")"):
-        raise RuleError("condition: it ends too early")
-    return " ".join(parts)
-
-
-OPERATORS = {"and", "or", "not", "=", "!=", "<", "<=", ">", ">=", "%", "+", "-", "*", "/", "(", ")"}
-
-
-def predicate_expression(text: str, kind: str) -> Column:
-    """A condition such as `{{env}} = "prod" and $value > 2 or {{id}}.hashCode() % 10 = 1`, as a column. A missing tag
-    is an empty text. `time("10 minutes ago")` is epoch milliseconds at planning time."""
-    return F.coalesce(F.expr(condition_sql(text, kind)).cast("boolean"), F.lit(False))
-
-
 def _full(column: Column, pattern: str) -> Column:
     return F.coalesce(column.rlike(f"^(?:{pattern})$"), F.lit(False))
 
@@ -241,7 +186,7 @@ class Compiler:
         if rule.condition is None:
             return F.lit(True)
         if isinstance(rule.condition, str):
-            return predicate_expression(rule.condition, self.kind)
+            return conditions.condition(rule.condition, self.kind)
         return predicate_tree(rule.condition, self.read)
 
     def step(self, rule: Rule) -> dict[str, Column]:

@@ -24,6 +24,8 @@ ZIPKIN_V1 = (
 V1_KINDS = {"CLIENT": ("cs", "cr"), "SERVER": ("sr", "ss"), "PRODUCER": ("ms", "ws"), "CONSUMER": ("wr", "mr")}
 V1_CORE = [x for pair in V1_KINDS.values() for x in pair]
 V1_ADDRESSES = ("ca", "sa", "ma")
+#: Span kinds of the binary form, from number 1 on.
+ZIPKIN_KINDS = ("CLIENT", "SERVER", "PRODUCER", "CONSUMER")
 PLACES = ("application", "cluster", "shard")
 
 
@@ -93,13 +95,18 @@ def _of_v1(span: Column) -> Column:
 def decode_zipkin(requests: DataFrame, body: str = "body", defaults: dict[str, str] | None = None, default_source: str = "zipkin") -> DataFrame:
     """Spans of Zipkin span lists, and a row with the error for what is none. Any value of an error tag marks an error.
 
-    A list with tags or a local or remote endpoint is of the second version, any other of the first.
+    A list with tags or a local or remote endpoint is of the second version, any other of the first. The body is JSON, or what
+    sources.protobuf read.
     """
     fallback = {"application": "Zipkin", "cluster": "none", "shard": "none"} | (defaults or {})
-    second = F.col(body).rlike('Endpoint"|"tags"')
-    spans = F.when(second, F.from_json(body, ZIPKIN)).otherwise(F.flatten(F.transform(F.from_json(body, ZIPKIN_V1), _of_v1)).cast(ZIPKIN))
-    listed = requests.withColumn("_l", F.when(F.ltrim(body).startswith("["), spans)).withColumn("_bad", F.col("_l").isNull())
-    out = listed.withColumn("_s", F.explode_outer("_l")).filter("_s IS NOT NULL OR _bad").withColumn("_tags", F.coalesce("_s.tags", T.empty_tags()))
+    if dict(requests.dtypes)[body] == "string":
+        second = F.col(body).rlike('Endpoint"|"tags"')
+        spans = F.when(second, F.from_json(body, ZIPKIN)).otherwise(F.flatten(F.transform(F.from_json(body, ZIPKIN_V1), _of_v1)).cast(ZIPKIN))
+        listed = requests.withColumn("_l", F.when(F.ltrim(body).startswith("["), spans)).withColumn("_bad", F.when(F.col("_l").isNull(), F.lit("not a span list")))
+    else:  # what sources.protobuf read: kinds are numbers
+        kinds = F.array(*[F.lit(k) for k in (None, *ZIPKIN_KINDS)])
+        listed = requests.withColumn("_l", F.transform(F.col(body)["message"]["spans"], lambda s: s.withField("kind", F.get(kinds, F.coalesce(s["kind"], F.lit(0)))))).withColumn("_bad", F.col(body)["error"])
+    out = listed.withColumn("_s", F.explode_outer("_l")).filter("_s IS NOT NULL OR _bad IS NOT NULL").withColumn("_tags", F.coalesce("_s.tags", T.empty_tags()))
     tags = F.col("_tags")
     set_tags = [
         ("zipkinSpanId", F.col("_s.id")), ("zipkinTraceId", F.col("_s.traceId")), ("parent", F.when(F.col("_s.parentId").isNotNull() & (F.col("_s.parentId") != F.col("_s.id")), T.uuid_of_hex(F.col("_s.parentId")))),
@@ -113,5 +120,5 @@ def decode_zipkin(requests: DataFrame, body: str = "body", defaults: dict[str, s
     return out.select(
         *requests.columns, F.coalesce("_s.name", F.lit("defaultOperation")).alias("name"), F.coalesce(tags["source"], F.lit(default_source)).alias("source"), T.uuid_of_hex(F.col("_s.id")).alias("span_id"), T.uuid_of_hex(F.col("_s.traceId")).alias("trace_id"),
         T.whole(F.col("_s.timestamp"), 1000).alias("start_ms"), T.whole(F.coalesce("_s.duration", F.lit(0).cast("bigint")), 1000).alias("duration_ms"), annotations.alias("annotations"), F.when(F.size("_s.annotations") > 0, logs).alias("logs"),
-        F.when(F.col("_bad"), F.lit("not a span list")).alias("error"),
+        F.col("_bad").alias("error"),
     )

@@ -136,11 +136,27 @@ def a13_source_tags(spark, sf_dir):
     return A.source_tag_state(source_tag_changes(spark, sf_dir))
 
 
-@query("""WITH s AS (SELECT event_type, epoch_us(ts) // 1000000 AS second, count(*) AS n FROM events GROUP BY 1, 2),
-  l AS (SELECT event_type, second, n, CASE WHEN count(n) OVER w >= 60 THEN 10 + avg(n) OVER w * 1.15 END AS rate_limit FROM s WINDOW w AS (PARTITION BY event_type ORDER BY second ROWS BETWEEN 599 PRECEDING AND CURRENT ROW))
-  SELECT event_type, second, n, round(rate_limit, 6) AS rate_limit FROM l""")
+@query("""WITH RECURSIVE t AS (
+    SELECT event_type, 3 * CASE WHEN event_id % 2 = 0 THEN CAST(floor(sqrt(event_id)) AS BIGINT) ELSE abs(150 - CAST(floor(sqrt(event_id)) AS BIGINT)) END AS second FROM events
+  ), s AS (SELECT event_type, second, count(*) AS n FROM t GROUP BY ALL
+  ), b AS (SELECT event_type, min(second) AS first, max(second) AS last FROM s GROUP BY ALL
+  ), d AS (SELECT event_type, first, unnest(range(first, last + 1)) AS second FROM b
+  ), f AS (SELECT d.event_type, d.second, d.first, coalesce(n, 0) AS n FROM d LEFT JOIN s USING (event_type, second)
+  ), l AS (SELECT *, 10 + avg(n) OVER w * 1.15 AS rate_limit, n > 0 OR second < first + 120 OR lag(n, 120, 0) OVER (PARTITION BY event_type ORDER BY second) > 0 AS shown
+    FROM f WINDOW w AS (PARTITION BY event_type ORDER BY second ROWS BETWEEN 119 PRECEDING AND CURRENT ROW)
+  ), r AS (
+    SELECT event_type, first + 58 AS second, CAST(10000000 AS DOUBLE) AS held, false AS applied FROM b
+    UNION ALL
+    SELECT l.event_type, l.second, CASE WHEN abs(l.rate_limit - r.held) > 0.05 * r.held THEN l.rate_limit ELSE r.held END, abs(l.rate_limit - r.held) > 0.05 * r.held FROM r JOIN l ON l.event_type = r.event_type AND l.second = r.second + 1
+  )
+  SELECT event_type, second, n, round(rate_limit, 6) AS rate_limit, applied, round(held, 6) AS held FROM l JOIN r USING (event_type, second) WHERE shown AND second >= first + 59""")
 def a14_traffic_limit(spark, sf_dir):
-    return A.traffic_limits(table(spark, sf_dir, "events"), "ts", ["event_type"]).select("event_type", "second", "n", F.round("rate_limit", 6).alias("rate_limit"))
+    """Traffic that swells and ebbs, with quiet seconds between: limits by the last two minutes, and the rates they leave in force."""
+    root = F.floor(F.sqrt("event_id"))
+    second = 3 * F.when(F.col("event_id") % 2 == 0, root).otherwise(F.abs(150 - root))
+    rows = table(spark, sf_dir, "events").select("event_type", F.timestamp_seconds(second).alias("at"))
+    out = A.traffic_limits(rows, "at", ["event_type"], history=120)
+    return out.select("event_type", "second", "n", F.round("rate_limit", 6).alias("rate_limit"), "applied", F.round("held", 6).alias("held"))
 
 
 # --- logs ----------------------------------------------------------------------------------------------------------

@@ -11,6 +11,7 @@ from ..operators import lines as L
 from ..operators import otlp as O
 from ..operators import traces as X
 from ..operators.logs import filebeat_lines
+from ..sources import protobuf as P
 from ..sources import wire as S
 from ..streaming import ingest
 from .registry import query
@@ -284,6 +285,40 @@ def d23_otlp_attributes(spark, sf_dir):
     return _metric_body(spark, sf_dir, attributes.alias("a")).select("seq", source.alias("source"), T.tag_text(rest).alias("tags"))
 
 
+OTLP_REJECTS = """CASE seq % 5 WHEN 0 THEN 'not an OTLP {0} request' WHEN 1 THEN 'not an OTLP {0} request' WHEN 2 THEN {1} END"""
+
+
+def _broken_metrics(spark: SparkSession, sf_dir: str, metric: str) -> DataFrame:
+    """Requests of which some are cut, some no objects and some of an unknown kind or empty; the rest have the metric."""
+    n = F.col("seq") % 5
+    body = lambda m: F.concat(F.lit('{"resourceMetrics":[{"scopeMetrics":[{"metrics":[{"name":"'), "metric", F.lit(f'",{m}}}]}}]}}]}}'))
+    made = F.when(n == 0, F.lit('{"resourceMetrics":[{')).when(n == 1, F.lit("[1]")).when(n == 2, body('"unit":"s"')).when(n == 3, F.lit("{}")).otherwise(body(metric))
+    return O.decode_metrics(_metric_body(spark, sf_dir, made.alias("body")))
+
+
+@query(f"""WITH {POINTS} SELECT 'numbers' AS kind, {OTLP_REJECTS.format("metrics", "'unsupported metric type'")} AS error, count(*) AS n FROM points WHERE seq % 5 <> 3 GROUP BY ALL
+  UNION ALL SELECT 'summaries', {OTLP_REJECTS.format("metrics", "'unsupported metric type'")}, CAST(sum(CASE WHEN seq % 5 = 4 THEN 2 ELSE 1 END) AS BIGINT) FROM points WHERE seq % 5 <> 3 GROUP BY ALL
+  UNION ALL SELECT 'points', CASE WHEN seq % 5 = 4 THEN 'unsupported temporality' ELSE {OTLP_REJECTS.format("metrics", "'unsupported metric type'")} END, count(*) FROM points WHERE seq % 5 <> 3 GROUP BY ALL
+  UNION ALL SELECT 'bins', CASE WHEN seq % 5 = 4 THEN 'explicit bounds must be one fewer than bucket counts' ELSE {OTLP_REJECTS.format("metrics", "'unsupported metric type'")} END, CAST(sum(CASE WHEN seq % 5 = 4 THEN 3 ELSE 1 END) AS BIGINT) FROM points WHERE seq % 5 <> 3 GROUP BY ALL""")
+def d17_otlp_rejects(spark, sf_dir):
+    """Each decoder reports bodies that are no requests and metrics of no known kind; an empty request is nothing."""
+    bins = '"histogram":{"aggregationTemporality":1,"dataPoints":[{"timeUnixNano":"1000000","bucketCounts":["1"],"explicitBounds":[1,2]}]}'
+    decoded = {
+        "numbers": O.numbers(_broken_metrics(spark, sf_dir, '"gauge":{"dataPoints":[{"asDouble":1}]}')), "summaries": O.summaries(_broken_metrics(spark, sf_dir, '"summary":{"dataPoints":[{}]}')),
+        "points": O.histogram_points(_broken_metrics(spark, sf_dir, '"histogram":{"dataPoints":[{"bucketCounts":["1"]}]}')), "bins": O.histogram_bins(_broken_metrics(spark, sf_dir, bins)),
+    }
+    found = [df.groupBy("error").agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "error", "n") for k, df in decoded.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+
+
+@query(f"""WITH {POINTS} SELECT seq, {OTLP_REJECTS.format("trace", "NULL")} AS error, CASE WHEN seq % 5 IN (2, 4) THEN metric END AS name FROM points WHERE seq % 5 <> 3""")
+def d24_otlp_rejects(spark, sf_dir):
+    n = F.col("seq") % 5
+    good = F.concat(F.lit('{"resourceSpans":[{"scopeSpans":[{"spans":[{"name":"'), "metric", F.lit('"}]}]}]}'))
+    body = F.when(n == 0, F.lit('{"resourceSpans":')).when(n == 1, F.lit('{"resourceSpans":7}')).when(n == 3, F.lit(" { } ")).otherwise(good)
+    return O.decode_spans(_metric_body(spark, sf_dir, body.alias("body"))).select("seq", "error", "name")
+
+
 def _annotation_text() -> Column:
     return F.array_join(F.transform(F.array_sort("annotations"), lambda a: F.concat(a["key"], F.lit("="), a["value"])), ",").alias("annotations")
 
@@ -499,3 +534,98 @@ def s1_ingest_entities(spark, sf_dir):
     for more in found[1:]:
         out = out.unionByName(more)
     return out.groupBy("entity", "status", "reason").agg(F.count("*").alias("n"))
+
+
+# --- binary bodies -------------------------------------------------------------------------------------------------
+
+
+def _varint(n: Column) -> Column:
+    """Numbers below 2^35 as one to five bytes."""
+    n = n.cast("long")
+    byte = lambda k, last: F.unhex(F.lpad(F.hex(F.shiftright(n, 7 * k).bitwiseAND(127) + (0 if last else 128)), 2, "0"))
+    out = F.concat(*[byte(k, k == 4) for k in range(5)])
+    for size in (4, 3, 2, 1):
+        out = F.when(n < 1 << 7 * size, F.concat(*[byte(k, k == size - 1) for k in range(size)])).otherwise(out)
+    return out
+
+
+def _held(number: int, *parts: Column) -> Column:
+    """A field that holds bytes: texts or messages."""
+    body = F.concat(*[p.cast("binary") for p in parts])
+    return F.concat(_varint(F.lit(number << 3 | 2)), _varint(F.octet_length(body)), body)
+
+
+def _plain(number: int, n: Column) -> Column:
+    return F.concat(_varint(F.lit(number << 3)), _varint(n))
+
+
+def _eight(number: int, n: Column) -> Column:
+    """A field of eight bytes, the least first."""
+    whole = F.unhex(F.lpad(F.hex(n.cast("long")), 16, "0"))
+    return F.concat(_varint(F.lit(number << 3 | 1)), *[F.substring(whole, k, 1) for k in range(8, 0, -1)])
+
+
+def _pair(number: int, key: str, value: Column) -> Column:
+    return _held(number, _held(1, F.lit(key)), _held(2, _held(1, value)))
+
+
+def _cut(body: Column) -> Column:
+    """One body in ten lacks its last byte."""
+    return F.when(F.col("seq") % 10 == 3, F.substring(body, F.lit(1), F.octet_length(body) - 1)).otherwise(body).alias("body")
+
+
+@query(f"""WITH {POINTS} SELECT seq, CASE WHEN seq % 10 <> 3 THEN CASE WHEN seq % 3 = 1 THEN '∆' ELSE '' END || metric END AS metric, CASE WHEN seq % 10 <> 3 THEN source END AS source, CASE WHEN seq % 10 <> 3 THEN ts_ms END AS ts_ms,
+  CASE WHEN seq % 10 <> 3 THEN CAST(seq - 50 AS DOUBLE) END AS value, CASE WHEN seq % 10 <> 3 THEN 'k=' || k || ',service=svc' ELSE '' END AS tags, CASE WHEN seq % 10 = 3 THEN 'it ends within a field' END AS error FROM points""")
+def s13_otlp_protobuf_numbers(spark, sf_dir):
+    """Binary metrics: delta and cumulative sums, with fields of unknown numbers between the known ones."""
+    point = F.concat(_held(99, F.lit("later")), _pair(7, "k", F.col("tags")["k"]), _eight(3, F.col("ts_ms") * 1_000_000), _plain(77, F.col("seq")), _eight(6, F.col("seq") - 50))
+    metric = F.concat(_held(1, F.col("metric")), _held(2, F.lit("what it is")), _held(7, _plain(2, F.when(F.col("seq") % 3 == 1, F.lit(1)).otherwise(F.lit(2))), _held(1, point)))
+    resource = F.concat(_pair(1, "host.name", F.col("source")), _pair(1, "service.name", F.lit("svc")))
+    body = _held(1, _held(1, resource), _held(2, _held(2, metric)))
+    out = O.numbers(O.decode_metrics(P.otlp_metrics(_metric_body(spark, sf_dir, _cut(body)))))
+    return out.select("seq", "metric", "source", "ts_ms", "value", _tags(), "error")
+
+
+@query(f"""WITH {POINTS} SELECT seq, metric, source, ts_ms, CAST(m.value AS DOUBLE) AS value, 'le=' || m.le AS tags FROM (SELECT *, unnest([
+  {{'le': '1.0', 'value': seq % 4}}, {{'le': '2.0', 'value': seq % 4 + 300}}, {{'le': '+Inf', 'value': seq % 4 + 300 + seq % 3}}]) AS m FROM points)""")
+def s13_otlp_protobuf_histograms(spark, sf_dir):
+    """Binary cumulative histograms: packed counts of eight bytes and packed bounds."""
+    count = lambda n: F.substring(_eight(1, n), 2, 8)
+    bounds = F.unhex(F.lit("000000000000f03f" + "0000000000000040"))
+    point = F.concat(_eight(3, F.col("ts_ms") * 1_000_000), _held(6, count(F.col("seq") % 4), count(F.lit(300)), count(F.col("seq") % 3)), _held(7, bounds))
+    metric = F.concat(_held(1, F.col("metric")), _held(9, _held(1, point), _plain(2, F.lit(2))))
+    body = _held(1, _held(1, _pair(1, "host.name", F.col("source"))), _held(2, _held(2, metric)))
+    out = O.histogram_points(O.decode_metrics(P.otlp_metrics(_metric_body(spark, sf_dir, body.alias("body")))))
+    return out.filter("error IS NULL").select("seq", "metric", "source", "ts_ms", "value", _tags())
+
+
+@query(f"""WITH {POINTS} SELECT seq, CASE WHEN seq % 10 <> 3 THEN metric END AS name, CASE WHEN seq % 10 <> 3 THEN {UUID.format(HEX)} END AS trace_id, CASE WHEN seq % 10 <> 3 THEN ts_ms END AS start_ms, CASE WHEN seq % 10 <> 3 THEN seq % 9 END AS duration_ms,
+  CASE WHEN seq % 10 <> 3 AND seq % 2 = 0 THEN ts_ms * 1000 END AS ts_us, CASE WHEN seq % 10 = 3 THEN 'it ends within a field' END AS error FROM points""")
+def s13_otlp_protobuf_spans(spark, sf_dir):
+    hexes = F.md5(F.col("seq").cast("string").cast("binary"))
+    event = F.when(F.col("seq") % 2 == 0, _held(11, _eight(1, F.col("ts_ms") * 1_000_000), _held(2, F.lit("ev")))).otherwise(F.lit("").cast("binary"))
+    span = F.concat(_held(1, F.unhex(hexes)), _held(2, F.unhex(F.substring(hexes, 1, 16))), _held(5, F.col("metric")), _plain(6, F.lit(2)), _eight(7, F.col("ts_ms") * 1_000_000), _eight(8, (F.col("ts_ms") + F.col("seq") % 9) * 1_000_000), event)
+    body = _held(1, _held(1, _pair(1, "host.name", F.col("source"))), _held(2, _held(2, span)))
+    out = O.decode_spans(P.otlp_traces(_metric_body(spark, sf_dir, _cut(body))))
+    return out.select("seq", "name", "trace_id", "start_ms", "duration_ms", F.get("logs", F.lit(0))["ts_us"].alias("ts_us"), "error")
+
+
+@query(f"""WITH {POINTS} SELECT seq, CASE WHEN seq % 10 <> 3 THEN regexp_replace(metric, '[^-_.0-9A-Za-z]', '_', 'g') END AS metric, CASE WHEN seq % 10 <> 3 THEN source ELSE 'unknown' END AS source, CASE WHEN seq % 10 <> 3 THEN ts_ms // 1000 * 1000 END AS ts_ms,
+  CASE WHEN seq % 10 <> 3 THEN CASE WHEN seq % 2 = 0 THEN 25.0 ELSE 2.5 END END AS value, CASE WHEN seq % 10 <> 3 THEN 'k=' || k ELSE '' END AS tags, CASE WHEN seq % 10 = 3 THEN 'it ends within a field' END AS error FROM points""")
+def s16_series_protobuf(spark, sf_dir):
+    """Binary series of the second version; a rate is a count by its interval."""
+    point = F.concat(F.unhex(F.lit("090000000000000440")), _plain(2, F.floor(F.col("ts_ms") / 1000)))
+    series = F.concat(_held(1, _held(1, F.lit("host")), _held(2, F.col("source"))), _held(2, F.col("metric")), _held(3, F.concat(F.lit("k:"), F.col("tags")["k"])), _held(4, point), _plain(5, F.when(F.col("seq") % 2 == 0, F.lit(2)).otherwise(F.lit(3))), _plain(8, F.lit(10)))
+    out = J.decode_datadog_series(P.datadog_series(_metric_body(spark, sf_dir, _cut(_held(1, series)))), version=2)
+    return out.select("seq", "metric", "source", "ts_ms", "value", _tags(), "error")
+
+
+@query(f"""WITH {POINTS} SELECT seq, metric AS name, 'src' AS source, {UUID.format(HEX)} AS trace_id, ts_ms AS start_ms, seq % 9 AS duration_ms, CASE WHEN seq % 2 = 0 THEN 'client' END AS kind, 'db' AS service, k FROM points""")
+def s15_zipkin_protobuf(spark, sf_dir):
+    hexes = F.md5(F.col("seq").cast("string").cast("binary"))
+    tag = lambda key, value: _held(11, _held(1, F.lit(key)), _held(2, value))
+    kind = F.when(F.col("seq") % 2 == 0, _plain(4, F.lit(1))).otherwise(F.lit("").cast("binary"))
+    span = F.concat(_held(1, F.unhex(hexes)), _held(3, F.unhex(F.substring(hexes, 1, 16))), kind, _held(5, F.col("metric")), _eight(6, F.col("ts_ms") * 1000), _plain(7, F.col("seq") % 9 * 1000), _held(8, _held(1, F.lit("db"))), tag("k", F.col("tags")["k"]), tag("source", F.lit("src")))
+    out = X.decode_zipkin(P.zipkin_spans(_metric_body(spark, sf_dir, _held(1, span).alias("body"))))
+    value = lambda key: T.first_value(F.col("annotations"), key)
+    return out.filter("error IS NULL").select("seq", "name", "source", "trace_id", "start_ms", "duration_ms", value("span.kind").alias("kind"), value("service").alias("service"), value("k").alias("k"))

@@ -1,7 +1,11 @@
 """Rules, sampling, digests, logs to metrics and streaming forms."""
 
 import json
+import math
+import random
+import re
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -12,6 +16,7 @@ from pyspark.sql import functions as F
 from tallyvane.functions import digest as D
 from tallyvane.functions import tags as T
 from tallyvane.operators import aggregate as A
+from tallyvane.operators import conditions
 from tallyvane.operators import enrich as E
 from tallyvane.operators import logs as L
 from tallyvane.operators import ordering as K
@@ -37,8 +42,8 @@ def test_bad_rules(rule):
         R.parse(rule)
 
 
-def record(spark, name="some.metric", source="host", tags=None):
-    return spark.createDataFrame([(name, source, tags or {}, 1.0)], "name string, source string, tags map<string,string>, value double")
+def record(spark, name="some.metric", source="host", tags=None, value=1.0):
+    return spark.createDataFrame([(name, source, tags or {}, value)], "name string, source string, tags map<string,string>, value double")
 
 
 def test_rule_order_and_rejects(spark):
@@ -85,13 +90,106 @@ def test_expression_conditions(spark):
     assert met('time("10 minutes ago") < time("1 second ago")')
     assert met('{{k}} = "$value {{x}} it\'s"', tags={"k": "$value {{x}} it's"}) and met("({{metricName}} startsWith 'some') and ($value = 1)")
     assert met('not {{debug}} = "true"') and met('{{k}}.hashCode() = 1772899', tags={"k": "\U0001f600"})
+    clash = {"port": "web", "n": "7"}
+    assert not met("{{port}} > 8000", tags=clash) and met("{{port}} != 5 and not {{port}} = 5", tags=clash) and not met("{{port}} = $value", tags=clash) and met("{{n}} * 2 = 14 and {{n}} > 6.5", tags=clash)
+    assert not met("{{absent}} + 1 = 3") and not met("$value / 0 > 1") and not met("$value % 0 = 0 or -$value > 0") and not met("9223372036854775807 + 1 > 0") and met("(1 = 1) = true")
+    assert not met("$value = 1", value=None) and met("$value != 1", value=None)
+    for bad in ("$value $value", "$value", "'x'", "{{k}} and 1 = 1", "$value startsWith 'x'", "$value.hashCode() = 1", "(1 = 1) + 1 = 2", "1 < 2 < 3", "{{k}} = 'x' {{k}}", "not", "(" * 3000, "1 = 1)", "(1 = 1", "time('soon') > 1", "1 = true"):
+        with pytest.raises(R.RuleError):
+            R.parse({"rule": "r", "action": "count", "if": bad})
     for bad in ("current_user() = 'x'", "{{k}} = ", "startsWith 'x'", "$other > 1", "{{k}} contains )", '{{k}} = "x"; drop', ""):
         with pytest.raises(R.RuleError):
-            R.condition_sql(bad, "point")
+            R.parse({"rule": "r", "action": "count", "if": bad or " "})
     with pytest.raises(R.RuleError):
         R.parse({"rule": "r", "action": "count", "if": "java_method('a', 'b')"})
 
 
+def test_random_conditions(spark):
+    """Against a plain evaluation of the tree."""
+    rng = random.Random(9)
+    rows = [("web", "7", 2.0), ("", "-3.5", None), ("0", "abc", 0.0), ("12", "", 7.0)]
+    df = spark.createDataFrame([({"a": a, "b": b}, v) for a, b, v in rows], "tags map<string,string>, value double").coalesce(1)
+
+    def number(depth):
+        if depth and rng.random() < 0.5:
+            return f"({operand(depth - 1)} {rng.choice('+-*/%')} {operand(depth - 1)})"
+        return rng.choice(["1", "2.5", "$value", "0", "{{a}}.hashCode()", "-3"])
+
+    def operand(depth):
+        return rng.choice([number(depth), "{{a}}", "{{b}}", "'12'"])
+
+    def truth(depth):
+        if depth and rng.random() < 0.6:
+            return rng.choice([f"not {truth(depth - 1)}", f"({truth(depth - 1)} and {truth(depth - 1)})", f"({truth(depth - 1)} or {truth(depth - 1)})"])
+        if rng.random() < 0.2:
+            return f"{{{{a}}}} {rng.choice(['startsWith', 'endsWith', 'contains'])} '{rng.choice(['w', '1', ''])}'"
+        return f"{operand(2)} {rng.choice(['=', '!=', '<', '<=', '>', '>='])} {operand(2)}"
+
+    def read(x):
+        try:
+            return float(x) if re.fullmatch(r"[+-]?\d+(\.\d+)?", x) else None
+        except ValueError:
+            return None
+
+    def value(n, row):
+        a, b, v = row
+        of = [value(x, row) for x in n.of]
+        if n.op in ("text", "truth", "number"):
+            return n.value
+        if n.op in ("scope", "field"):
+            return {"a": a, "b": b, "value": v}[n.value]
+        if n.op == "hash":
+            h = 0
+            for c in of[0]:
+                h = (h * 31 + ord(c)) & 0xFFFFFFFF
+            return h - (1 << 32) if h >> 31 else h
+        if n.op in ("not", "and", "or"):
+            return not of[0] if n.op == "not" else of[0] and of[1] if n.op == "and" else of[0] or of[1]
+        if n.op in ("startswith", "endswith"):
+            return getattr(of[0], n.op)(of[1])
+        if n.op == "contains":
+            return of[1] in of[0]
+        if n.op in "+-*/%" or {x.kind for x in n.of} != {"text"}:
+            of = [read(x) if k.kind == "text" else x for x, k in zip(of, n.of)]
+        x, y = of
+        if n.op in "+-*/%":
+            if x is None or y is None or n.op in "/%" and y == 0:
+                return None
+            return {"+": lambda: x + y, "-": lambda: x - y, "*": lambda: x * y, "/": lambda: x / y, "%": lambda: math.fmod(x, y)}[n.op]()
+        if x is None or y is None:
+            return n.op == "!="
+        return {"=": x == y, "!=": x != y, "<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[n.op]
+
+    texts = [truth(3) for _ in range(120)]
+    trees = [conditions.read(t) for t in texts]
+    got = df.select(*[conditions.column(t, "point").alias(f"c{k}") for k, t in enumerate(trees)]).collect()
+    for row, found in zip(rows, got):
+        for k, tree in enumerate(trees):
+            assert found[k] == value(tree, row), (texts[k], row)
+
+
+def test_traffic_limits(spark):
+    rng = random.Random(2)
+    at = {key: sorted(rng.choice([k, k // 3, 400 + k // 9]) for k in range(300) for _ in range(rng.randint(0, 3))) for key in ("a", "b", None)}
+    df = spark.createDataFrame([(key, t) for key, times in at.items() for t in times], "key string, t long").withColumn("at", F.timestamp_seconds("t")).repartition(3)
+    got = {(r.key, r.second): r for r in A.traffic_limits(df, "at", ["key"], history=100).collect()}
+    for key, times in at.items():
+        counts, held, ring = Counter(times), 10_000_000.0, []
+        for second in range(times[0], times[-1] + 1):
+            ring = [*ring, counts[second]][-100:]
+            if len(ring) >= 60:
+                limit = 10 + sum(ring) / len(ring) * 1.15
+                applied = abs(held - limit) > 0.05 * held
+                held = limit if applied else held
+                r = got.pop((key, second), None)
+                if r is None:  # nothing changed in this second
+                    assert not applied and not counts[second]
+                else:
+                    assert (r.applied, r.n) == (applied, counts[second]) and abs(r.held - held) < 1e-9 and abs(r.rate_limit - limit) < 1e-9
+    assert not got
+    assert A.traffic_limits(df.filter("false"), "at", ["key"]).count() == 0
+
+
 def test_sampling(spark):
     rows = [("n", f"00000000-0000-0000-0000-{i:012x}", [("debug", "true")] if i == 99 else []) for i in range(100)]
     df = spark.createDataFrame(rows, f"name string, trace_id string, annotations {T.ANNOTATIONS}").withColumn("duration_ms", F.lit(5))
