@@ -6,13 +6,14 @@ k(q) = compression * (asin(2q - 1) + pi / 2) / pi. A bin of few values keeps eac
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 COMPRESSION, EXACT_VALUES, ACCURACY = 32, 40, 32
 #: Compression of what is compressed once more.
@@ -66,24 +67,78 @@ def run_length_column(centroids: Column) -> Column:
     return F.aggregate(centroids.cast(CENTROIDS), empty, step)
 
 
-def recompress_column(rows: DataFrame, column: str = "centroids", accuracy: int = ACCURACY) -> DataFrame:
-    """Only rows with more than twice the accuracy in centroids go through Python."""
+def _longer(column: Column, most: int, change: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> Column:
+    """Centroids, of which arrays of more than `most` are changed; only those are sent to Python."""
 
     @F.pandas_udf(CENTROIDS)
-    def shrink(lists: pd.Series) -> pd.Series:
+    def changed(lists: pd.Series) -> pd.Series:
         def one(items):
             if items is None:
                 return None
-            means, counts = recompress(np.array([x["mean"] for x in items], float), np.array([x["count"] for x in items], np.int64), accuracy)
+            means, counts = change(np.array([x["mean"] for x in items], float), np.array([x["count"] for x in items], np.int64))
             return [{"mean": float(m), "count": int(c)} for m, c in zip(means, counts)]
 
         return lists.map(one)
 
-    merged = run_length_column(F.col(column))
-    return rows.withColumn(column, merged).withColumn(column, F.when(F.size(column) > 2 * accuracy, shrink(column)).otherwise(F.col(column)))
+    return F.coalesce(changed(F.when(F.size(column) > most, column)), column)
 
 
-RANGE_VALUES, MAX_RANGES = 16_384, 1000
+def recompress_column(rows: DataFrame, column: str = "centroids", accuracy: int = ACCURACY) -> DataFrame:
+    """Only rows with more than twice the accuracy in centroids go through Python."""
+    rows = rows.withColumn(column, run_length_column(F.col(column)))
+    return rows.withColumn(column, _longer(F.col(column), 2 * accuracy, lambda means, counts: recompress(means, counts, accuracy)))
+
+
+def absorb(means: np.ndarray, counts: np.ndarray, more_means: np.ndarray, more_counts: np.ndarray, most: int = 4 * FINE, compression: int = FINE) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted centroids with others taken in: counted by value while they are `most` at most, compressed beyond that."""
+    means, at = np.unique(np.concatenate([means, more_means]), return_inverse=True)
+    counts = np.bincount(at, np.concatenate([counts, more_counts]), len(means)).astype(np.int64)
+    return compress(means, counts, compression) if len(means) > most else (means, counts)
+
+
+#: Rows that a task gathers before it digests them, and the parts that a bin's digests are merged in first.
+HELD_ROWS, PARTS = 262_144, 1000
+
+
+def _digested(table: pa.Table, by: list[str], most: int, compression: int) -> pa.Table:
+    """Rows with equal keys and means as one; the rows of keys that have more than `most` means as their centroids."""
+    group = np.zeros(table.num_rows, np.int64)
+    for name in by:
+        codes = table[name].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        _, group = np.unique(group * (int(codes.max(initial=0)) + 1) + codes, return_inverse=True)
+    mean, count = table["mean"].to_numpy(), table["count"].to_numpy()
+    order = np.lexsort((mean, group))
+    group, mean = group[order], mean[order]
+    starts = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (mean[1:] != mean[:-1]))[: len(order)])
+    group, mean, count, row = group[starts], mean[starts], np.add.reduceat(count[order], starts), order[starts]
+    sizes = np.bincount(group)
+    small = sizes[group] <= most
+    means, counts, rows = [mean[small]], [count[small]], [row[small]]
+    ends = np.cumsum(sizes)
+    for g in np.flatnonzero(sizes > most):
+        a, b = ends[g] - sizes[g], ends[g]
+        m, c = compress(mean[a:b], count[a:b], compression)
+        means.append(m), counts.append(c), rows.append(np.full(len(m), row[a]))
+    kept = table.take(pa.array(np.concatenate(rows)))
+    for name, values in (("mean", means), ("count", counts)):
+        kept = kept.set_column(kept.schema.get_field_index(name), table.schema.field(name), pa.array(np.concatenate(values), table.schema.field(name).type))
+    return kept
+
+
+def _task_digests(batches: Iterator[pa.RecordBatch], by: list[str], most: int, compression: int) -> Iterator[pa.RecordBatch]:
+    """A task's rows, digested by key; it holds HELD_ROWS rows and a batch at most and lets go of keys that fill half of that."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= HELD_ROWS:
+            held = _digested(pa.Table.from_batches(held), by, most, compression).combine_chunks().to_batches()
+            if sum(b.num_rows for b in held) > HELD_ROWS // 2:
+                yield from held
+                held = []
+    if held:
+        yield from _digested(pa.Table.from_batches(held), by, most, compression).combine_chunks().to_batches()
 
 
 def recompress_bins(values: DataFrame, keys: list[str], value: str = "value", count: str = "count", accuracy: int = ACCURACY) -> DataFrame:
@@ -93,37 +148,26 @@ def recompress_bins(values: DataFrame, keys: list[str], value: str = "value", co
 
 
 def digest_bins(values: DataFrame, keys: list[str], compression: int = COMPRESSION, value: str = "value", count: str = "count") -> DataFrame:
-    """A5: (keys, centroids) of weighted values.
+    """A5: (keys, centroids) of weighted values, in one pass over them.
 
-    Equal values of a bin are counted before they are shuffled. A bin of more than EXACT_VALUES distinct values is cut by
-    its quantiles into ranges of values, one for each RANGE_VALUES of them (MAX_RANGES at most), that are compressed by
-    themselves, so that no task gets a whole hot bin, and the ranges' centroids (at most some hundred each) are
-    compressed again.
+    Each task digests its own rows of a bin; digests are merged by bin and one of PARTS parts of the tasks, and then by bin. So what
+    is shuffled and gathered for a bin follows the number of tasks, never its values. A bin of EXACT_VALUES distinct values or
+    fewer keeps them all with their counts. Null keys are keys; values that are null or not finite, and counts that are null or 0 or less, are left out.
     """
-    counted = values.groupBy(*keys, F.col(value).alias("_v")).agg(F.sum(count).alias("_n"))
     kinds = {f.name: f.dataType for f in values.schema}
-    out_schema = ", ".join(f"`{k}` {kinds[k].simpleString()}" for k in keys) + ", mean double, count bigint"
-
-    def shrink(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_v", kind="stable")
-        means, counts = compress(pdf["_v"].to_numpy(float), pdf["_n"].to_numpy(np.int64), compression)
-        head = {k: [pdf[k].iloc[0]] * len(means) for k in keys}
-        return pd.DataFrame(head | {"mean": means, "count": counts})
-
-    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_key{n}")) for n, k in enumerate(keys)])
-    bins = counted.groupBy(*keys).agg(F.count("*").alias("_distinct"))
-    most = bins.agg(F.max("_distinct")).first()[0] or 0
-    ranges = min(MAX_RANGES, -(-most // RANGE_VALUES))
-    cuts = F.percentile_approx(F.col("_v").cast("double"), [i / ranges for i in range(1, ranges)], 10 * ranges) if ranges > 1 else F.lit(None).cast("array<double>")
-    facts = counted.groupBy(*keys).agg(F.count("*").alias("_distinct"), (cuts if ranges > 1 else F.first(cuts)).alias("_cuts"))
-    facts = facts.select(*[F.col(k).alias(f"_key{n}") for n, k in enumerate(keys)], "_distinct", F.when(F.col("_distinct") > RANGE_VALUES, F.col("_cuts")).alias("_cuts"))
-    sized = counted.join(facts, same)
-    exact = sized.filter(F.col("_distinct") <= EXACT_VALUES).select(*keys, F.col("_v").cast("double").alias("mean"), F.col("_n").cast("bigint").alias("count"))
-    wanted = F.ceil(F.col("_distinct") / RANGE_VALUES)
-    at = F.size(F.filter(F.coalesce("_cuts", F.array().cast("array<double>")), lambda c: c < F.col("_v").cast("double")))
-    large = sized.filter(F.col("_distinct") > EXACT_VALUES).select(*keys, "_v", "_n", F.floor(at * F.least(wanted, F.lit(ranges)) / max(1, ranges)).alias("_salt"))
-    parts = large.groupBy(*keys, "_salt").applyInPandas(lambda pdf: shrink(pdf), out_schema)
-    again = parts.select(*keys, F.col("mean").alias("_v"), F.col("count").alias("_n")).groupBy(*keys).applyInPandas(lambda pdf: shrink(pdf), out_schema)
-    rows = exact.unionByName(again)
-    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("mean", "count"))).alias("centroids"))
-
+    own = [f"_k{n}" for n in range(len(keys))]
+    # keys of types that are no plain values are told apart by their text
+    texts = {f"_t{n}": F.to_json(F.struct(k)) for n, k in enumerate(keys) if not isinstance(kinds[k], AtomicType)}
+    by = [*(o for o, k in zip(own, keys) if isinstance(kinds[k], AtomicType)), *texts]
+    rows = values.select(*[F.col(k).alias(o) for o, k in zip(own, keys)], *[c.alias(t) for t, c in texts.items()], F.col(value).cast("double").alias("mean"), F.col(count).cast("bigint").alias("count"))
+    rows = rows.filter((F.abs("mean") < float("inf")) & (F.col("count") > 0))
+    fine = max(FINE, compression)
+    dealt = rows.mapInArrow(lambda batches: _task_digests(batches, by, EXACT_VALUES, fine), rows.schema).withColumn("_part", F.spark_partition_id() % PARTS)
+
+    def merged(rows: DataFrame, to: list[str], compression: int) -> DataFrame:
+        counted = rows.repartition(*to).groupBy(*to, "mean").agg(F.sum("count").alias("count"))
+        arrays = counted.groupBy(*to).agg(F.array_sort(F.collect_list(F.struct("mean", "count"))).alias("centroids"))
+        return arrays.withColumn("centroids", _longer(F.col("centroids"), EXACT_VALUES, lambda means, counts: compress(means, counts, compression)))
+
+    parts = merged(dealt, [*own, "_part"], fine).select(*own, F.inline("centroids"))
+    return merged(parts, own, compression).select(*[F.col(o).alias(k) for o, k in zip(own, keys)], "centroids")

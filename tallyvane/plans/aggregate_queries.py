@@ -50,11 +50,15 @@ def a4_hour_day_rollup(spark, sf_dir):
     return A.roll_up(points(spark, sf_dir)).select("metric", "source", _entries(), "bin_start_ms", "duration_ms", "mean", "count")
 
 
-@query(f"""WITH {POINTS} SELECT metric, ts_ms // 86400000 * 86400000 AS bin_start_ms, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total, true AS close, true AS small FROM points GROUP BY ALL""")
-def a5_digest_invariants(spark, sf_dir):
-    """Centroids of day bins keep count and sum, their quantiles lie near the exact ones in rank, and they stay few."""
-    rows = points(spark, sf_dir).select("metric", A.bin_start(F.col("ts_ms"), A.DAY).alias("bin_start_ms"), "value", F.lit(1).alias("count"))
-    out = D.digest_bins(rows, ["metric", "bin_start_ms"])
+DAY_DIGESTS = f"""WITH {POINTS} SELECT metric, ts_ms // 86400000 * 86400000 AS bin_start_ms, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total, true AS close, true AS small FROM points GROUP BY ALL"""
+
+
+def _day_values(spark, sf_dir):
+    return points(spark, sf_dir).select("metric", A.bin_start(F.col("ts_ms"), A.DAY).alias("bin_start_ms"), "seq", "value", F.lit(1).alias("count"))
+
+
+def _invariants(out, rows):
+    """Count and sum of day digests, whether their ranks lie within 2 % of those of all values, and whether they are few."""
     total = F.aggregate("centroids", F.lit(0.0), lambda s, c: s + c["mean"] * c["count"])
     n = F.aggregate("centroids", F.lit(0).cast("bigint"), lambda s, c: s + c["count"])
     # the share of the count up to a centroid (half of its own) against the share of values below its mean, at most 2 % apart
@@ -69,6 +73,22 @@ def a5_digest_invariants(spark, sf_dir):
     return found.join(close, ["metric", "bin_start_ms"])
 
 
+@query(DAY_DIGESTS)
+def a5_digest_invariants(spark, sf_dir):
+    """Centroids of day bins keep count and sum, their quantiles lie near the exact ones in rank, and they stay few."""
+    rows = _day_values(spark, sf_dir)
+    return _invariants(D.digest_bins(rows, ["metric", "bin_start_ms"]), rows)
+
+
+@query(DAY_DIGESTS)
+def a8_absorbed_digests(spark, sf_dir):
+    """Day bins that were flushed as digests three times: the stored digest takes the later ones in and keeps what A5 keeps."""
+    rows, keys = _day_values(spark, sf_dir), ["metric", "bin_start_ms"]
+    third = F.least(F.col("seq") % 5, F.lit(2)).alias("flush")
+    flushed = D.digest_bins(rows.select(*keys, third, "value", "count"), [*keys, "flush"], D.FINE).select(*keys, F.inline("centroids"))
+    return _invariants(D.digest_bins(flushed, keys, value="mean"), rows)
+
+
 @query(f"""WITH {POINTS}, f AS (SELECT *, CASE WHEN lag(floor(value / 50)) OVER w IS NOT DISTINCT FROM floor(value / 50) THEN 0 ELSE 1 END AS new FROM points WINDOW w AS (PARTITION BY metric, source ORDER BY seq)),
   i AS (SELECT *, sum(new) OVER (PARTITION BY metric, source ORDER BY seq) AS island FROM f)
   SELECT metric, source, CAST(island AS BIGINT) AS island, floor(value / 50) AS mean, CAST(count(*) AS BIGINT) AS count FROM i GROUP BY ALL""")

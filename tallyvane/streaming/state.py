@@ -8,56 +8,66 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.digest import COMPRESSION, EXACT_VALUES, FINE, absorb, compress
 from ..operators.rules import RuleFile, apply_rules
 
 
+def _wait_until(state: GroupState, due_ms: int) -> None:
+    """A key's timer at its first due time; Spark drops timers with each batch that has rows of the key, so each sets it again."""
+    state.setTimeoutDuration(max(1, due_ms - state.getCurrentProcessingTimeMs()))
+
+
 def streaming_delta_sums(points: DataFrame, interval_ms: int = 30_000) -> DataFrame:
     """A1: (source, metric, tag_text, value) sums that are not zero, interval_ms after a key's first sample since its last
     emission. points: source, metric, tag_text, value; tag_text is the canonical text of the tags."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        total = state.get[0] if state.exists else 0.0
+        total, due = state.get if state.exists else (0.0, state.getCurrentProcessingTimeMs() + interval_ms)
         if state.hasTimedOut:
             state.remove()
             if total:
                 yield pd.DataFrame([(*key, total)], columns=["source", "metric", "tag_text", "value"])
             return
-        fresh = not state.exists
-        state.update((total + sum(float(b["value"].sum()) for b in batches),))
-        if fresh:
-            state.setTimeoutDuration(interval_ms)
+        state.update((total + sum(float(b["value"].sum()) for b in batches), due))
+        _wait_until(state, due)
 
     schema = "source string, metric string, tag_text string, value double"
-    return points.groupBy("source", "metric", "tag_text").applyInPandasWithState(update, schema, "total double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return points.groupBy("source", "metric", "tag_text").applyInPandasWithState(update, schema, "total double, due_ms long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
 
+def streaming_bins(values: DataFrame, ttl_ms: int = 70_000, most: int = 4 * FINE) -> DataFrame:
+    """(metric, source, tag_text, bin_start_ms, mean, count): centroids of bins ttl_ms after their first sample
+    arrived. Rows may be values with counts or centroids of other digests.
 
-def streaming_bins(values: DataFrame, ttl_ms: int = 70_000) -> DataFrame:
-    """(metric, source, tag_text, bin_start_ms, mean, count): counted values of bins ttl_ms after their first sample
-    arrived. The state of a bin is its distinct values with their counts."""
+    A bin's state is its digest: distinct values with their counts up to `most` of them, and beyond that centroids that take new
+    rows in, so its size is bounded however many values come. Bins of EXACT_VALUES distinct values or fewer are given as they are,
+    others compressed as in a batch. Means that are null or not finite and counts of 0 or less are left out.
+    """
     columns = ["metric", "source", "tag_text", "bin_start_ms"]
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        means, counts = state.get if state.exists else ([], [])
+        held, weights, due = state.get if state.exists else ([], [], state.getCurrentProcessingTimeMs() + ttl_ms)
+        means, counts = np.array(held, float), np.array(weights, np.int64)
         if state.hasTimedOut:
             state.remove()
-            rows = sorted(zip(means, counts))
-            yield pd.DataFrame([(*key, m, c) for m, c in rows], columns=[*columns, "mean", "count"])
+            if len(means) > EXACT_VALUES:
+                means, counts = compress(means, counts, COMPRESSION)
+            if len(means):
+                yield pd.DataFrame({**{c: [k] * len(means) for c, k in zip(columns, key)}, "mean": means, "count": counts})
             return
-        held = dict(zip(means, counts))
         for batch in batches:
-            for m, c in batch.groupby("mean")["count"].sum().items():
-                held[float(m)] = held.get(float(m), 0) + int(c)
-        fresh = not state.exists
-        state.update((list(held), list(held.values())))
-        if fresh:
-            state.setTimeoutDuration(ttl_ms)
+            batch = batch[np.isfinite(batch["mean"].to_numpy(float)) & (batch["count"] > 0)]
+            means, counts = absorb(means, counts, batch["mean"].to_numpy(float), batch["count"].to_numpy(np.int64), most)
+        state.update((means.tolist(), counts.tolist(), due))
+        _wait_until(state, due)
 
     schema = "metric string, source string, tag_text string, bin_start_ms long, mean double, count long"
-    return values.groupBy(*columns).applyInPandasWithState(update, schema, "means array<double>, counts array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return values.groupBy(*columns).applyInPandasWithState(update, schema, "means array<double>, counts array<long>, due_ms long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def streaming_counters(rows: DataFrame, idle_ms: int = 3_600_000) -> DataFrame:

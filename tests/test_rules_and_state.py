@@ -298,7 +298,7 @@ def test_span_logs_are_decided_by_their_own_line(spark):
 
 
 def test_large_bins_are_cut_by_values(spark, monkeypatch):
-    monkeypatch.setattr(D, "RANGE_VALUES", 500)
+    monkeypatch.setattr(D, "PARTS", 2)
     df = spark.range(5000).select((F.col("id") % 2).alias("k"), F.col("id").cast("double").alias("value"), F.lit(1).alias("count"))
     for r in D.digest_bins(df, ["k"]).collect():
         assert sum(c["count"] for c in r.centroids) == 2500 and len(r.centroids) < 200
@@ -308,6 +308,58 @@ def test_large_bins_are_cut_by_values(spark, monkeypatch):
             below += c["count"]
 
 
+def worst_rank(means, counts, values):
+    """How far a centroid's rank by weights is from its rank among the sorted values, as a share of them."""
+    middle = np.cumsum(counts) - np.asarray(counts) / 2
+    ranks = (np.searchsorted(values, means, "left") + np.searchsorted(values, means, "right")) / 2
+    return np.abs(middle - ranks).max() / len(values)
+
+
+def test_digests_in_one_pass(spark):
+    """A bin of 200000 distinct values, a null key and small bins beside it; keys that are arrays; what has no value goes."""
+    hot = spark.range(0, 200_000, 1, 16).select(F.lit(None).cast("string").alias("k"), F.array(F.lit("t")).alias("tags"), F.exp(F.col("id") / 20_000).alias("value"), F.lit(1).cast("long").alias("count"))
+    small = spark.range(0, 9_000, 1, 5).select((F.col("id") % 300).cast("string").alias("k"), F.array((F.col("id") % 2).cast("string")).alias("tags"), (F.col("id") % 7).cast("double").alias("value"), F.lit(2).cast("long").alias("count"))
+    bad = spark.createDataFrame([("bad", [], None, 1), ("bad", [], math.nan, 1), ("bad", [], math.inf, 1), ("bad", [], 1.0, 0), ("bad", [], 1.0, None), ("good", None, 1.0, 3)], "k string, tags array<string>, value double, count long")
+    rows = hot.unionByName(small).unionByName(bad)
+    out = D.digest_bins(rows, ["k", "tags"])
+    found = {(r.k, r.tags and tuple(r.tags)): r.centroids for r in out.collect()}
+    m, c = zip(*found.pop((None, ("t",))))
+    values = np.exp(np.arange(200_000) / 20_000)
+    assert sum(c) == 200_000 and len(c) <= 2 * D.EXACT_VALUES and np.dot(m, c) == pytest.approx(values.sum()) and worst_rank(m, c, values) <= 0.02
+    assert [tuple(x) for x in found.pop(("good", None))] == [(1.0, 3)] and ("bad", ()) not in found
+    want = Counter()
+    for i in range(9_000):
+        want[str(i % 300), (str(i % 2),), i % 7] += 2
+    assert {(*k, x["mean"]): x["count"] for k, v in found.items() for x in v} == want
+    assert str(out._jdf.queryExecution().optimizedPlan().toString()).count("Range (0, 200000") == 1  # the input is read once
+    assert D.digest_bins(rows.limit(0), ["k"]).collect() == []
+
+
+def test_tasks_let_go_of_many_keys(monkeypatch):
+    """What a task holds is bounded, whether values are many or keys."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(D, "HELD_ROWS", 2_000)
+    rng = np.random.default_rng(3)
+    keys = [None if k == 0 else f"k{k}" for k in np.minimum(rng.integers(0, 3_000, 20_000), 1_500).tolist()]
+    rows = pa.record_batch({"k": pa.array(keys), "mean": rng.random(20_000), "count": rng.integers(1, 9, 20_000)})
+    out = pa.Table.from_batches(list(D._task_digests((rows.slice(a, 500) for a in range(0, 20_000, 500)), ["k"], 40, 100))).to_pandas()
+    of = rows.to_pandas()
+    same = lambda df: df.assign(total=df["mean"] * df["count"]).groupby("k", dropna=False)[["count", "total"]].sum().sort_index()
+    assert np.allclose(same(out), same(of)) and len(out[out.k == "k1500"]) < 2_500 < 9_000 < len(of[of.k == "k1500"])
+
+
+def test_absorbed_values_stay_few():
+    rng = np.random.default_rng(4)
+    values, means, counts = rng.lognormal(0, 2, 1_000_000), np.array([]), np.array([], np.int64)
+    for a in range(0, 1_000_000, 10_000):
+        means, counts = D.absorb(means, counts, values[a : a + 10_000], np.ones(10_000, np.int64))
+        assert len(means) <= 4 * D.FINE
+    assert counts.sum() == 1_000_000 and np.dot(means, counts) == pytest.approx(values.sum()) and worst_rank(means, counts, np.sort(values)) <= 0.02
+    exact = D.absorb(*D.absorb(np.array([]), np.array([], np.int64), np.array([3.0, 1, 3]), np.array([1, 2, 1])), np.array([2.0, 1.0]), np.array([5, 1]))
+    assert [x.tolist() for x in exact] == [[1, 2, 3], [3, 5, 2]]
+
+
 def test_delivery(spark, tmp_path):
     df = spark.createDataFrame([("POINT", "a\nb\nc"), ("POINT", "ok"), ("LOGS", "down")], "entity string, payload string")
     post = lambda text: 413 if text.count("\n") >= 2 else 500 if text == "down" else 202
@@ -323,16 +375,22 @@ def test_delivery(spark, tmp_path):
     S.discard(df)
 
 
-def run_stream(spark, tmp_path, rows, schema, function, name, seconds=25):
+def run_stream(spark, tmp_path, rows, schema, function, name, seconds=25, later=None, enough="1 = 1"):
+    """Rows of the stream's first answer that is enough; `later` are rows that come in a batch of their own."""
     source = tmp_path / "in"
     source.mkdir()
-    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
+    first = rows if hasattr(rows, "schema") else spark.createDataFrame(rows, schema).coalesce(1)
+    first.write.mode("append").parquet(str(source))
     stream = spark.readStream.schema(schema).parquet(str(source))
     mode = "update" if name == "counts" else "append"
     q = function(stream).writeStream.format("memory").queryName(name).outputMode(mode).trigger(processingTime="500 milliseconds").option("checkpointLocation", str(tmp_path / "cp")).start()
     try:
         end = time.time() + seconds
-        while time.time() < end and not spark.sql(f"SELECT 1 FROM {name}").head(1):
+        while later and not q.recentProgress:
+            time.sleep(0.1)
+        if later:
+            spark.createDataFrame(later, schema).coalesce(1).write.mode("append").parquet(str(source))
+        while time.time() < end and not spark.sql(f"SELECT 1 FROM {name} HAVING count(*) > 0 AND {enough}").head(1):
             time.sleep(0.3)
         return [tuple(r) for r in spark.sql(f"SELECT * FROM {name}").collect()]
     finally:
@@ -351,6 +409,28 @@ def test_streaming_bins(spark, tmp_path):
     assert got == [("m", "s", "", 60_000, 1.0, 3), ("m", "s", "", 60_000, 5.0, 1)]
 
 
+def test_bins_with_rows_in_several_batches_are_released(spark, tmp_path):
+    """A key that gets rows again before its release is released all the same, at its first due time."""
+    schema = "metric string, source string, tag_text string, bin_start_ms long, mean double, count long"
+    one, two = [("m", "s", "", 60_000, 1.0, 1), ("m", "s", "", 60_000, None, 1)], [("m", "s", "", 60_000, 1.0, 2), ("m", "s", "", 60_000, 5.0, 1)]
+    got = run_stream(spark, tmp_path, one, schema, lambda s: Z.streaming_bins(s, 4_000), "again", 40, two, "sum(count) = 4")
+    assert sum(r[5] for r in got) == 4 and {r[4] for r in got} == {1.0, 5.0}
+
+
+def test_deltas_in_several_batches_are_released(spark, tmp_path):
+    one, two = [("h", "∆a", "", 1.0)], [("h", "∆a", "", 2.5)]
+    got = run_stream(spark, tmp_path, one, "source string, metric string, tag_text string, value double", lambda s: Z.streaming_delta_sums(s, 4_000), "more_deltas", 40, two, "sum(value) = 3.5")
+    assert sum(r[3] for r in got) == 3.5
+
+
+def test_stream_of_a_million_values_in_a_bin(spark, tmp_path):
+    values = spark.range(0, 1_000_000, 1, 4).select(F.lit("m").alias("metric"), F.lit("s").alias("source"), F.lit("").alias("tag_text"), F.lit(60_000).cast("long").alias("bin_start_ms"), F.col("id").cast("double").alias("mean"), F.lit(1).cast("long").alias("count"))
+    schema = "metric string, source string, tag_text string, bin_start_ms long, mean double, count long"
+    got = sorted(run_stream(spark, tmp_path, values, schema, lambda s: Z.streaming_bins(s, 300), "million", 60, enough="sum(count) = 1000000"), key=lambda r: r[4])
+    means, counts = np.array([r[4] for r in got]), np.array([r[5] for r in got])
+    assert counts.sum() == 1_000_000 and len(got) <= 2 * D.EXACT_VALUES and worst_rank(means, counts, np.arange(1_000_000.0)) <= 0.02
+
+
 def test_streaming_counters(spark, tmp_path):
     got = run_stream(spark, tmp_path, [("m", "s", "", 4), ("m", "s", "", 3)], "metric string, source string, tag_text string, n long", Z.streaming_counters, "counts")
     assert got == [("m", "s", "", 7)]
