@@ -11,6 +11,7 @@ from ..operators import lines as L
 from ..operators import otlp as O
 from ..operators import traces as X
 from ..operators.logs import filebeat_lines
+from ..sources import frames
 from ..sources import protobuf as P
 from ..sources import wire as S
 from ..streaming import ingest
@@ -629,3 +630,39 @@ def s15_zipkin_protobuf(spark, sf_dir):
     out = X.decode_zipkin(P.zipkin_spans(_metric_body(spark, sf_dir, _held(1, span).alias("body"))))
     value = lambda key: T.first_value(F.col("annotations"), key)
     return out.filter("error IS NULL").select("seq", "name", "source", "trace_id", "start_ms", "duration_ms", value("span.kind").alias("kind"), value("service").alias("service"), value("k").alias("k"))
+
+
+def _number(n: Column, size: int = 4) -> Column:
+    """A number with the most significant byte first."""
+    return F.unhex(F.lpad(F.hex(n.cast("long")), 2 * size, "0"))
+
+
+def _window(n: int) -> Column:
+    return F.concat(F.lit("2W").cast("binary"), _number(F.lit(n)))
+
+
+def _message(sequence: int, text: Column) -> Column:
+    return F.concat(F.lit("2J").cast("binary"), _number(F.lit(sequence)), _number(F.octet_length(text)), text.cast("binary"))
+
+
+@query(f"""WITH {POINTS}, m AS (SELECT seq, unnest(CASE seq % 4
+    WHEN 0 THEN [{{'batch': 0, 'sequence': 1, 'line': metric}}, {{'batch': 0, 'sequence': 2, 'line': metric}}, {{'batch': 1, 'sequence': 1, 'line': k}}]
+    WHEN 1 THEN [{{'batch': 0, 'sequence': 1, 'line': 'pair ' || k}}] WHEN 2 THEN [{{'batch': 0, 'sequence': 7, 'line': metric}}]
+    ELSE [{{'batch': 0, 'sequence': 1, 'line': metric}}, {{'batch': 0, 'sequence': NULL, 'line': NULL}}] END) AS m, source, ts_ms FROM points)
+  SELECT seq, m.batch AS batch, CAST(m.sequence AS BIGINT) AS sequence, m.line AS line, CASE WHEN m.line IS NOT NULL THEN ts_ms END AS ts_ms, CASE WHEN m.line IS NULL OR seq % 4 = 1 THEN 'unknown' ELSE source END AS source,
+    CASE WHEN m.line IS NULL THEN 'payload ends within a frame' END AS error FROM m""")
+def s10_frames(spark, sf_dir):
+    """Payloads of both versions, some cut; each was sent twice, and what was sent again goes. Frames in frames: tests/test_frames.py."""
+    stamp = F.date_format(F.timestamp_millis("ts_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    event = lambda line: F.to_json(F.struct(line.alias("message"), stamp.alias("@timestamp"), F.struct(F.col("source").alias("hostname")).alias("beat")))
+    metric, k = event(F.col("metric")), event(F.col("tags")["k"])
+    text = lambda x: F.concat(_number(F.octet_length(x)), x.cast("binary"))
+    pairs = F.concat(F.lit("1D").cast("binary"), _number(F.lit(1)), _number(F.lit(2)), text(F.lit("message")), text(F.concat(F.lit("pair "), F.col("tags")["k"])), text(F.lit("@timestamp")), text(stamp))
+    n = F.col("seq") % 4
+    two = F.concat(_window(2), _message(1, metric), _message(2, metric), _window(1), _message(1, k))
+    cut = F.concat(_window(2), _message(1, metric), _message(2, k))
+    body = F.when(n == 0, two).when(n == 1, F.concat(F.lit("1").cast("binary"), F.substring(_window(1), 2, 5), pairs)).when(n == 2, F.concat(_window(1), _message(7, metric))).otherwise(F.substring(cut, F.lit(1), F.octet_length(cut) - 1))
+    sent = points(spark, sf_dir).select("seq", body.alias("content")).withColumn("time", F.explode(F.array(F.lit(0), F.lit(1))))
+    found = frames.drop_resent_batches(frames.decode_frames(sent, "content"), ["seq", "time"], ["seq"]).filter("time = 0 OR error IS NULL")
+    reason = F.col("error").alias("reason")
+    return filebeat_lines(found.select("seq", "batch", "sequence", "message", reason), "message").select("seq", "batch", "sequence", "line", "ts_ms", "source", F.coalesce("reason", "error").alias("error"))
