@@ -32,7 +32,7 @@ PLACES = ("application", "cluster", "shard")
 def _tag_pairs(tags: Column) -> Column:
     """Jaeger tags as (key, value) texts without samplers', blank and binary ones."""
     text = lambda t: F.coalesce(t["vStr"], t["vBool"].cast("string"), t["vLong"].cast("string"), t["vDouble"].cast("string"))
-    good = F.filter(F.coalesce(tags, F.array().cast(f"array<{TAG}>")), lambda t: ~t["key"].startswith("sampler.") & (F.trim(text(t)) != "") & ~F.coalesce(t["vType"] == "BINARY", F.lit(False)))
+    good = F.filter(F.coalesce(tags, F.array().cast(f"array<{TAG}>")), lambda t: ~t["key"].isin("sampler.type", "sampler.param") & (F.trim(text(t)) != "") & ~F.coalesce(t["vType"] == "BINARY", F.lit(False)))
     return F.transform(good, lambda t: F.struct(t["key"].alias("key"), text(t).alias("value")))
 
 
@@ -43,25 +43,35 @@ def _default_tags(pairs: Column, process: Column, defaults: dict[str, str]) -> l
 
 
 def decode_jaeger(batches: DataFrame, body: str = "body", defaults: dict[str, str] | None = None, default_source: str = "jaeger") -> DataFrame:
-    """Spans of Jaeger batches, and a row with the error for what is none. CHILD_OF references also give a follows-from tag,
-    as the wire port does."""
-    parsed = batches.withColumn("_b", F.from_json(body, JAEGER))
-    out = parsed.withColumn("_bad", F.col("_b.spans").isNull() & F.col("_b.process").isNull() | F.col("_b").isNull()).withColumn("_s", F.explode_outer("_b.spans")).filter("_s IS NOT NULL OR _bad")
+    """Spans of Jaeger batches, and a row with the error for what is none. CHILD_OF references to another span than the parent
+    give one more parent, and all give a follows-from tag, as the wire port does; service tags give way to the process's service.
+
+    The body is JSON, or what sources.thrift read.
+    """
+    if dict(batches.dtypes)[body] == "string":
+        parsed = batches.withColumn("_b", F.from_json(body, JAEGER))
+        parsed = parsed.withColumn("_bad", F.when(F.col("_b.spans").isNull() & F.col("_b.process").isNull() | F.col("_b").isNull(), F.lit("not a Jaeger batch")))
+    else:
+        parsed = batches.withColumn("_b", F.col(body)["message"]).withColumn("_bad", F.col(body)["error"])
+    out = parsed.withColumn("_s", F.explode_outer("_b.spans")).filter("_s IS NOT NULL OR _bad IS NOT NULL")
     out = out.withColumn("_tags", _tag_pairs(F.col("_s.tags"))).withColumn("_process", _tag_pairs(F.col("_b.process.tags")))
     own, process = F.col("_tags"), F.col("_process")
     source = F.coalesce(T.first_value(own, "source"), T.first_value(process, "source"), T.first_value(process, "hostname"), F.lit(default_source))
     trace = T.uuid_of_hex(F.concat(F.lpad(F.coalesce("_s.traceIdHigh", F.lit("")), 16, "0"), F.lpad("_s.traceIdLow", 16, "0")))
     parent = F.when(F.coalesce("_s.parentSpanId", F.lit("0")).rlike("[^0]"), T.uuid_of_hex(F.col("_s.parentSpanId")))
-    ref = F.transform(F.filter(F.coalesce("_s.references", F.array()), lambda r: r["refType"].isin("CHILD_OF", "FOLLOWS_FROM")), lambda r: T.annotation("followsFrom", T.uuid_of_hex(r["spanId"])))
-    kept = F.filter(own, lambda p: ~p["key"].isin("source", "error", *PLACES))
-    inherited = F.filter(process, lambda p: ~p["key"].isin("source", "hostname", *PLACES) & ~F.exists(own, lambda q: q["key"] == p["key"]))
-    set_tags = [("service", F.col("_b.process.serviceName")), *_default_tags(own, process, defaults or {}), ("jaegerSpanId", F.col("_s.spanId")), ("jaegerTraceId", F.concat(F.coalesce("_s.traceIdHigh", F.lit("")), "_s.traceIdLow")), ("parent", parent), ("error", F.when(T.first_value(own, "error") == "true", F.lit("true"))), ("_spanLogs", F.when(F.size("_s.logs") > 0, F.lit("true")))]
-    annotations = F.concat(F.filter(F.array(*[T.annotation(k, v) for k, v in set_tags]), lambda a: a["value"].isNotNull()), kept.cast(T.ANNOTATIONS), inherited.cast(T.ANNOTATIONS), ref.cast(T.ANNOTATIONS))
+    named = F.filter(F.coalesce("_s.references", F.array()), lambda r: r["refType"].isin("CHILD_OF", "FOLLOWS_FROM") & r["spanId"].rlike("[^0]"))
+    ref = F.transform(named, lambda r: T.annotation("followsFrom", T.uuid_of_hex(r["spanId"])))
+    others = F.transform(F.filter(named, lambda r: (r["refType"] == "CHILD_OF") & ~F.coalesce(T.uuid_of_hex(r["spanId"]) == parent, F.lit(False))), lambda r: T.annotation("parent", T.uuid_of_hex(r["spanId"])))
+    kept = F.filter(own, lambda p: ~p["key"].isin("source", "service", *PLACES))
+    bare_trace = F.regexp_replace(F.regexp_replace(trace, "-", ""), "^0{1,31}", "")
+    inherited = F.filter(process, lambda p: ~p["key"].isin("source", "hostname", "service", *PLACES) & ~F.exists(own, lambda q: q["key"] == p["key"]))
+    set_tags = [("service", F.col("_b.process.serviceName")), *_default_tags(own, process, defaults or {}), ("jaegerSpanId", F.regexp_replace("_s.spanId", "^0+(?=.)", "")), ("jaegerTraceId", bare_trace), ("parent", parent), ("_spanLogs", F.when(F.size("_s.logs") > 0, F.lit("true")))]
+    annotations = F.concat(F.filter(F.array(*[T.annotation(k, v) for k, v in set_tags]), lambda a: a["value"].isNotNull()), kept.cast(T.ANNOTATIONS), inherited.cast(T.ANNOTATIONS), others.cast(T.ANNOTATIONS), ref.cast(T.ANNOTATIONS))
     logs = F.transform("_s.logs", lambda x: F.struct(x["timestamp"].alias("ts_us"), T.from_pairs(_tag_pairs(x["fields"])).alias("fields")))
     return out.select(
         *batches.columns, F.col("_s.operationName").alias("name"), source.alias("source"), T.uuid_of_hex(F.col("_s.spanId")).alias("span_id"), trace.alias("trace_id"),
         T.whole(F.col("_s.startTime"), 1000).alias("start_ms"), T.whole(F.col("_s.duration"), 1000).alias("duration_ms"), annotations.alias("annotations"), logs.alias("logs"),
-        F.when(F.col("_bad"), F.lit("not a Jaeger batch")).alias("error"),
+        F.col("_bad").alias("error"),
     )
 
 

@@ -13,6 +13,7 @@ from ..operators import traces as X
 from ..operators.logs import filebeat_lines
 from ..sources import frames
 from ..sources import protobuf as P
+from ..sources import thrift
 from ..sources import wire as S
 from ..streaming import ingest
 from .registry import query
@@ -369,9 +370,14 @@ def _tag(key: str, value: Column) -> Column:
     return F.struct(F.lit(key).alias("key"), F.lit("STRING").alias("vType"), value.alias("vStr"))
 
 
-@query(f"""WITH {POINTS} SELECT seq, metric AS name, CASE WHEN seq % 2 = 0 THEN source ELSE 'p-host' END AS source, {UUID.format(f"lpad(left({HEX}, 16), 32, '0')")} AS span_id,
-  ts_ms AS start_ms, seq % 9 AS duration_ms, 'application=' || CASE WHEN seq % 3 = 0 THEN 'own' ELSE 'proc' END || ',cluster=none,' || CASE WHEN seq % 5 = 0 THEN 'error=true,' ELSE '' END
-  || 'followsFrom=' || {UUID.format(f"lpad(right({HEX}, 16), 32, '0')")} || ',jaegerSpanId=' || left({HEX}, 16) || ',jaegerTraceId=' || right({HEX}, 16) || ',k=' || k || ',service=svc,shard=none' AS annotations FROM points""")
+#: Columns of spans that a JSON and a thrift batch give alike.
+JAEGER_SQL = f"""metric AS name, CASE WHEN seq % 2 = 0 THEN source ELSE 'p-host' END AS source, {UUID.format(f"lpad(left({HEX}, 16), 32, '0')")} AS span_id,
+  ts_ms AS start_ms, seq % 9 AS duration_ms, 'application=' || CASE WHEN seq % 3 = 0 THEN 'own' ELSE 'proc' END || ',cluster=none,error=' || CASE WHEN seq % 5 = 0 THEN 'true' ELSE 'false' END
+  || ',followsFrom=' || {UUID.format(f"lpad(right({HEX}, 16), 32, '0')")} || ',jaegerSpanId=' || ltrim(left({HEX}, 16), '0') || ',jaegerTraceId=' || ltrim(right({HEX}, 16), '0') || ',k=' || k
+  || ',parent=' || {UUID.format(f"lpad(right({HEX}, 16), 32, '0')")} || ',service=svc,shard=none' AS annotations"""
+
+
+@query(f"WITH {POINTS} SELECT seq, {JAEGER_SQL} FROM points")
 def d27_jaeger(spark, sf_dir):
     hexes = F.md5(F.col("seq").cast("string").cast("binary"))
     own = F.filter(F.array(
@@ -666,3 +672,72 @@ def s10_frames(spark, sf_dir):
     found = frames.drop_resent_batches(frames.decode_frames(sent, "content"), ["seq", "time"], ["seq"]).filter("time = 0 OR error IS NULL")
     reason = F.col("error").alias("reason")
     return filebeat_lines(found.select("seq", "batch", "sequence", "message", reason), "message").select("seq", "batch", "sequence", "line", "ts_ms", "source", F.coalesce("reason", "error").alias("error"))
+
+
+Both = tuple[Column, Column]
+
+
+def _thrift_long(n: Column) -> Both:
+    """A long in the binary and in the compact protocol, where it has all of its ten bytes."""
+    n = n.cast("long")
+    zigzag = F.shiftleft(n, 1).bitwiseXOR(F.shiftright(n, 63))
+    septets = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: F.lpad(F.hex(F.call_function("shiftrightunsigned", zigzag, 7 * k).bitwiseAND(127) + F.when(k < 9, 128).otherwise(0)), 2, "0"))
+    return _number(n, 8), F.unhex(F.array_join(septets, ""))
+
+
+def _thrift_text(text: Column) -> Both:
+    """Texts of less than 128 bytes."""
+    size = F.octet_length(text)
+    return F.concat(_number(size), text.cast("binary")), F.concat(_number(size, 1), text.cast("binary"))
+
+
+def _thrift_choice(n: int) -> Both:
+    return _number(F.lit(n)), _varint(F.lit(2 * n))
+
+
+def _thrift_struct(**fields: Both) -> Both:
+    """Fields by names of a kind and a number; the compact protocol has steps from the field before."""
+    kinds = {"long": (10, 6), "text": (11, 8), "choice": (8, 5), "struct": (12, 12), "list": (15, 9)}
+    parts: list[list[Column]] = [[], []]
+    before = 0
+    for name, value in fields.items():
+        kind, number = name.split("_")[0], int(name.split("_")[1])
+        heads = f"{kinds[kind][0]:02x}{number:04x}", f"{number - before << 4 | kinds[kind][1]:02x}"
+        before = number
+        for part, head, x in zip(parts, heads, value):
+            part += [F.unhex(F.lit(head)), x]
+    end = F.unhex(F.lit("00"))
+    return F.concat(*parts[0], end), F.concat(*parts[1], end)
+
+
+def _thrift_list(*structs: Both) -> Both:
+    n = len(structs)
+    return F.concat(F.unhex(F.lit(f"0c{n:08x}")), *[x for x, _ in structs]), F.concat(F.unhex(F.lit(f"{n << 4 | 12:02x}")), *[x for _, x in structs])
+
+
+def _thrift_tag(key: str, value: Column) -> Both:
+    return _thrift_struct(text_1=_thrift_text(F.lit(key)), choice_2=_thrift_choice(0), text_3=_thrift_text(value))
+
+
+@query(f"""WITH {POINTS} SELECT seq, error, CASE WHEN error IS NULL THEN name END AS name, CASE WHEN error IS NULL THEN source ELSE 'jaeger' END AS source, CASE WHEN error IS NULL THEN span_id END AS span_id, CASE WHEN error IS NULL THEN start_ms END AS start_ms,
+  CASE WHEN error IS NULL THEN duration_ms END AS duration_ms, CASE WHEN error IS NULL THEN annotations END AS annotations FROM (SELECT seq, {JAEGER_SQL}, CASE WHEN seq % 10 = 3 THEN 'body ends within a field' END AS error FROM points)""")
+def s14_jaeger_thrift(spark, sf_dir):
+    """Batches in the binary protocol, and of odd rows in the compact one; one in ten is cut. The spans are those of d27_jaeger."""
+    hexes = F.md5(F.col("seq").cast("string").cast("binary"))
+    ids = [F.conv(F.substring(hexes, start, 16), 16, -10).cast("long").alias(name) for name, start in (("high", 1), ("low", 17))]
+    given = points(spark, sf_dir).select("seq", "metric", "source", "ts_ms", "tags", *ids)
+    low, high, zero, blank = _thrift_long(F.col("low")), _thrift_long(F.col("high")), _thrift_long(F.lit(0)), F.lit(" ")
+    own = _thrift_list(
+        _thrift_tag("k", F.col("tags")["k"]), _thrift_tag("sampler.type", F.lit("const")), _thrift_tag("blank", blank), _thrift_tag("source", F.when(F.col("seq") % 2 == 0, F.col("source")).otherwise(blank)),
+        _thrift_tag("application", F.when(F.col("seq") % 3 == 0, F.lit("own")).otherwise(blank)), _thrift_tag("error", F.when(F.col("seq") % 5 == 0, F.lit("true")).otherwise(F.lit("false"))),
+    )
+    reference = _thrift_struct(choice_1=_thrift_choice(0), long_2=zero, long_3=zero, long_4=low)
+    span = _thrift_struct(
+        long_1=low, long_2=zero, long_3=high, long_4=zero, text_5=_thrift_text(F.col("metric")), list_6=_thrift_list(reference), choice_7=_thrift_choice(1), long_8=_thrift_long(F.col("ts_ms") * 1000 + 999),
+        long_9=_thrift_long(F.col("seq") % 9 * 1000 + 1), list_10=own,
+    )
+    process = _thrift_struct(text_1=_thrift_text(F.lit("svc")), list_2=_thrift_list(_thrift_tag("hostname", F.lit("p-host")), _thrift_tag("application", F.lit("proc"))))
+    binary, compact = _thrift_struct(struct_1=process, list_2=_thrift_list(span))
+    bodies = given.select("seq", F.when(F.col("seq") % 2 == 0, binary).otherwise(compact).alias("body")).select("seq", _cut(F.col("body")))
+    out = X.decode_jaeger(thrift.jaeger_batches(bodies))
+    return out.select("seq", "name", "source", "span_id", "start_ms", "duration_ms", F.when(F.col("error").isNull(), _annotation_text()).alias("annotations"), "error")

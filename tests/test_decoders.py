@@ -113,11 +113,11 @@ def test_cumulative_histogram(spark):
 
 
 def test_jaeger_child_of_also_follows(spark):
-    body = '{"process":{"serviceName":"s"},"spans":[{"traceIdLow":"a","spanId":"b","operationName":"o","startTime":1999,"duration":1999,"references":[{"refType":"CHILD_OF","spanId":"c"}],"tags":[{"key":"error","vBool":true},{"key":"sampler.p","vStr":"x"}]}]}'
+    body = '{"process":{"serviceName":"s"},"spans":[{"traceIdLow":"a","spanId":"b","operationName":"o","startTime":1999,"duration":1999,"references":[{"refType":"CHILD_OF","spanId":"c"}],"tags":[{"key":"error","vBool":true},{"key":"sampler.param","vStr":"x"},{"key":"service","vStr":"x"}]}]}'
     r = X.decode_jaeger(lines(spark, body, name="body")).first()
     keys = {a.key: a.value for a in r.annotations}
     assert (r.start_ms, r.duration_ms, keys["error"], keys["service"]) == (1, 1, "true", "s")
-    assert keys["followsFrom"].endswith("00000000000c") and "sampler.p" not in keys
+    assert keys["followsFrom"].endswith("00000000000c") and "sampler.param" not in keys and keys["parent"] == keys["followsFrom"]
 
 
 def test_zipkin_of_the_first_version(spark):
