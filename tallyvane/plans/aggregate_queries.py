@@ -11,6 +11,7 @@ from ..operators import logs as L
 from ..operators import ordering as K
 from ..operators import rules as R
 from ..sinks import delivery as S
+from ..streaming.held import with_live_series
 from .registry import query
 from .views import CHANGES, POINTS, SPANS, deltas, log_lines, points, scratch, source_tag_changes, spans, table
 
@@ -220,6 +221,25 @@ def l5_gauge(spark, sf_dir):
     return L.gauges(rows, F.struct("ts_ms", "seq")).select("metric", "value")
 
 
+@query(f"""WITH {POINTS}, p AS (SELECT *, CAST(floor(value) AS DOUBLE) AS v, seq % 4 AS b, seq // 4 % 3 AS m FROM points WHERE value IS NOT NULL)
+  SELECT f.flush, CASE m WHEN 0 THEN 'removed' WHEN 1 THEN 'kept' ELSE 'idle' END AS matcher, metric, source, CASE WHEN m = 1 THEN arg_max(v, (b, ts_ms, seq)) ELSE sum(v) END AS value
+  FROM p JOIN (SELECT unnest(range(4)) AS flush) AS f ON CASE m WHEN 0 THEN f.flush <= 1 AND b <= f.flush OR f.flush = 3 AND b = 3 WHEN 1 THEN b <= f.flush ELSE b = 0 AND f.flush <= 2 END
+  GROUP BY f.flush, m, metric, source HAVING m <> 1 OR f.flush < 3 OR max(b) >= 2""")
+def l8_live_series(spark, sf_dir):
+    """Counters and gauges over four flushes: one matcher is removed before the third and comes back for the fourth, when series that
+    nothing came for since the second have been idle for too long."""
+    matcher = F.get(F.array(*[F.lit(x) for x in ("removed", "kept", "idle")]), (F.floor(F.col("seq") / 4) % 3).cast("int"))
+    rows = points(spark, sf_dir).select(matcher.alias("matcher"), F.when(matcher == "kept", F.lit("gauge")).otherwise(F.lit("counter")).alias("kind"), "metric", "source", F.lit("").alias("tag_text"), F.floor("value").cast("double").alias("value"), "ts_ms", "seq")
+    rows = rows.filter("matcher <> 'idle' OR seq % 4 = 0")
+    out, times, sets = scratch(spark, "live-series"), [0, 1_000_000, 2_000_000, 5_000_000], [["removed", "kept", "idle"]] * 2 + [["kept", "idle"], ["removed", "kept", "idle"]]
+    at = [0]
+    each = with_live_series(f"{out}/held", lambda: sets[at[0]], lambda live, epoch: live.write.mode("overwrite").parquet(f"{out}/rows/flush={epoch}"), now=lambda: times[at[0]])
+    for epoch in range(4):  # a stream's micro-batches
+        at[0] = epoch
+        each(rows.filter(F.col("seq") % 4 == epoch), epoch)
+    return spark.read.parquet(f"{out}/rows").select(F.col("flush").cast("long").alias("flush"), "matcher", "metric", "source", "value")
+
+
 @query(f"WITH {LOGS} SELECT op || '.totalSeconds' AS metric, {TAGS} AS tags, ts_ms // 60000 * 60000 AS bin_start_ms, CAST(v AS DOUBLE) AS mean, count(*) AS count FROM ops GROUP BY ALL")
 def l6_histogram_bins(spark, sf_dir):
     return L.histogram_bins(L.matched(log_lines(spark, sf_dir), OPERATION)).select("metric", _entries(), "bin_start_ms", "mean", "count")

@@ -10,8 +10,9 @@ from ..operators import enrich as E
 from ..operators import rules as R
 from ..operators import sample as X
 from ..operators import validate as V
+from ..streaming.held import with_host_tags
 from .registry import query
-from .views import POINTS, SPANS, points, records, spans, table
+from .views import POINTS, SPANS, points, records, scratch, spans, table
 
 
 def _out(df: DataFrame) -> DataFrame:
@@ -226,9 +227,12 @@ def e1_source_fallback(spark, sf_dir):
     return E.fill_source(rows, hosts, "address").select("seq", "source")
 
 
-@query(f"""WITH {POINTS}, t AS (SELECT source, ts_ms, max(k) AS rack FROM points WHERE seq % 4 = 0 GROUP BY 1, 2)
+AS_OF_SQL = f"""WITH {POINTS}, t AS (SELECT source, ts_ms, max(k) AS rack FROM points WHERE seq % 4 = 0 GROUP BY 1, 2)
   SELECT p.seq, p.source, CASE WHEN t.rack IS NULL THEN 'k=' || p.k ELSE 'k=' || p.k || ',rack=' || t.rack END AS tags
-  FROM points p ASOF LEFT JOIN t ON p.source = t.source AND p.ts_ms >= t.ts_ms""")
+  FROM points p ASOF LEFT JOIN t ON p.source = t.source AND p.ts_ms >= t.ts_ms"""
+
+
+@query(AS_OF_SQL)
 def e3_host_tags_asof(spark, sf_dir):
     p = points(spark, sf_dir)
     known = p.filter("seq % 4 = 0").groupBy("source", "ts_ms").agg(F.max(F.col("tags")["k"]).alias("rack"))
@@ -236,6 +240,21 @@ def e3_host_tags_asof(spark, sf_dir):
     return E.host_tags_as_of(p, host_tags).select("seq", "source", T.tag_text(F.col("tags")).alias("tags"))
 
 
+@query(AS_OF_SQL)
+def e3_host_tags_stream(spark, sf_dir):
+    """The same tags where samples and intake come in three batches, those of earlier times first."""
+    p = points(spark, sf_dir)
+    known = p.filter("seq % 4 = 0").groupBy("source", "ts_ms").agg(F.max(F.col("tags")["k"]).alias("rack"))
+    intake = known.select("source", "ts_ms", F.create_map(F.lit("rack"), F.col("rack")).alias("system_tags"))
+    arrivals = p.select("seq", "source", "ts_ms", "tags").unionByName(intake, allowMissingColumns=True)
+    first, last = p.agg(F.min("ts_ms"), F.max("ts_ms")).first()
+    out = scratch(spark, "host-tags")
+    each = with_host_tags(f"{out}/held", lambda rows, epoch: rows.write.mode("overwrite").parquet(f"{out}/rows/epoch={epoch}"))
+    for epoch in range(3):  # a stream's micro-batches
+        each(arrivals.filter(F.floor((F.col("ts_ms") - (first or 0)) * 3 / ((last or 0) - (first or 0) + 1)) == epoch), epoch)
+    return spark.read.parquet(f"{out}/rows").select("seq", "source", T.tag_text(F.col("tags")).alias("tags"))
+
+
 def _policies() -> list[tuple[str, Column, int]]:
     return [("slow", F.col("duration_ms") > 40, 60), ("urgent", F.col("name") == "1-URGENT", 25), ("none", F.col("name") == "5-LOW", 0), ("supplier", F.col("source").endswith("1"), 25)]
 

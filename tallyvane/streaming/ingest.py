@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -124,23 +124,37 @@ def points_of_lines(lines: DataFrame, rules: Rules) -> DataFrame:
     return rows_of_entity(dispatched(lines), rules, "POINT")
 
 
-def write_batch(lines: DataFrame, rules: Rules, accepted: str, dead_letters: str, epoch: int = 0) -> None:
-    """Accepted rows to <accepted>/<entity>/epoch=<n>, rejected lines to <dead_letters>/entity=<entity>/epoch=<n>; only entities the batch has."""
-    some = dispatched(lines).persist()
+def write_batch(lines: DataFrame, rules: Rules, accepted: str, dead_letters: str, epoch: int = 0) -> dict[str, tuple[int, int]]:
+    """Accepted rows to <accepted>/<entity>/epoch=<n>, rejected lines to <dead_letters>/entity=<entity>/epoch=<n>; only entities the batch has.
+
+    Gives V3's counts by entity, (accepted, rejected), observed by the writes themselves.
+    """
+    some, counts = dispatched(lines).persist(), {}
     try:
         present = [r.entity for r in some.select("entity").distinct().collect()]  # seven at most
         for entity in present:
             rows = rows_of_entity(some, rules, entity).persist()
             good, bad = V.split(rows)
-            good.select(*COLUMNS[entity]).write.mode("overwrite").parquet(f"{accepted}/{entity}/epoch={epoch}")
-            bad.select("line", "status", "reason").write.mode("overwrite").parquet(f"{dead_letters}/entity={entity}/epoch={epoch}")
+            seen = [Observation(), Observation()]
+            good.select(*COLUMNS[entity]).observe(seen[0], F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{accepted}/{entity}/epoch={epoch}")
+            bad.select("line", "status", "reason").observe(seen[1], F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{dead_letters}/entity={entity}/epoch={epoch}")
+            counts[entity] = (seen[0].get["n"], seen[1].get["n"])
             rows.unpersist()
     finally:
         some.unpersist()
+    return counts
 
 
-def start_ingest(lines: DataFrame, rule_file: str, port: str, accepted: str, dead_letters: str, checkpoint: str, once: bool = False, interval: str = "1 second") -> StreamingQuery:
-    """Run the path on a stream of lines; once: over what there is, then stop."""
+def start_ingest(
+    lines: DataFrame, rule_file: str, port: str, accepted: str, dead_letters: str, checkpoint: str, once: bool = False, interval: str = "1 second", counted: Callable[[int, dict[str, tuple[int, int]]], None] | None = None
+) -> StreamingQuery:
+    """Run the path on a stream of lines; once: over what there is, then stop. counted takes each batch's number and counts."""
     rules = R.RuleFile(rule_file)
-    writer = lines.writeStream.foreachBatch(lambda batch, epoch: write_batch(batch, rules.for_port(port), accepted, dead_letters, epoch)).option("checkpointLocation", checkpoint)
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        counts = write_batch(batch, rules.for_port(port), accepted, dead_letters, epoch)
+        if counted:
+            counted(epoch, counts)
+
+    writer = lines.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
