@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,23 +18,31 @@ from pyspark.sql.types import LongType, StructField, StructType
 def byte_batches(rows: DataFrame, payload: str, cap_bytes: int, by: list[str], order: list[str]) -> DataFrame:
     """K3: rows with batch: a log batch ends before it would pass cap_bytes and the next starts anew; a longer payload is a batch of its own.
 
-    A fold over each key's rows in order: a task streams its sorted rows and holds one batch of them.
+    A fold over each key's rows in order: a task streams its sorted rows in Arrow batches and jumps from one batch's end to the next, so
+    Python's steps follow the batches. Rows without a payload have no bytes.
     """
-    keyed = rows.withColumn("_key", F.xxhash64(*by)).withColumn("_size", F.coalesce(F.octet_length(payload), F.lit(0)))
-    dealt = keyed.repartition(*by).sortWithinPartitions("_key", *by, *order)
+    first = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) == 1
+    dealt = rows.withColumns({"_first": first, "_size": F.coalesce(F.octet_length(payload), F.lit(0)).cast("long")})
 
     def fold(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, number, filled = None, 0, 0
+        number = filled = 0
         for part in parts:
-            numbers = []
-            for key, size in zip(part.column("_key").to_pylist(), part.column("_size").to_pylist()):
-                if key != now:
-                    now, number, filled = key, 0, 0
-                elif filled + size > cap_bytes:
+            sizes, starts = (part.column(c).to_numpy(zero_copy_only=False) for c in ("_size", "_first"))
+            total = np.cumsum(sizes)
+            keys = [*np.flatnonzero(starts).tolist(), len(sizes)]
+            numbers, at, nth = np.empty(len(sizes), np.int64), 0, 0
+            while at < len(sizes):
+                if at == keys[nth]:
+                    number, filled, nth = 0, 0, nth + 1
+                elif filled + sizes[at] > cap_bytes:
                     number, filled = number + 1, 0
-                filled += size
-                numbers.append(number)
-            yield part.drop_columns(["_key", "_size"]).append_column("batch", pa.array(numbers, pa.int64()))
+                before = total[at] - sizes[at]
+                fits = int(np.searchsorted(total, before + cap_bytes - filled, "right"))
+                end = min(max(fits, at + 1), keys[nth])
+                numbers[at:end] = number
+                filled += total[end - 1] - before
+                at = end
+            yield part.drop_columns(["_first", "_size"]).append_column("batch", pa.array(numbers))
 
     return dealt.mapInArrow(fold, StructType([*rows.schema.fields, StructField("batch", LongType())]))
 

@@ -285,6 +285,24 @@ def test_byte_batches_never_pass_the_cap(spark):
     rows = [(1, n, "x" * size) for n, size in enumerate([200, 200, 56, 300, 10, 246, 1])] + [(2, 0, "y" * 500), (2, 1, None)]
     got = K.byte_batches(spark.createDataFrame(rows, "k int, n int, p string"), "p", 256, ["k"], ["n"]).orderBy("k", "n").collect()
     assert [r.batch for r in got] == [0, 1, 1, 2, 3, 3, 4, 0, 1]
+    # keys over many Arrow batches, null keys and payloads of no, few and too many bytes, against a plain fold
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        rng = random.Random(5)
+        rows = [(rng.choice([None, 1, 1, 1, 2, 3]), n, rng.choice([None, "", "x" * rng.randint(1, 60), "y" * rng.randint(1, 60), "z" * 120])) for n in range(600)]
+        found = K.byte_batches(spark.createDataFrame(rows, "k int, n int, p string").repartition(3), "p", 100, ["k"], ["n"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    held, want = {}, []
+    for k, n, p in rows:
+        size = len(p or "")
+        number, filled = held.get(k, (0, None))
+        if filled is not None and filled + size > 100:
+            number, filled = number + 1, 0
+        held[k] = number, (filled or 0) + size
+        want.append((k, n, p, number))
+    assert sorted(map(tuple, found), key=lambda r: r[1]) == want
+    assert K.byte_batches(spark.createDataFrame([], "k int, n int, p string"), "p", 100, ["k"], ["n"]).collect() == []
 
 
 def test_span_logs_are_decided_by_their_own_line(spark):
