@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ANNOTATIONS = "array<struct<key:string,value:string>>"
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value worked out once however often it stands there: what is made of parts that are made
+    of parts would else be copied at each level, in the plan and for each row."""
+    return F.transform(F.array(value), lambda x: then(x))[0]
+
+
 def empty_tags() -> Column:
     return F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
 

@@ -546,9 +546,15 @@ def s1_ingest_entities(spark, sf_dir):
 # --- binary bodies -------------------------------------------------------------------------------------------------
 
 
-def _varint(n: Column) -> Column:
-    """Numbers below 2^35 as one to five bytes."""
-    n = n.cast("long")
+def _small(n: int) -> bytes:
+    """A fixed number as a varint."""
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def _of_long(n: Column) -> Column:
     byte = lambda k, last: F.unhex(F.lpad(F.hex(F.shiftright(n, 7 * k).bitwiseAND(127) + (0 if last else 128)), 2, "0"))
     out = F.concat(*[byte(k, k == 4) for k in range(5)])
     for size in (4, 3, 2, 1):
@@ -556,20 +562,25 @@ def _varint(n: Column) -> Column:
     return out
 
 
+def _varint(n: Column) -> Column:
+    """Numbers below 2^35 as one to five bytes."""
+    return T.once(n.cast("long"), _of_long)
+
+
 def _held(number: int, *parts: Column) -> Column:
     """A field that holds bytes: texts or messages."""
     body = F.concat(*[p.cast("binary") for p in parts])
-    return F.concat(_varint(F.lit(number << 3 | 2)), _varint(F.octet_length(body)), body)
+    return T.once(body, lambda b: F.concat(F.lit(_small(number << 3 | 2)), _of_long(F.octet_length(b).cast("long")), b))
 
 
 def _plain(number: int, n: Column) -> Column:
-    return F.concat(_varint(F.lit(number << 3)), _varint(n))
+    return F.concat(F.lit(_small(number << 3)), _varint(n))
 
 
 def _eight(number: int, n: Column) -> Column:
     """A field of eight bytes, the least first."""
     whole = F.unhex(F.lpad(F.hex(n.cast("long")), 16, "0"))
-    return F.concat(_varint(F.lit(number << 3 | 1)), *[F.substring(whole, k, 1) for k in range(8, 0, -1)])
+    return F.concat(F.lit(_small(number << 3 | 1)), T.once(whole, lambda x: F.concat(*[F.substring(x, k, 1) for k in range(8, 0, -1)])))
 
 
 def _pair(number: int, key: str, value: Column) -> Column:
@@ -578,7 +589,7 @@ def _pair(number: int, key: str, value: Column) -> Column:
 
 def _cut(body: Column) -> Column:
     """One body in ten lacks its last byte."""
-    return F.when(F.col("seq") % 10 == 3, F.substring(body, F.lit(1), F.octet_length(body) - 1)).otherwise(body).alias("body")
+    return T.once(body, lambda b: F.when(F.col("seq") % 10 == 3, F.substring(b, F.lit(1), F.octet_length(b) - 1)).otherwise(b)).alias("body")
 
 
 @query(f"""WITH {POINTS} SELECT seq, CASE WHEN seq % 10 <> 3 THEN CASE WHEN seq % 3 = 1 THEN '∆' ELSE '' END || metric END AS metric, CASE WHEN seq % 10 <> 3 THEN source END AS source, CASE WHEN seq % 10 <> 3 THEN ts_ms END AS ts_ms,
