@@ -46,8 +46,8 @@ def source_and_tags(attributes: Column, default_source: str) -> tuple[Column, Co
     `service.name` is `service` where there is none."""
     found = F.coalesce(*[attributes[k] for k in SOURCE_KEYS], F.lit(default_source))
     chosen = F.coalesce(*[F.when(attributes[k].isNotNull(), F.lit(k)) for k in SOURCE_KEYS], F.lit(""))
-    rest = T.rename(F.map_filter(attributes, lambda k, _: k != chosen), "source", "_source")
-    return found, T.rename(rest, "service.name", "service", ~F.array_contains(F.map_keys(rest), "service"))
+    rest = T.rename(T.once(chosen, lambda c: F.map_filter(attributes, lambda k, _: k != c)), "source", "_source")
+    return found, T.rename(rest, "service.name", "service", lambda t: ~F.array_contains(F.map_keys(t), "service"))
 
 
 METRIC_KINDS = ("gauge", "sum", "histogram", "exponentialHistogram", "summary")
@@ -65,15 +65,16 @@ def decode_metrics(bodies: DataFrame, body: str = "body", default_source: str =
     The body is JSON, or a struct of METRICS with an error beside it, as sources.protobuf reads it.
     """
     if dict(bodies.dtypes)[body] == "string":
-        read = bodies.withColumn("_q", F.from_json(body, METRICS)["resourceMetrics"]).withColumn("_unread", _unread(body, F.col("_q"), "metrics"))
+        read = T.settled(bodies, {"_q": F.from_json(body, METRICS)["resourceMetrics"]}).withColumn("_unread", _unread(body, F.col("_q"), "metrics"))
     else:
         read = bodies.withColumn("_q", F.col(body)["message"]["resourceMetrics"]).withColumn("_unread", F.col(body)["error"])
     out = read.withColumn("_r", F.explode_outer("_q")).withColumn("_s", F.explode_outer("_r.scopeMetrics")).withColumn("_m", F.explode_outer("_s.metrics"))
-    resource = attribute_map(F.col("_r.resource.attributes"))
+    resource = F.col("_resource")
     own = T.empty_tags() if not resource_attributes else resource
     unknown = F.col("_m").isNotNull() & F.coalesce(*[F.when(F.col(f"_m.{k}").isNotNull(), F.lit(False)) for k in METRIC_KINDS], F.lit(True))
     bad = F.coalesce(F.col("_unread"), F.when(unknown, F.lit("unsupported metric type")))
-    return out.filter("_m IS NOT NULL OR _unread IS NOT NULL").select(*bodies.columns, F.col("_m.name").alias("name"), own.alias("resource"), F.coalesce(*[resource[k] for k in SOURCE_KEYS], F.lit(default_source)).alias("fallback_source"), "_m", bad.alias("_bad"))
+    out = T.settled(out.filter("_m IS NOT NULL OR _unread IS NOT NULL"), {"_resource": attribute_map(F.col("_r.resource.attributes"))}, [*bodies.columns, "_m", "_unread"])
+    return out.select(*bodies.columns, F.col("_m.name").alias("name"), own.alias("resource"), F.coalesce(*[resource[k] for k in SOURCE_KEYS], F.lit(default_source)).alias("fallback_source"), "_m", bad.alias("_bad"))
 
 
 def _points(metrics: DataFrame, kinds: Column, columns: list[str], errors: bool) -> DataFrame:
@@ -82,12 +83,12 @@ def _points(metrics: DataFrame, kinds: Column, columns: list[str], errors: bool)
     out = metrics.withColumn("_k", F.explode_outer(F.when(F.col("_bad").isNull(), F.filter(kinds, lambda x: x.isNotNull()))))
     out = out.filter(F.col("_k").isNotNull() | (F.col("_bad").isNotNull() if errors else F.lit(False))).withColumn("_t", F.col("_k.t")).withColumn("_p", F.explode_outer("_k.points"))
     attributes = T.merge(F.col("resource"), attribute_map(F.col("_p.attributes")))
-    out = out.withColumn("_a", attributes)
+    out = T.settled(out, {"_a": attributes})
     source, rest = source_and_tags(F.col("_a"), "")
     nanos = F.col("_p.timeUnixNano").try_cast("long")
     source = F.when(source == "", F.col("fallback_source")).otherwise(source)
     some = F.col("_p").isNotNull()
-    return out.select(*columns, "_bad", "_t", "name", "_p", F.when(some, source).alias("source"), F.when(some, rest).otherwise(T.empty_tags()).alias("tags"), T.whole(nanos, 1_000_000).alias("ts_ms"))
+    return T.settled(out, {"source": F.when(some, source), "tags": F.when(some, rest).otherwise(T.empty_tags()), "ts_ms": T.whole(nanos, 1_000_000)}, [*columns, "_bad", "_t", "name", "_p"])
 
 
 def _own(metrics: DataFrame) -> list[str]:
@@ -129,7 +130,8 @@ def exponential_buckets(scale: Column, zero: Column, positive: Column, negative:
     bucket i reaches from bounds[i] to bounds[i + 1]."""
     base = F.pow(F.lit(2.0), F.pow(F.lit(2.0), -scale))
     longs = lambda side: F.coalesce(side["bucketCounts"].cast("array<bigint>"), F.array().cast("array<bigint>"))
-    edges = lambda side: F.transform(F.sequence(F.lit(0), F.size(longs(side))), lambda i: F.pow(base, i + F.coalesce(side["offset"], F.lit(0))))
+    side_of = lambda side: F.struct(base.alias("base"), F.size(longs(side)).alias("n"), F.coalesce(side["offset"], F.lit(0)).alias("low"))
+    edges = lambda side: T.once(side_of(side), lambda s: F.transform(F.sequence(F.lit(0), s["n"]), lambda i: F.pow(s["base"], i + s["low"])))
     counts = F.concat(F.reverse(longs(negative)), F.array(F.coalesce(zero.cast("bigint"), F.lit(0).cast("bigint"))), longs(positive))
     bounds = F.concat(F.reverse(F.transform(edges(negative), lambda x: -x)), edges(positive))
     return counts, bounds
@@ -168,12 +170,13 @@ def _histograms(metrics: DataFrame, errors: bool) -> DataFrame:
     p = _points(metrics, F.array(*[kind(k) for k in types]), own, errors).filter("_p IS NOT NULL OR _bad IS NOT NULL")
     e, x = F.col("_p.histogram"), F.col("_p.exponentialHistogram")
     counts, bounds = exponential_buckets(F.coalesce(x["scale"], F.lit(0)), x["zeroCount"], x["positive"], x["negative"])
-    p = p.withColumns({"_explicit": e.isNotNull(), "_c": F.when(e.isNotNull(), e["bucketCounts"].cast("array<bigint>")).when(x.isNotNull(), counts), "_b": F.when(e.isNotNull(), F.coalesce(e["explicitBounds"], F.array().cast("array<double>"))).when(x.isNotNull(), bounds)})
+    p = T.settled(p, {"_explicit": e.isNotNull(), "_c": F.when(e.isNotNull(), e["bucketCounts"].cast("array<bigint>")).when(x.isNotNull(), counts), "_b": F.when(e.isNotNull(), F.coalesce(e["explicitBounds"], F.array().cast("array<double>"))).when(x.isNotNull(), bounds)})
     c, b, plain = F.col("_c"), F.col("_b"), F.col("_explicit")
-    return p.select(
-        *own, "_t", "name", "source", "tags", "ts_ms", F.when(plain, c).otherwise(F.concat(c, F.array(F.lit(0).cast("bigint")))).alias("counts"), F.when(plain, b).otherwise(F.slice(b, 2, F.greatest(F.size(b) - 1, F.lit(0)))).alias("uppers"),
-        F.when(plain, explicit_centroids(c, b)).otherwise(bucket_centroids(c, b)).alias("centroids"), F.coalesce("_bad", F.when(plain, explicit_error(c, b))).alias("error"), "_bad",
-    )
+    columns = {
+        "counts": F.when(plain, c).otherwise(F.concat(c, F.array(F.lit(0).cast("bigint")))), "uppers": F.when(plain, b).otherwise(F.slice(b, 2, F.greatest(F.size(b) - 1, F.lit(0)))),
+        "centroids": F.when(plain, explicit_centroids(c, b)).otherwise(bucket_centroids(c, b)), "error": F.coalesce("_bad", F.when(plain, explicit_error(c, b))),
+    }
+    return T.settled(p, columns, [*own, "_t", "name", "source", "tags", "ts_ms", "_bad"])
 
 
 def histogram_points(metrics: DataFrame, errors: bool = True) -> DataFrame:
@@ -214,12 +217,12 @@ def decode_spans(bodies: DataFrame, body: str = "body", default_source: str = "u
     """Spans with annotations and span logs of OTLP trace requests, and a row with the error for a body that is none.
     Required tags are added by with_required_tags after the rules. The body is JSON, or a struct of TRACES with an error beside it."""
     if dict(bodies.dtypes)[body] == "string":
-        read = bodies.withColumn("_q", F.from_json(body, TRACES)["resourceSpans"]).withColumn("_unread", _unread(body, F.col("_q"), "trace"))
+        read = T.settled(bodies, {"_q": F.from_json(body, TRACES)["resourceSpans"]}).withColumn("_unread", _unread(body, F.col("_q"), "trace"))
     else:
         read = bodies.withColumn("_q", F.col(body)["message"]["resourceSpans"]).withColumn("_unread", F.col(body)["error"])
     out = read.withColumn("_r", F.explode_outer("_q")).withColumn("_c", F.explode_outer("_r.scopeSpans")).withColumn("_s", F.explode_outer("_c.spans"))
     merged = T.merge(attribute_map(F.col("_r.resource.attributes")), attribute_map(F.col("_s.attributes")))
-    out = out.withColumn("_a", merged)
+    out = T.settled(out.filter("_s IS NOT NULL OR _unread IS NOT NULL"), {"_a": merged})
     source, rest = source_and_tags(F.col("_a"), default_source)
     millis = lambda c: T.whole(F.col(c).try_cast("long"), 1_000_000)
     start, end = millis("_s.startTimeUnixNano"), millis("_s.endTimeUnixNano")
@@ -235,7 +238,7 @@ def decode_spans(bodies: DataFrame, body: str = "body", default_source: str = "u
     annotations = F.concat(T.canonical(rest).cast(T.ANNOTATIONS), F.filter(F.array(*[T.annotation(k, v) for k, v in more]), lambda a: a["value"].isNotNull()))
     fields = lambda e: T.merge(attribute_map(e["attributes"]), F.create_map(F.lit("name"), e["name"]))
     logs = F.transform("_s.events", lambda e: F.struct(T.whole(e["timeUnixNano"].try_cast("long"), 1000).alias("ts_us"), fields(e).alias("fields")))
-    return out.filter("_s IS NOT NULL OR _unread IS NOT NULL").select(
+    return out.select(
         *bodies.columns, F.col("_s.name").alias("name"), source.alias("source"), T.uuid_of_hex(F.col("_s.spanId")).alias("span_id"), T.uuid_of_hex(F.col("_s.traceId")).alias("trace_id"),
         start.alias("start_ms"), F.when(end == 0, F.lit(0)).otherwise(end - start).cast("long").alias("duration_ms"), annotations.alias("annotations"), F.when(F.size("_s.events") > 0, logs).alias("logs"),
         F.col("_unread").alias("error"),

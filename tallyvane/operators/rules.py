@@ -232,7 +232,7 @@ class Compiler:
             case "renameTag":
                 new = str(a["newtag"])
                 if self.as_map:
-                    moved = T.rename(tags, a["tag"], new, _full(tags[a["tag"]], a["match"]) if a.get("match") else None)
+                    moved = T.rename(tags, a["tag"], new, (lambda t: _full(t[a["tag"]], a["match"])) if a.get("match") else None)
                 else:
                     moved = F.transform(tags, lambda x: F.when((x["key"] == a["tag"]) & (_full(x["value"], a["match"]) if a.get("match") else F.lit(True)), T.annotation(new, x["value"])).otherwise(x))
                 return {"tags": F.when(on, moved).otherwise(tags)}
