@@ -210,7 +210,7 @@ def datadog_host_tags(bodies: DataFrame, body: str = "body") -> DataFrame:
 def decode_datadog_intake(bodies: DataFrame, body: str = "body") -> DataFrame:
     """Points of intake payloads: ioStats by device, every `system.*` member, and the renamed system metrics; an error
     for a body that is no object. Payloads without a host name or a time are ignored."""
-    parsed = bodies.withColumn("_m", F.when(F.ltrim(body).startswith("{"), F.from_json(body, TEXT_MAP))).withColumn("_bad", F.col("_m").isNull())
+    parsed = T.settled(bodies, {"_m": F.when(F.ltrim(body).startswith("{"), F.from_json(body, TEXT_MAP))}).withColumn("_bad", F.col("_m").isNull())
     out = parsed.filter("_bad OR _m['internalHostname'] IS NOT NULL AND _m['collection_timestamp'] IS NOT NULL")
     entry = "array<struct<metric:string,device:string,v:string>>"
     row = lambda name, device, value: F.struct(name.alias("metric"), device.cast("string").alias("device"), value.alias("v"))
@@ -219,9 +219,11 @@ def decode_datadog_intake(bodies: DataFrame, body: str = "body") -> DataFrame:
     by_device = F.flatten(F.transform(F.map_entries(io), lambda d: F.transform(F.map_entries(d["value"]), lambda e: row(io_name(e["key"]), d["key"], e["value"]))))
     own = F.transform(F.map_entries(F.map_filter("_m", lambda k, _: k.startswith("system."))), lambda e: row(e["key"], F.lit(None), e["value"]))
     renamed = F.array(*[row(F.lit(k), F.lit(None), F.col("_m")[v]) for k, v in SYSTEM_METRICS.items()])
-    out = out.withColumn("_p", F.explode_outer(F.when(~F.col("_bad"), F.concat(by_device.cast(entry), own.cast(entry), renamed.cast(entry))))).withColumn("value", coerce_value(F.col("_p.v"))).filter("value IS NOT NULL OR _bad")
+    found = F.filter(F.concat(by_device.cast(entry), own.cast(entry), renamed.cast(entry)), lambda p: p["v"].isNotNull())
     system = F.coalesce(tags_of_list(F.from_json(F.get_json_object(F.col(body), "$['host-tags'].system"), "array<string>")), T.empty_tags())
+    out = T.settled(out, {"_system": system}).withColumn("_p", F.explode_outer(F.when(~F.col("_bad"), found)))
+    out = T.settled(out, {"value": coerce_value(F.col("_p.v"))}).filter("value IS NOT NULL OR _bad")
     return out.select(
         *bodies.columns, F.col("_p.metric").alias("metric"), F.lower(F.col("_m")["internalHostname"]).alias("source"), (F.col("_m")["collection_timestamp"].try_cast("long") * 1000).alias("ts_ms"),
-        "value", T.put(system, "device", F.col("_p.device")).alias("tags"), F.when(F.col("_bad"), F.lit("malformed request")).alias("error"),
+        "value", T.put(F.col("_system"), "device", F.col("_p.device")).alias("tags"), F.when(F.col("_bad"), F.lit("malformed request")).alias("error"),
     )
