@@ -14,20 +14,33 @@ from ..functions import tags as T
 TOKEN = r'"(?:[^"\\]|\\.)*"|[^\s"=]+'
 VALUE = r'"(?:[^"\\]|\\.)*"|\S+'
 PAIR = rf"({TOKEN})=({VALUE})"
+MARK = "\x01"
 SECOND = 1000
 GRANULARITY_MS = {"!M": 60_000, "!H": 3_600_000, "!D": 86_400_000}
 
 
 def unquote(token: Column) -> Column:
-    inner = F.regexp_replace(F.regexp_extract(token, r'^"(.*)"$', 1), r"\\(.)", "$1")
-    return F.when(token.startswith('"'), inner).otherwise(token)
+    inner = lambda t: F.regexp_replace(F.regexp_extract(t, r'^"(.*)"$', 1), r"\\(.)", "$1")
+    return T.once(token, lambda t: F.when(t.startswith('"'), inner(t)).otherwise(t))
 
 
 def pairs(text: Column) -> Column:
     """(key, value) structs of all `k=v` in the text, in order, quotes removed."""
-    keys = F.regexp_extract_all(text, F.lit(PAIR), F.lit(1))
-    values = F.regexp_extract_all(text, F.lit(PAIR), F.lit(2))
-    return F.zip_with(keys, values, lambda k, v: F.struct(unquote(k).alias("key"), unquote(v).alias("value")))
+    # a key without quotes has no `=`
+    key = lambda p: F.when(p.startswith('"'), F.regexp_extract(p, PAIR, 1)).otherwise(F.substring_index(p, "=", 1))
+    one = lambda k, p: F.struct(unquote(k).alias("key"), unquote(F.substr(p, F.char_length(k) + 2)).alias("value"))
+    return F.transform(F.regexp_extract_all(text, F.lit(PAIR), F.lit(0)), lambda p: T.once(key(p), lambda k: one(k, p)))
+
+
+def _parts(lines: DataFrame, line: str, shape: str, groups: int, tags: int) -> DataFrame:
+    """lines with the groups of the shape as _g1, _g2 ... (empty where the line has another shape) and the pairs of one of them as _pairs."""
+    # one match for all groups, with a mark between them; lines that have the mark themselves are matched for each
+    numbers = range(1, groups + 1)
+    apart = F.split(F.regexp_replace(line, shape, MARK.join(f"${g}" for g in numbers)), MARK)
+    each = F.array(*[F.regexp_extract(line, shape, g) for g in numbers])
+    found = T.settled(lines, {"_g": F.when(F.col(line).contains(MARK), each).otherwise(apart)})
+    out = found.select(*lines.columns, *[F.when(F.size("_g") == groups, F.get("_g", F.lit(g - 1))).otherwise(F.when(F.col(line).isNotNull(), F.lit(""))).alias(f"_g{g}") for g in numbers])
+    return T.settled(out, {"_pairs": pairs(F.col(f"_g{tags}"))})
 
 
 def detect_format(line: Column) -> Column:
@@ -65,16 +78,12 @@ def _rest(tag_pairs: Column) -> Column:
 def decode_points(lines: DataFrame, line: str = "line", now_ms: Column | None = None) -> DataFrame:
     """D3: metric, source, ts_ms, value, tags of `metric value [ts] source=s k=v ...`."""
     shape = rf"^\s*({TOKEN})\s+(\S+)(?:\s+(\d+))?((?:\s+(?:{TOKEN})=(?:{VALUE}))*)\s*$"
-    part = lambda g: F.regexp_extract(line, shape, g)
-    out = lines.withColumn("_pairs", pairs(part(4)))
-    value = part(2).try_cast("double")
+    part = lambda g: F.col(f"_g{g}")
     stamp = F.when(part(3) != "", T.millis_by_digits(part(3))).otherwise(now_ms if now_ms is not None else F.unix_millis(F.current_timestamp()))
-    out = out.select(
-        *lines.columns, unquote(part(1)).alias("metric"), _source_of(F.col("_pairs")).alias("source"), stamp.alias("ts_ms"), value.alias("value"),
-        T.from_pairs(_rest(F.col("_pairs"))).alias("tags"),
-    )
-    error = F.when(~F.col(line).rlike(shape), F.lit("not a point line")).when(F.col("value").isNull(), F.lit("value is not a number")).when(F.col("source").isNull(), F.lit("no source"))
-    return out.withColumn("error", error)
+    columns = {"metric": unquote(part(1)), "source": _source_of(F.col("_pairs")), "ts_ms": stamp, "value": part(2).try_cast("double"), "tags": T.from_pairs(_rest(F.col("_pairs"))), "_other": part(1) == ""}
+    out = T.settled(_parts(lines, line, shape, 4, 4), columns, lines.columns)
+    error = F.when(F.col("_other"), F.lit("not a point line")).when(F.col("value").isNull(), F.lit("value is not a number")).when(F.col("source").isNull(), F.lit("no source"))
+    return out.withColumn("error", error).drop("_other")
 
 
 def encode_points(metric: Column, value: Column, ts_ms: Column, source: Column, tags: Column) -> Column:
@@ -87,33 +96,32 @@ def encode_points(metric: Column, value: Column, ts_ms: Column, source: Column,
 def decode_histograms(lines: DataFrame, line: str = "line") -> DataFrame:
     """Metric, source, bin_start_ms, duration_ms, centroids and tags of `!M ts #count mean ... metric source=s`."""
     shape = rf"^(![MHD])\s+(?:(\d+)\s+)?((?:#\d+\s+\S+\s+)+)({TOKEN})((?:\s+(?:{TOKEN})=(?:{VALUE}))*)\s*$"
-    part = lambda g: F.regexp_extract(line, shape, g)
-    counts = F.transform(F.regexp_extract_all(part(3), F.lit(r"#(\d+)\s+(\S+)"), F.lit(1)), lambda x: x.try_cast("int"))
-    means = F.transform(F.regexp_extract_all(part(3), F.lit(r"#(\d+)\s+(\S+)"), F.lit(2)), lambda x: x.try_cast("double"))
+    part = lambda g: F.col(f"_g{g}")
+    found = lambda g: F.regexp_extract_all(part(3), F.lit(r"#(\d+)\s+(\S+)"), F.lit(g))
+    centroids = F.zip_with(found(2), found(1), lambda m, c: F.struct(m.try_cast("double").alias("mean"), c.try_cast("int").alias("count")))
     duration = F.create_map(*[F.lit(x) for kv in GRANULARITY_MS.items() for x in kv])[part(1)]
     stamp = T.millis_by_digits(F.when(part(2) != "", part(2)))
-    out = lines.withColumn("_pairs", pairs(part(5))).select(
-        *lines.columns, unquote(part(4)).alias("metric"), _source_of(F.col("_pairs")).alias("source"), duration.alias("duration_ms"),
-        (F.floor(stamp / duration) * duration).alias("bin_start_ms"), F.zip_with(means, counts, lambda m, c: F.struct(m.alias("mean"), c.alias("count"))).alias("centroids"),
-        T.from_pairs(_rest(F.col("_pairs"))).alias("tags"),
-    )
+    columns = {
+        "metric": unquote(part(4)), "source": _source_of(F.col("_pairs")), "duration_ms": duration, "bin_start_ms": T.once(duration, lambda d: F.floor(stamp / d) * d), "centroids": centroids,
+        "tags": T.from_pairs(_rest(F.col("_pairs"))), "_other": part(1) == "",
+    }
+    out = T.settled(_parts(lines, line, shape, 5, 5), columns, lines.columns)
     bad = F.exists("centroids", lambda c: c["mean"].isNull() | c["count"].isNull())
-    return out.withColumn("error", F.when(~F.col(line).rlike(shape), F.lit("not a histogram line")).when(bad, F.lit("bad centroid")).when(F.col("source").isNull(), F.lit("no source")))
+    return out.withColumn("error", F.when(F.col("_other"), F.lit("not a histogram line")).when(bad, F.lit("bad centroid")).when(F.col("source").isNull(), F.lit("no source"))).drop("_other")
 
 
 def decode_spans(lines: DataFrame, line: str = "line") -> DataFrame:
     """Name, source, ids, start_ms, duration_ms and annotations (repeated keys stay) of `name k=v ... start end`."""
     shape = rf"^\s*({TOKEN})((?:\s+(?:{TOKEN})=(?:{VALUE}))*)\s+(\d+)\s+(\d+)\s*$"
-    part = lambda g: F.regexp_extract(line, shape, g)
-    start, end = T.millis_by_digits(part(3)), T.millis_by_digits(part(4))
+    part = lambda g: F.col(f"_g{g}")
     key = lambda k: T.first_value(F.col("_pairs"), k)
-    out = lines.withColumn("_pairs", pairs(part(2))).select(
-        *lines.columns, unquote(part(1)).alias("name"), key("source").alias("source"), key("spanId").alias("span_id"), key("traceId").alias("trace_id"),
-        start.alias("start_ms"), (end - start).alias("duration_ms"),
-        F.filter("_pairs", lambda p: ~p["key"].isin("source", "spanId", "traceId")).alias("annotations"),
-    )
-    error = F.when(~F.col(line).rlike(shape), F.lit("not a span line")).when(F.col("source").isNull(), F.lit("no source"))
-    return out.withColumn("error", error.when(F.col("span_id").isNull() | F.col("trace_id").isNull(), F.lit("no identifiers")))
+    columns = {
+        "name": unquote(part(1)), "source": key("source"), "span_id": key("spanId"), "trace_id": key("traceId"), "start_ms": T.millis_by_digits(part(3)), "duration_ms": T.millis_by_digits(part(4)) - T.millis_by_digits(part(3)),
+        "annotations": F.filter("_pairs", lambda p: ~p["key"].isin("source", "spanId", "traceId")), "_other": part(1) == "",
+    }
+    out = T.settled(_parts(lines, line, shape, 4, 2), columns, lines.columns)
+    error = F.when(F.col("_other"), F.lit("not a span line")).when(F.col("source").isNull(), F.lit("no source"))
+    return out.withColumn("error", error.when(F.col("span_id").isNull() | F.col("trace_id").isNull(), F.lit("no identifiers"))).drop("_other")
 
 
 SPAN_LOG_SCHEMA = "spanId string, traceId string, spanSecondaryId string, logs array<struct<timestamp:bigint,fields:map<string,string>>>, span string"
