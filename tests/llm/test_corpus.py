@@ -317,6 +317,27 @@ def test_substring_dedup_keeps_other_columns(spark):
     assert {r["_k"] for r in out.collect()} == {"clash"}
 
 
+def exchanges_reused(df):
+    """How many exchanges of an executed query are read a second time, and its rows."""
+    session = df.sparkSession
+    session.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        session.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    return plan.count("ReusedExchange"), rows
+
+
+@pytest.mark.parametrize("keep", [None, ["lang", "_k"]])
+def test_substring_dedup_sends_texts_once(spark, keep):
+    rows = fixture_rows()
+    want = brute_repeats(by_key(spark, rows))
+    reused, got = exchanges_reused(recompress.remove_repeats(docs(spark, rows), keep=keep))
+    assert reused == 1
+    assert sorted((repr(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted((repr(i), *want[i, t][:3]) for i, t in rows)
+
+
 def test_equal_names_are_equal_windows():
     """Popped sequences over few and many words, runs and none: equal just where the words are."""
     for seed in range(40):
