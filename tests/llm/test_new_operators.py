@@ -10,7 +10,7 @@ import pytest
 
 from tallyvane.llm import queries, runs, suffix_array, suffix_dedup, vector_codes
 
-from .test_corpus import docs
+from .test_corpus import docs, exchanges_reused
 
 # --- suffix arrays and dedup ---
 
@@ -82,6 +82,16 @@ def test_repeated_strings_go(spark, window, many_cells):
         assert (row.n_bytes, row.n_removed, row.n_spans) == (len(text.encode()), len(text.encode()) - len(kept), len(spans)) and row.kept_sha256 == hashlib.sha256(kept).hexdigest()
 
 
+def test_repeated_strings_send_texts_once(spark):
+    rng = random.Random(3)
+    some = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = some(450)
+    rows = [(k, some(50) + passage * (k % 2) + some(30)) for k in range(20)]
+    reused, got = exchanges_reused(suffix_dedup.remove_repeats(docs(spark, rows)))
+    kept = [hashlib.sha256(x).hexdigest() for _, x in removed([t.encode() for _, t in rows], 400)]
+    assert reused == 1 and [r.kept_sha256 for r in sorted(got)] == kept and min(r.n_removed for r in got if r.doc_id % 2) >= 450
+
+
 def test_repeated_strings_of_empty_table(spark):
     assert suffix_dedup.remove_repeats(docs(spark, [])).collect() == []
 
