@@ -90,26 +90,27 @@ def messages(payload: bytes, max_inflated: int = MAX_INFLATED) -> Iterator[tuple
         yield position, batch, window, None, None, str(e)
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], content: str, names: list[str], max_inflated: int, rows: int) -> Iterator[pa.RecordBatch]:
+    """Messages of the payloads of each batch, `rows` at most at a time."""
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    for given in batches:
+        kept = [given.column(c) for c in given.schema.names if c != content]
+        found = ((k, *row) for k, payload in enumerate(given.column(content)) for row in messages(payload.as_py() or b"", max_inflated))
+        while block := list(islice(found, rows)):
+            of, *columns = zip(*block)
+            at = pa.array(of, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in kept), *(pa.array(x, t) for x, t in zip(columns, kinds))], names=names)
+
+
 def decode_frames(payloads: DataFrame, content: str = "content", max_inflated: int = MAX_INFLATED, rows: int = 4096) -> DataFrame:
     """The other columns with the MESSAGE columns, a row for each message and for what ends a payload early.
 
     sequence is the shipper's own number, position the place in the payload; window is null for messages that no window announced.
-    A null or empty payload gives nothing. Messages are handed on in blocks of `rows`.
+    A null or empty payload gives nothing. Messages are handed on in blocks of `rows`, of many payloads together: a block costs more than a message.
     """
     others = [f for f in payloads.schema.fields if f.name != content]
     out = StructType([*others, *_parse_datatype_string(MESSAGE).fields])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-        for given in batches:
-            kept = [given.column(f.name) for f in others]
-            for k, payload in enumerate(given.column(content)):
-                found = messages(payload.as_py() or b"", max_inflated)
-                while block := list(islice(found, rows)):
-                    at = pa.array([k] * len(block), pa.int64())
-                    yield pa.RecordBatch.from_arrays([*(c.take(at) for c in kept), *(pa.array(x, t) for x, t in zip(zip(*block), kinds))], names=out.names)
-
-    return payloads.mapInArrow(run, out)
+    return payloads.mapInArrow(lambda batches: _blocks(batches, content, out.names, max_inflated, rows), out)
 
 
 def drop_resent_batches(found: DataFrame, payload: list[str], by: list[str]) -> DataFrame:
@@ -119,12 +120,13 @@ def drop_resent_batches(found: DataFrame, payload: list[str], by: list[str]) ->
 
     Batches are compared by one row each, so what is grouped by identity is small however many messages there are.
     """
-    get = lambda path: F.get_json_object("message", path)
+    get = lambda path: F.get_json_object("_message", path)
     file = F.when(get("$.log.offset").isNotNull(), get("$.log.file.path"))
     first = F.struct(get("$['@timestamp']").alias("stamp"), file.alias("file"), F.when(file.isNotNull(), get("$.log.offset")).alias("offset"))
     name = [*payload, "batch"]
     keys = list(dict.fromkeys([*by, *name]))
-    batches = found.filter("error IS NULL").groupBy(*keys).agg(F.count("*").alias("_size"), F.max("sequence").alias("_last"), F.min_by(first, "position").alias("_first"))
+    batches = found.filter("error IS NULL").groupBy(*keys).agg(F.count("*").alias("_size"), F.max("sequence").alias("_last"), F.min_by("message", "position").alias("_message"))
+    batches = batches.withColumn("_first", first).drop("_message")
     known = batches.filter("_first.stamp IS NOT NULL").groupBy(*[F.col(c).alias(f"_by{n}") for n, c in enumerate(by)], "_size", "_last", "_first")
     kept = known.agg(F.min(F.struct(*name)).alias("_kept"), F.count("*").alias("_times")).filter("_times > 1")
     same = [F.col(c).eqNullSafe(F.col(f"_by{n}")) for n, c in enumerate(by)] + [batches[c] == kept[c] for c in ("_size", "_last")] + [batches["_first"].eqNullSafe(kept["_first"])]

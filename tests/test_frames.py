@@ -5,6 +5,8 @@ import random
 import struct
 import zlib
 
+import pyarrow as pa
+
 from tallyvane.sources import frames
 
 number = lambda n: struct.pack(">I", n)
@@ -55,6 +57,19 @@ def test_what_cannot_be_read():
         rows(bytes(noise), max_inflated=1000)
 
 
+def test_payloads_share_blocks(spark):
+    """Small payloads are handed on together, and a block still has `rows` messages at most."""
+    body = window(3) + b"".join(message(n, "{}") for n in (1, 2, 3))
+    rows = [(k, body) for k in range(40)]
+    df = frames.decode_frames(spark.createDataFrame(rows, "id int, content binary"))
+    given = pa.RecordBatch.from_pydict({"id": [k for k, _ in rows], "content": [x for _, x in rows]})
+    for size, blocks in ((4096, [120]), (50, [50, 50, 20])):
+        found = list(frames._blocks(iter([given]), "content", df.columns, frames.MAX_INFLATED, size))
+        assert [x.num_rows for x in found] == blocks
+        assert [(r["id"], r["position"], r["sequence"]) for x in found for r in x.to_pylist()] == [(k, n, n + 1) for k in range(40) for n in range(3)]
+    assert df.count() == 120
+
+
 def test_resent_batches_go(spark):
     body = lambda t, **more: json.dumps({"@timestamp": t, **more})
     log = lambda n: {"log": {"file": {"path": "/x"}, "offset": n}}
