@@ -255,10 +255,13 @@ def near_links(distinct: DataFrame, radius: int, bucket: int = BUCKET) -> DataFr
     node: a long that stands for the row; keys: array of structs (choice, bits); fp: its words as binary.
     A task gets whole groups of at most two slices of about `bucket` rows.
     """
-    keyed = distinct.select("node", "fp", F.explode("keys").alias("key")).select("node", "fp", "key.choice", "key.bits")
+    # fingerprints stay out of the exchanges by key: `row` stands for a row, and where two have the same they only meet more others
+    distinct = distinct.withColumn("row", F.xxhash64("node", "fp"))
+    keyed = distinct.select("row", F.explode("keys").alias("key")).select("row", "key.choice", "key.bits")
     sizes = keyed.groupBy("choice", "bits").count().filter("count > 1")
     sizes = sizes.select(F.col("choice").alias("c"), F.col("bits").alias("k"), F.ceil(F.col("count") / bucket).cast("int").alias("slices"))
-    rows = keyed.join(sizes, (keyed.choice == sizes.c) & (keyed.bits == sizes.k)).withColumn("own", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
+    rows = keyed.join(sizes, (keyed.choice == sizes.c) & (keyed.bits == sizes.k)).select(F.col("row").alias("_row"), "choice", "bits", "slices")
+    rows = rows.join(distinct.select("row", "node", "fp"), F.col("_row") == F.col("row")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int"))
     # a row goes to the group of every pair of slices that has its own
     pairs = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda s: F.struct(F.least(s, F.col("own")).alias("i"), F.greatest(s, F.col("own")).alias("j")))
     sent = rows.select("node", "fp", "choice", "bits", "own", F.explode(pairs).alias("pair")).select("node", "fp", "own", "choice", "bits", "pair.i", "pair.j")
@@ -442,4 +445,5 @@ def one_of_each(docs: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
     links = verified_links(docs, components(links, "near-groups", kept=old), old=old)
     stay = materialise(classes(folded.select("first"), links, old).select(F.col("component_id").alias("_stay")).distinct(), "near-stay")
     remove(docs.sparkSession, old)
-    return docs.join(stay, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == stay["_stay"], "left_semi")
+    # one plan at every size: else the texts, which stay where they are while the ids are few, are sent and sorted from some size on
+    return docs.join(stay.hint("shuffle_hash"), F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == stay["_stay"], "left_semi")

@@ -511,6 +511,32 @@ def test_one_of_each(spark):
     assert out.columns == docs(spark, EMPTY).columns and simhash.one_of_each(docs(spark, EMPTY)).count() == 0
 
 
+def test_fingerprints_stay_out_of_the_exchanges_by_key(spark):
+    values = [7, 7 ^ 1, 7 ^ 6, (1 << 62) - 1]  # two rows of one node, as those without a doc_id are, are told apart by their fingerprints
+    rows = spark.createDataFrame([(n, v) for n, v in zip([1, 1, 2, 3], values)], "node long, v long")
+    rows = rows.select("node", simhash.bucket_keys(F.col("v"), 4).alias("keys"), F.unhex(F.lpad(F.hex("v"), 16, "0")).alias("fp"))
+    links = simhash.near_links(rows, 4)
+    assert {(min(r), max(r)) for r in map(tuple, links.collect())} - {(1, 1)} == {(1, 2)}
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    details = links._jdf.queryExecution().explainString(mode).split("\n\n")
+    sent = [d for d in details if "Exchange" in d.split("\n")[0] and "hashpartitioning(choice" in d and "REPARTITION_BY_COL" not in d]
+    assert sent and not any("fp#" in d for d in sent)
+
+
+def test_one_of_each_has_one_plan_at_every_size(spark):
+    joins = []
+    for most in ("10m", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+        try:
+            out = simhash.one_of_each(docs(spark, [(1, "one text"), (2, "other text"), (3, "one text")]))
+            assert sorted(r.doc_id for r in out.collect()) == [1, 2]
+            plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        joins.append([kind for kind in ("ShuffledHashJoin", "SortMergeJoin", "BroadcastHashJoin") if kind in plan])
+    assert joins == [["ShuffledHashJoin"]] * 2
+
+
 # --- HTML ---
 
 
